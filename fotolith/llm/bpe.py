@@ -46,6 +46,8 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
 #: Entries of one generation of the merge cache; two generations are held.
 CACHE_ENTRIES = 300_000
+#: Code points that are split at a time, which bounds a task's memory.
+CHUNK_CHARS = 1 << 20
 #: Longer pieces merge through a heap, which stays near-linear.
 HEAP_FROM = 48
 #: Longer pieces are merged but not kept.
@@ -121,6 +123,19 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [whole[a:b] for a, b in zip(at, at[1:] + [len(whole)])], counts
 
 
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about ``CHUNK_CHARS`` code points; a longer text is a run of its own."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
@@ -211,10 +226,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
-        cut, counts = pieces(texts)
-        ids = list(map(self.cache.__getitem__, cut))
-        ends = np.cumsum(counts).tolist()
-        return [b"".join(ids[b - c : b]) for b, c in zip(ends, counts.tolist())]
+        out: list[bytes] = []
+        for part in chunks(texts):
+            cut, counts = pieces(part)
+            ids = list(map(self.cache.__getitem__, cut))
+            ends = np.cumsum(counts).tolist()
+            out += [b"".join(ids[b - c : b]) for b, c in zip(ends, counts.tolist())]
+        return out
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """Byte offset at which each token ends."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolith.llm import bitslice, bpe, chat, html_text, rules, simhash, warc
+from fotolith.llm import bitslice, bpe, chat, html_text, packing, quality, rules, simhash, warc
 from fotolith.llm.common import Scratch, prepare, table
 
 #: Folder of the public vocabularies; a parameter of the box, not of this repository.
@@ -39,6 +39,12 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    made = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), Scratch(spark, "packing"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     scratch = Scratch(spark, "warc")
@@ -58,6 +64,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op7_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -78,9 +91,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_bitslice": op7_bitslice,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
