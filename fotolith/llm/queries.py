@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolith.llm import bitslice, bpe, chat, html_text, packing, quality, rules, simhash, warc
+from fotolith.llm import bitslice, bpe, chat, html_text, packing, quality, rules, simhash, suffix, warc
 from fotolith.llm.common import Scratch, prepare, table
 
 #: Folder of the public vocabularies; a parameter of the box, not of this repository.
@@ -77,6 +77,15 @@ def op7_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(rows, rows.where("vec_id % 50 = 0"), 5, Scratch(spark, "bitslice"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    made = suffix.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "suffix"))
+    return made.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.evaluate(docs).select(
@@ -97,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_bitslice": op7_bitslice,
+    "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
