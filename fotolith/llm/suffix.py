@@ -379,6 +379,21 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None) ->
     return out.withColumn("carried", F.from_json("carried", shape)).select("doc_id", "n_bytes", "kept", "spans", *(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)))
 
 
+def as_text(made: DataFrame) -> DataFrame:
+    """The output of ``dedup`` with ``text`` in place of the kept bytes; halves of cut characters go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [x.decode("utf-8", "ignore") for x in batch.column(at).to_pylist()]
+            columns = [pa.array(text, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=["text" if n == "kept" else n for n in batch.schema.names])
+
+    made = made.drop("spans", "n_bytes")
+    at = made.columns.index("kept")
+    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "kept" else f for f in made.schema.fields])
+    return made.mapInArrow(run, schema)
+
+
 def remove(block: Block, gone: np.ndarray, extra: list) -> Iterator[pa.RecordBatch]:
     """The documents of a block without the byte ranges ``gone``, some at a time."""
     # A covered string lies in one document, but ranges of neighbours may touch: cut them at document ends.
