@@ -118,7 +118,7 @@ def dbscan(features: DataFrame, config: GroupConfig) -> DataFrame:
     core = rows.join(counts.where(F.col("n") >= config.min_samples).select("id", F.lit(True).alias("c")), "id", "left")
     rows = stored(core.select("id", "v", F.coalesce("c", F.lit(False)).alias("core"), "label"), "core")
     reached = least_reachable(_near(rows, config.eps, _links, "a long, b long"))
-    labelled = rows.join(reached.withColumnRenamed("label", "found"), "id", "left").select("id", "v", "core", F.when(F.col("core"), F.coalesce("found", "id")).alias("label"))
+    labelled = rows.join(reached.withColumnRenamed("label", "found"), "id", "left").select("id", "v", "core", F.when(F.col("core"), F.coalesce("found", "id")).otherwise(0).alias("label"))
     labelled = stored(labelled, "labelled")
     border = _near(labelled, config.eps, _border, "id long, label long").groupBy("id").agg(F.min("label").alias("b"))
     whole = labelled.join(border, "id", "left").select("id", F.when(F.col("core"), F.col("label")).otherwise(F.col("b")).alias("label"))

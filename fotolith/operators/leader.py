@@ -53,54 +53,74 @@ class Welford:
 
 
 class Machine:
-    """The state of one key; ``ingest`` returns the stable id of the row's cluster."""
+    """The state of one key; ``ingest`` returns the stable id of the row's cluster.
+
+    Clusters lie in arrays in list order, so that a row is compared with all of
+    them at once.
+    """
 
     def __init__(self, config: GroupConfig, state: dict | None = None):
         self.config = config
         state = state or {}
         self.stats = Welford(state.get("stats"))
         self.next_id = state.get("next_id", 1)
-        #: In list order: id, sums, count, representative hash and palette.
-        self.clusters: list[dict] = state.get("clusters", [])
+        self.ids: list[int] = state.get("ids", [])
+        self.hashes: list[int | None] = state.get("hashes", [])
+        self.palettes: list[list] = state.get("palettes", [])
+        self.sums = np.array(state.get("sums", []), float).reshape(-1, 5)
+        self.counts = np.array(state.get("counts", []), float)
         self.into: dict[int, int] = {int(k): v for k, v in state.get("into", {}).items()}
+        self._known: Features | None = None
 
     def state(self) -> dict:
-        return {"stats": self.stats.state(), "next_id": self.next_id, "clusters": self.clusters, "into": self.into}
+        return {
+            "stats": self.stats.state(), "next_id": self.next_id, "ids": self.ids, "hashes": self.hashes, "palettes": self.palettes,
+            "sums": self.sums.tolist(), "counts": self.counts.tolist(), "into": self.into,
+        }
 
-    def _distances(self, v: np.ndarray, phash: int | None, palette: list, others: list[dict]) -> np.ndarray:
+    def _distances(self, v: np.ndarray, phash: int | None, palette: list) -> np.ndarray:
         std = self.stats.std(self.config.std_floor)
-        one = Features(((v - self.stats.mean) / std)[None, :], [phash], [palette])
-        raw = np.array([c["sums"] for c in others]) / np.array([c["n"] for c in others])[:, None]
-        many = Features((raw - self.stats.mean) / std, [c["phash"] for c in others], [c["palette"] for c in others])
-        return kernel(one, many, self.config)[0]
+        if self._known is None:  # clusters came or went
+            self._known = Features(self.sums, self.hashes, self.palettes)
+        self._known.vectors = (self.sums / self.counts[:, None] - self.stats.mean) / std
+        return kernel(Features(((v - self.stats.mean) / std)[None, :], [phash], [palette]), self._known, self.config)[0]
 
     def ingest(self, v: np.ndarray, phash: int | None, palette: list) -> int:
         self.stats.add(v)
-        if self.clusters:
-            d = self._distances(v, phash, palette, self.clusters)
+        if self.ids:
+            d = self._distances(v, phash, palette)
             best = int(np.argmin(d))
             if d[best] <= self.config.eps:
-                home = self.clusters[best]
-                home["sums"] = (np.array(home["sums"]) + v).tolist()
-                home["n"] += 1
+                self.sums[best] += v
+                self.counts[best] += 1
+                home = self.ids[best]
                 self._merge(best)
-                return home["id"]
-        self.clusters.append({"id": self.next_id, "sums": v.tolist(), "n": 1, "phash": phash, "palette": palette})
+                return home
+        self.ids.append(self.next_id)
+        self.hashes.append(phash)
+        self.palettes.append(palette)
+        self.sums = np.vstack([self.sums, v])
+        self.counts = np.append(self.counts, 1.0)
         self.next_id += 1
+        self._known = None
         return self.next_id - 1
 
     def _merge(self, at: int) -> None:
-        if len(self.clusters) < 2:
+        if len(self.ids) < 2:
             return
-        home = self.clusters[at]
-        d = self._distances(np.array(home["sums"]) / home["n"], home["phash"], home["palette"], self.clusters)
+        d = self._distances(self.sums[at] / self.counts[at], self.hashes[at], self.palettes[at])
         d[at] = math.inf
         near = np.flatnonzero(d <= self.config.eps * MERGE_FACTOR)
-        if len(near):
-            gone = self.clusters.pop(int(near[0]))
-            home["sums"] = (np.array(home["sums"]) + np.array(gone["sums"])).tolist()
-            home["n"] += gone["n"]
-            self.into[gone["id"]] = home["id"]
+        if not len(near):
+            return
+        gone = int(near[0])
+        self.sums[at] += self.sums[gone]
+        self.counts[at] += self.counts[gone]
+        self.into[self.ids[gone]] = self.ids[at]
+        for own in (self.ids, self.hashes, self.palettes):
+            del own[gone]
+        self.sums, self.counts = np.delete(self.sums, gone, axis=0), np.delete(self.counts, gone)
+        self._known = None
 
     def resolve(self, cluster: int) -> int:
         while cluster in self.into:
@@ -108,9 +128,14 @@ class Machine:
         return cluster
 
 
+def hash_as_text(features: DataFrame) -> DataFrame:
+    """Hashes as text: pandas would turn longs with nulls into doubles."""
+    return features.withColumn("phash_bits", F.col("phash_bits").cast("string"))
+
+
 def rows_of(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, int | None, list]]:
     for v, h, p in zip(pdf[list(DIMENSIONS)].to_numpy(float), pdf["phash_bits"], pdf["dominant_colors"]):
-        yield v, None if pd.isna(h) else int(h), [] if p is None else [list(map(float, c)) for c in p]
+        yield v, None if h is None else int(h), [] if p is None else [list(map(float, c)) for c in p]
 
 
 def sequenced(features: DataFrame, key: str, order: list[str], champions: bool) -> DataFrame:
@@ -141,7 +166,7 @@ def leader(features: DataFrame, config: GroupConfig, key: str) -> DataFrame:
 
     kind = features.schema[key].dataType.simpleString()
     rows = features.select(key, "id", "seq", *DIMENSIONS, "phash_bits", "dominant_colors")
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, id long, seq long, cluster long")
+    return hash_as_text(rows).groupBy(key).applyInPandas(run, f"{key} {kind}, id long, seq long, cluster long")
 
 
 def naive(features: DataFrame, config: GroupConfig, key: str, order: list[str]) -> DataFrame:

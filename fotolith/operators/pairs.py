@@ -27,7 +27,8 @@ BLOCK = 1024
 def blocks(features: DataFrame, extra: list[str]) -> DataFrame:
     """``block, rows``: features (with z-scores) in blocks of about ``BLOCK`` rows."""
     n = max(1, -(-features.count() // BLOCK))
-    row = F.struct("id", *extra, F.array(*DIMENSIONS).alias("v"), "phash_bits", "dominant_colors")
+    # As text: pandas would turn longs with nulls into doubles.
+    row = F.struct("id", *extra, F.array(*DIMENSIONS).alias("v"), F.col("phash_bits").cast("string").alias("phash_bits"), "dominant_colors")
     dealt = features.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), row.alias("row"))
     return stored(dealt.groupBy("block").agg(F.collect_list("row").alias("rows")), "blocks")
 
@@ -36,7 +37,7 @@ def unpack(rows: list) -> tuple[np.ndarray, Features]:
     ids = np.array([r["id"] for r in rows], np.int64)
     palettes = [None if r["dominant_colors"] is None else [list(c) for c in r["dominant_colors"]] for r in rows]
     vectors = np.array([list(r["v"]) for r in rows], float).reshape(len(rows), len(DIMENSIONS))
-    return ids, Features(vectors, [None if pd.isna(r["phash_bits"]) else int(r["phash_bits"]) for r in rows], palettes)
+    return ids, Features(vectors, [None if r["phash_bits"] is None else int(r["phash_bits"]) for r in rows], palettes)
 
 
 def over_pairs(features: DataFrame, extra: list[str], reduce: Callable[[list, list, bool], pd.DataFrame], schema: str) -> DataFrame:

@@ -62,7 +62,7 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.format("image").option("dropInvalid", "false").load(folder)
     ok = F.col("image.width") > 0
     return rows.select(
-        F.col("image.origin").alias("path"), F.when(ok, F.col("image.height")).alias("height"), F.when(ok, F.col("image.width")).alias("width"),
+        F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.when(ok, F.col("image.height")).alias("height"), F.when(ok, F.col("image.width")).alias("width"),
         F.when(ok, F.col("image.nChannels")).alias("channels"), F.when(ok, F.col("image.data")).alias("data"),
     )
 

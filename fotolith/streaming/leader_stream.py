@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fotolith.operators.leader import dumps, loads, rows_of
+from fotolith.operators.leader import dumps, hash_as_text, loads, rows_of
 from fotolith.schema import GroupConfig
 from fotolith.session import send_package
 
@@ -36,7 +36,7 @@ def leader_events(features: DataFrame, config: GroupConfig) -> DataFrame:
         out = pd.DataFrame(joins + merges, columns=["folder", "id", "seq", "cluster", "merged_into"])
         yield out.astype({"id": "Int64", "seq": "Int64", "cluster": "Int64", "merged_into": "Int64"})
 
-    return features.groupBy("folder").applyInPandasWithState(run, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
+    return hash_as_text(features).groupBy("folder").applyInPandasWithState(run, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(spark: SparkSession, folder: str, schema, config: GroupConfig, out: str, checkpoint: str, files_per_batch: int = 1) -> None:
