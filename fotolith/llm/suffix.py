@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolith.llm.common import Scratch, partitions, prepare
+from fotolith.llm.common import Scratch, partitions, prepare, tidied
 
 WIDTH = 50
 #: Bytes of a triple: three symbols of eight bytes.
@@ -63,10 +63,13 @@ BLOCK_BYTES = 2 << 20
 #: Starts that are worked on at a time.
 STEP = 1 << 18
 #: Buckets of names for each shuffle partition.
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 1
 #: Bytes of a name's two parts in a message.
 FIRST, SECOND = 5, 4
 
+#: Carried columns keep nulls and microseconds.
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -259,7 +262,11 @@ _BLOCKS = "block long, ids binary, lengths binary, data binary, carried binary"
 _BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary()), ("carried", pa.binary())])
 _MESSAGES = "block long, bucket long, names binary, covered binary, left binary"
 _MESSAGES_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary()), ("covered", pa.binary()), ("left", pa.binary())])
-_OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("carried", pa.string())])
+def _out_arrow(as_text: bool) -> pa.Schema:
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    return pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("spans", spans), ("carried", pa.string())])
+
+
 _OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>, carried string"
 
 
@@ -292,7 +299,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text", "carried").mapInArrow(run, _BLOCKS)
+    return docs.select("doc_id", "text", "carried").mapInArrow(tidied(run), _BLOCKS)
 
 
 def _block(ids: bytes, lengths: bytes, data: bytes) -> Block:
@@ -310,15 +317,17 @@ def _merge(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.column_stack([first[at], reach[np.concatenate([at[1:] - 1, [len(reach) - 1]])]])
 
 
-def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, kept, spans`` and the columns of ``carry`` for every document of ``docs(doc_id, text)``.
 
     ``kept``: the remaining bytes; ``spans``: the removed byte ranges, in order.
+    With ``as_text`` the kept bytes are a string, without the halves of
+    characters that a range cuts in two.
     """
     spark = prepare(docs.sparkSession)
     carry = carry or []
     shape = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)])
-    packed = F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))), {"ignoreNullFields": "false"}) if carry else F.lit(None).cast("string")
+    packed = F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))), JSON_OPTIONS) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), packed.alias("carried"))
     parts = partitions(spark)
     buckets = BUCKETS_A_PARTITION * parts
@@ -336,7 +345,7 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None) ->
                 yield _batch([(number, b, x, None, None) for b, x in names.messages()], _MESSAGES_ARROW)
 
     text = ["ids", "lengths", "data"]
-    sent = blocks.select("block", *text).mapInArrow(send_runs, _MESSAGES)
+    sent = blocks.select("block", *text).mapInArrow(tidied(send_runs), _MESSAGES)
     first_answers = scratch.write(answers(sent.select("block", "bucket", "names")), "runs")
 
     def send_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +362,7 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None) ->
                 yield _batch([(number, None, None, covered.tobytes(), runs.tobytes()), *((number, b, x, None, None) for b, x in more.messages())], _MESSAGES_ARROW)
 
     met = blocks.select("block", *text).join(first_answers, "block", "left").select("block", *text, "found")
-    second = scratch.write(met.mapInArrow(send_starts, _MESSAGES), "starts", "lz4")
+    second = scratch.write(met.mapInArrow(tidied(send_starts), _MESSAGES), "starts", "lz4")
     second_answers = scratch.write(answers(second.where("bucket is not null").select("block", "bucket", "names")), "prefixes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,34 +376,19 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None) ->
                 gone = starts[read_bits(names, found, "earlier")[names.place] | (rank > names.least[names.place])]
                 both = _merge(np.concatenate([intervals[:, 0], gone]), np.concatenate([intervals[:, 1], gone + WIDTH]))
                 extra = json.loads(zstandard.ZstdDecompressor().decompress(carried))
-                yield from remove(block, both, extra)
+                yield from remove(block, both, extra, as_text)
 
     state = second.where("bucket is null").select("block", "covered", "left")
-    done = blocks.join(state, "block").join(second_answers, "block", "left").select(*text, "carried", "covered", "left", "found").mapInArrow(cut, _OUT)
-    alone = rows.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("kept"), "carried")
+    done = blocks.join(state, "block").join(second_answers, "block", "left").select(*text, "carried", "covered", "left", "found").mapInArrow(tidied(cut), _OUT.replace("kept binary", "kept string") if as_text else _OUT)
+    alone = rows.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).cast("string" if as_text else "binary").alias("kept"), "carried")
     alone = alone.select("doc_id", F.octet_length("kept").cast("long").alias("n_bytes"), "kept", F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "carried")
     out = done.unionByName(alone)
     if not carry:
         return out.drop("carried")
-    return out.withColumn("carried", F.from_json("carried", shape)).select("doc_id", "n_bytes", "kept", "spans", *(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)))
-
-
-def as_text(made: DataFrame) -> DataFrame:
-    """The output of ``dedup`` with ``text`` in place of the kept bytes; halves of cut characters go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [x.decode("utf-8", "ignore") for x in batch.column(at).to_pylist()]
-            columns = [pa.array(text, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=["text" if n == "kept" else n for n in batch.schema.names])
-
-    made = made.drop("spans", "n_bytes")
-    at = made.columns.index("kept")
-    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "kept" else f for f in made.schema.fields])
-    return made.mapInArrow(run, schema)
+    return out.withColumn("carried", F.from_json("carried", shape, JSON_OPTIONS)).select("doc_id", "n_bytes", "kept", "spans", *(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)))
 
 
-def remove(block: Block, gone: np.ndarray, extra: list) -> Iterator[pa.RecordBatch]:
+def remove(block: Block, gone: np.ndarray, extra: list, as_text: bool) -> Iterator[pa.RecordBatch]:
     """The documents of a block without the byte ranges ``gone``, some at a time."""
     # A covered string lies in one document, but ranges of neighbours may touch: cut them at document ends.
     starts = block.ends - block.lengths
@@ -408,10 +402,11 @@ def remove(block: Block, gone: np.ndarray, extra: list) -> Iterator[pa.RecordBat
             kept.append(block.data[at:x])
             at = y
         kept.append(block.data[at:b])
-        rows.append((int(block.ids[i]), b - a, b"".join(kept), [{"start": x - a, "stop": y - a} for x, y in spans], extra[i]))
+        whole = b"".join(kept)
+        rows.append((int(block.ids[i]), b - a, whole.decode("utf-8", "ignore") if as_text else whole, [{"start": x - a, "stop": y - a} for x, y in spans], extra[i]))
         size += b - a
         if size >= BLOCK_BYTES:
-            yield _batch(rows, _OUT_ARROW)
+            yield _batch(rows, _out_arrow(as_text))
             rows, size = [], 0
     if rows:
-        yield _batch(rows, _OUT_ARROW)
+        yield _batch(rows, _out_arrow(as_text))
