@@ -112,6 +112,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op8_suffix_array": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+grams AS (SELECT doc_id, unnest(range(0, greatest(strlen(h) // 2 - 49, 0))) AS p,
+  unnest(list_transform(range(0, greatest(strlen(h) // 2 - 49, 0)), lambda i: md5(substr(h, (2 * i + 1)::INT, 100)))) AS g FROM d),
+marked AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS least FROM grams),
+hits AS (SELECT doc_id, p, lag(p) OVER w AS before, lead(p) OVER w AS after FROM marked WHERE least < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, p, least(50, coalesce(after - p, 50)) AS n, sum((before IS NULL OR p > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b, sum(n) AS n FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, run, a, b, n, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS from_byte FROM spans),
+heads AS (SELECT doc_id, count(*) AS n_spans, sum(n) AS n_removed, max(b) AS last, list({'r': run, 'a': from_byte, 'b': a}) AS parts FROM cuts GROUP BY doc_id)
+SELECT d.doc_id, (strlen(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(array_to_string(list_transform(list_sort(parts), lambda x: substr(h, (2 * x.a + 1)::INT, (2 * (x.b - x.a))::INT)), ''), '')
+    || substr(h, (2 * coalesce(last, 0) + 1)::INT))) AS kept_sha256
+FROM d LEFT JOIN heads USING (doc_id)""",
     "op1_chat": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
