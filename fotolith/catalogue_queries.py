@@ -30,7 +30,7 @@ _FILES = f"""files AS (
   SELECT doc_id AS file_id, source AS folder, 'IMG_' || doc_id || '.' || {_EXT} AS name, source || '/IMG_' || doc_id || '.' || {_EXT} AS path,
     n_chars AS size, 1700000000 + doc_id * 7919 % 100000 AS modified, md5(text) AS phash,
     lower({_EXT}) IN ('jpg','jpeg','png','webp','gif','bmp','tiff','tif','avif') AS supported FROM documents)"""
-_IMAGES = "images AS (SELECT p_partkey AS id, 'part_' || p_partkey || '.jpg' AS path, p_size::BIGINT AS size FROM part WHERE p_partkey % 10 <> 0)"
+_IMAGES = "images AS (SELECT p_partkey AS id, 'part_' || p_partkey || '.jpg' AS path, p_size::BIGINT AS size FROM part WHERE p_size <= 45)"
 _MEMBERS = "members AS (SELECT DISTINCT l_orderkey AS collection_id, 'part_' || l_partkey || '.jpg' AS path FROM lineitem)"
 _FEATS = """raw AS (
   SELECT e.vec_id AS id, e.label, epoch(v.ts)::DOUBLE AS time, 50 + 100 * e.embedding[1]::DOUBLE AS l, 100 * e.embedding[2]::DOUBLE AS a,
@@ -178,10 +178,10 @@ def neighbour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.neighbours(adapters.files(spark, sf_dir))
 
 
-@query(f"WITH {_FILES} SELECT path FROM files WHERE supported AND file_id % 3 <> 0 UNION SELECT path FROM files WHERE NOT supported AND file_id % 3 = 0")
+@query(f"WITH {_FILES} SELECT path FROM files WHERE supported AND folder NOT IN ('src0', 'src1') UNION SELECT path FROM files WHERE NOT supported AND folder IN ('src0', 'src1')")
 def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = adapters.files(spark, sf_dir)
-    return catalog.toggle(files.where(names.is_supported(F.col("name"))).select("path"), files.where("file_id % 3 = 0").select("path"))
+    return catalog.toggle(files.where(names.is_supported(F.col("name"))).select("path"), files.where("folder in ('src0', 'src1')").select("path"))
 
 
 # Names
@@ -257,6 +257,17 @@ def favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.favorites(events.select(text.alias("text")))
 
 
+@query(f"""WITH {_FILES}, rows AS (
+  SELECT folder, name, false AS is_dir, 0 AS ord FROM files WHERE supported UNION ALL SELECT DISTINCT folder, '..', true, -1 FROM files),
+l AS (SELECT folder, name, row_number() OVER (PARTITION BY folder ORDER BY ord, is_dir DESC, lower(name), name) AS pos FROM rows)
+SELECT folder, name FROM l WHERE pos BETWEEN 1 AND 12 AND name <> '..'""")
+def selection_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows between two clicked places of every folder's listing."""
+    files = adapters.files(spark, sf_dir)
+    none = files.select("folder", "name").limit(0)
+    return catalog.select_range(catalog.listing(files, none), 12, 1)
+
+
 # Plans
 
 

@@ -18,7 +18,7 @@ from fotolith.operators import catalog, dbscan, features, leader, silhouette, st
 from fotolith.plans import moves
 from fotolith.schema import BENCHMARK, DIMENSIONS, GroupConfig
 from fotolith.session import positions
-from fotolith.sources import adapters, config, listing
+from fotolith.sources import adapters, config, listing, store
 from fotolith.streaming import leader_stream
 
 FEATURE = "id long, label int, path string, time double, l double, a double, b double, aspect_ratio double, phash_bits long, dominant_colors array<array<double>>"
@@ -387,3 +387,16 @@ def test_reports(spark, tmp_path):
 def test_adapters(spark, sf):
     assert adapters.image_features(spark, sf).select(*DIMENSIONS).where("time is null").count() == 0
     assert adapters.files(spark, sf).count() == 200
+
+
+def test_catalogue_tables(spark):
+    store.create(spark, "photos")
+    store.create(spark, "photos")
+    spark.createDataFrame([(1, "a.jpg", 5, 0, "{}", None), (2, "b.jpg", 5, 0, "{}", "h")], store.TABLES["images"]).write.insertInto("photos.images")
+    collections = spark.createDataFrame([(7, "trip", -5)], store.TABLES["virtual_collections"])
+    with pytest.raises(ValueError):
+        store.store_collections(spark, "photos", collections, spark.createDataFrame([(7, "a.jpg"), (7, "z.jpg")], "collection_id long, path string"))
+    assert spark.table("photos.collection_members").count() == 0
+    store.store_collections(spark, "photos", collections, spark.createDataFrame([(7, "a.jpg"), (7, "b.jpg")], "collection_id long, path string"))
+    assert sorted(tuple(r) for r in spark.table("photos.collection_members").collect()) == [(7, 1), (7, 2)]
+    assert spark.table("photos.virtual_collections").first()["created_at"] == 0
