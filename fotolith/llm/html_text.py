@@ -44,9 +44,9 @@ DROPPED = frozenset(
     "option datalist textarea input label menu dialog title noembed noframes".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-#: Words of a class or id that mark boilerplate.
+#: Words of a class or id that mark boilerplate; after "with", "has" or "no" they describe what stands around the text.
 DROPPED_WORDS = re.compile(
-    r"(?<![a-z])(?:ads?|adv(?:ert\w*)?|adsense|adslot|banner|sponsor\w*|promo\w*|sidebar|side-?bar|rail|menu|nav(?:bar|igation)?|"
+    r"(?<![a-z])(?<!with-)(?<!has-)(?<!no-)(?:ads?|adv(?:ert\w*)?|adsense|adslot|banner|sponsor\w*|promo\w*|sidebar|side-?bar|rail|menu|nav(?:bar|igation)?|"
     r"breadcrumbs?|masthead|header|site-?header|page-?header|footer|site-?footer|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|comments?|comment-\w+|disqus|respond|repl(?:y|ies)|"
     r"related|recommend\w*|recirc\w*|widget|toolbar|paginat\w*|pager|tag-?cloud|skip(?:-link)?|copyright|disclaimer)(?![a-z])"

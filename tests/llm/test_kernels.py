@@ -200,6 +200,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
     [
         "<article><h2>Head &amp; line</h2><p><b>First, para\n of  text<br><p>Second&nbsp;para, too.</article>",
         "<div><h2>Head &amp; line</h2><p>First, para of text</p><p>Second para, too.</p></div>",
+        '<div class="page with-sidebar"><div class="no-ads"><h2>Head &amp; line</h2><p>First, para of text</p><p>Second para, too.</p><div class="sidebar"><p>Side, bar</p></div></div></div>',
         "<main><section><h2>Head &amp; line</h2></section><div><p>First, para of text<p>Second para, too.</div><aside>Side</aside></main>",
     ],
 )
