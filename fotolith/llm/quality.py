@@ -32,15 +32,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fotolith.llm.bpe import CACHE_ENTRIES, chunks, pieces
-from fotolith.llm.common import prepare
+from fotolith.llm.bpe import chunks, pieces
+from fotolith.llm.common import prepare, tidied
 
 #: Numbers of words and shapes, dimensions of the vectors, non-zero entries of an index vector.
 WORDS, SHAPES, DIMS, NONZERO = 3968, 128, 48, 8
 VOCAB = WORDS + SHAPES
 #: Features of a document: its vector, length, variety, repetition.
 WIDTH = DIMS + 3
+#: Pieces whose numbers a worker remembers.
+CACHE_ENTRIES = 100_000
 #: Neighbours on either side that count as context.
 CONTEXT = 2
 #: Bound of the sample that the model is fitted on.
@@ -215,15 +218,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(*sample(docs, labels))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score``, the probability of a good label."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out``, the probability of a good label; a column of that name is replaced."""
     spark = prepare(docs.sparkSession)
+    docs = docs.drop(out)
     at = docs.columns.index(text_col)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.scores([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, score double")
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolith.llm.common import prepare
+from fotolith.llm.common import fresh, prepare, tidied
 
 SYMBOLS = "#*$%&|<>"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -136,13 +136,14 @@ def judge(texts: list[str]) -> list[tuple]:
     return rows
 
 
-def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Judge every text: all columns of ``docs``, then one struct ``rules`` (see ``SCHEMA``).
+def evaluate(docs: DataFrame, text_col: str = "text", out: str = "rules") -> DataFrame:
+    """Judge every text: all columns of ``docs``, then the struct ``out`` (see ``SCHEMA``).
 
-    One pass over the rows and no shuffle. A clash with a column named
-    ``rules`` is an error of the caller.
+    One pass over the rows and no shuffle. A column of ``docs`` that has the
+    name ``out`` is replaced.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop(out)
     at = docs.columns.index(text_col)
     names = SCHEMA.replace(",", "").split()[::2]
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3 + [pa.string()]
@@ -151,13 +152,14 @@ def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             rows = judge([t or "" for t in batch.column(at).to_pylist()])
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(cols, names=names)], names=[*batch.schema.names, "rules"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(cols, names=names)], names=[*batch.schema.names, out])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("rules", T.StructType.fromDDL(SCHEMA))])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType.fromDDL(SCHEMA))])
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The kept documents with their failing lines removed; same columns as ``docs``."""
-    judged = evaluate(docs, text_col).where("rules.kept")
-    return judged.withColumn(text_col, F.col("rules.clean_text")).select(docs.columns)
+    out = fresh(docs, "rules")
+    judged = evaluate(docs, text_col, out).where(F.col(f"{out}.kept"))
+    return judged.withColumn(text_col, F.col(f"{out}.clean_text")).select(docs.columns)

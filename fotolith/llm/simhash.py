@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolith.llm.common import Scratch, prepare
+from fotolith.llm.common import Scratch, prepare, tidied
 from fotolith.llm.components import components
 
 #: The generator polynomial of the binary Golay code.
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"{id_col} {kind}, fp long")
 
 
 # Golay keys
@@ -161,7 +161,7 @@ def golay_keys(nodes: DataFrame) -> DataFrame:
             row, key = keys_of(fp)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(rep[row])], names=["key", "fp", "rep"])
 
-    return nodes.select("fp", "rep").mapInArrow(run, "key long, fp long, rep long")
+    return nodes.select("fp", "rep").mapInArrow(tidied(run), "key long, fp long, rep long")
 
 
 def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
