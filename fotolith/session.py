@@ -15,15 +15,18 @@ _sent: set[str] = set()
 
 
 def send_package(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, for operators that run Python there."""
+    """Give the executors this package, for operators that run Python there.
+
+    It travels once for each application, as a zip through ``addPyFile``, which
+    works alike on one machine and on a cluster whose nodes share no code folder.
+    """
     app = spark.sparkContext.applicationId
     if app not in _sent:
         root = Path(__file__).resolve().parent
-        target = os.path.join(tempfile.mkdtemp(), "fotolith_engine.zip")
+        target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted(root.rglob("*.py")):
-                if "llm" not in p.relative_to(root).parts:
-                    z.write(p, p.relative_to(root.parent))
+                z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(target)
         _sent.add(app)
     return spark
