@@ -9,40 +9,26 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from fotolith.session import send_package
+
 #: Rows of one Arrow batch; texts may be long, so batches stay small.
 BATCH_ROWS = 512
 #: Bytes of one Arrow batch.
 BATCH_BYTES = 16 << 20
 
-_shipped: set[str] = set()
 _to_delete: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and give the executors this package.
-
-    The package travels as a zip through ``addPyFile``, which works alike on one
-    machine and on a cluster whose nodes share no code folder.
-    """
+    """Bound Arrow batches and give the executors this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(target)
-        _shipped.add(app)
-    return spark
+    return send_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
