@@ -337,6 +337,7 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     make_blocks(ordered).write.option("path", f"{scratch.root}/blocks").option("compression", "uncompressed").bucketBy(parts, "block").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the frame is resolved; the files are the scratch folder's
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
