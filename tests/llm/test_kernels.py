@@ -293,6 +293,6 @@ def test_sketches_of_near_copies_are_near():
     other = words[:150] + ["new"] + words[151:]
     sets = [np.unique(np.array(simhash.shingle_hashes(" ".join(w).encode(), 5), np.uint64)) for w in (words, other, [f"z{i}" for i in range(300)])]
     bits = [neardup.sketch(s) for s in sets]
-    apart = lambda a, b: int(np.bitwise_count(a ^ b).sum())
+    apart = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
     assert apart(bits[0], bits[1]) < neardup.NEAR_BITS < apart(bits[0], bits[2])
     assert os.path.exists(FILE)
