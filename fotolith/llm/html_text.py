@@ -4,15 +4,17 @@ A page becomes a light element tree without boilerplate elements (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles).
 Every paragraph-like block passes points for its length and its commas to its
 ancestors, whole to the parent, half to the next, a third to the one after;
-a container's sum is discounted by its link density. The best container is kept
-whole, widened to an enclosing ``article`` or ``main``, or else joined by
-siblings that score well enough or are headings or plain prose.
+a container's sum is discounted by its link density. The best container gives way to
+its parent as long as the parent keeps ``PARENT_SHARE`` of the best score (an
+article in sections, a story in several articles). What is kept is that container
+and those of its siblings that score well enough or are headings or plain prose.
 
 Text is decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by one newline. Null, empty and text-less
 pages give the empty string. Broken markup never raises: an unclosed comment,
 tag or raw-text element runs to the end, a stray end tag is ignored. Very deep
-trees are walked without recursion. Repeated rows give repeated results; extra
+trees are walked without recursion. Character references of any length are
+decoded; numbers beyond Unicode give U+FFFD. Repeated rows give repeated results; extra
 columns are not read.
 """
 
@@ -54,11 +56,11 @@ DROPPED_WORDS = re.compile(
 KEEP_ANYWAY = frozenset("html body main article".split())
 
 PARAGRAPH = frozenset("p pre td blockquote li dd div section article main body figcaption".split())
-BONUS = {"article": 30.0, "main": 20.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0}
+BONUS = {"article": 5.0, "main": 3.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0}
 #: Points of a paragraph: one, one for each comma, one for each so many characters up to a limit.
 CHARS_A_POINT, MOST_LENGTH_POINTS = 100, 3.0
-#: A sibling stays if it has this share of the best score.
-SIBLING_SHARE = 0.2
+#: A parent takes a container's place, a sibling stays beside it, at this share of the best score; least score of such a sibling.
+PARENT_SHARE, SIBLING_SHARE, LEAST_SIBLING = 0.75, 0.2, 5.0
 MAX_LINK_DENSITY = 0.25
 
 TOKEN = re.compile(
@@ -71,13 +73,25 @@ ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))
 WATCHED = ("class", "id", "role", "hidden", "style", "aria-hidden")
 
 
+LONG_NUMBER = re.compile(r"&#(?:0*([1-9][0-9]{7,})|[xX]0*([1-9a-fA-F][0-9a-fA-F]{6,})|0+([0-9]{1,7}(?![0-9]))|[xX]0+([0-9a-fA-F]{1,6}(?![0-9a-fA-F])));?")
+
+
+def decoded(text: str) -> str:
+    """The text without character references."""
+    if "&" not in text:
+        return text
+    # Numbers of any length: those beyond Unicode are one sign, zeros before a number say nothing.
+    short = lambda m: "\ufffd" if m[1] or m[2] else f"&#{m[3]};" if m[3] else f"&#x{m[4]};"
+    return html.unescape(LONG_NUMBER.sub(short, text) if "&#" in text else text)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "text", "links", "commas", "score")
+    __slots__ = ("tag", "parent", "children", "text", "links", "heads", "commas", "score")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.text = self.links = self.commas = 0
+        self.text = self.links = self.heads = self.commas = 0
         self.score = 0.0
 
 
@@ -114,7 +128,7 @@ def parse(page: str) -> Node:
         here = stack[-1][1]
         stop = m.start() if m else n
         if stop > at and here is not None:
-            here.children.append(html.unescape(page[at:stop]))
+            here.children.append(decoded(page[at:stop]))
         if not m:
             break
         at = m.end()
@@ -179,7 +193,7 @@ def order(root: Node) -> list[Node]:
 
 
 def score(nodes: list[Node]) -> None:
-    """Fill text length, link length, commas and score of all nodes."""
+    """Fill length of text, links and headings, commas and score of all nodes."""
     for node in reversed(nodes):
         own = own_commas = 0
         for c in node.children:
@@ -190,11 +204,15 @@ def score(nodes: list[Node]) -> None:
             elif c.tag not in BLOCK:
                 own += c.text
                 own_commas += c.commas
-            node.links += 0 if isinstance(c, str) else c.links
+            if not isinstance(c, str):
+                node.links += c.links
+                node.heads += c.heads
         inner = sum(c.text for c in node.children if isinstance(c, Node) and c.tag in BLOCK)
         node.text, node.commas = own + inner, own_commas
         if node.tag == "a":
             node.links = node.text
+        if node.tag in HEADINGS:
+            node.heads = node.text
         if node.tag in PARAGRAPH and own:
             points = 1 + own_commas + min(own / CHARS_A_POINT, MOST_LENGTH_POINTS)
             up, share = node.parent, 1
@@ -235,23 +253,21 @@ def blocks(roots: list[Node]) -> list[str]:
 
 
 def keep(nodes: list[Node]) -> list[Node]:
-    """The best container, or it and the siblings that belong to it."""
+    """The best container and the siblings that belong to it, in page order."""
     holders = [x for x in nodes if x.tag in BLOCK and x.tag != "p" and x.tag not in HEADINGS and x.text]
     if not holders:
         return nodes[:1]
     best = max(holders, key=lambda x: x.score)
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None:
-        return [up]
+    most = best.score
+    while best.parent is not None and best.parent.score >= PARENT_SHARE * most > 0:
+        best = best.parent
     if best.parent is None:
         return [best]
 
     def belongs(x: Node) -> bool:
-        if x is best or x.tag in HEADINGS:
+        if x is best or 0 < x.heads == x.text:
             return True
-        if x.score >= max(5.0, SIBLING_SHARE * best.score):
+        if x.score >= max(LEAST_SIBLING, SIBLING_SHARE * most):
             return True
         return x.tag in ("p", "pre", "blockquote") and x.text > 0 and x.links / x.text <= MAX_LINK_DENSITY
 
