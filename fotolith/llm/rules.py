@@ -2,7 +2,13 @@
 
 Every line is judged alone by punctuation, navigation and boilerplate rules;
 failing lines are removed; a document that loses too much of its text, or that
-fails the whole-text base rules, is rejected.
+fails the whole-text base rules, is rejected. The rules look at a line's shape,
+not at words of a language:
+
+- punctuation: too many symbols, ``!!`` after most words, capitals only, a stray line of one or two words or a
+  run of ``RUN_ON`` words or more without the end of a sentence;
+- navigation: items between bars, or labels (nearly every word capitalised) without an end;
+- boilerplate: a repeated line, legal signs on a short line, mostly addresses, or one word over half of the line.
 
 Base measures (words are ``[^\\x20\\x09-\\x0D]+``):
 
@@ -18,6 +24,7 @@ read, except that ``clean`` passes all of them on.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +44,19 @@ MAX_REPEAT_PERCENT = 30
 MIN_KEPT_PERCENT = 50
 #: Per word of a line.
 MAX_LINE_SYMBOLS, MAX_LINE_BARS, MAX_LINE_BANGS = 0.3, 0.25, 0.5
-#: Lower-case phrases of a line that is no prose of its page.
-BOILERPLATE = (
-    "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of service",
-    "terms of use", "enable javascript", "javascript is disabled", "click here to", "subscribe to our newsletter",
-    "sign up for our newsletter", "lorem ipsum", "skip to content", "back to top", "share this article",
-)
+#: Signs between the items of a menu, signs of legal lines, ends of sentences, marks of addresses.
+BARS, LEGAL, ENDS, ADDRESS = "|›»·•", "©®™", ".!?…。！？", ("://", "www.", "@")
+#: Words from which on a line of capitals, of labels, of one word, or without an end of a sentence fails; words of a short line.
+CAPITALS, LABELS, STUFFED, RUN_ON, SHORT = 4, 4, 8, 30, 40
+MIN_LABEL_SHARE, MAX_WORD_SHARE, MAX_ADDRESS_SHARE = 0.8, 0.5, 0.5
+#: What a line fails by.
+PUNCTUATION, NAVIGATION, BOILERPLATE = 1, 2, 3
 TERMINAL = tuple(".!?\"'”’»:;)]…。！？")
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, n_lines long, n_lines_removed long, words_kept long, clean_text string"
+    "kept boolean, n_lines long, n_lines_removed long, words_kept long, clean_text string, "
+    "n_punctuation long, n_navigation long, n_boilerplate long"
 )
 
 
@@ -86,21 +95,28 @@ def repeat_words(words: list[list[bytes]]) -> np.ndarray:
     return np.bincount(doc, weights=np.cumsum(hit[:total]) > 0, minlength=len(words)).astype(np.int64)
 
 
-def line_fails(line: str, n_words: int) -> bool:
-    """True if one line is no prose: by symbols, navigation bars, shouting, boilerplate or a stray end."""
-    bars = line.count("|") + line.count("›") + line.count("»")
+def line_fault(line: str, n_words: int) -> int:
+    """The rule that one line fails, or 0; ``n_words``: its number of words, one at least."""
+    bars = sum(map(line.count, BARS))
     if bars >= 3 and bars >= MAX_LINE_BARS * n_words:
-        return True
-    if sum(map(line.count, SYMBOLS)) > MAX_LINE_SYMBOLS * n_words + 2:
-        return True
-    if line.count("!!") > MAX_LINE_BANGS * n_words:
-        return True
-    if n_words < 3 and not line.rstrip(ASCII_SPACE).endswith(TERMINAL):
-        return True
-    if n_words < 40:
-        low = line.lower()
-        return any(p in low for p in BOILERPLATE)
-    return False
+        return NAVIGATION
+    if sum(map(line.count, SYMBOLS)) > MAX_LINE_SYMBOLS * n_words + 2 or line.count("!!") > MAX_LINE_BANGS * n_words:
+        return PUNCTUATION
+    ended = line.rstrip(ASCII_SPACE).endswith(TERMINAL)
+    if n_words < 3 and not ended or n_words >= RUN_ON and not any(c in line for c in ENDS):
+        return PUNCTUATION
+    if n_words >= CAPITALS and line.isupper():
+        return PUNCTUATION
+    if n_words < SHORT and any(c in line for c in LEGAL):
+        return BOILERPLATE
+    words = line.split()
+    if n_words >= LABELS and not ended and sum(w[0].isupper() for w in words) >= MIN_LABEL_SHARE * len(words):
+        return NAVIGATION
+    if any(c in line for c in ADDRESS) and sum(any(c in w for c in ADDRESS) for w in words) > MAX_ADDRESS_SHARE * len(words):
+        return BOILERPLATE
+    if n_words >= STUFFED and 2 * len(set(words)) <= len(words) and max(Counter(words).values()) > MAX_WORD_SHARE * len(words):
+        return BOILERPLATE
+    return 0
 
 
 def judge(texts: list[str]) -> list[tuple]:
@@ -112,7 +128,8 @@ def judge(texts: list[str]) -> list[tuple]:
         n = len(own)
         lines = text.split("\n")
         seen: set[str] = set()
-        dups = removed = lost = 0
+        dups = lost = 0
+        faults = [0, 0, 0, 0]
         stay = []
         for line in lines:
             k = len(line.encode("utf-8", "surrogatepass").split())
@@ -122,8 +139,8 @@ def judge(texts: list[str]) -> list[tuple]:
             dup = line in seen
             seen.add(line)
             dups += dup
-            if dup or line_fails(line, k):
-                removed += 1
+            if fault := BOILERPLATE if dup else line_fault(line, k):
+                faults[fault] += 1
                 lost += k
             else:
                 stay.append(line)
@@ -131,7 +148,7 @@ def judge(texts: list[str]) -> list[tuple]:
         kept = not failed and 100 * (n - lost) >= MIN_KEPT_PERCENT * n
         rows.append((
             n, len(text) - sum(map(text.count, ASCII_SPACE)), sum(map(text.count, SYMBOLS)), dups, repeat, failed,
-            kept, len(lines), removed, n - lost, "\n".join(stay) if removed else text,
+            kept, len(lines), sum(faults), n - lost, "\n".join(stay) if any(faults) else text, *faults[1:],
         ))
     return rows
 
@@ -146,7 +163,7 @@ def evaluate(docs: DataFrame, text_col: str = "text", out: str = "rules") -> Dat
     docs = docs.drop(out)
     at = docs.columns.index(text_col)
     names = SCHEMA.replace(",", "").split()[::2]
-    types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3 + [pa.string()]
+    types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
