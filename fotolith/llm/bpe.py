@@ -124,54 +124,6 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [whole[a:b] for a, b in zip(at, at[1:] + [len(whole)])], counts
 
 
-@cache
-def hash_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Random numbers for code points, and odd ones for places in a piece."""
-    rng = np.random.default_rng(11)
-    top = np.iinfo(np.uint64).max
-    return rng.integers(0, top, sys.maxunicode + 1, np.uint64), rng.integers(0, top, 4096, np.uint64) | np.uint64(1)
-
-
-def different(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The different pieces of the texts, the number of each piece in order, and the pieces of each text.
-
-    A piece is known by a 64-bit hash of its code points and their places, so
-    that only different pieces become strings.
-    """
-    whole = "".join(texts)
-    if not whole:
-        return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    cuts = boundaries(points, starts[lengths > 0])
-    sizes = np.diff(cuts, append=len(points))
-    by_point, by_place = hash_tables()
-    place = np.arange(len(points)) - np.repeat(cuts, sizes)
-    if int(sizes.max()) > len(by_place):
-        turn = (place // len(by_place)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)
-        factor = by_place[place % len(by_place)] + turn
-    else:
-        factor = by_place[place]
-    names = np.add.reduceat(by_point[points] * factor, cuts)
-    _, at, number = np.unique(names, return_index=True, return_inverse=True)
-    found = [whole[a : a + k] for a, k in zip(cuts[at].tolist(), sizes[at].tolist())]
-    return found, number, np.searchsorted(cuts, ends) - np.searchsorted(cuts, starts)
-
-
-def gather(found: list[bytes], number: np.ndarray, counts: np.ndarray, kind: np.dtype) -> list[bytes]:
-    """Per text the ids of its pieces, from the ids of each different piece."""
-    flat = np.frombuffer(b"".join(found), kind)
-    size = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
-    offset = np.cumsum(size) - size
-    own = size[number]
-    ends = np.cumsum(own)
-    ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(offset[number] - ends + own, own)]
-    last = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
-    return [ids[a:b].tobytes() for a, b in zip([0, *last[:-1]], last)]
-
-
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """The texts in runs of about ``CHUNK_CHARS`` code points; a longer text is a run of its own."""
     held, size = [], 0

@@ -1,18 +1,22 @@
 """Lexical retrieval packing of documents into fixed windows.
 
 Texts become token ids by a ``tokenizers`` file, with a separator id at the end
-of each document. The corpus is dealt into shards (bounded blocks of the rows of
-a partition). Each shard has an inverted index, term = token id, scored by BM25
-with document frequencies and mean length counted over the whole corpus; the
-frequencies are one number for each id of the vocabulary, which bounds what is
-sent to the executors. A window starts with a seed document; while it has room,
-the index returns the seed's best unused neighbours, which fill it greedily. The
+of each document. Documents are dealt by a lexical key (``Dealer``), so that similar
+ones lie side by side, and cut into shards, bounded runs of that order. Each shard has
+an inverted index, term = token id, scored by BM25 with document frequencies and mean
+length counted over the whole corpus; the frequencies are one number for each id
+of the vocabulary, which bounds what is sent to the executors. A window starts with
+a seed document; while it has room, the index is asked with all terms of the seed
+and returns its best unused neighbours, which fill the window greedily. The
 document that crosses a window's end is cut there, and its rest seeds the next
 window. Where no neighbour is left, the next unused document of the shard follows.
 A shard's last open window goes on into the partition's next shard. What is left
 at the end of a partition is cut into sequences whose lengths are powers of two,
 which need no padding; so nothing is padded.
 
+A seed asks its own shard. Its neighbours there are exact; how many of those in the whole
+corpus lie there depends on the dealing (README).
+
 Defined results: null and empty texts are a lone separator; a null doc_id stays
 null; repeated rows are documents of their own; an empty table gives no rows;
 extra columns are not read. Texts of any length are cut over as many windows as
@@ -27,23 +31,30 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
+import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolith.llm.bpe import CACHE_PIECE, chunks, different, gather, ship_file
-from fotolith.llm.common import Scratch, prepare, tidied
+from fotolith.llm.bpe import SPACE, boundaries, chunks, classes, ship_file
+from fotolith.llm.common import Scratch, partitions, prepare, tidied
+from fotolith.llm.rules import _mix
 
-#: BM25's usual constants; rarest terms of a seed that ask the index.
-K1, B, QUERY_TERMS = 1.2, 0.75, 16
+#: BM25's usual constants.
+K1, B = 1.2, 0.75
 #: A shard ends at so many documents or tokens.
-SHARD_DOCS, SHARD_TOKENS = 512, 1 << 20
+SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 20
+#: Documents of a shard from which on a term's postings are a column; postings that are met at a time.
+FREQUENT, STEP = 32, 1 << 15
+#: Sample that the dealing is fitted on; means, dimensions and rounds of the fit.
+SAMPLE_DOCS, SAMPLE_CHARS, CENTROIDS, DIMS, ROUNDS = 2048, 20_000, 256, 64, 10
 #: Fixed value: the split pattern of byte-level files, which ``boundaries`` implements.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces of one generation of the cache; two are held.
-CACHE_ENTRIES = 300_000
+#: Pieces that the cache holds before it starts anew.
+CACHE_ENTRIES = 1_000_000
 #: Pieces that the tokenizer is given at a time.
 MISSES = 8192
 
@@ -83,9 +94,11 @@ def merger(path: str) -> tiktoken.Encoding | None:
 class TokenCache:
     """Ids of texts by a ``tokenizers`` file; each different piece is encoded once.
 
-    The file's byte-level pre-tokeniser splits exactly at ``pieces``, so a piece
-    has the same ids alone as inside its text. A text that holds one of the
-    file's special tokens is encoded as a whole.
+    The file's byte-level pre-tokeniser splits exactly at ``boundaries``, so a piece
+    has the same ids alone as inside its text. Pieces are known by a 64-bit hash of
+    their bytes; the cache is a sorted array of hashes beside one array of ids, and
+    starts anew when it is full. A text that holds one of the file's special
+    tokens is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -95,90 +108,218 @@ class TokenCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.size = self.tokenizer.get_vocab_size()
         self.merger = merger(path)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         #: The id of a line break, if it has one of its own.
         self.newline = line[0] if len(line) == 1 else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, missed: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Those without white space after their first sign go as lines of one text."""
-        lines = [p for p in missed if len(w := p.split()) == 1 and (w[0] == p or " " + w[0] == p)] if self.newline is not None else []
-        rest = set(missed).difference(lines)
-        found = dict(zip(rest, self._whole(list(rest)))) if rest else {}
-        for k in range(0, len(lines), MISSES):
-            some = lines[k : k + MISSES]
-            text = "\n" + "\n".join(some)
-            ids = np.array(self.merger.encode_ordinary(text), self.kind) if self.merger else np.frombuffer(self._whole([text])[0], self.kind)
-            at = np.flatnonzero(ids == self.newline)
-            if len(at) != len(some):
-                found.update(zip(some, self._whole(some)))
-                continue
-            raw, size = ids.tobytes(), self.kind.itemsize
-            found.update((p, raw[a * size + size : b * size]) for p, a, b in zip(some, at.tolist(), [*at[1:].tolist(), len(ids)]))
-        return found
-
-    def _lookup(self, distinct: list[str]) -> list[bytes]:
-        ids = list(map(self.young.get, distinct))
-        missed = [p for p, x in zip(distinct, ids) if x is None]
-        if not missed:
-            return ids
-        found = {p: x for p in missed if (x := self.old.get(p)) is not None}
-        if len(found) < len(missed):
-            found |= self._pieces([p for p in missed if p not in found])
-        if len(self.young) + len(found) > CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
-        self.young.update((p, x) for p, x in found.items() if len(p) <= CACHE_PIECE)
-        return [found[p] if x is None else x for p, x in zip(distinct, ids)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids, one after another, and their number for pieces without white space but a space before them: lines of one text."""
+        own = sizes + 1
+        ends = np.cumsum(own)
+        text = raw[np.arange(ends[-1]) + np.repeat(starts - 1 - (ends - own), own)]
+        text[ends - own] = ord("\n")
+        text = text.tobytes().decode("utf-8", "surrogatepass")
+        ids = self.merger.encode_to_numpy(text, disallowed_special=()).astype(self.kind) if self.merger else self._whole([text])[0]
+        at = np.flatnonzero(ids == self.newline)
+        if len(at) != len(sizes):
+            return None
+        return ids[ids != self.newline], np.diff(at, append=len(ids)) - 1
+
+    def _encode(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of ``raw``, one after another, and their number; ``plain``: not white space."""
+        if self.newline is None:
+            plain = np.zeros(len(plain), bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        made, counts = [], []
+        for k in range(0, int(plain.sum()), MISSES):
+            some = order[k : min(k + MISSES, int(plain.sum()))]
+            found = self._lines(raw, starts[some], sizes[some])
+            if found is None:
+                alone = self._whole([raw[a : a + n].tobytes().decode("utf-8", "surrogatepass") for a, n in zip(starts[some].tolist(), sizes[some].tolist())])
+                found = np.concatenate(alone), np.fromiter(map(len, alone), np.int64, len(alone))
+            made.append(found[0])
+            counts.append(found[1])
+        rest = order[int(plain.sum()) :]
+        alone = self._whole([raw[a : a + n].tobytes().decode("utf-8", "surrogatepass") for a, n in zip(starts[rest].tolist(), sizes[rest].tolist())]) if len(rest) else []
+        ids = np.concatenate([*made, *alone]) if made or alone else np.zeros(0, self.kind)
+        size = np.concatenate([*counts, np.fromiter(map(len, alone), np.int64, len(alone))]).astype(np.int64)
+        where = np.cumsum(size) - size
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return ids, np.stack([where[back], size[back]])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         for part in chunks(texts):
             odd = [i for i, t in enumerate(part) if any(s in t for s in self.specials)]
-            distinct, number, counts = different(part)
-            whole = gather(self._lookup(distinct), number, counts, self.kind)
+            whole = self._chunk(part)
             for i, x in zip(odd, self._whole([part[i] for i in odd]) if odd else []):
                 whole[i] = x
             out += whole
         return out
 
+    def _chunk(self, part: list[str]) -> list[np.ndarray]:
+        text = "".join(part)
+        if not text:
+            return [np.zeros(0, self.kind)] * len(part)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        ends = np.cumsum(lengths)
+        cuts = boundaries(points, (ends - lengths)[lengths > 0])
+        counts = np.searchsorted(cuts, ends) - np.searchsorted(cuts, ends - lengths)
+        data = text.encode("utf-8", "surrogatepass")
+        last = classes()[points[np.append(cuts[1:], len(points)) - 1]]
+        at = cuts
+        if len(data) != len(points):
+            width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            at = (np.cumsum(width) - width)[cuts]
+        size = np.diff(at, append=len(data))
+        number, names = pd.factorize(piece_names(data, at, size))
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+        sort = np.argsort(names)
+        names, first, back = names[sort], first[sort], np.empty(len(sort), np.int64)
+        back[sort] = np.arange(len(sort))
+        number = back[number]
+        if len(self.names) > CACHE_ENTRIES:
+            self.clear()
+        place = np.searchsorted(self.names, names)
+        new = np.ones(len(names), bool)
+        inside = place < len(self.names)
+        new[inside] = self.names[place[inside]] != names[inside]
+        if new.any():
+            raw, at, size, plain = np.frombuffer(data, np.uint8), at[first[new]], size[first[new]], last[first[new]] < SPACE
+            ids, (where, many) = self._encode(raw, at, size, plain)
+            self.names = np.insert(self.names, place[new], names[new])
+            self.starts = np.insert(self.starts, place[new], where + len(self.ids))
+            self.sizes = np.insert(self.sizes, place[new], many)
+            self.ids = np.concatenate([self.ids, ids])
+            place += np.cumsum(new) - new
+        own = self.sizes[place][number]
+        stop = np.cumsum(own)
+        ids = self.ids[np.arange(int(stop[-1])) + np.repeat(self.starts[place][number] - stop + own, own)]
+        cut = np.concatenate([[0], stop])[np.cumsum(counts)].tolist()
+        return [ids[a:b] for a, b in zip([0, *cut[:-1]], cut)]
+
+
+def piece_names(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece of ``data``, from its length and its bytes, eight at a time."""
+    padded = data + bytes(16)
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    names = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    some, k = np.arange(len(at)), 0
+    while len(some):
+        names[some] = _mix(names[some] ^ (words[at[some] + k] & masks[np.minimum(size[some] - k, 8)]))
+        k += 8
+        some = some[size[some] > k]
+        if k == 4096:
+            break
+    for i in some.tolist():  # very long pieces
+        names[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + size[i]])
+    return names
+
 
 @cache
 def token_cache(path: str) -> TokenCache:
     return TokenCache(path)
 
 
+class Dealer:
+    """Puts documents beside lexically similar ones, so that a shard holds what its seeds ask for.
+
+    A document is the sum of fixed random signs of its different terms, weighted by
+    their idf in a bounded sample; its key is the nearest of ``CENTROIDS`` means that
+    were fitted on that sample, each next to its nearest, then the signs of its first 32 sums. Every document has a key; only the means are of the sample.
+    """
+
+    def __init__(self, docs: list[np.ndarray], size: int):
+        df = np.zeros(size)
+        for own in docs:
+            df[np.unique(own)] += 1
+        self.idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        found = np.array([self.vector(np.unique(own)) for own in docs], np.float32).reshape(-1, DIMS)
+        self.means = found[:CENTROIDS].copy()
+        for _ in range(ROUNDS if len(found) > CENTROIDS else 0):
+            near = (found @ self.means.T).argmax(axis=1)
+            for k in np.unique(near).tolist():
+                total = found[near == k].sum(axis=0)
+                self.means[k] = total / max(float(np.linalg.norm(total)), 1e-9)
+        # Each mean is followed by the nearest that is left.
+        near, left, at = self.means @ self.means.T, np.ones(len(self.means), bool), 0
+        order: list[int] = []
+        while left.any():
+            order.append(at)
+            left[at] = False
+            at = int(np.where(left, near[at], -np.inf).argmax())
+        self.means = self.means[order]
+
+    def vector(self, terms: np.ndarray) -> np.ndarray:
+        found = self.idf[terms] @ signs(len(self.idf))[terms]
+        return found / max(float(np.linalg.norm(found)), 1e-9)
+
+    def key(self, terms: np.ndarray) -> int:
+        if not len(self.means):
+            return 0
+        own = self.vector(terms)
+        return int((self.means @ own).argmax()) << 32 | int.from_bytes(np.packbits(own[:32] > 0).tobytes(), "big")
+
+
+@cache
+def signs(size: int) -> np.ndarray:
+    """A fixed random sign for each term and dimension."""
+    return np.random.default_rng(5).choice(np.array([-1, 1], np.float32), (size, DIMS))
+
+
+def fit_dealer(docs: DataFrame, path: str) -> Dealer:
+    """Fitted on at most ``SAMPLE_DOCS`` texts of at most ``SAMPLE_CHARS`` code points, the least by a hash of their id."""
+    picked = docs.select("doc_id").where("doc_id is not null").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(SAMPLE_DOCS).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
+    texts = [r["text"] for r in texts.orderBy("place", "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()]
+    tokens = token_cache(path)
+    return Dealer(tokens.encode(texts), tokens.size)
+
+
 def tokenise(docs: DataFrame, path: str, separator: int = 0) -> DataFrame:
-    """``doc_id, ids, wide`` and, in rows whose ``df`` is not null, each partition's document frequencies.
+    """``doc_id, ids, wide, key`` and, in rows whose ``df`` is not null, each partition's document frequencies.
 
     ``ids``: little-endian integers of two bytes (four if ``wide``), the
-    separator last. ``df``: unsigned 64-bit counts by id; ``doc_id`` is null there.
+    separator last. ``key``: see ``Dealer``. ``df``: unsigned 64-bit counts by id;
+    ``doc_id`` is null there.
     """
     spark = prepare(docs.sparkSession)
     name = ship_file(spark, path)
+    shared = spark.sparkContext.broadcast(fit_dealer(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "ids", "wide", "df"]
-        tokens = token_cache(SparkFiles.get(name))
-        size = max(tokens.tokenizer.get_vocab_size(), separator + 1)
+        names = ["doc_id", "ids", "wide", "key", "df"]
+        tokens, dealer = token_cache(SparkFiles.get(name)), shared.value
+        size = max(tokens.size, separator + 1)
         mark, df = np.zeros(size, bool), np.zeros(size, np.uint64)
-        end, wide = np.array([separator], tokens.kind).tobytes(), tokens.kind.itemsize == 4
+        end, wide = np.array([separator], tokens.kind), tokens.kind.itemsize == 4
         for batch in batches:
-            ids = [x + end for x in tokens.encode([t or "" for t in batch.column(1).to_pylist()])]
-            for x in ids:
-                own = np.frombuffer(x, tokens.kind)
+            ids, keys = [], []
+            for own in tokens.encode([t or "" for t in batch.column(1).to_pylist()]):
                 mark[own] = True
                 at = np.flatnonzero(mark)
-                df[at] += np.uint64(1)
                 mark[at] = False
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([wide] * len(ids)), pa.nulls(len(ids), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([wide]), pa.array([df.tobytes()], pa.binary())], names=names)
+                df[at] += np.uint64(1)
+                df[separator] += np.uint64(separator not in own)
+                ids.append(np.append(own, end).tobytes())
+                keys.append(dealer.key(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([wide] * len(ids)), pa.array(keys, pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([wide]), pa.array([None], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, ids binary, wide boolean, df binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, ids binary, wide boolean, key long, df binary")
 
 
 def add_frequencies(parts: DataFrame) -> DataFrame:
@@ -199,37 +340,62 @@ def add_frequencies(parts: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """The inverted index of a block of documents."""
+    """The inverted index of a block of documents, asked with every term of every one of them.
+
+    Postings of frequent terms are columns of a matrix, which is multiplied at
+    once; the lists of the others are met list by list.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.slot = np.zeros(len(idf), np.int64)
+        n, slot = len(docs), np.zeros(len(idf), np.int64)
         mark = np.zeros(len(idf), bool)
         terms, counts = [], []
         for own in docs:
             mark[own] = True
             at = np.flatnonzero(mark)
             mark[at] = False
-            self.slot[at] = np.arange(len(at))
+            slot[at] = np.arange(len(at))
             terms.append(at)
-            counts.append(np.bincount(self.slot[own], minlength=len(at)))
-        self.queries = [t[np.argpartition(-idf[t], QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t for t in terms]
-        sizes = np.fromiter(map(len, docs), np.float64, len(docs))
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
+            counts.append(np.bincount(slot[own], minlength=len(at)))
+        sizes = np.fromiter(map(len, docs), np.float64, n)
+        doc = np.repeat(np.arange(n), [len(t) for t in terms])
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1.0)))
-        sort = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[sort], weight[sort]
-        self.ends = np.cumsum(np.bincount(term, minlength=len(idf)))
-        self.unused = np.ones(len(docs), bool)
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term with the seed's query, the best first."""
-        spans = [(self.ends[t - 1] if t else 0, self.ends[t]) for t in self.queries[seed]]
-        doc = np.concatenate([self.doc[a:b] for a, b in spans])
-        score = np.bincount(doc, weights=np.concatenate([self.weight[a:b] for a, b in spans]), minlength=len(self.unused))
-        score[~self.unused] = 0
-        found = np.flatnonzero(score > 0)
-        return found[np.argsort(-score[found], kind="stable")]
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1.0)))).astype(np.float32)
+        df = np.bincount(term, minlength=len(idf))
+        #: The BM25 score of each document (column) for the terms of each (row).
+        self.scores = self.frequent(n, doc, term, weight, df) + self.rare(n, doc, term, weight, df)
+        self.unused = np.ones(n, bool)
+
+    @staticmethod
+    def frequent(n: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, df: np.ndarray) -> np.ndarray:
+        many = df >= FREQUENT
+        column = np.cumsum(many) - 1
+        at = np.flatnonzero(many[term])
+        index = np.zeros((n, int(many.sum())), np.float32)
+        index[doc[at], column[term[at]]] = weight[at]
+        return (index > 0).astype(np.float32) @ index.T
+
+    @staticmethod
+    def rare(n: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, df: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero((df[term] < FREQUENT) & (df[term] > 1))
+        at = at[np.argsort(term[at], kind="stable")]
+        doc, weight, size = doc[at], weight[at], df[term[at]]
+        first = np.searchsorted(term[at], term[at])
+        out = np.zeros(n * n)
+        met = np.cumsum(size)
+        for a in range(0, len(at), STEP):
+            b = min(a + STEP, len(at))
+            left = np.repeat(np.arange(a, b), size[a:b])
+            right = first[left] + np.arange(len(left)) - (met[left] - size[left] - (met[a] - size[a]))
+            out += np.bincount(doc[left] * n + doc[right], weights=weight[right], minlength=n * n)
+        return out.reshape(n, n).astype(np.float32)
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents that share a term with the seed, the best first; ties to the earlier."""
+        left = np.where(self.unused, self.scores[seed], 0)
+        while left[best := int(left.argmax())] > 0:
+            left[best] = 0
+            yield best
 
 
 class Packer:
@@ -270,7 +436,7 @@ class Packer:
             # While the window is open, its seed's neighbours fill it; the one that crosses its end is the next seed.
             while seed is not None and self.filled:
                 asked, seed = seed, None
-                for other in index.neighbours(asked).tolist():
+                for other in index.neighbours(asked):
                     index.unused[other] = False
                     if self.put(doc_ids[other], docs[other]):
                         seed = other
@@ -344,4 +510,6 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, window: int = 1024, separ
         if packer.done:
             yield flush()
 
-    return tokens.select("doc_id", "ids", "wide").mapInArrow(tidied(run), PIECES)
+    # Ranges of keys, and of ids where very many documents have one key; a shard is a run of neighbours.
+    dealt = tokens.repartitionByRange(partitions(spark), "key", F.xxhash64("doc_id")).sortWithinPartitions("key", "doc_id")
+    return dealt.select("doc_id", "ids", "wide").mapInArrow(tidied(run), PIECES)

@@ -5,18 +5,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotolith.llm import bitslice, bpe, chat, html_text, packing, quality, rules, simhash, suffix, warc
 from fotolith.llm.common import Scratch, prepare, table
 
-#: Folder of the public vocabularies; a parameter of the box, not of this repository.
-TOKENIZERS = os.environ.get("FOTOLITH_TOKENIZERS", "/opt/tokenizers")
-
-
 def vocabulary(name: str) -> str:
-    return os.path.realpath(os.path.join(TOKENIZERS, name))
+    """Place of a public vocabulary file; the operators take any path."""
+    return os.path.realpath(public_tokenizers.path(name))
 
 
 #: A conversation of the contract whose texts hold the template's own control strings.
@@ -91,6 +89,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(docs).select(
         "doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words",
         "rules.base_failed", "rules.kept", "rules.n_lines_removed", "rules.words_kept",
+        "rules.n_punctuation", "rules.n_navigation", "rules.n_boilerplate",
     )
 
 

@@ -2,16 +2,17 @@
 
 import base64
 import hashlib
+import itertools
 import os
 import random
-import sys
+from collections import Counter
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-sys.path.insert(0, "/opt/tokenizers/..")
 from fotolith.llm import bitslice, bpe, html_text, neardup, packing, quality, queries, rules, simhash, suffix, warc
 
 RANKS = queries.vocabulary("byte_bpe_50k.tiktoken")
@@ -59,7 +60,7 @@ def test_cache_generations_change_nothing(monkeypatch, reference_encoding):
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(RANKS).encode(texts)] == [reference_encoding.encode_ordinary(t) for t in texts]
     cache, whole = packing.TokenCache(FILE), Tokenizer.from_file(FILE)
     for text, ids in zip(texts, cache.encode(texts)):
-        assert np.frombuffer(ids, cache.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("fast", [True, False])
@@ -70,15 +71,57 @@ def test_token_cache_matches_the_file(fast):
         cache.merger = None
     texts = strings(2000, 40, 4) + ODD + ["x<|endoftext|>y", "<|endoftext|>"]
     for text, ids in zip(texts, cache.encode(texts)):
-        assert np.frombuffer(ids, cache.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
-def test_different_pieces_are_the_pieces():
-    texts = strings(500, 60, 5) + ODD + ["y" * 9000 + "z" * 5000]
-    cut, counts = bpe.pieces(texts)
-    found, number, again = bpe.different(texts)
-    assert [found[k] for k in number.tolist()] == cut
-    assert counts.tolist() == again.tolist()
+def test_token_cache_matches_the_file_on_documents(sf):
+    cache, whole = packing.TokenCache(FILE), Tokenizer.from_file(FILE)
+    texts = [t or "" for t in ds.dataset(f"{sf}/documents.parquet").to_table()["text"].to_pylist()] + ["y" * 9000 + "z" * 5000, "中文，" * 3000]
+    for text, ids in zip(texts, cache.encode(texts)):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def plain_bm25(docs, query, idf, mean):
+    """Scores of all documents for the different terms of the query, by the formula."""
+    out = []
+    for own in docs:
+        counts = Counter(own.tolist())
+        length = 1 - packing.B + packing.B * len(own) / mean
+        out.append(sum(idf[t] * counts[t] * (packing.K1 + 1) / (counts[t] + packing.K1 * length) for t in set(query.tolist()) if t in counts))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [2, 32, 1000])
+def test_shard_scores_are_bm25_of_the_whole_query(monkeypatch, frequent):
+    monkeypatch.setattr(packing, "FREQUENT", frequent)
+    monkeypatch.setattr(packing, "STEP", 100)
+    rng = np.random.default_rng(3)
+    docs = [(rng.zipf(1.4, int(n)) % 3000).astype("<u2") for n in [*rng.integers(1, 400, 80), 1, 1]]
+    idf = rng.random(3000) * 8
+    shard = packing.Shard(docs, idf, 150.0)
+    for seed in range(len(docs)):
+        plain = plain_bm25(docs, docs[seed], idf, 150.0)
+        others = np.arange(len(docs)) != seed  # a seed is in use: terms that only it has are not scored
+        assert np.allclose(shard.scores[seed][others], np.array(plain)[others], rtol=1e-4, atol=1e-4)
+        shard.unused[:] = others
+        plain[seed] = 0
+        got = list(itertools.islice(shard.neighbours(seed), 10))
+        best = sorted(range(len(docs)), key=lambda d: -plain[d])[:10]
+        assert len(set(got) & {d for d in best if plain[d] > 0}) >= 0.9 * sum(plain[d] > 0 for d in best)
+    shard.unused[:] = False
+    assert list(shard.neighbours(0)) == []
+
+
+def test_similar_documents_are_dealt_together():
+    rng = np.random.default_rng(6)
+    topics = [rng.choice(2000, 150, replace=False) for _ in range(8)]
+    docs = [rng.choice(topics[i % 8], 200).astype("<u2") for i in range(800)]
+    dealer = packing.Dealer(docs[:400], 2000)
+    key = [dealer.key(np.unique(d)) for d in docs]
+    order = sorted(range(800), key=lambda i: key[i])
+    near = np.mean([order[k] % 8 == order[k + 1] % 8 for k in range(799)])
+    assert near > 0.9
+    assert packing.Dealer([], 10).key(np.zeros(0, np.int64)) == 0
 
 
 def test_golay_keys_miss_nothing_within_two_bits():
