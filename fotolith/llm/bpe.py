@@ -27,12 +27,15 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotolith.llm.common import prepare, tidied
+from fotolith.llm.rules import _mix
 
 REST, LETTER, NUMBER, SPACE, WHITE = range(5)
 
@@ -109,21 +112,60 @@ def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+def cut(whole: str, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of joined texts, not all empty: bytes, code points, where pieces start in code points and in bytes, their bytes, and the pieces of each text."""
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    cuts = boundaries(points, (ends - lengths)[lengths > 0])
+    counts = np.searchsorted(cuts, ends) - np.searchsorted(cuts, ends - lengths)
+    data, at = whole.encode("utf-8", "surrogatepass"), cuts
+    if len(data) != len(points):
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        at = (np.cumsum(width) - width)[cuts]
+    return data, points, cuts, at, np.diff(at, append=len(data)), counts
+
+
 def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """All pieces of the texts in order, and the number of pieces of each text."""
     whole = "".join(texts)
     if not whole:
         return [], np.zeros(len(texts), np.int64)
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    cuts = boundaries(points, starts[lengths > 0])
-    counts = np.searchsorted(cuts, ends) - np.searchsorted(cuts, starts)
+    _, _, cuts, _, _, counts = cut(whole, texts)
     at = cuts.tolist()
     return [whole[a:b] for a, b in zip(at, at[1:] + [len(whole)])], counts
 
 
+def piece_names(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece of ``data``, from its length and its bytes, eight at a time."""
+    padded = data + bytes(16)
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    names = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    some, k = np.arange(len(at)), 0
+    while len(some):
+        names[some] = _mix(names[some] ^ (words[at[some] + k] & masks[np.minimum(size[some] - k, 8)]))
+        k += 8
+        some = some[size[some] > k]
+        if k == 4096:
+            break
+    for i in some.tolist():  # very long pieces
+        names[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + size[i]])
+    return names
+
+
+def different(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different pieces of the texts, the number of each piece in order, and the pieces of each text."""
+    whole = "".join(texts)
+    if not whole:
+        return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    data, _, cuts, at, size, counts = cut(whole, texts)
+    number, _ = pd.factorize(piece_names(data, at, size))
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+    ends = np.append(cuts[1:], len(whole))[first].tolist()
+    return [whole[a:b] for a, b in zip(cuts[first].tolist(), ends)], number, counts
+
+
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """The texts in runs of about ``CHUNK_CHARS`` code points; a longer text is a run of its own."""
     held, size = [], 0
@@ -229,8 +271,8 @@ class Encoder:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for part in chunks(texts):
-            cut, counts = pieces(part)
-            ids = list(map(self.cache.__getitem__, cut))
+            own, counts = pieces(part)
+            ids = list(map(self.cache.__getitem__, own))
             ends = np.cumsum(counts).tolist()
             out += [b"".join(ids[b - c : b]) for b, c in zip(ends, counts.tolist())]
         return out

@@ -34,14 +34,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
-import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolith.llm.bpe import SPACE, boundaries, chunks, classes, ship_file
+from fotolith.llm.bpe import SPACE, chunks, classes, cut, piece_names, ship_file
 from fotolith.llm.common import Scratch, partitions, prepare, tidied
-from fotolith.llm.rules import _mix
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -172,18 +170,8 @@ class TokenCache:
         text = "".join(part)
         if not text:
             return [np.zeros(0, self.kind)] * len(part)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        ends = np.cumsum(lengths)
-        cuts = boundaries(points, (ends - lengths)[lengths > 0])
-        counts = np.searchsorted(cuts, ends) - np.searchsorted(cuts, ends - lengths)
-        data = text.encode("utf-8", "surrogatepass")
+        data, points, cuts, at, size, counts = cut(text, part)
         last = classes()[points[np.append(cuts[1:], len(points)) - 1]]
-        at = cuts
-        if len(data) != len(points):
-            width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-            at = (np.cumsum(width) - width)[cuts]
-        size = np.diff(at, append=len(data))
         number, names = pd.factorize(piece_names(data, at, size))
         first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
         sort = np.argsort(names)
@@ -207,26 +195,8 @@ class TokenCache:
         own = self.sizes[place][number]
         stop = np.cumsum(own)
         ids = self.ids[np.arange(int(stop[-1])) + np.repeat(self.starts[place][number] - stop + own, own)]
-        cut = np.concatenate([[0], stop])[np.cumsum(counts)].tolist()
-        return [ids[a:b] for a, b in zip([0, *cut[:-1]], cut)]
-
-
-def piece_names(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece of ``data``, from its length and its bytes, eight at a time."""
-    padded = data + bytes(16)
-    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    names = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    some, k = np.arange(len(at)), 0
-    while len(some):
-        names[some] = _mix(names[some] ^ (words[at[some] + k] & masks[np.minimum(size[some] - k, 8)]))
-        k += 8
-        some = some[size[some] > k]
-        if k == 4096:
-            break
-    for i in some.tolist():  # very long pieces
-        names[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + size[i]])
-    return names
+        ends = np.concatenate([[0], stop])[np.cumsum(counts)].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 @cache

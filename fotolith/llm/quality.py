@@ -1,12 +1,14 @@
 """Quality classifier over random-indexing word vectors.
 
-Words are the pieces of the pre-tokeniser. Each piece has a word number (its
-lower-case form, hashed) and a shape number (kind, case, length, first sign), so
-that unseen words still say something. Random indexing gives every number a
-sparse ternary index vector; a number's vector is its own index vector plus the
-normalised sum of the index vectors around it. A document is the mean of its
-words' vectors with its length, its variety and the share of words that repeat the
-word before; a two-layer network gives a logit,
+Words are the pieces of the pre-tokeniser. Each piece has a word (its lower-case
+form) and a shape (kind, case, length, first sign), so that unseen words still
+say something. Random indexing gives every word and every shape a sparse ternary
+index vector, drawn from a 64-bit hash of its own: no table, no vocabulary, no two
+words in one slot. The vector of a word that the sample holds ``MIN_COUNT`` times or
+more is its index vector plus the normalised sum of the index vectors around it;
+other words have their index vector alone. A document is the mean of its
+pieces' vectors with its length, its variety and the share of pieces that repeat the
+piece before; a two-layer network gives a logit,
 divided by a temperature that is fitted on rows the network has not seen.
 
 The model is fitted on the driver from a bounded sample of labelled rows
@@ -28,22 +30,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolith.llm.bpe import chunks, pieces
+from fotolith.llm.bpe import chunks, different
 from fotolith.llm.common import prepare, tidied
+from fotolith.llm.rules import _mix
 
-#: Numbers of words and shapes, dimensions of the vectors, non-zero entries of an index vector.
-WORDS, SHAPES, DIMS, NONZERO = 3968, 128, 48, 8
-VOCAB = WORDS + SHAPES
+#: Dimensions of the vectors, non-zero entries of an index vector.
+DIMS, NONZERO = 48, 8
 #: Features of a document: its vector, length, variety, repetition.
 WIDTH = DIMS + 3
-#: Pieces whose numbers a worker remembers.
-CACHE_ENTRIES = 100_000
+#: Pieces whose words and shapes a worker remembers.
+CACHE_ENTRIES = 200_000
+#: Occurrences in the sample from which on a word has a context.
+MIN_COUNT = 5
 #: Neighbours on either side that count as context.
 CONTEXT = 2
 #: Bound of the sample that the model is fitted on.
@@ -60,12 +65,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def number_of(piece: str) -> int:
-    """Word number times SHAPES plus shape number."""
+def names_of(piece: str) -> tuple[int, int]:
+    """64-bit hashes of a piece's word and of its shape."""
     word = piece.strip(" ")
     if not word or word.isspace():
-        kind = f"space{min(piece.count(chr(10)), 2)}"
-        return xxhash.xxh32_intdigest(kind) % WORDS * SHAPES + xxhash.xxh32_intdigest(kind, 1) % SHAPES
+        shape = f"space{min(piece.count(chr(10)), 2)}"
+        return xxhash.xxh64_intdigest(shape), xxhash.xxh64_intdigest(shape, 1)
     first, n = word[0], len(word)
     size = min(n.bit_length(), 4)
     if first.isalpha() or (n > 1 and first == "'"):
@@ -75,60 +80,87 @@ def number_of(piece: str) -> int:
         shape = f"n{size}"
     else:
         shape = f"s{first}{min(n, 3)}"
-    return xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) % WORDS * SHAPES + xxhash.xxh32_intdigest(shape.encode("utf-8", "surrogatepass"), 1) % SHAPES
+    return xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")), xxhash.xxh64_intdigest(shape.encode("utf-8", "surrogatepass"), 1)
 
 
-class Numbers(dict):
-    """piece -> number, bounded: it starts anew when full."""
+class Names(dict):
+    """piece -> its hashes, bounded: it starts anew when full."""
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str) -> tuple[int, int]:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        self[piece] = found = number_of(piece)
+        self[piece] = found = names_of(piece)
         return found
 
 
-_numbers = Numbers()
+_names = Names()
 
 
-def numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all pieces of the texts, and how many each text has."""
-    cut, counts = pieces(texts)
-    return np.fromiter(map(_numbers.__getitem__, cut), np.int64, len(cut)), counts
-
-
-def index_vectors() -> np.ndarray:
-    rng = np.random.default_rng(SEED)
-    out = np.zeros((VOCAB, DIMS), np.float32)
-    for row in out:
-        row[rng.choice(DIMS, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
-    return out / np.sqrt(NONZERO)
-
-
-def word_vectors(texts: list[str]) -> np.ndarray:
-    """Random-indexing vectors of all numbers from the contexts in the texts."""
-    own = index_vectors()
-    around = np.zeros_like(own)
-    for part in chunks(texts):
-        both, counts = numbers(part)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        for ids in (both // SHAPES, WORDS + both % SHAPES):
+@dataclass
+class Pieces:
+    """The pieces of some texts: hashes of the different ones, the number of each in order, and how many each text has."""
+
+    words: np.ndarray
+    shapes: np.ndarray
+    number: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Pieces:
+        found, number, counts = different(texts)
+        both = np.array(list(map(_names.__getitem__, found)), np.uint64).reshape(-1, 2)
+        return cls(both[:, 0].copy(), both[:, 1].copy(), number, counts)
+
+    @property
+    def text(self) -> np.ndarray:
+        """The text of each piece."""
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def index_vectors(names: np.ndarray) -> np.ndarray:
+    """The sparse ternary index vector of each hash, of length one or so."""
+    out = np.zeros((len(names), DIMS), np.float32)
+    rows = np.arange(len(names))
+    for k in range(NONZERO):
+        # Each entry has its own share of the dimensions, so none falls on another.
+        draw = _mix(names + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        share = DIMS // NONZERO
+        out[rows, k * share + ((draw >> np.uint64(8)) % np.uint64(share)).astype(np.int64)] = np.where(draw & np.uint64(1), 1, -1)
+    return out / np.float32(np.sqrt(NONZERO))
+
+
+def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the words and shapes that the texts hold ``MIN_COUNT`` times or more, and the normalised sums of the index vectors around them."""
+    parts = [Pieces.of(part) for part in chunks(texts)]
+    every = [np.zeros(0, np.uint64), *(x[p.number] for p in parts for x in (p.words, p.shapes))]
+    names, counts = np.unique(np.concatenate(every), return_counts=True)
+    names = names[counts >= MIN_COUNT]
+    around = np.zeros((len(names), DIMS), np.float32)
+    for p in parts:
+        text = p.text
+        for own in (p.words, p.shapes):
+            place = np.searchsorted(names, own)
+            known = place < len(names)
+            known[known] = names[place[known]] == own[known]
+            vectors = index_vectors(own)
+            place, known = place[p.number], known[p.number]
             for gap in range(1, CONTEXT + 1):
-                same = doc[gap:] == doc[:-gap]
-                a, b = ids[gap:][same], ids[:-gap][same]
-                for x, y in ((a, b), (b, a)):
-                    if not len(x):
+                left, right = np.arange(len(text) - gap), np.arange(gap, len(text))
+                for x, y in ((left, right), (right, left)):
+                    at = np.flatnonzero((text[x] == text[y]) & known[x])
+                    if not len(at):
                         continue
-                    sort = np.argsort(x, kind="stable")
-                    starts = np.flatnonzero(np.diff(x[sort], prepend=-1))
-                    around[x[sort][starts]] += np.add.reduceat(own[y[sort]], starts, axis=0)
+                    at = at[np.argsort(place[x[at]], kind="stable")]
+                    starts = np.flatnonzero(np.diff(place[x[at]], prepend=-1))
+                    around[place[x[at]][starts]] += np.add.reduceat(vectors[p.number[y[at]]], starts, axis=0)
     size = np.linalg.norm(around, axis=1, keepdims=True)
-    return own + around / np.where(size > 0, size, 1)
+    return names, around / np.where(size > 0, size, 1)
 
 
 @dataclass
 class Model:
-    vectors: np.ndarray
+    names: np.ndarray
+    contexts: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
     w1: np.ndarray
@@ -137,20 +169,31 @@ class Model:
     b2: float
     temperature: float
 
+    def vectors(self, names: np.ndarray) -> np.ndarray:
+        """The vector of each word or shape."""
+        out = index_vectors(names)
+        if len(self.names):
+            place = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            known = np.flatnonzero(self.names[place] == names)
+            out[known] += self.contexts[place[known]]
+        return out
+
     def features(self, texts: list[str]) -> np.ndarray:
         out = [np.zeros((0, WIDTH), np.float32)]
         for part in chunks(texts):
-            both, counts = numbers(part)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            for k in range(0, len(counts), 256):
-                some = (doc >= k) & (doc < k + 256) if len(counts) > 256 else slice(None)
-                d, b, n = doc[some] - k, both[some], counts[k : k + 256]
-                word, total = b // SHAPES, np.maximum(n, 1).astype(np.float32)
-                bags = [np.bincount(d * size + ids, minlength=len(n) * size).reshape(len(n), size).astype(np.float32) for ids, size in ((word, WORDS), (b % SHAPES, SHAPES))]
-                pooled = (bags[0] @ self.vectors[:WORDS] + bags[1] @ self.vectors[WORDS:]) / total[:, None]
-                variety = np.count_nonzero(bags[0], axis=1) / np.sqrt(total)
-                again = np.bincount(d[1:][(b[1:] == b[:-1]) & (d[1:] == d[:-1])], minlength=len(n)) / total
-                out.append(np.column_stack([pooled, np.log1p(n), variety, again]).astype(np.float32))
+            p = Pieces.of(part)
+            n, total, text = len(p.counts), np.maximum(p.counts, 1).astype(np.float32), p.text
+            pooled, variety, again = np.zeros((n, DIMS), np.float32), np.zeros(n), np.zeros(n)
+            if len(text):
+                vectors = self.vectors(p.words) + self.vectors(p.shapes)
+                some = np.flatnonzero(p.counts)
+                starts = (np.cumsum(p.counts) - p.counts)[some]
+                pooled[some] = np.add.reduceat(vectors[p.number], starts, axis=0)
+                word, _ = pd.factorize(p.words)
+                seen = pd.unique(text * len(word) + word[p.number])
+                variety = np.bincount(seen // len(word), minlength=n) / np.sqrt(total)
+                again = np.bincount(text[1:][(p.number[1:] == p.number[:-1]) & (text[1:] == text[:-1])], minlength=n) / total
+            out.append(np.column_stack([pooled / total[:, None], np.log1p(p.counts), variety, again]).astype(np.float32))
         return np.concatenate(out)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -171,7 +214,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     share = float(y.mean()) if len(y) else 0.5
     neutral = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if len(y) else 0.0
     model = Model(
-        word_vectors(texts), np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros((width, HIDDEN), np.float32),
+        *contexts(texts), np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros((width, HIDDEN), np.float32),
         np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), neutral, 1.0,
     )
     test = np.arange(len(y)) % CALIBRATION == CALIBRATION - 1
