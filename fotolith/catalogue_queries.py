@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from fotolith.streaming import leader_stream
 
 #: Settings of the queries over derived features: every weight counts.
 CONFIG = GroupConfig(weight_time=0.1, weight_color=0.2, weight_name=0.1, eps=0.6, min_samples=5)
+#: Files, and so micro-batches, of the streamed query.
+STREAM_FILES = 3
 #: DBSCAN ignores weights and uses five z-scores.
 SCAN = GroupConfig(eps=0.5, min_samples=5)
 
@@ -411,28 +414,83 @@ def _foldered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.image_features(spark, sf_dir).withColumn("folder", F.concat(F.lit("folder_"), F.col("label").cast("string")))
 
 
-@query()
+def _apart(v: str, bits: str, palette: str, c: str) -> str:
+    """SQL of the combined distance between a row (raw values, bits, palette) and the cluster ``c``, deviations in ``std``."""
+    square = " + ".join(f"{w} * pow(({v}[{k}] - {c}.sums[{k}] / {c}.n) / std[{k}], 2)" for k, w in enumerate(CONFIG.weights, 1))
+    hamming = f"list_sum(list_transform(range(1, 65), lambda i: ({bits}[i::INT] <> {c}.bits[i::INT])::INT)) / 64.0"
+    colour = " + ".join(f"pow({palette}[k::INT][{i}] - {c}.palette[k::INT][{i}], 2)" for i in (1, 2, 3))
+    return f"(sqrt({square}) + {hamming} * {CONFIG.phash_weight} + list_sum(list_transform(range(1, 9), lambda k: sqrt({colour}))) / 800 * {CONFIG.palette_weight})"
+
+
+def _machine(seq: str, floor: float, select: str) -> str:
+    """SQL of leader clustering as a recursion over rows in order of ``seq``: one step a row, all folders at once.
+
+    A step's state is the running statistics, the clusters in list order and the
+    next id; its event is the cluster that the row went to and the one that was folded in.
+    """
+    merged = "{'id': c.id, 'bits': c.bits, 'palette': c.palette, 'sums': list_transform(range(1, 6), lambda k: c.sums[k::INT] + %s[k::INT]), 'n': c.n + %s}"
+    place = "list_filter(range(1, len(d) + 1), lambda j: d[j::INT] = list_min(d))[1]::INT"
+    return f"""WITH RECURSIVE {_FEATS},
+placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY label) AS total FROM raw WINDOW w AS (PARTITION BY label ORDER BY time, 'img_' || id || '.jpg')),
+numbered AS (SELECT 'folder_' || label AS folder, id, ({seq})::BIGINT AS seq, [time, l, a, b, r] AS v, bits, palette FROM placed),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY seq) AS step FROM numbered),
+run AS (
+  SELECT DISTINCT folder, 0::BIGINT AS step, 0::BIGINT AS id, 0::BIGINT AS seq, 0::BIGINT AS home, 0::BIGINT AS gone, [0, 0, 0, 0, 0]::DOUBLE[] AS mean, [0, 0, 0, 0, 0]::DOUBLE[] AS m2,
+    1::BIGINT AS next_id, []::STRUCT(id BIGINT, bits INT[], palette DOUBLE[][], sums DOUBLE[], n DOUBLE)[] AS clusters FROM ordered
+  UNION ALL
+  SELECT folder, step, id, seq, home, coalesce(moved[near].id, 0) AS gone, mean, m2, next_id,
+    CASE WHEN near IS NULL THEN moved ELSE list_filter(list_transform(range(1, len(moved) + 1), lambda j: CASE WHEN j = best THEN list_transform([moved[best]], lambda c: {merged % ("moved[near].sums", "moved[near].n")})[1] WHEN j <> near THEN moved[j::INT] END), lambda c: c IS NOT NULL) END AS clusters
+  FROM (
+    SELECT *, CASE WHEN joined THEN list_filter(range(1, len(moved) + 1), lambda j: j <> best AND {_apart("list_transform(range(1, 6), lambda k: moved[best].sums[k::INT] / moved[best].n)", "moved[best].bits", "moved[best].palette", "moved[j::INT]")} <= {leader.MERGE_FACTOR * CONFIG.eps})[1]::INT END AS near
+    FROM (
+      SELECT * EXCLUDE (clusters, next_id), CASE WHEN joined THEN clusters[best].id ELSE next_id END AS home, CASE WHEN joined THEN next_id ELSE next_id + 1 END AS next_id,
+        CASE WHEN joined THEN list_transform(range(1, len(clusters) + 1), lambda j: CASE WHEN j = best THEN list_transform([clusters[best]], lambda c: {merged % ("v", "1")})[1] ELSE clusters[j::INT] END)
+        ELSE list_append(clusters, {{'id': next_id, 'bits': bits, 'palette': palette, 'sums': v, 'n': 1::DOUBLE}}) END AS moved
+      FROM (
+        SELECT *, {place} AS best, coalesce(list_min(d) <= {CONFIG.eps}, false) AS joined
+        FROM (
+          SELECT *, list_transform(clusters, lambda c: {_apart("v", "bits", "palette", "c")}) AS d
+          FROM (
+            SELECT *, list_transform(range(1, 6), lambda k: CASE WHEN step < 2 THEN 1 ELSE greatest(sqrt(m2[k::INT] / step), {max(floor, 1e-9)}) END) AS std
+            FROM (
+              SELECT * EXCLUDE (old, m2), list_transform(range(1, 6), lambda k: m2[k::INT] + (v[k::INT] - old[k::INT]) * (v[k::INT] - mean[k::INT])) AS m2
+              FROM (
+                SELECT o.*, run.next_id, run.clusters, run.m2, run.mean AS old, list_transform(range(1, 6), lambda k: run.mean[k::INT] + (o.v[k::INT] - run.mean[k::INT]) / o.step) AS mean
+                FROM run JOIN ordered o ON o.folder = run.folder AND o.step = run.step + 1)))))))
+),
+ends AS (
+  SELECT DISTINCT folder, home, home AS cluster FROM run WHERE step > 0
+  UNION ALL SELECT e.folder, e.home, f.home FROM ends e JOIN run f ON f.folder = e.folder AND f.gone = e.cluster AND f.step > 0
+),
+found AS (SELECT r.folder, r.id, r.seq, max_by(e.cluster, e.depth) AS cluster FROM run r JOIN (SELECT e.*, (SELECT count(*) FROM run f WHERE f.folder = e.folder AND f.gone = e.cluster AND f.step > 0) = 0 AS depth FROM ends e) e USING (folder, home) WHERE r.step > 0 GROUP BY r.folder, r.id, r.seq)
+{select}"""
+
+
+@query(_machine("place", CONFIG.std_floor, "SELECT folder, id, seq, cluster FROM found"))
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.naive(_foldered(spark, sf_dir), CONFIG, "folder", ["time", "path"])
 
 
-@query()
+@query(_machine("CASE WHEN place = 1 THEN -3 WHEN place = total THEN -2 WHEN place = total // 2 + 1 THEN -1 ELSE place END", 0.1, "SELECT folder, id, seq, cluster FROM found"))
 def champion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.champion(_foldered(spark, sf_dir), CONFIG, "folder", ["time", "path"])
 
 
-@query()
+@query(_machine("place", CONFIG.std_floor, "SELECT folder, cluster, count(*) AS n, count(*) || ' images' AS label FROM found GROUP BY folder, cluster"))
 def leader_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.snapshot(leader_clusters(spark, sf_dir), "folder")
 
 
-@query()
+@query(_machine("place", CONFIG.std_floor, "SELECT folder, id, cluster FROM found"))
 def stream_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch result of ``leader_clusters``, by a stream over the same rows in one file."""
+    """The batch result of ``leader_clusters``, by a stream over the same rows in several files: state goes from batch to batch."""
     rows = leader.sequenced(_foldered(spark, sf_dir), "folder", ["time", "path"], champions=False)
-    rows = rows.select("folder", "id", "seq", *FEATURE_COLUMNS)
-    root = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{id(rows)}"
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/in")
+    rows = stored(rows.select("folder", "id", "seq", *FEATURE_COLUMNS), "stream-rows")
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    part = F.least(F.col("seq") * STREAM_FILES / (F.max("seq").over(Window.partitionBy("folder")) + 1), F.lit(STREAM_FILES - 1)).cast("int")
+    dealt = rows.withColumn("part", part)
+    for k in range(STREAM_FILES):  # files arrive one after another, as they would from a scan
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
     leader_stream.run_available(spark, f"{root}/in", rows.schema, CONFIG, f"{root}/out", f"{root}/checkpoint")
     events = spark.read.schema(leader_stream.EVENTS).parquet(f"{root}/out")
     return leader_stream.resolved(stored(events, "events"))
