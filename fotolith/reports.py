@@ -21,13 +21,15 @@ def peak_mb(algorithm: str, n: int, clusters: int) -> float:
     return (40 * n + 8 * n * n if algorithm == "Batch DBSCAN" else 128 * clusters) / (1 << 20)
 
 
-def benchmark(spark: SparkSession, config: GroupConfig = BENCHMARK, names: tuple[str, ...] = tuple(datagen.DATASETS)) -> DataFrame:
-    """A ``REPORT`` row for each data set and algorithm."""
+def benchmark(spark: SparkSession, config: GroupConfig = BENCHMARK, names: tuple[str, ...] = tuple(datagen.DATASETS), algorithms: tuple[str, ...] | None = None) -> DataFrame:
+    """A ``REPORT`` row for each data set and algorithm (all, unless some are named)."""
     out = []
     for name in names:
         data = stored(datagen.dataset(spark, name), "dataset")
         n, spread = data.count(), heterogeneity(data).first()[0]
         for algorithm, run in benchmark_algorithms().items():
+            if algorithms is not None and algorithm not in algorithms:
+                continue
             began = time.time()
             assigned = stored(run(data, config), "assigned")
             ms = int((time.time() - began) * 1000)
