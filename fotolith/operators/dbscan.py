@@ -25,20 +25,25 @@ MAX_ROUNDS = 100
 
 
 def _blocks(points: DataFrame, eps: float) -> DataFrame:
-    """``cx, cy, part, ids, vectors, core, label``: cells, in blocks of bounded size."""
+    """``cx, cy, part, parts, rows``: cells, in ``parts`` blocks of bounded size."""
     cell = points.withColumn("cx", F.floor(F.col("v")[0] / eps)).withColumn("cy", F.floor(F.col("v")[1] / eps))
     sizes = cell.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = cell.join(sizes, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     row = F.struct("id", "v", "core", "label")
-    return stored(dealt.groupBy("cx", "cy", "part").agg(F.collect_list(row).alias("rows")), "cells")
+    return stored(dealt.groupBy("cx", "cy", "part", "parts").agg(F.collect_list(row).alias("rows")), "cells")
 
 
 def _near(points: DataFrame, eps: float, reduce, schema: str) -> DataFrame:
     """``reduce(rows, others, within)`` for every pair of blocks of neighbouring cells."""
     made = _blocks(points, eps)
     around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    sent = made.withColumn("o", F.explode(around)).select((F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), "rows")
-    met = sent.join(made.select("cx", "cy", F.col("rows").alias("others")).hint("merge"), ["cx", "cy"]).select("rows", "others")
+    # A block goes to every block of the cells around it by its number, so that a dense cell is many keys, not one.
+    cells = made.groupBy("cx", "cy").agg(F.first("parts").alias("parts"))
+    near = made.select("cx", "cy", "part").withColumn("o", F.explode(around)).select(F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.col("part").alias("fp"), (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+    near = near.join(cells, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    home = made.select(F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.col("part").alias("fp"), "rows")
+    sent = near.join(home.hint("merge"), ["fx", "fy", "fp"]).select("cx", "cy", "part", "rows")
+    met = sent.join(made.select("cx", "cy", "part", F.col("rows").alias("others")).hint("merge"), ["cx", "cy", "part"]).select("rows", "others")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -59,23 +64,22 @@ def _count(rows: list, others: list, within: np.ndarray) -> pd.DataFrame:
 
 
 def _links(rows: list, others: list, within: np.ndarray) -> pd.DataFrame:
-    """A forest over the core rows of two blocks: each row's least neighbour, and each neighbour's least row."""
+    """A forest over the core rows of two blocks: each one that has a neighbour, linked to the least of its component.
+
+    The least id spreads over the matrix, rows to columns and back, until it stays.
+    """
     a, b = _ids(rows), _ids(others)
     both = within & np.array([bool(r["core"]) for r in rows])[:, None] & np.array([bool(r["core"]) for r in others])[None, :]
-    root = {i: i for i in [*a.tolist(), *b.tolist()]}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    out = []
-    for i, j in zip(*np.nonzero(both)):
-        p, q = find(int(a[i])), find(int(b[j]))
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((max(p, q), min(p, q)))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    top = np.iinfo(np.int64).max
+    left, right = a.copy(), b.copy()
+    while True:
+        near = np.minimum(right, np.where(both, left[:, None], top).min(axis=0, initial=top))
+        back = np.minimum(left, np.where(both, near[None, :], top).min(axis=1, initial=top))
+        if np.array_equal(near, right) and np.array_equal(back, left):
+            break
+        left, right = back, near
+    links = np.unique(np.concatenate([np.column_stack([a, left])[both.any(axis=1)], np.column_stack([b, right])[both.any(axis=0)]]), axis=0)
+    return pd.DataFrame(links[links[:, 0] != links[:, 1]], columns=["a", "b"], dtype=np.int64)
 
 
 def _border(rows: list, others: list, within: np.ndarray) -> pd.DataFrame:
@@ -105,15 +109,44 @@ def least_reachable(edges: DataFrame) -> DataFrame:
     raise RuntimeError("least_reachable: not settled")
 
 
+def _in_one(rows: DataFrame, config: GroupConfig) -> DataFrame:
+    """``id, cluster`` of rows that fit one block, in one task: the same three passes over one matrix."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [p for p in batches if len(p)]
+        if not parts:
+            return
+        pdf = pd.concat(parts)
+        v = np.array(pdf["v"].tolist(), float)
+        points = [{"id": int(i)} for i in pdf["id"]]
+        apart = ((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)
+        within = apart <= config.eps * config.eps
+        for p, core in zip(points, within.sum(axis=1) >= config.min_samples):
+            p["core"] = bool(core)
+        links = _links(points, points, within)
+        least = dict(zip(links["a"].tolist(), links["b"].tolist()))
+        for p in points:
+            p["label"] = least.get(p["id"], p["id"]) if p["core"] else 0
+        found = {p["id"]: p["label"] for p in points if p["core"]}
+        border = _border(points, points, within)
+        found |= dict(zip(border["id"].tolist(), border["label"].tolist()))
+        number = {label: k for k, label in enumerate(sorted(set(found.values())), 1)}
+        yield pd.DataFrame([(p["id"], number[found[p["id"]]] if p["id"] in found else 0) for p in points], columns=["id", "cluster"])
+
+    return rows.select("id", "v").coalesce(1).mapInPandas(run, "id long, cluster long")
+
+
 def dbscan(features: DataFrame, config: GroupConfig) -> DataFrame:
     """``id, cluster``: 0 for noise, else 1, 2 and so on in order of the clusters' least core row.
 
     Plain distance over the five z-scores; a row counts among its own
     ``min_samples`` neighbours; a border row between clusters joins the one that
-    comes first. Ids are unique longs.
+    comes first. Ids are unique longs. Rows that fit one block are worked on in one task.
     """
     send_package(features.sparkSession)
     rows = normalised(features).select("id", F.array(*DIMENSIONS).alias("v"), F.lit(False).alias("core"), F.lit(0).cast("long").alias("label"))
+    if features.limit(BLOCK + 1).count() <= BLOCK:
+        return _in_one(rows, config)
     counts = _near(rows, config.eps, _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     core = rows.join(counts.where(F.col("n") >= config.min_samples).select("id", F.lit(True).alias("c")), "id", "left")
     rows = stored(core.select("id", "v", F.coalesce("c", F.lit(False)).alias("core"), "label"), "core")

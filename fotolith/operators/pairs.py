@@ -41,18 +41,21 @@ def unpack(rows: list) -> tuple[np.ndarray, Features]:
 
 
 def over_pairs(features: DataFrame, extra: list[str], reduce: Callable[[list, list, bool], pd.DataFrame], schema: str) -> DataFrame:
-    """``reduce(rows, other_rows, same_block)`` of every ordered pair of blocks."""
+    """``reduce(rows, other_rows, same_block)`` of every ordered pair of blocks; blocks meet once for both orders."""
     send_package(features.sparkSession)
     made = blocks(features, extra)
     numbered = made.select(F.col("block").alias("other"), F.col("rows").alias("others"))
-    # Each block goes to the numbers of all blocks.
+    # Each block goes to its own number and those of the blocks after it.
     top = made.agg(F.max("block")).first()[0] or 0
-    sent = made.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(top)).cast("long"))))
+    sent = made.withColumn("other", F.explode(F.sequence("block", F.lit(int(top)).cast("long"))))
     met = sent.join(numbered.hint("merge"), "other").select("rows", "others", (F.col("block") == F.col("other")).alias("same"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows, others, same in zip(pdf["rows"], pdf["others"], pdf["same"]):
-                yield reduce(list(rows), list(others), bool(same))
+                rows, others = list(rows), list(others)
+                yield reduce(rows, others, bool(same))
+                if not same:
+                    yield reduce(others, rows, False)
 
     return met.mapInPandas(run, schema)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from fotolith import catalogue_queries, datagen, reports
+from fotolith import catalogue_queries, datagen, feature_queries, reports
 from fotolith.functions import distance, hashes, labels, names
 from fotolith.operators import catalog, dbscan, features, leader, silhouette, stats, tune
 from fotolith.plans import moves
@@ -32,15 +32,18 @@ def plain(x):
     return round(x, 9) if isinstance(x, float) else x.replace(tzinfo=None) if hasattr(x, "tzinfo") else x
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue_queries.ORACLE if n not in ("knn_kdistance", "auto_tune_eps", "silhouette_by_label", "dbscan_clusters")])
+SQL = catalogue_queries.ORACLE | feature_queries.ORACLE
+
+
+@pytest.mark.parametrize("name", SQL)
 def test_query_matches_its_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "events", "orders", "lineitem", "part", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    found = con.execute(catalogue_queries.ORACLE[name])
+    found = con.execute(SQL[name])
     names_ = [d[0] for d in found.description]
     want = sorted((tuple(plain(v) for _, v in sorted(zip(names_, r))) for r in found.fetchall()), key=str)
-    df = catalogue_queries.QUERIES[name](spark, sf)
+    df = (catalogue_queries.QUERIES | feature_queries.QUERIES)[name](spark, sf)
     got = sorted((tuple(plain(v) for _, v in sorted(r.asDict().items())) for r in df.collect()), key=str)
     assert sorted(df.columns) == sorted(names_) and got == want
 
@@ -212,15 +215,38 @@ def plain_dbscan(rows, cfg):
     return {i: order[label[i]] if i in label else 0 for i in near}
 
 
-@pytest.mark.parametrize("eps", [0.3, 0.8])
-def test_dbscan(spark, monkeypatch, eps):
-    monkeypatch.setattr(dbscan, "BLOCK", 16)
+@pytest.mark.parametrize(("eps", "block"), [(0.3, 16), (0.8, 16), (9.0, 16), (0.3, 1024), (0.8, 1024)])
+def test_dbscan(spark, monkeypatch, eps, block):
+    monkeypatch.setattr(dbscan, "BLOCK", block)
     rows, cfg = plain_features(80, 3), GroupConfig(eps=eps, min_samples=4)
     made = dbscan.dbscan(spark.createDataFrame(rows, FEATURE), cfg).collect()
     assert {r["id"]: r["cluster"] for r in made} == plain_dbscan(rows, cfg)
 
 
-def test_dbscan_of_equal_points(spark):
+def test_links_of_two_blocks_span_their_components():
+    rng = random.Random(4)
+    for _ in range(200):
+        n, m = rng.randint(1, 12), rng.randint(1, 12)
+        rows = [{"id": i, "core": rng.random() < 0.8} for i in rng.sample(range(100), n)]
+        others = [{"id": i, "core": rng.random() < 0.8} for i in rng.sample(range(100, 200), m)]
+        within = np.array([[rng.random() < 0.2 for _ in others] for _ in rows])
+        edges = {(a["id"], b["id"]) for i, a in enumerate(rows) for j, b in enumerate(others) if within[i, j] and a["core"] and b["core"]}
+        links = set(map(tuple, dbscan._links(rows, others, within).to_numpy().tolist()))
+
+        def parts(pairs):
+            group = {x: {x} for x in range(200)}
+            for a, b in pairs:
+                joined = group[a] | group[b]
+                for x in joined:
+                    group[x] = joined
+            return {frozenset(g) for g in group.values()}
+
+        assert parts(links) == parts(edges)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_dbscan_of_equal_points(spark, monkeypatch, block):
+    monkeypatch.setattr(dbscan, "BLOCK", block)
     rows = [(i, 0, "p", 1.0, 0.0, 0.0, 0.0, 1.0, None, []) for i in range(10)]
     assert {r["cluster"] for r in dbscan.dbscan(spark.createDataFrame(rows, FEATURE), GroupConfig(eps=0.5, min_samples=3)).collect()} == {1}
 
