@@ -83,6 +83,16 @@ class Scratch:
         delete_path(self.spark, f"{self.root}/{name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that nothing refers to any more.
+
+    They go when the driver collects garbage, which on a long job may be much
+    later; until then they fill the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

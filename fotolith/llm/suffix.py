@@ -3,32 +3,34 @@
 A byte goes if it is covered by a ``WIDTH``-byte string that also starts in a
 document with a smaller id. Matches never cross documents; overlaps count.
 
-The plan is that of the difference-cover algorithm, cut to the depth of ``WIDTH``
-bytes that the comparison needs, and with a cover that depends on content:
-
-1. *Sample.* A difference cover guarantees that two equal strings have sampled
-   positions at the same distance from their starts. Here a position is sampled
-   if the hash of the triple of eight-byte symbols that starts there is the least
-   of some string's triples, ties to the left; that is a function of the string's
-   bytes alone, so equal strings sample alike, and one position in 14 is sampled
-   instead of two in three.
-2. *Sort sampled triples and name them.* Triples are dealt by name to buckets,
-   sorted there with the names of all documents, and equal ones stand together.
-3. *Recurse on names.* The starts whose sampled position is the same triple make a
-   run; a run's name joins its triple with the names of its first and last string,
-   which cover it wholly. Equal run names in a smaller document settle the run.
-4. *Merge remaining suffixes.* Only runs that differ around an equal triple are
-   left. Each of their starts is named by its whole ``WIDTH``-byte prefix and
-   sorted in the same way.
-5. *Compare adjacent prefixes.* Sorted by name, then document, a start is covered
-   if an equal prefix stands before it in a smaller document.
+``COVER`` is a difference cover of the residues modulo ``PERIOD``: for any two
+positions there is a shift of at most 30 bytes after which both are sampled, and a
+triple of ``TRIPLE`` bytes that starts there still lies inside the ``WIDTH`` bytes.
+
+1. *Sort sampled triples.* Triples (three symbols of seven, six and six bytes) that
+   occur once are discarded first: a fingerprint of each goes to the bucket of its
+   value, and those that no second one equals stay at home. The others are dealt by
+   ranges of their text, sorted there, and named by bucket and rank, so names have
+   the order of the text.
+2. *Recurse on names.* The suffix of a sampled position is the name of its triple,
+   the twelve bytes up to the next sample of its residue class, and that one's
+   name: ``WIDTH`` bytes in all, so one recursion ends it. These triples are sorted
+   in the bucket of their first name.
+3. *Merge remaining suffixes.* A start that lies in no covered run, and has an
+   anchor (a sampled triple within the shift) whose name an earlier document holds, asks
+   for that name; blocks that hold a name that a later document asks for answer
+   with the starts around it. Both are dealt by ranges of their text and sorted.
+4. *Compare adjacent prefixes.* In either order, equal strings stand together by
+   document; all but the first block's are covered.
+
+Results do not rest on hashes: a fingerprint only decides what is sorted, and equal
+triples have equal fingerprints.
 
 Documents are dealt by ranges of their id to blocks, so the number of a block
-says which of two documents is smaller, and a block sends each different name
-once: a passage that a third of the documents share costs one name a block.
-Names are 72 bits or more with the bucket's. The text is shuffled once; blocks
-lie compressed in a bucketed table of the shared folder, which later steps read
-without a shuffle, and answers are bitmaps.
+says which of two documents is smaller, and a block sends each different string
+once: a passage that a third of the documents share costs one string a block.
+The text is shuffled once; blocks lie compressed in a bucketed table of the shared
+folder, which later steps read without a shuffle. Buckets grow in number with the text.
 
 Defined results: null texts are empty; rows without id keep their text and take
 no part; rows that share an id are no smaller than each other (they stay in one
@@ -40,43 +42,114 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolith.llm.common import Scratch, partitions, prepare, tidied
+from fotolith.llm.common import Scratch, partitions, prepare, release, tidied
+from fotolith.llm.rules import _mix
 
 WIDTH = 50
-#: Bytes of a triple: three symbols of eight bytes.
-TRIPLE = 24
-#: Triples inside one string.
-INSIDE = WIDTH - TRIPLE + 1
+#: A perfect difference set; every residue is a difference of two of them.
+PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Bytes of a triple; it lies inside a string after any shift below the period.
+TRIPLE = WIDTH - PERIOD
+#: Bytes between a triple and the next of its residue class.
+GAP = PERIOD - TRIPLE
 #: A block ends at this many bytes, at a change of the document id.
 BLOCK_BYTES = 2 << 20
-#: Starts that are worked on at a time.
-STEP = 1 << 18
-#: Buckets of names for each shuffle partition.
-BUCKETS_A_PARTITION = 1
-#: Bytes of a name's two parts in a message.
-FIRST, SECOND = 5, 4
+#: Bytes of text for each bucket of strings.
+BUCKET_BYTES = 16 << 20
+#: Bits of a fingerprint beyond those that number the bytes of the corpus.
+SPARE_BITS = 6
+#: Triples of a block that tell where ranges of text are cut, and the most that are looked at.
+PROBES, MAX_PROBES = 32, 1 << 18
 
 #: Carried columns keep nulls and microseconds.
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+Found = list | None
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
+# Arrays
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, compressed; bytes of equal weight lie together, most of them alike."""
+    flat = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(flat)
+
+
+def unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    """The ``n`` columns of ``pack``."""
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return [np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel() for x in np.split(flat, n)]
+
+
+def steps(sorted_values: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
+
+
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a sorted row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+@dataclass
+class Distinct:
+    """The different rows of some columns, sorted: each item's place among them, an item of each, and which repeat."""
+
+    place: np.ndarray
+    item: np.ndarray
+    many: np.ndarray
+
+    @classmethod
+    def of(cls, columns: list[np.ndarray]) -> Distinct:
+        order = np.lexsort(columns[::-1])  # stable: a row's first item is the one of the least document
+        new = changes([c[order] for c in columns])
+        group = np.cumsum(new) - 1
+        place = np.empty(len(order), np.int64)
+        place[order] = group
+        return cls(place, order[new], np.bincount(group, minlength=int(new.sum())) > 1)
+
+
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Half-open intervals, sorted by start, joined where they touch or overlap: rows of start and stop."""
+    stay = low < high
+    low, high = low[stay], high[stay]
+    if not len(low):
+        return np.zeros((0, 2), np.int64)
+    sort = np.argsort(low, kind="stable")
+    low, reach = low[sort], np.maximum.accumulate(high[sort])
+    at = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
+    return np.column_stack([low[at], reach[np.append(at[1:] - 1, len(reach) - 1)]])
+
+
+def members(spans: np.ndarray) -> np.ndarray:
+    """All numbers of disjoint intervals."""
+    size = spans[:, 1] - spans[:, 0]
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(spans[:, 0], size)
+
+
+def inside(values: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Whether each value lies in one of some disjoint sorted intervals."""
+    at = np.searchsorted(spans[:, 0], values, side="right") - 1
+    return (at >= 0) & (values < spans[np.maximum(at, 0), 1]) if len(spans) else np.zeros(len(values), bool)
+
+
+# Blocks
 
 
 @dataclass
@@ -91,177 +164,320 @@ class Block:
         self.n = len(self.data)
         self.ends = np.cumsum(self.lengths)
         padded = self.data + bytes(64)
-        #: The eight bytes from each position on, as one number.
-        self.symbols = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        #: The eight bytes from each position on, as one number in the order of the text.
+        self.words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+        self.order = np.cumsum(np.concatenate([[0], self.ids[1:] != self.ids[:-1]])) if len(self.ids) else self.ids
+
+    @classmethod
+    def read(cls, ids: bytes, lengths: bytes, data: bytes) -> Block:
+        return cls(np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64), zstandard.ZstdDecompressor().decompress(data))
+
+    def documents(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, side="right")
 
     def ranks(self, at: np.ndarray) -> np.ndarray:
         """The order of the documents that positions lie in; equal ids rank alike."""
-        rank = np.cumsum(np.concatenate([[0], self.ids[1:] != self.ids[:-1]])) if len(self.ids) else self.ids
-        return rank[np.searchsorted(self.ends, at, side="right")]
-
-    def triples(self, at: np.ndarray | slice) -> np.ndarray:
-        """Hashes of the triples at positions."""
-        if isinstance(at, slice):
-            x = self.symbols[at.start : at.stop + 16].copy()
-            a, b, c = x[: at.stop - at.start], x[8 : at.stop - at.start + 8], x[16:]
-        else:
-            a, b, c = self.symbols[at], self.symbols[at + 8], self.symbols[at + 16]
-        h = a * _A
-        h ^= h >> np.uint64(32)
-        h += b
-        h *= _B
-        h ^= h >> np.uint64(29)
-        h += c
-        h *= _C
-        h ^= h >> np.uint64(32)
-        return h
-
-    def prefixes(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the whole strings that start at positions."""
-        h = np.zeros(len(at), np.uint64)
-        for k in (0, 8, 16, 24, 32, 40, WIDTH - 8):
-            h = mix(h * _A + self.symbols[at + k])
-        return h
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First start, last start and sampled position of each run of starts."""
-        whole = np.ones(max(self.n, 0), bool)
-        for end, size in zip(self.ends.tolist(), self.lengths.tolist()):
-            whole[end - min(size, WIDTH - 1) : end] = False
-        out = []
-        low = np.uint64(0xFFFFFFFF)
-        for s in range(0, self.n - WIDTH + 1, STEP):
-            e = min(s + STEP, self.n - WIDTH + 1)
-            m = self.triples(slice(s, e + INSIDE - 1))
-            m &= ~low
-            m |= np.arange(s, e + INSIDE - 1, dtype=np.uint64)
-            for k in (1, 2, 4, 8):
-                m = np.minimum(m[:-k], m[k:])
-            m = np.minimum(m[: e - s], m[INSIDE - 16 : INSIDE - 16 + e - s])
-            at = np.flatnonzero(whole[s:e])
-            if not len(at):
-                continue
-            picked = (m[at] & low).astype(np.int64)
-            at += s
-            new = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (at[1:] != at[:-1] + 1)]))
-            out.append((at[new], at[np.concatenate([new[1:] - 1, [len(at) - 1]])], picked[new]))
-        if not out:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        first, last, picked = (np.concatenate(x) for x in zip(*out))
-        # A run that goes on over a step's end is one run.
-        same = np.concatenate([[False], (picked[1:] == picked[:-1]) & (first[1:] == last[:-1] + 1)])
-        head = np.flatnonzero(~same)
-        return first[head], last[np.concatenate([head[1:] - 1, [len(last) - 1]])], picked[head]
+        return self.order[self.documents(at)]
+
+    def word(self, at: np.ndarray, size: int = 8) -> np.ndarray:
+        """The next bytes of each position, eight or fewer, as a number."""
+        return self.words[at].astype(np.uint64) >> np.uint64(64 - 8 * size)
+
+    def samples(self) -> np.ndarray:
+        """The sampled positions whose triple lies in their document."""
+        at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
+        at = at[at < self.n]
+        return at[self.ends[self.documents(at)] - at >= TRIPLE]
+
+    def triples(self, at: np.ndarray) -> list[np.ndarray]:
+        return [self.word(at), self.word(at + 8), self.word(at + 16, TRIPLE - 16)]
+
+    def strings(self, at: np.ndarray) -> list[np.ndarray]:
+        return [*(self.word(at + k) for k in range(0, 48, 8)), self.word(at + 48, WIDTH - 48)]
+
+    def starts(self, anchors: np.ndarray) -> np.ndarray:
+        """The intervals of whole strings that have one of the positions within the shift."""
+        doc = self.documents(anchors)
+        low = np.maximum(anchors - PERIOD + 1, (self.ends - self.lengths)[doc])
+        return ranges(low, np.minimum(anchors, self.ends[doc] - WIDTH) + 1)
+
+
+def earlier_of(block: Block, at: np.ndarray, found: Distinct, elsewhere: np.ndarray) -> np.ndarray:
+    """Whether an equal row stands in an earlier document: ``elsewhere`` tells it of other blocks."""
+    rank = block.ranks(at)
+    return (elsewhere | np.zeros(len(found.item), bool))[found.place] | (rank > rank[found.item][found.place])
+
+
+def by_bucket(bucket: np.ndarray, payload: Callable[[slice], bytes]) -> list[tuple[int, bytes]]:
+    """A message for each bucket; items are sorted by bucket."""
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return [(int(bucket[a]), payload(slice(a, b))) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)])]
+
+
+def flags(found: Found, sizes: np.ndarray) -> np.ndarray:
+    """The bits of the answers, bucket by bucket; ``sizes``: items of each bucket that has some."""
+    bits = [np.unpackbits(np.frombuffer(x["reply"], np.uint8), count=int(k)) for x, k in zip(found or [], sizes)]
+    return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+
+
+def runs_of(bucket: np.ndarray) -> np.ndarray:
+    """How many items each bucket that occurs has."""
+    return np.diff(np.flatnonzero(np.diff(bucket, prepend=-1)), append=len(bucket))
 
 
 @dataclass
-class Names:
-    """The different names of a block, sorted by bucket, and each item's place among them."""
+class Plan:
+    """What all blocks share: number of buckets, bits of a fingerprint, and where ranges of text are cut."""
 
-    first: np.ndarray
-    second: np.ndarray
-    counts: np.ndarray
-    place: np.ndarray
-    least: np.ndarray
-
-    def messages(self) -> Iterator[tuple[int, bytes]]:
-        raw = np.empty((len(self.first), FIRST + SECOND), np.uint8)
-        raw[:, :FIRST] = self.first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FIRST]
-        raw[:, FIRST:] = self.second.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SECOND]
-        at = 0
-        for bucket in np.flatnonzero(self.counts).tolist():
-            k = int(self.counts[bucket])
-            yield bucket, raw[at : at + k].tobytes()
-            at += k
-
-
-def names_of(one: np.ndarray, two: np.ndarray, rank: np.ndarray, buckets: int) -> Names:
-    """Names from two hashes; ``rank``: the order of each item's document, ascending."""
-    first, bucket = one & np.uint64((1 << 8 * FIRST) - 1), ((one >> np.uint64(8 * FIRST)) % np.uint64(buckets)).astype(np.int64)
-    second = two & np.uint64((1 << 8 * SECOND) - 1)
-    sort = np.lexsort((second, first, bucket))
-    b, f, s = bucket[sort], first[sort], second[sort]
-    new = np.ones(len(sort), bool)
-    new[1:] = (b[1:] != b[:-1]) | (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+    buckets: int
+    bits: int
+    cuts: list[np.ndarray]
+
+    def bucket_of(self, triples: list[np.ndarray]) -> np.ndarray:
+        """The range of each of some sorted triples."""
+        m = len(self.cuts[0])
+        both = [np.concatenate([c, t]) for c, t in zip(self.cuts, triples)]
+        order = np.lexsort([np.arange(len(both[0])) >= m, *both[::-1]])
+        cut = order < m
+        return np.cumsum(cut)[~cut]
+
+
+# 1. Sampled triples
+
+
+def fingerprints(block: Block, plan: Plan) -> tuple[np.ndarray, Distinct, np.ndarray, np.ndarray]:
+    """Sampled positions, their different fingerprints, and bucket and value of each of those."""
+    at = block.samples()
+    a, b, c = block.triples(at)
+    value = _mix(_mix(_mix(a) ^ b) ^ c) >> np.uint64(64 - plan.bits)
+    bucket, rest = value % np.uint64(plan.buckets), value // np.uint64(plan.buckets)
+    found = Distinct.of([bucket << np.uint64(40) | rest])
+    return at, found, bucket[found.item].astype(np.int64), rest[found.item]
+
+
+def send_fingerprints(block: Block, plan: Plan) -> list[tuple[int, bytes]]:
+    _, _, bucket, rest = fingerprints(block, plan)
+    return by_bucket(bucket, lambda s: pack([steps(rest[s])]))
+
+
+def meet_fingerprints(payloads: list[bytes]) -> list[bytes]:
+    """Bits: the value occurs in another block."""
+    values = [np.cumsum(unpack(p, 1)[0]) for p in payloads]
+    flat = np.concatenate(values)
+    order = np.argsort(flat, kind="stable")
+    new = changes([flat[order]])
+    twice = ~new
+    twice[:-1] |= ~new[1:]
+    hit = np.empty(len(flat), bool)
+    hit[order] = twice
+    return split_bits(hit, values)
+
+
+def split_bits(hit: np.ndarray, parts: list[np.ndarray]) -> list[bytes]:
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    return [np.packbits(hit[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def repeated(block: Block, plan: Plan, found: Found) -> np.ndarray:
+    """The sampled positions whose fingerprint occurs again."""
+    at, own, bucket, _ = fingerprints(block, plan)
+    return at[(own.many | flags(found, runs_of(bucket)))[own.place]] if len(at) else at
+
+
+def triple_groups(block: Block, plan: Plan, at: np.ndarray) -> tuple[Distinct, list[np.ndarray], np.ndarray]:
+    triples = block.triples(at)
+    found = Distinct.of(triples)
+    own = [t[found.item] for t in triples]
+    return found, own, plan.bucket_of(own)
+
+
+def send_triples(block: Block, plan: Plan, at: np.ndarray) -> list[tuple[int, bytes]]:
+    _, own, bucket = triple_groups(block, plan, at)
+    return by_bucket(bucket, lambda s: pack([steps(own[0][s]), own[1][s], own[2][s]]))
+
+
+def sort_rows(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of all parts, equal ones by part, and where the sorted rows change."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.lexsort(columns[::-1])
+    return order, changes([c[order] for c in columns])
+
+
+def meet_triples(payloads: list[bytes]) -> list[bytes]:
+    """The rank of each triple among the bucket's, whether another block has it, and whether an earlier one."""
+    parts = [(lambda c: [np.cumsum(c[0]), *c[1:]])(unpack(p, 3)) for p in payloads]
+    order, new = sort_rows(parts)
     group = np.cumsum(new) - 1
-    place = np.empty(len(sort), np.int64)
-    place[sort] = group
-    return Names(f[new], s[new], np.bincount(b[new], minlength=buckets), place, rank[sort][new])
-
-
-def compare(blocks: np.ndarray, payloads: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """Of each block's names in one bucket two bitmaps: an equal name stands in an earlier block; an equal first part has another second."""
-    sizes = np.array([len(p) // (FIRST + SECOND) for p in payloads])
-    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FIRST + SECOND)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :FIRST] = raw[:, :FIRST]
-    first = wide.view("<u8").ravel().copy()
-    wide[:] = 0
-    wide[:, :SECOND] = raw[:, FIRST:]
-    second = wide.view("<u8").ravel()
-    owner = np.repeat(blocks, sizes)
-    sort = np.lexsort((owner, second, first))
-    f, s = first[sort], second[sort]
-    head = np.ones(len(f), bool)
-    head[1:] = f[1:] != f[:-1]
-    new = head.copy()
-    new[1:] |= s[1:] != s[:-1]
-    group = np.cumsum(head) - 1
-    mixed = np.empty(len(f), bool)
-    mixed[sort] = (np.bincount(group, weights=new) > 1)[group]
-    earlier = np.empty(len(f), bool)
-    earlier[sort] = ~new
-    ends = np.cumsum(sizes)
-    return [(np.packbits(earlier[e - k : e]).tobytes(), np.packbits(mixed[e - k : e]).tobytes()) for e, k in zip(ends, sizes)]
-
-
-def answers(messages: DataFrame) -> DataFrame:
-    """``block, found``: for each block, by bucket, the two bitmaps of ``compare``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = compare(pdf["block"].to_numpy(), pdf["names"].tolist())
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "earlier": [x[0] for x in found], "mixed": [x[1] for x in found]})
-
-    out = messages.groupBy("bucket").applyInPandas(run, "block long, bucket long, earlier binary, mixed binary")
-    return out.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "earlier", "mixed"))).alias("found"))
-
-
-def read_bits(names: Names, found: list | None, field: str) -> np.ndarray:
-    counts = names.counts[names.counts > 0]
-    bits = [np.unpackbits(np.frombuffer(x[field], np.uint8), count=int(k)) for x, k in zip(found or [], counts)]
-    return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    shared = (np.bincount(group) > 1)[group]
+    rank, bits = np.empty(len(order), np.uint64), np.empty(len(order), np.uint64)
+    rank[order], bits[order] = group, 2 * shared + ~new
+    out, a = [], 0
+    for p in parts:
+        b = a + len(p[0])
+        out.append(pack([steps(rank[a:b]) << np.uint64(2) | bits[a:b]]))
+        a = b
+    return out
 
 
-def run_names(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Names]:
-    first, last, at = block.runs()
-    shape = ((last - first) * WIDTH + (at - first)).astype(np.uint64)
-    two = mix(block.prefixes(first) * _A + block.prefixes(last) + shape * _C)
-    rank = block.ranks(first)
-    return first, last, rank, names_of(mix(block.triples(at) + _A), two, rank, buckets)
+@dataclass
+class Named:
+    """Sampled positions whose triple occurs again, the triples' names, and whether an earlier document has them."""
 
+    at: np.ndarray
+    name: np.ndarray
+    earlier: np.ndarray
 
-def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """All starts from first to last of each run."""
-    size = last - first + 1
-    ends = np.cumsum(size)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(first, size)
+    def state(self) -> bytes:
+        return pack([steps(self.at), self.name, self.earlier])
 
+    @classmethod
+    def load(cls, state: bytes) -> Named:
+        at, name, earlier = unpack(state, 3)
+        return cls(np.cumsum(at).astype(np.int64), name, earlier.astype(bool))
 
-def start_names(block: Block, starts: np.ndarray, buckets: int) -> tuple[np.ndarray, Names]:
-    name = block.prefixes(starts)
-    rank = block.ranks(starts)
-    return rank, names_of(name, mix(name ^ block.symbols[starts + 21]), rank, buckets)
+
+def named(block: Block, plan: Plan, at: np.ndarray, found: Found) -> Named:
+    if not len(at):
+        return Named(at, np.zeros(0, np.uint64), np.zeros(0, bool))
+    own, _, bucket = triple_groups(block, plan, at)
+    codes = [unpack(x["reply"], 1)[0] for x in found]
+    rank = np.concatenate([np.cumsum(c >> np.uint64(2)) for c in codes])
+    bits = np.concatenate(codes) & np.uint64(3)
+    name = bucket.astype(np.uint64) << np.uint64(32) | rank
+    again = (own.many | (bits >= 2))[own.place]
+    earlier = earlier_of(block, at, own, (bits & np.uint64(1)).astype(bool))
+    return Named(at[again], name[own.place][again], earlier[again])
+
+
+# 2. Names
+
+
+def tuples(block: Block, own: Named) -> tuple[np.ndarray, Distinct, list[np.ndarray]]:
+    """Positions whose whole string has names, the different strings' positions, and these as name, gap and name."""
+    where = np.full(block.n + PERIOD + 1, -1)
+    where[own.at] = np.arange(len(own.at))
+    after = where[own.at + PERIOD]
+    good = np.flatnonzero((after >= 0) & (block.ends[block.documents(own.at)] - own.at >= WIDTH)) if len(own.at) else np.zeros(0, np.int64)
+    at = own.at[good]
+    rows = [own.name[good], block.word(at + TRIPLE), block.word(at + TRIPLE + 8, GAP - 8), own.name[after[good]]]
+    found = Distinct.of(rows)
+    return at, found, [r[found.item] for r in rows]
+
+
+def buckets_of(names: np.ndarray) -> np.ndarray:
+    return (names >> np.uint64(32)).astype(np.int64)
+
+
+def send_tuples(block: Block, own: Named) -> list[tuple[int, bytes]]:
+    _, _, rows = tuples(block, own)
+    return by_bucket(buckets_of(rows[0]), lambda s: pack([steps(rows[0][s]), *(r[s] for r in rows[1:])]))
+
+
+def meet_rows(width: int) -> Callable[[list[bytes]], list[bytes]]:
+    """Bits: an equal row, whose first column is sent as steps, stands in an earlier block."""
+
+    def meet(payloads: list[bytes]) -> list[bytes]:
+        parts = [(lambda c: [np.cumsum(c[0]), *c[1:]])(unpack(p, width)) for p in payloads]
+        order, new = sort_rows(parts)
+        hit = np.empty(len(order), bool)
+        hit[order] = ~new
+        return split_bits(hit, [p[0] for p in parts])
+
+    return meet
+
+
+def covered_runs(block: Block, own: Named, found: Found) -> np.ndarray:
+    """The byte ranges of sampled strings that an earlier document has."""
+    at, different, rows = tuples(block, own)
+    if not len(at):
+        return np.zeros((0, 2), np.int64)
+    gone = at[earlier_of(block, at, different, flags(found, runs_of(buckets_of(rows[0]))))]
+    return ranges(gone, gone + WIDTH)
+
+
+# 3. Remaining suffixes
+
+
+def claims(block: Block, own: Named, covered: np.ndarray) -> np.ndarray:
+    """The starts that an earlier document may have and that lie in no covered run."""
+    starts = members(block.starts(own.at[own.earlier]))
+    whole = covered - np.array([0, WIDTH - 1])
+    return starts[~inside(starts, whole[whole[:, 0] < whole[:, 1]])]
+
+
+def asked(own: Named, starts: np.ndarray) -> np.ndarray:
+    """Of each named position, whether a start that it anchors is among the sorted ``starts``."""
+    near = np.searchsorted(starts, own.at - PERIOD + 1)
+    return own.earlier & (near < len(starts)) & (np.append(starts, np.iinfo(np.int64).max)[near] <= own.at)
+
+
+def send_claims(own: Named, starts: np.ndarray) -> list[tuple[int, bytes]]:
+    """Every different name of the block, and whether the block asks for it."""
+    found = Distinct.of([own.name])
+    wanted = np.zeros(len(found.item), bool)
+    wanted[found.place[asked(own, starts)]] = True
+    names = own.name[found.item]
+    bucket = buckets_of(names)
+    return by_bucket(bucket, lambda s: pack([steps(names[s]), wanted[s]]))
+
+
+def meet_claims(payloads: list[bytes]) -> list[bytes]:
+    """Bits: the block itself or a later one asks for the name."""
+    parts = [unpack(p, 2) for p in payloads]
+    names = [np.cumsum(p[0]) for p in parts]
+    flat, place = np.unique(np.concatenate(names), return_inverse=True)
+    owner = np.repeat(np.arange(len(parts)), [len(x) for x in names])
+    wants = np.concatenate([p[1] for p in parts]).astype(bool)
+    last = np.full(len(flat), -1)
+    np.maximum.at(last, place[wants], owner[wants])
+    return split_bits(last[place] >= owner, names)
+
+
+def remaining(block: Block, own: Named, starts: np.ndarray, found: Found) -> np.ndarray:
+    """The starts to sort: the block's claims, and those around names that it or a later block asks for."""
+    if not len(own.at):
+        return starts
+    names = Distinct.of([own.name])
+    wanted = flags(found, runs_of(buckets_of(own.name[names.item])))[names.place]
+    return np.union1d(starts, members(block.starts(own.at[wanted])))
+
+
+def string_groups(block: Block, plan: Plan, at: np.ndarray) -> tuple[Distinct, list[np.ndarray], np.ndarray]:
+    strings = block.strings(at)
+    found = Distinct.of(strings)
+    own = [s[found.item] for s in strings]
+    return found, own, plan.bucket_of([own[0], own[1], own[2] >> np.uint64(8 * (24 - TRIPLE))])
+
+
+def send_strings(block: Block, plan: Plan, at: np.ndarray) -> list[tuple[int, bytes]]:
+    _, own, bucket = string_groups(block, plan, at)
+    return by_bucket(bucket, lambda s: pack([steps(own[0][s]), *(c[s] for c in own[1:])]))
+
+
+def covered_starts(block: Block, plan: Plan, at: np.ndarray, found: Found) -> np.ndarray:
+    if not len(at):
+        return at
+    different, _, bucket = string_groups(block, plan, at)
+    return at[earlier_of(block, at, different, flags(found, runs_of(bucket)))]
+
+
+# Spark
+
+
+_BLOCKS = "block long, n long, ids binary, lengths binary, data binary, carried binary, probes binary"
+_SENT = "block long, bucket long, payload binary, state binary, covered binary"
+_TEXT = ["ids", "lengths", "data"]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
 
 
-_BLOCKS = "block long, ids binary, lengths binary, data binary, carried binary"
-_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary()), ("carried", pa.binary())])
-_MESSAGES = "block long, bucket long, names binary, covered binary, left binary"
-_MESSAGES_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary()), ("covered", pa.binary()), ("left", pa.binary())])
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
 def _out_arrow(as_text: bool) -> pa.Schema:
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     return pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("spans", spans), ("carried", pa.string())])
@@ -285,7 +501,11 @@ def make_blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            return _batch([(number, np.array(ids, np.int64).tobytes(), lengths.tobytes(), press.compress(b"".join(texts)), press.compress(json.dumps(extra).encode()))], _BLOCKS_ARROW)
+            block = Block(np.array(ids, np.int64), lengths, b"".join(texts))
+            at = block.samples()
+            probes = np.stack(block.triples(at[:: max(1, len(at) // PROBES)][:PROBES]))
+            row = (number, block.n, block.ids.tobytes(), lengths.tobytes(), press.compress(block.data), press.compress(json.dumps(extra).encode()), probes.tobytes())
+            return _batch([row], _arrow(_BLOCKS))
 
         for batch in batches:
             for i, text, more in zip(*(c.to_pylist() for c in batch.columns)):
@@ -302,19 +522,44 @@ def make_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "carried").mapInArrow(tidied(run), _BLOCKS)
 
 
-def _block(ids: bytes, lengths: bytes, data: bytes) -> Block:
-    return Block(np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64), zstandard.ZstdDecompressor().decompress(data))
+def make_plan(blocks: DataFrame) -> Plan:
+    """Numbers of buckets and bits from the size of the text; cuts from a bounded sample, which only balances the buckets."""
+    made, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = max(2 * partitions(blocks.sparkSession), total // BUCKET_BYTES + 1)
+    every = max(1, -(-made * PROBES // MAX_PROBES))
+    probes = [np.frombuffer(r["probes"], np.uint64).reshape(3, -1) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("probes").collect()]
+    flat = np.concatenate([np.zeros((3, 0), np.uint64), *probes], axis=1)
+    flat = flat[:, np.lexsort(flat[::-1])]
+    cuts = flat[:, np.linspace(0, flat.shape[1], buckets, endpoint=False).astype(np.int64)[1:]] if flat.shape[1] else flat
+    return Plan(buckets, min(64, max(int(total).bit_length(), 24) + SPARE_BITS), list(cuts))
 
 
-def _merge(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Intervals sorted by start, joined where they touch or overlap: rows of start and stop."""
-    if not len(first):
-        return np.zeros((0, 2), np.int64)
-    sort = np.argsort(first, kind="stable")
-    first, reach = first[sort], np.maximum.accumulate(stop[sort])
-    new = np.concatenate([[True], first[1:] > reach[:-1]])
-    at = np.flatnonzero(new)
-    return np.column_stack([first[at], reach[np.concatenate([at[1:] - 1, [len(reach) - 1]])]])
+def exchange(sent: DataFrame, meet: Callable[[list[bytes]], list[bytes]], scratch: Scratch, name: str) -> DataFrame:
+    """``block, found``: for each block the answers to its messages, by bucket.
+
+    ``meet`` gets a bucket's messages in order of the blocks; there is at most one of a block.
+    """
+    kind = "block long, bucket long, reply binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            replies = meet([p for _, p in held])
+            return _batch([(b, bucket, r) for (b, _), r in zip(held, replies)], _arrow(kind))
+
+        last, held = None, []
+        for batch in batches:
+            for block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != last and held:
+                    yield close(last, held)
+                    held = []
+                last = bucket
+                held.append((block, payload))
+        if held:
+            yield close(last, held)
+
+    dealt = sent.where("bucket is not null").select("block", "bucket", "payload").repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "block")
+    answers = dealt.mapInArrow(tidied(run), kind).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("found"))
+    return scratch.write(answers, name)
 
 
 def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -330,7 +575,6 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_
     packed = F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))), JSON_OPTIONS) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), packed.alias("carried"))
     parts = partitions(spark)
-    buckets = BUCKETS_A_PARTITION * parts
 
     ordered = rows.where("doc_id is not null").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     name = f"fotolith_blocks_{uuid.uuid4().hex}"
@@ -338,49 +582,79 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_
     make_blocks(ordered).write.option("path", f"{scratch.root}/blocks").option("compression", "uncompressed").bucketBy(parts, "block").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the frame is resolved; the files are the scratch folder's
+    shared = spark.sparkContext.broadcast(make_plan(blocks))
 
-    def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, *stored in zip(*(c.to_pylist() for c in batch.columns)):
-                *_, names = run_names(_block(*stored), buckets)
-                yield _batch([(number, b, x, None, None) for b, x in names.messages()], _MESSAGES_ARROW)
+    def each(frame: DataFrame, columns: list[str], work: Callable) -> DataFrame:
+        """``work(block, plan, *columns)`` gives a block's messages and, for later steps, its state and covered ranges."""
 
-    text = ["ids", "lengths", "data"]
-    sent = blocks.select("block", *text).mapInArrow(tidied(send_runs), _MESSAGES)
-    first_answers = scratch.write(answers(sent.select("block", "bucket", "names")), "runs")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, ids, lengths, data, *more in zip(*(c.to_pylist() for c in batch.columns)):
+                    sent, state, covered = work(Block.read(ids, lengths, data), shared.value, *more)
+                    kept = [] if state is None else [(number, None, None, state, covered)]
+                    yield _batch([*kept, *((number, b, p, None, None) for b, p in sent)], _arrow(_SENT))
 
-    def send_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, ids, lengths, data, found in zip(*(c.to_pylist() for c in batch.columns)):
-                block = _block(ids, lengths, data)
-                first, last, rank, names = run_names(block, buckets)
-                earlier, mixed = read_bits(names, found, "earlier"), read_bits(names, found, "mixed")
-                settled = earlier[names.place] | (rank > names.least[names.place])
-                covered = _merge(first[settled], last[settled] + WIDTH)
-                left = ~settled & mixed[names.place]
-                runs = np.column_stack([first[left], last[left]])
-                _, more = start_names(block, spread(runs[:, 0], runs[:, 1]), buckets)
-                yield _batch([(number, None, None, covered.tobytes(), runs.tobytes()), *((number, b, x, None, None) for b, x in more.messages())], _MESSAGES_ARROW)
-
-    met = blocks.select("block", *text).join(first_answers, "block", "left").select("block", *text, "found")
-    second = scratch.write(met.mapInArrow(tidied(send_starts), _MESSAGES), "starts", "lz4")
-    second_answers = scratch.write(answers(second.where("bucket is not null").select("block", "bucket", "names")), "prefixes")
+        return frame.select("block", *_TEXT, *columns).mapInArrow(tidied(run), _SENT)
+
+    def with_found(frame: DataFrame, answers: DataFrame) -> DataFrame:
+        return frame.join(answers, "block", "left")
+
+    def states(sent: DataFrame) -> DataFrame:
+        return blocks.join(sent.where("bucket is null").select("block", "state", "covered"), "block")
+
+    # 1. Sampled triples: discard those that occur once, sort and name the others.
+    found = exchange(each(blocks, [], lambda block, plan: (send_fingerprints(block, plan), None, None)), meet_fingerprints, scratch, "repeated")
+
+    def name_triples(block: Block, plan: Plan, found: Found) -> tuple:
+        at = repeated(block, plan, found)
+        return send_triples(block, plan, at), pack([steps(at)]), None
+
+    sent = scratch.write(each(with_found(blocks, found), ["found"], name_triples), "triples", "uncompressed")
+    release(spark)
+    ranked = exchange(sent, meet_triples, scratch, "ranks")
+
+    # 2. Names: sort the strings of sampled positions as name, gap and name.
+    def name_strings(block: Block, plan: Plan, state: bytes, found: Found) -> tuple:
+        own = named(block, plan, np.cumsum(unpack(state, 1)[0]).astype(np.int64), found)
+        return send_tuples(block, own), own.state(), None
+
+    sent = scratch.write(each(with_found(states(sent), ranked), ["state", "found"], name_strings), "names", "uncompressed")
+    release(spark)
+    equal = exchange(sent, meet_rows(4), scratch, "equal")
+    scratch.drop("triples")
+
+    # 3. Remaining suffixes: ask for the names around them, then sort them.
+    def claim(block: Block, plan: Plan, state: bytes, found: Found) -> tuple:
+        own = Named.load(state)
+        covered = covered_runs(block, own, found)
+        return send_claims(own, claims(block, own, covered)), state, covered.tobytes()
+
+    sent = scratch.write(each(with_found(states(sent), equal), ["state", "found"], claim), "claims", "uncompressed")
+    release(spark)
+    wanted = exchange(sent, meet_claims, scratch, "wanted")
+    scratch.drop("names")
+
+    def send_rest(block: Block, plan: Plan, state: bytes, covered: bytes, found: Found) -> tuple:
+        own, gone = Named.load(state), np.frombuffer(covered, np.int64).reshape(-1, 2)
+        at = remaining(block, own, claims(block, own, gone), found)
+        return send_strings(block, plan, at), pack([steps(at)]), covered
+
+    sent = scratch.write(each(with_found(states(sent), wanted), ["state", "covered", "found"], send_rest), "rest", "uncompressed")
+    release(spark)
+    last = exchange(sent, meet_rows(7), scratch, "last")
+    scratch.drop("claims")
 
+    # 4. What stands behind an equal string of an earlier document goes.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, lengths, data, carried, covered, left, found in zip(*(c.to_pylist() for c in batch.columns)):
-                block = _block(ids, lengths, data)
-                intervals = np.frombuffer(covered, np.int64).reshape(-1, 2)
-                runs = np.frombuffer(left, np.int64).reshape(-1, 2)
-                starts = spread(runs[:, 0], runs[:, 1])
-                rank, names = start_names(block, starts, buckets)
-                gone = starts[read_bits(names, found, "earlier")[names.place] | (rank > names.least[names.place])]
-                both = _merge(np.concatenate([intervals[:, 0], gone]), np.concatenate([intervals[:, 1], gone + WIDTH]))
-                extra = json.loads(zstandard.ZstdDecompressor().decompress(carried))
-                yield from remove(block, both, extra, as_text)
-
-    state = second.where("bucket is null").select("block", "covered", "left")
-    done = blocks.join(state, "block").join(second_answers, "block", "left").select(*text, "carried", "covered", "left", "found").mapInArrow(tidied(cut), _OUT.replace("kept binary", "kept string") if as_text else _OUT)
+            for ids, lengths, data, carried, state, covered, found in zip(*(c.to_pylist() for c in batch.columns)):
+                block, runs = Block.read(ids, lengths, data), np.frombuffer(covered, np.int64).reshape(-1, 2)
+                gone = covered_starts(block, shared.value, np.cumsum(unpack(state, 1)[0]).astype(np.int64), found)
+                both = ranges(np.concatenate([runs[:, 0], gone]), np.concatenate([runs[:, 1], gone + WIDTH]))
+                yield from remove(block, both, json.loads(zstandard.ZstdDecompressor().decompress(carried)), as_text)
+
+    out = with_found(states(sent), last).select(*_TEXT, "carried", "state", "covered", "found")
+    done = out.mapInArrow(tidied(cut), _OUT.replace("kept binary", "kept string") if as_text else _OUT)
     alone = rows.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).cast("string" if as_text else "binary").alias("kept"), "carried")
     alone = alone.select("doc_id", F.octet_length("kept").cast("long").alias("n_bytes"), "kept", F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "carried")
     out = done.unionByName(alone)

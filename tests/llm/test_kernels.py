@@ -279,23 +279,37 @@ def brute_spans(docs, width=suffix.WIDTH):
     return sorted(out)
 
 
-def test_runs_sample_by_content():
+def test_cover_has_a_common_sample_for_any_two_positions():
+    cover = set(suffix.COVER)
+    for a in range(suffix.PERIOD):
+        for b in range(suffix.PERIOD):
+            assert any((a + k) % suffix.PERIOD in cover and (b + k) % suffix.PERIOD in cover for k in range(suffix.WIDTH - suffix.TRIPLE))
+
+
+def test_names_order_triples_by_their_text():
     rng = random.Random(8)
-    shared = bytes(rng.choice(b"abc ") for _ in range(400))
-    for step in (1 << 18, 64):
-        suffix_step, suffix.STEP = suffix.STEP, step
-        try:
-            found = []
-            for lead in (b"", b"xyz" * 5, b"q" * 100):
-                data = lead + shared
-                block = suffix.Block(np.array([1]), np.array([len(data)]), data)
-                first, last, at = block.runs()
-                assert int((last - first + 1).sum()) == len(data) - suffix.WIDTH + 1
-                assert ((at >= last) & (at < first + suffix.INSIDE)).all()
-                found.append({(int(x), int(y), int(z)) for x, y, z in zip(first - len(lead), last - len(lead), at - len(lead)) if x >= suffix.WIDTH})
-            assert found[0] == found[1] == found[2]
-        finally:
-            suffix.STEP = suffix_step
+    texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    blocks = []
+    for k in range(0, 60, 20):
+        part = texts[k : k + 20]
+        blocks.append(suffix.Block(np.arange(k, k + 20), np.array([len(x) for x in part]), b"".join(part)))
+    plan = suffix.Plan(1, 30, [np.zeros(0, np.uint64)] * 3)
+    at = [b.samples() for b in blocks]
+    sent = [suffix.send_triples(b, plan, x)[0][1] for b, x in zip(blocks, at)]
+    found = [[{"bucket": 0, "reply": r}] for r in suffix.meet_triples(sent)]
+    named = [suffix.named(b, plan, x, f) for b, x, f in zip(blocks, at, found)]
+    every = sorted({b.data[p : p + suffix.TRIPLE] for b, x in zip(blocks, at) for p in x.tolist()})
+    for b, own in zip(blocks, named):
+        assert [every.index(b.data[p : p + suffix.TRIPLE]) for p in own.at.tolist()] == own.name.tolist()
+        again = suffix.Named.load(own.state())
+        assert (again.at.tolist(), again.name.tolist(), again.earlier.tolist()) == (own.at.tolist(), own.name.tolist(), own.earlier.tolist())
+
+
+def test_ranges_and_members():
+    spans = suffix.ranges(np.array([5, 1, 9, 3, 20, 7]), np.array([6, 3, 9, 4, 25, 7]))
+    assert spans.tolist() == [[1, 4], [5, 6], [20, 25]]
+    assert suffix.members(spans).tolist() == [1, 2, 3, 5, 20, 21, 22, 23, 24]
+    assert suffix.inside(np.array([0, 1, 3, 4, 5, 6, 24, 25]), spans).tolist() == [False, True, True, False, True, False, True, False]
 
 
 def test_quality_learns_symbols():
