@@ -13,7 +13,7 @@ from fotolith.functions import distance, hashes, labels, names
 from fotolith.operators import catalog, dbscan, leader, silhouette, stats, tune
 from fotolith.plans import moves
 from fotolith.schema import DIMENSIONS, FEATURE_COLUMNS, GroupConfig
-from fotolith.session import read_table, shared_folder, stored
+from fotolith.session import own_folder, read_table, stored
 from fotolith.sources import adapters, config
 from fotolith.streaming import leader_stream
 
@@ -486,7 +486,7 @@ def stream_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch result of ``leader_clusters``, by a stream over the same rows in several files: state goes from batch to batch."""
     rows = leader.sequenced(_foldered(spark, sf_dir), "folder", ["time", "path"], champions=False)
     rows = stored(rows.select("folder", "id", "seq", *FEATURE_COLUMNS), "stream-rows")
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
     part = F.least(F.col("seq") * STREAM_FILES / (F.max("seq").over(Window.partitionBy("folder")) + 1), F.lit(STREAM_FILES - 1)).cast("int")
     dealt = rows.withColumn("part", part)
     for k in range(STREAM_FILES):  # files arrive one after another, as they would from a scan

@@ -155,18 +155,37 @@ def sequenced(features: DataFrame, key: str, order: list[str], champions: bool)
 
 
 def leader(features: DataFrame, config: GroupConfig, key: str) -> DataFrame:
-    """``key, id, seq, cluster`` of ``features`` with ``seq``: clusters after all merges, from 1 within a key."""
+    """``key, id, seq, cluster`` of ``features`` with ``seq``: clusters after all merges, from 1 within a key.
+
+    Rows stream through a task in order of key and ``seq``; of a key it holds the
+    machine's state and, until the key ends and merges are known, three numbers a row.
+    """
     send_package(features.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        machine = Machine(config)
-        found = [machine.ingest(*row) for row in rows_of(pdf)]
-        return pd.DataFrame({key: pdf[key].to_numpy(), "id": pdf["id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "cluster": [machine.resolve(c) for c in found]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, current, held = None, None, []
+
+        def close() -> Iterator[pd.DataFrame]:
+            for ids, seqs, found in held:
+                yield pd.DataFrame({key: [current] * len(ids), "id": ids, "seq": seqs, "cluster": np.fromiter(map(machine.resolve, found.tolist()), np.int64, len(found))})
+
+        for pdf in batches:
+            names = [None if x != x else x for x in pdf[key].tolist()]
+            starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])] if names else []
+            for a, b in zip(starts, [*starts[1:], len(names)]):
+                if machine is None or names[a] != current:
+                    if machine is not None:
+                        yield from close()
+                    machine, current, held = Machine(config), names[a], []
+                part = pdf.iloc[a:b]
+                found = np.fromiter((machine.ingest(*row) for row in rows_of(part)), np.int64, b - a)
+                held.append((part["id"].to_numpy(), part["seq"].to_numpy(), found))
+        if machine is not None:
+            yield from close()
 
     kind = features.schema[key].dataType.simpleString()
-    rows = features.select(key, "id", "seq", *DIMENSIONS, "phash_bits", "dominant_colors")
-    return hash_as_text(rows).groupBy(key).applyInPandas(run, f"{key} {kind}, id long, seq long, cluster long")
+    rows = hash_as_text(features.select(key, "id", "seq", *DIMENSIONS, "phash_bits", "dominant_colors"))
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, f"{key} {kind}, id long, seq long, cluster long")
 
 
 def naive(features: DataFrame, config: GroupConfig, key: str, order: list[str]) -> DataFrame:

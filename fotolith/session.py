@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,18 +35,51 @@ def send_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
+    """``spark.checkpoint.dir``; a temporary folder is set where that is unset, on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors and the driver share no folder")
         folder = "file://" + tempfile.mkdtemp(prefix="fotolith-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the Hadoop file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_to_delete: list[tuple[SparkSession, str]] = []
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the program ends: frames that were returned may read it until then."""
+    _to_delete.append((spark, path))
+
+
+@atexit.register
+def _cleanup() -> None:
+    for spark, path in _to_delete:
+        try:
+            delete_path(spark, path)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the program ends."""
+    folder = f"{shared_folder(spark)}/fotolith-{spark.sparkContext.applicationId}"
+    if (spark, folder) not in _to_delete:
+        delete_at_exit(spark, folder)
+    return folder
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again: lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fotolith.operators.leader import dumps, hash_as_text, loads, rows_of
 from fotolith.schema import GroupConfig
-from fotolith.session import send_package
+from fotolith.session import delete_path, send_package
 
 EVENTS = "folder string, id long, seq long, cluster long, merged_into long"
 
@@ -62,19 +62,46 @@ def resolved(events: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("resolved: merges run in a circle")
 
 
-def upsert_stream(spark: SparkSession, folder: str, schema, target: str, checkpoint: str, key: str, seq: str, id_col: str) -> None:
+def upsert_stream(spark: SparkSession, folder: str, schema, target: str, checkpoint: str, key: str, seq: str, id_col: str, buckets: int = 64) -> None:
     """Keep the latest write of each key in a Parquet table, over the files of a folder.
 
-    Each micro-batch merges into a new version of the table, named by the batch, so
-    a batch that is run again gives the same version.
+    Keys lie in a fixed number of buckets. A micro-batch rewrites only the buckets
+    that it touches, under its own number, from the latest earlier version of each, so a
+    batch that is run again gives the same files. Of a bucket its last two versions stay.
+    ``latest`` reads the table.
     """
     from fotolith.operators.catalog import upsert_latest
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        if number:
-            batch = session.read.parquet(f"{target}/version={number - 1}").unionByName(batch)
-        upsert_latest(batch, key, seq, id_col).write.mode("overwrite").parquet(f"{target}/version={number}")
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        touched = {r[0] for r in dealt.select("_bucket").distinct().collect()}
+        versions = {b: [v for v in found if v < number] for b, found in bucket_versions(session, target).items() if b in touched}
+        before = [f"{target}/upsert_bucket={b}/upsert_version={v[-1]}" for b, v in versions.items() if v]
+        if before:
+            dealt = session.read.schema(batch.schema).parquet(*before).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).unionByName(dealt)
+        merged = upsert_latest(dealt.drop("_bucket"), key, seq, id_col).withColumn("upsert_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).withColumn("upsert_version", F.lit(number))
+        # Other buckets of this number are those of an earlier, broken run of the same batch: the same rows.
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upsert_bucket", "upsert_version").parquet(target)
+        for b, found in versions.items():
+            for old in found[:-1]:
+                delete_path(session, f"{target}/upsert_bucket={b}/upsert_version={old}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def bucket_versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """The versions of each bucket, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/upsert_bucket=*/upsert_version=*")
+    found: dict[int, list[int]] = {}
+    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ():
+        own = status.getPath()
+        found.setdefault(int(own.getParent().getName().split("=")[1]), []).append(int(own.getName().split("=")[1]))
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def latest(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The table of ``upsert_stream``: of every bucket the last version."""
+    paths = [f"{target}/upsert_bucket={b}/upsert_version={v[-1]}" for b, v in bucket_versions(spark, target).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

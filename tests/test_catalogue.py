@@ -5,6 +5,7 @@ import math
 import random
 import struct
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from fotolith import catalogue_queries, datagen, feature_queries, reports
+from fotolith import catalogue_queries, datagen, feature_queries, reports, session
 from fotolith.functions import distance, hashes, labels, names
 from fotolith.operators import catalog, dbscan, features, leader, silhouette, stats, tune
 from fotolith.plans import moves
@@ -332,11 +333,32 @@ def test_upsert_stream(spark, tmp_path):
     schema = "id long, path string, size long, seq long"
     for k, rows in enumerate([[(1, "a", 1, 1), (2, "b", 2, 2)], [(3, "a", 3, 3)], [(4, "c", 4, 4), (5, "b", 5, 5)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    leader_stream.upsert_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, f"{tmp_path}/table", f"{tmp_path}/checkpoint", "path", "seq", "id")
-    made = spark.read.parquet(f"{tmp_path}/table/version=2").collect()
+    kind = spark.createDataFrame([], schema).schema
+    assert leader_stream.latest(spark, f"{tmp_path}/table", kind).count() == 0
+    leader_stream.upsert_stream(spark, f"{tmp_path}/in", kind, f"{tmp_path}/table", f"{tmp_path}/checkpoint", "path", "seq", "id", buckets=4)
+    made = leader_stream.latest(spark, f"{tmp_path}/table", kind).collect()
+    assert all(len(v) <= 2 for v in leader_stream.bucket_versions(spark, f"{tmp_path}/table").values())
     assert sorted((r["id"], r["path"], r["size"]) for r in made) == [(1, "a", 3), (2, "b", 5), (4, "c", 4)]
 
 
+def test_shared_folder_is_needed_off_one_machine():
+    conf = {"spark.checkpoint.dir": None}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf[k]), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(cluster)
+    conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert session.shared_folder(cluster) == "hdfs://x/y"
+
+
+def test_leader_of_null_and_many_folders(spark):
+    rows = plain_features(60, 5)
+    df = spark.createDataFrame(rows, FEATURE).withColumn("folder", F.when(F.col("id") % 3 > 0, F.concat(F.lit("f"), (F.col("id") % 3).cast("string"))))
+    made = leader.naive(df, BENCHMARK, "folder", ["time", "id"]).collect()
+    for name in (None, "f1", "f2"):
+        own = leader.naive(df.where(F.col("folder").eqNullSafe(F.lit(name))).withColumn("folder", F.lit("one")), BENCHMARK, "folder", ["time", "id"]).collect()
+        assert sorted((r["id"], r["seq"], r["cluster"]) for r in made if r["folder"] == name) == sorted((r["id"], r["seq"], r["cluster"]) for r in own)
+
+
 # Plans, sources, images, reports
 
 
