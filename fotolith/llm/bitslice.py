@@ -210,9 +210,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, scratch: Scratch, id_col:
     asked = asked.select(F.col("n").alias("qn"), F.col("dims").alias("qdims"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
     # Each block of queries goes to every group of index blocks (about one block each), in two steps of bounded arrays.
     groups = max(1, index.count())
-    high, low = F.sequence(F.lit(0), F.lit((groups - 1) // SPREAD)), F.sequence(F.lit(0), F.lit(SPREAD - 1))
-    sent = asked.withColumn("high", F.explode(high)).withColumn("low", F.explode(low))
-    sent = sent.withColumn("group", (F.col("high") * SPREAD + F.col("low")).cast("long")).where(F.col("group") < groups).drop("high", "low")
+    high = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"), F.lit(SPREAD).cast("long"))
+    group = F.sequence("high", F.least(F.col("high") + SPREAD - 1, F.lit(groups - 1)))
+    sent = asked.withColumn("high", F.explode(high)).withColumn("group", F.explode(group)).drop("high")
     grouped = index.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
     met = sent.join(grouped.hint("merge"), "group").select("n", "dims", "ids", "vectors", *asked.columns)
 

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fotolith.session import send_package
+from fotolith.session import delete_at_exit, delete_path, send_package, shared_folder
 
 #: Rows of one Arrow batch; texts may be long, so batches stay small.
 BATCH_ROWS = 512
 #: Bytes of one Arrow batch.
 BATCH_BYTES = 16 << 20
-
-_to_delete: list[tuple[SparkSession, str]] = []
-
+#: Rows of a few numbers that may be broadcast: 16 to 64 MB of them.
+BROADCAST_ROWS = 1 << 20
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches and give the executors this package."""
@@ -31,36 +28,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return send_package(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="fotolith-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder through the Hadoop file system, if it is there."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _to_delete:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -71,8 +38,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        _to_delete.append((spark, self.root))
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        delete_at_exit(spark, self.root)
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
@@ -101,6 +68,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sided(ids: DataFrame) -> DataFrame:
+    """A frame of few narrow columns, to be broadcast if its number of rows allows it."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(ids) if few else ids.hint("merge")
+
+
 def tidy(batches: Iterator) -> Iterator:
     """The batches; at their end memory goes back to the system.
 

@@ -18,13 +18,13 @@ triple of ``TRIPLE`` bytes that starts there still lies inside the ``WIDTH`` byt
    in the bucket of their first name.
 3. *Merge remaining suffixes.* A start that lies in no covered run, and has an
    anchor (a sampled triple within the shift) whose name an earlier document holds, asks
-   for that name; blocks that hold a name that a later document asks for answer
-   with the starts around it. Both are dealt by ranges of their text and sorted.
+   for the anchor's context; blocks with a context that a later document asks for
+   answer with the starts around it. Both are dealt by ranges of their text and sorted.
 4. *Compare adjacent prefixes.* In either order, equal strings stand together by
    document; all but the first block's are covered.
 
-Results do not rest on hashes: a fingerprint only decides what is sorted, and equal
-triples have equal fingerprints.
+Results do not rest on hashes: fingerprints of triples and contexts only decide what
+is sorted, and equal strings have equal fingerprints.
 
 Documents are dealt by ranges of their id to blocks, so the number of a block
 says which of two documents is smaller, and a block sends each different string
@@ -57,18 +57,22 @@ from fotolith.llm.rules import _mix
 
 WIDTH = 50
 #: A perfect difference set; every residue is a difference of two of them.
-PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+PERIOD, COVER = 31, (0, 4, 10, 23, 24, 26)
 #: Bytes of a triple; it lies inside a string after any shift below the period.
 TRIPLE = WIDTH - PERIOD
 #: Bytes between a triple and the next of its residue class.
 GAP = PERIOD - TRIPLE
+#: Bytes of an anchor's context, and the shifts that one serves beyond its own.
+CONTEXT, SLACK = 40, WIDTH - 40
 #: A block ends at this many bytes, at a change of the document id.
 BLOCK_BYTES = 2 << 20
 #: Bytes of text for each bucket of strings.
 BUCKET_BYTES = 16 << 20
 #: Bits of a fingerprint beyond those that number the bytes of the corpus.
 SPARE_BITS = 6
-#: Triples of a block that tell where ranges of text are cut, and the most that are looked at.
+#: Bits of the marks by which a block knows its repeated fingerprints again.
+MARK_BITS = 24
+#: Samples of a block that tell where ranges of text are cut, and the most that are looked at.
 PROBES, MAX_PROBES = 32, 1 << 18
 
 #: Carried columns keep nulls and microseconds.
@@ -106,22 +110,43 @@ def changes(columns: list[np.ndarray]) -> np.ndarray:
     return new
 
 
+def folded(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row."""
+    total = np.zeros(len(columns[0]), np.uint64)
+    for k, c in enumerate(columns):
+        total += c * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    return _mix(total)
+
+
 @dataclass
 class Distinct:
-    """The different rows of some columns, sorted: each item's place among them, an item of each, and which repeat."""
+    """The different rows of some columns, sorted: each item's place among them, the first item of each, and which repeat."""
 
     place: np.ndarray
     item: np.ndarray
     many: np.ndarray
 
     @classmethod
-    def of(cls, columns: list[np.ndarray]) -> Distinct:
-        order = np.lexsort(columns[::-1])  # stable: a row's first item is the one of the least document
-        new = changes([c[order] for c in columns])
-        group = np.cumsum(new) - 1
-        place = np.empty(len(order), np.int64)
-        place[order] = group
-        return cls(place, order[new], np.bincount(group, minlength=int(new.sum())) > 1)
+    def of(cls, columns: list[np.ndarray], whole: bool = True) -> Distinct:
+        """Sorted by all columns, or only by the first unless ``whole``."""
+        # Equal rows are brought together by a hash, which is checked, and only different ones are sorted.
+        name = folded(columns) if len(columns) > 1 else columns[0]
+        order = np.argsort(name)
+        new = changes([name[order]])
+        if len(columns) > 1 and not np.array_equal(new, changes([c[order] for c in columns])):
+            order = np.lexsort(columns[::-1])  # two rows have one hash
+            new = changes([c[order] for c in columns])
+        starts = np.flatnonzero(new)
+        item = np.minimum.reduceat(order, starts) if len(starts) else order
+        many = np.diff(starts, append=len(order)) > 1
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        if len(columns) == 1:
+            return cls(group, item, many)
+        sort = np.lexsort([c[item] for c in columns[::-1]]) if whole else np.argsort(columns[0][item])
+        place = np.empty(len(sort), np.int64)
+        place[sort] = np.arange(len(sort))
+        return cls(place[group], item[sort], many[sort])
 
 
 def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -184,10 +209,12 @@ class Block:
         return self.words[at].astype(np.uint64) >> np.uint64(64 - 8 * size)
 
     def samples(self) -> np.ndarray:
-        """The sampled positions whose triple lies in their document."""
-        at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
-        at = at[at < self.n]
-        return at[self.ends[self.documents(at)] - at >= TRIPLE]
+        """The sampled positions, counted from their document's start, whose triple lies in the document."""
+        periods = -(-self.lengths // PERIOD)
+        first = np.repeat(np.cumsum(periods) - periods, periods)
+        base = np.repeat(self.ends - self.lengths, periods) + PERIOD * (np.arange(len(first)) - first)
+        at = (base[:, None] + np.array(COVER)).ravel()
+        return at[np.repeat(self.ends, len(COVER) * periods) - at >= TRIPLE]
 
     def triples(self, at: np.ndarray) -> list[np.ndarray]:
         return [self.word(at), self.word(at + 8), self.word(at + 16, TRIPLE - 16)]
@@ -231,46 +258,55 @@ class Plan:
 
     buckets: int
     bits: int
-    cuts: list[np.ndarray]
+    cuts: np.ndarray
 
-    def bucket_of(self, triples: list[np.ndarray]) -> np.ndarray:
-        """The range of each of some sorted triples."""
-        m = len(self.cuts[0])
-        both = [np.concatenate([c, t]) for c, t in zip(self.cuts, triples)]
-        order = np.lexsort([np.arange(len(both[0])) >= m, *both[::-1]])
-        cut = order < m
-        return np.cumsum(cut)[~cut]
+    def bucket_of(self, first: np.ndarray) -> np.ndarray:
+        """The range of text by its first eight bytes."""
+        return np.searchsorted(self.cuts, first, side="right")
 
+    def fingerprints(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket (one of a power of two) and value of each row's fingerprint."""
+        low = (self.buckets - 1).bit_length()
+        value = folded(columns) >> np.uint64(64 - self.bits)
+        return value & np.uint64((1 << low) - 1), value >> np.uint64(low)
 
-# 1. Sampled triples
 
-
-def fingerprints(block: Block, plan: Plan) -> tuple[np.ndarray, Distinct, np.ndarray, np.ndarray]:
-    """Sampled positions, their different fingerprints, and bucket and value of each of those."""
-    at = block.samples()
-    a, b, c = block.triples(at)
-    value = _mix(_mix(_mix(a) ^ b) ^ c) >> np.uint64(64 - plan.bits)
-    bucket, rest = value % np.uint64(plan.buckets), value // np.uint64(plan.buckets)
-    found = Distinct.of([bucket << np.uint64(40) | rest])
-    return at, found, bucket[found.item].astype(np.int64), rest[found.item]
+# 1. Sampled triples
 
 
 def send_fingerprints(block: Block, plan: Plan) -> list[tuple[int, bytes]]:
-    _, _, bucket, rest = fingerprints(block, plan)
-    return by_bucket(bucket, lambda s: pack([steps(rest[s])]))
+    """The different fingerprints of the sampled triples, and whether the block has one twice."""
+    bucket, rest = plan.fingerprints(block.triples(block.samples()))
+    found = Distinct.of([bucket << np.uint64(40) | rest])
+    bucket, rest = bucket[found.item].astype(np.int64), rest[found.item]
+    return by_bucket(bucket, lambda s: pack([steps(rest[s]) << np.uint64(1) | found.many[s]]))
 
 
 def meet_fingerprints(payloads: list[bytes]) -> list[bytes]:
-    """Bits: the value occurs in another block."""
-    values = [np.cumsum(unpack(p, 1)[0]) for p in payloads]
+    """Of each block the values that occur again, in it or in another one."""
+    parts = [unpack(p, 1)[0] for p in payloads]
+    values = [np.cumsum(p >> np.uint64(1)) for p in parts]
     flat = np.concatenate(values)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     new = changes([flat[order]])
     twice = ~new
     twice[:-1] |= ~new[1:]
-    hit = np.empty(len(flat), bool)
-    hit[order] = twice
-    return split_bits(hit, values)
+    hit = (np.concatenate(parts) & np.uint64(1)).astype(bool)
+    hit[order] |= twice
+    ends = np.cumsum([len(v) for v in values]).tolist()
+    return [pack([steps(flat[a:b][hit[a:b]])]) for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def repeated(block: Block, plan: Plan, found: Found) -> np.ndarray:
+    """The sampled positions whose fingerprint occurs again, and few others whose fingerprint has the same last bits."""
+    at = block.samples()
+    bucket, rest = plan.fingerprints(block.triples(at))
+    low = np.uint64((plan.buckets - 1).bit_length())
+    known = np.zeros(1 << MARK_BITS, bool)
+    mask = np.uint64(len(known) - 1)
+    for x in found or []:
+        known[(np.cumsum(unpack(x["reply"], 1)[0]) << low | np.uint64(x["bucket"])) & mask] = True
+    return at[known[(rest << low | bucket) & mask]]
 
 
 def split_bits(hit: np.ndarray, parts: list[np.ndarray]) -> list[bytes]:
@@ -278,17 +314,11 @@ def split_bits(hit: np.ndarray, parts: list[np.ndarray]) -> list[bytes]:
     return [np.packbits(hit[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def repeated(block: Block, plan: Plan, found: Found) -> np.ndarray:
-    """The sampled positions whose fingerprint occurs again."""
-    at, own, bucket, _ = fingerprints(block, plan)
-    return at[(own.many | flags(found, runs_of(bucket)))[own.place]] if len(at) else at
-
-
 def triple_groups(block: Block, plan: Plan, at: np.ndarray) -> tuple[Distinct, list[np.ndarray], np.ndarray]:
     triples = block.triples(at)
     found = Distinct.of(triples)
     own = [t[found.item] for t in triples]
-    return found, own, plan.bucket_of(own)
+    return found, own, plan.bucket_of(own[0])
 
 
 def send_triples(block: Block, plan: Plan, at: np.ndarray) -> list[tuple[int, bytes]]:
@@ -304,13 +334,11 @@ def sort_rows(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meet_triples(payloads: list[bytes]) -> list[bytes]:
-    """The rank of each triple among the bucket's, whether another block has it, and whether an earlier one."""
+    """The rank of each triple among the bucket's, whether an earlier block has it, and whether a later one."""
     parts = [(lambda c: [np.cumsum(c[0]), *c[1:]])(unpack(p, 3)) for p in payloads]
     order, new = sort_rows(parts)
-    group = np.cumsum(new) - 1
-    shared = (np.bincount(group) > 1)[group]
     rank, bits = np.empty(len(order), np.uint64), np.empty(len(order), np.uint64)
-    rank[order], bits[order] = group, 2 * shared + ~new
+    rank[order], bits[order] = np.cumsum(new) - 1, 2 * ~np.append(new[1:], True) + ~new
     out, a = [], 0
     for p in parts:
         b = a + len(p[0])
@@ -321,32 +349,40 @@ def meet_triples(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Named:
-    """Sampled positions whose triple occurs again, the triples' names, and whether an earlier document has them."""
+    """Sampled positions whose triple occurs again, the triples' names, and whether an earlier and a later document have them."""
 
     at: np.ndarray
     name: np.ndarray
     earlier: np.ndarray
+    later: np.ndarray
 
     def state(self) -> bytes:
-        return pack([steps(self.at), self.name, self.earlier])
+        return pack([steps(self.at), self.name, 2 * self.later.astype(np.uint64) + self.earlier])
 
     @classmethod
     def load(cls, state: bytes) -> Named:
-        at, name, earlier = unpack(state, 3)
-        return cls(np.cumsum(at).astype(np.int64), name, earlier.astype(bool))
+        at, name, bits = unpack(state, 3)
+        return cls(np.cumsum(at).astype(np.int64), name, (bits & np.uint64(1)).astype(bool), bits >= 2)
+
+    def of(self, some: np.ndarray) -> Named:
+        return Named(self.at[some], self.name[some], self.earlier[some], self.later[some])
 
 
 def named(block: Block, plan: Plan, at: np.ndarray, found: Found) -> Named:
     if not len(at):
-        return Named(at, np.zeros(0, np.uint64), np.zeros(0, bool))
+        return Named(at, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool))
     own, _, bucket = triple_groups(block, plan, at)
     codes = [unpack(x["reply"], 1)[0] for x in found]
     rank = np.concatenate([np.cumsum(c >> np.uint64(2)) for c in codes])
     bits = np.concatenate(codes) & np.uint64(3)
     name = bucket.astype(np.uint64) << np.uint64(32) | rank
-    again = (own.many | (bits >= 2))[own.place]
     earlier = earlier_of(block, at, own, (bits & np.uint64(1)).astype(bool))
-    return Named(at[again], name[own.place][again], earlier[again])
+    last = np.empty(len(own.item), np.int64)
+    last[own.place] = np.arange(len(at))  # of repeated places the last one holds
+    documents = block.ranks(at)
+    later = (bits >= 2)[own.place] | (documents < documents[last][own.place])
+    every = Named(at, name[own.place], earlier, later)
+    return every.of(earlier | later)
 
 
 # 2. Names
@@ -360,7 +396,7 @@ def tuples(block: Block, own: Named) -> tuple[np.ndarray, Distinct, list[np.ndar
     good = np.flatnonzero((after >= 0) & (block.ends[block.documents(own.at)] - own.at >= WIDTH)) if len(own.at) else np.zeros(0, np.int64)
     at = own.at[good]
     rows = [own.name[good], block.word(at + TRIPLE), block.word(at + TRIPLE + 8, GAP - 8), own.name[after[good]]]
-    found = Distinct.of(rows)
+    found = Distinct.of(rows, whole=False)
     return at, found, [r[found.item] for r in rows]
 
 
@@ -405,48 +441,94 @@ def claims(block: Block, own: Named, covered: np.ndarray) -> np.ndarray:
     return starts[~inside(starts, whole[whole[:, 0] < whole[:, 1]])]
 
 
-def asked(own: Named, starts: np.ndarray) -> np.ndarray:
-    """Of each named position, whether a start that it anchors is among the sorted ``starts``."""
-    near = np.searchsorted(starts, own.at - PERIOD + 1)
-    return own.earlier & (near < len(starts)) & (np.append(starts, np.iinfo(np.int64).max)[near] <= own.at)
+@dataclass
+class Contexts:
+    """The contexts of a block's anchors, and the starts (first and last) that each one serves.
 
+    A string that has its anchor after ``a`` to ``a + SLACK`` bytes holds the ``CONTEXT``
+    bytes from ``a`` before the anchor on; three of them serve all shifts.
+    """
 
-def send_claims(own: Named, starts: np.ndarray) -> list[tuple[int, bytes]]:
-    """Every different name of the block, and whether the block asks for it."""
-    found = Distinct.of([own.name])
-    wanted = np.zeros(len(found.item), bool)
-    wanted[found.place[asked(own, starts)]] = True
-    names = own.name[found.item]
-    bucket = buckets_of(names)
-    return by_bucket(bucket, lambda s: pack([steps(names[s]), wanted[s]]))
+    low: np.ndarray
+    high: np.ndarray
+    found: Distinct
+    bucket: np.ndarray
+    rest: np.ndarray
+
+    @classmethod
+    def of(cls, block: Block, own: Named, plan: Plan) -> Contexts:
+        doc = block.documents(own.at)
+        first, last = (block.ends - block.lengths)[doc], block.ends[doc] - WIDTH
+        low, high, buckets, rests = [], [], [], []
+        for a in range(0, PERIOD - 1, SLACK):
+            x, y = np.maximum(own.at - a - SLACK, first), np.minimum(own.at - a, last)
+            good = x <= y
+            at = own.at[good] - a
+            bucket, rest = plan.fingerprints([np.full(len(at), a, np.uint64), *(block.word(at + k) for k in range(0, CONTEXT, 8))])
+            for held, one in zip((low, high, buckets, rests), (x[good], y[good], bucket, rest)):
+                held.append(one)
+        bucket, rest = np.concatenate(buckets), np.concatenate(rests)
+        found = Distinct.of([bucket << np.uint64(40) | rest])
+        return cls(np.concatenate(low), np.concatenate(high), found, bucket[found.item].astype(np.int64), rest[found.item])
+
+    def asked(self, starts: np.ndarray) -> np.ndarray:
+        """Of each different context, whether one of the sorted ``starts`` is among those that it serves."""
+        near = np.searchsorted(starts, self.low)
+        out = np.zeros(len(self.found.item), bool)
+        out[self.found.place[np.append(starts, np.iinfo(np.int64).max)[near] <= self.high]] = True
+        return out
+
+    def served(self, wanted: np.ndarray) -> np.ndarray:
+        """The intervals of starts that the wanted ones of the different contexts serve."""
+        rows = wanted[self.found.place]
+        return ranges(self.low[rows], self.high[rows] + 1)
+
+
+def concerned(own: Named, starts: np.ndarray) -> Named:
+    """The anchors that a later document has, or that are near one of the sorted ``starts`` and that an earlier one has."""
+    near = np.append(starts, np.iinfo(np.int64).max)[np.searchsorted(starts, own.at - PERIOD + 1)] <= own.at
+    return own.of(own.later | (own.earlier & near))
+
+
+def send_claims(block: Block, plan: Plan, own: Named, starts: np.ndarray) -> list[tuple[int, bytes]]:
+    """Every different context of the block, and whether the block asks for it."""
+    near = Contexts.of(block, concerned(own, starts), plan)
+    wants = near.asked(starts)
+    return by_bucket(near.bucket, lambda s: pack([steps(near.rest[s]) << np.uint64(1) | wants[s]]))
 
 
 def meet_claims(payloads: list[bytes]) -> list[bytes]:
-    """Bits: the block itself or a later one asks for the name."""
-    parts = [unpack(p, 2) for p in payloads]
-    names = [np.cumsum(p[0]) for p in parts]
-    flat, place = np.unique(np.concatenate(names), return_inverse=True)
-    owner = np.repeat(np.arange(len(parts)), [len(x) for x in names])
-    wants = np.concatenate([p[1] for p in parts]).astype(bool)
-    last = np.full(len(flat), -1)
-    np.maximum.at(last, place[wants], owner[wants])
-    return split_bits(last[place] >= owner, names)
-
-
-def remaining(block: Block, own: Named, starts: np.ndarray, found: Found) -> np.ndarray:
-    """The starts to sort: the block's claims, and those around names that it or a later block asks for."""
+    """Two bits of each context: an earlier block has it, a later block asks for it."""
+    parts = [unpack(p, 1)[0] for p in payloads]
+    rest = np.concatenate([np.cumsum(p >> np.uint64(1)) for p in parts])
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    wants = (np.concatenate(parts) & np.uint64(1)).astype(bool)
+    order = np.argsort(rest, kind="stable")  # equal ones by block
+    new = changes([rest[order]])
+    last = np.maximum.reduceat(np.where(wants, owner, -1)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    earlier, later = np.empty(len(rest), bool), np.empty(len(rest), bool)
+    earlier[order], later[order] = ~new, last > owner[order]
+    return [x + y for x, y in zip(split_bits(earlier, parts), split_bits(later, parts))]
+
+
+def remaining(block: Block, plan: Plan, own: Named, starts: np.ndarray, found: Found) -> np.ndarray:
+    """The starts to sort: claims whose context stands in an earlier document, and what others ask for."""
+    own = concerned(own, starts)
     if not len(own.at):
         return starts
-    names = Distinct.of([own.name])
-    wanted = flags(found, runs_of(buckets_of(own.name[names.item])))[names.place]
-    return np.union1d(starts, members(block.starts(own.at[wanted])))
+    near = Contexts.of(block, own, plan)
+    halves = [(x["reply"][: len(x["reply"]) // 2], x["reply"][len(x["reply"]) // 2 :]) for x in found or []]
+    earlier, later = (flags([{"reply": x[k]} for x in halves], runs_of(near.bucket)) for k in (0, 1))
+    wants = near.asked(starts)
+    mine = near.served(wants & (earlier | near.found.many))
+    return np.union1d(starts[inside(starts, mine)], members(near.served(later | (wants & near.found.many))))
 
 
 def string_groups(block: Block, plan: Plan, at: np.ndarray) -> tuple[Distinct, list[np.ndarray], np.ndarray]:
     strings = block.strings(at)
-    found = Distinct.of(strings)
+    found = Distinct.of(strings, whole=False)
     own = [s[found.item] for s in strings]
-    return found, own, plan.bucket_of([own[0], own[1], own[2] >> np.uint64(8 * (24 - TRIPLE))])
+    return found, own, plan.bucket_of(own[0])
 
 
 def send_strings(block: Block, plan: Plan, at: np.ndarray) -> list[tuple[int, bytes]]:
@@ -465,7 +547,7 @@ def covered_starts(block: Block, plan: Plan, at: np.ndarray, found: Found) -> np
 
 
 _BLOCKS = "block long, n long, ids binary, lengths binary, data binary, carried binary, probes binary"
-_SENT = "block long, bucket long, payload binary, state binary, covered binary"
+_SENT = "block long, bucket long, payload binary"
 _TEXT = ["ids", "lengths", "data"]
 
 
@@ -503,7 +585,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             block = Block(np.array(ids, np.int64), lengths, b"".join(texts))
             at = block.samples()
-            probes = np.stack(block.triples(at[:: max(1, len(at) // PROBES)][:PROBES]))
+            probes = block.word(at[:: max(1, len(at) // PROBES)][:PROBES])
             row = (number, block.n, block.ids.tobytes(), lengths.tobytes(), press.compress(block.data), press.compress(json.dumps(extra).encode()), probes.tobytes())
             return _batch([row], _arrow(_BLOCKS))
 
@@ -525,41 +607,55 @@ def make_blocks(docs: DataFrame) -> DataFrame:
 def make_plan(blocks: DataFrame) -> Plan:
     """Numbers of buckets and bits from the size of the text; cuts from a bounded sample, which only balances the buckets."""
     made, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = max(2 * partitions(blocks.sparkSession), total // BUCKET_BYTES + 1)
+    buckets = max(partitions(blocks.sparkSession), total // BUCKET_BYTES + 1)
     every = max(1, -(-made * PROBES // MAX_PROBES))
-    probes = [np.frombuffer(r["probes"], np.uint64).reshape(3, -1) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("probes").collect()]
-    flat = np.concatenate([np.zeros((3, 0), np.uint64), *probes], axis=1)
-    flat = flat[:, np.lexsort(flat[::-1])]
-    cuts = flat[:, np.linspace(0, flat.shape[1], buckets, endpoint=False).astype(np.int64)[1:]] if flat.shape[1] else flat
-    return Plan(buckets, min(64, max(int(total).bit_length(), 24) + SPARE_BITS), list(cuts))
+    probes = [np.frombuffer(r["probes"], np.uint64) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("probes").collect()]
+    flat = np.sort(np.concatenate([np.zeros(0, np.uint64), *probes]))
+    cuts = flat[np.linspace(0, len(flat), buckets, endpoint=False).astype(np.int64)[1:]] if len(flat) else flat
+    return Plan(buckets, min(64, max(int(total).bit_length(), 24) + SPARE_BITS), cuts)
 
 
-def exchange(sent: DataFrame, meet: Callable[[list[bytes]], list[bytes]], scratch: Scratch, name: str) -> DataFrame:
-    """``block, found``: for each block the answers to its messages, by bucket.
+class Blocks:
+    """Tables with rows of blocks, bucketed by the block, so that they join without a shuffle."""
 
-    ``meet`` gets a bucket's messages in order of the blocks; there is at most one of a block.
-    """
-    kind = "block long, bucket long, reply binary"
+    def __init__(self, scratch: Scratch):
+        self.spark, self.scratch, self.parts = scratch.spark, scratch, partitions(scratch.spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            replies = meet([p for _, p in held])
-            return _batch([(b, bucket, r) for (b, _), r in zip(held, replies)], _arrow(kind))
+    def write(self, rows: DataFrame, name: str) -> DataFrame:
+        table = f"fotolith_{uuid.uuid4().hex}"
+        rows.write.option("path", f"{self.scratch.root}/{name}").option("compression", "uncompressed").bucketBy(self.parts, "block").format("parquet").saveAsTable(table)
+        made = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the frame is resolved; the files are the scratch folder's
+        return made
 
-        last, held = None, []
-        for batch in batches:
-            for block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != last and held:
-                    yield close(last, held)
-                    held = []
-                last = bucket
-                held.append((block, payload))
-        if held:
-            yield close(last, held)
+    def exchange(self, sent: DataFrame, meet: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:
+        """``block`` and, as ``name``, the answers to its messages, by bucket.
 
-    dealt = sent.where("bucket is not null").select("block", "bucket", "payload").repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "block")
-    answers = dealt.mapInArrow(tidied(run), kind).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("found"))
-    return scratch.write(answers, name)
+        ``meet`` gets a bucket's messages in order of the blocks; there is at most one of a block.
+        """
+        kind = "block long, bucket long, reply binary"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def close(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+                replies = meet([p for _, p in held])
+                return _batch([(b, bucket, r) for (b, _), r in zip(held, replies)], _arrow(kind))
+
+            last, held = None, []
+            for batch in batches:
+                for block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                    if bucket != last and held:
+                        yield close(last, held)
+                        held = []
+                    last = bucket
+                    held.append((block, payload))
+            if held:
+                yield close(last, held)
+
+        dealt = sent.repartition(self.parts, "bucket").sortWithinPartitions("bucket", "block")
+        answers = dealt.mapInArrow(tidied(run), kind).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias(name))
+        made = self.write(answers, name)
+        release(self.spark)
+        return made
 
 
 def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -574,86 +670,64 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_
     shape = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)])
     packed = F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))), JSON_OPTIONS) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), packed.alias("carried"))
-    parts = partitions(spark)
-
-    ordered = rows.where("doc_id is not null").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    name = f"fotolith_blocks_{uuid.uuid4().hex}"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    make_blocks(ordered).write.option("path", f"{scratch.root}/blocks").option("compression", "uncompressed").bucketBy(parts, "block").format("parquet").saveAsTable(name)
-    blocks = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the frame is resolved; the files are the scratch folder's
+
+    tables = Blocks(scratch)
+    ordered = rows.where("doc_id is not null").repartitionByRange(tables.parts, "doc_id").sortWithinPartitions("doc_id")
+    blocks = tables.write(make_blocks(ordered), "blocks")
+    release(spark)
     shared = spark.sparkContext.broadcast(make_plan(blocks))
 
-    def each(frame: DataFrame, columns: list[str], work: Callable) -> DataFrame:
-        """``work(block, plan, *columns)`` gives a block's messages and, for later steps, its state and covered ranges."""
+    def over(known: list[DataFrame], columns: list[str], work: Callable[..., list[tuple]], kind: str) -> DataFrame:
+        """``work(block, plan, *columns)`` of every block gives rows of ``kind`` without their first column, the block's number."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for number, ids, lengths, data, *more in zip(*(c.to_pylist() for c in batch.columns)):
-                    sent, state, covered = work(Block.read(ids, lengths, data), shared.value, *more)
-                    kept = [] if state is None else [(number, None, None, state, covered)]
-                    yield _batch([*kept, *((number, b, p, None, None) for b, p in sent)], _arrow(_SENT))
-
-        return frame.select("block", *_TEXT, *columns).mapInArrow(tidied(run), _SENT)
+                    made = work(Block.read(ids, lengths, data), shared.value, *more)
+                    yield _batch([(number, *row) for row in made], _arrow(kind))
 
-    def with_found(frame: DataFrame, answers: DataFrame) -> DataFrame:
-        return frame.join(answers, "block", "left")
+        frame = blocks
+        for table in known:
+            frame = frame.join(table, "block", "left")
+        return frame.select("block", *_TEXT, *columns).mapInArrow(tidied(run), kind)
 
-    def states(sent: DataFrame) -> DataFrame:
-        return blocks.join(sent.where("bucket is null").select("block", "state", "covered"), "block")
+    positions = lambda blob: np.cumsum(unpack(blob, 1)[0]).astype(np.int64)
+    spans = lambda blob: np.frombuffer(blob, np.int64).reshape(-1, 2)
 
     # 1. Sampled triples: discard those that occur once, sort and name the others.
-    found = exchange(each(blocks, [], lambda block, plan: (send_fingerprints(block, plan), None, None)), meet_fingerprints, scratch, "repeated")
-
-    def name_triples(block: Block, plan: Plan, found: Found) -> tuple:
-        at = repeated(block, plan, found)
-        return send_triples(block, plan, at), pack([steps(at)]), None
-
-    sent = scratch.write(each(with_found(blocks, found), ["found"], name_triples), "triples", "uncompressed")
-    release(spark)
-    ranked = exchange(sent, meet_triples, scratch, "ranks")
+    again = tables.exchange(over([], [], send_fingerprints, _SENT), meet_fingerprints, "again")
+    kept = tables.write(over([again], ["again"], lambda block, plan, found: [(pack([steps(repeated(block, plan, found))]),)], "block long, kept binary"), "kept")
+    ranks = tables.exchange(over([kept], ["kept"], lambda block, plan, at: send_triples(block, plan, positions(at)), _SENT), meet_triples, "ranks")
 
     # 2. Names: sort the strings of sampled positions as name, gap and name.
-    def name_strings(block: Block, plan: Plan, state: bytes, found: Found) -> tuple:
-        own = named(block, plan, np.cumsum(unpack(state, 1)[0]).astype(np.int64), found)
-        return send_tuples(block, own), own.state(), None
+    known = tables.write(over([kept, ranks], ["kept", "ranks"], lambda block, plan, at, found: [(named(block, plan, positions(at), found).state(),)], "block long, named binary"), "named")
+    equal = tables.exchange(over([known], ["named"], lambda block, plan, own: send_tuples(block, Named.load(own)), _SENT), meet_rows(4), "equal")
+    covered = tables.write(over([known, equal], ["named", "equal"], lambda block, plan, own, found: [(covered_runs(block, Named.load(own), found).tobytes(),)], "block long, covered binary"), "covered")
 
-    sent = scratch.write(each(with_found(states(sent), ranked), ["state", "found"], name_strings), "names", "uncompressed")
-    release(spark)
-    equal = exchange(sent, meet_rows(4), scratch, "equal")
-    scratch.drop("triples")
-
-    # 3. Remaining suffixes: ask for the names around them, then sort them.
-    def claim(block: Block, plan: Plan, state: bytes, found: Found) -> tuple:
-        own = Named.load(state)
-        covered = covered_runs(block, own, found)
-        return send_claims(own, claims(block, own, covered)), state, covered.tobytes()
+    # 3. Remaining suffixes: ask for the contexts of their anchors, then sort them.
+    def ask(block: Block, plan: Plan, own: bytes, gone: bytes) -> list[tuple]:
+        own = Named.load(own)
+        return send_claims(block, plan, own, claims(block, own, spans(gone)))
 
-    sent = scratch.write(each(with_found(states(sent), equal), ["state", "found"], claim), "claims", "uncompressed")
-    release(spark)
-    wanted = exchange(sent, meet_claims, scratch, "wanted")
-    scratch.drop("names")
+    wanted = tables.exchange(over([known, covered], ["named", "covered"], ask, _SENT), meet_claims, "wanted")
 
-    def send_rest(block: Block, plan: Plan, state: bytes, covered: bytes, found: Found) -> tuple:
-        own, gone = Named.load(state), np.frombuffer(covered, np.int64).reshape(-1, 2)
-        at = remaining(block, own, claims(block, own, gone), found)
-        return send_strings(block, plan, at), pack([steps(at)]), covered
+    def choose(block: Block, plan: Plan, own: bytes, gone: bytes, found: Found) -> list[tuple]:
+        own = Named.load(own)
+        return [(pack([steps(remaining(block, plan, own, claims(block, own, spans(gone)), found))]),)]
 
-    sent = scratch.write(each(with_found(states(sent), wanted), ["state", "covered", "found"], send_rest), "rest", "uncompressed")
-    release(spark)
-    last = exchange(sent, meet_rows(7), scratch, "last")
-    scratch.drop("claims")
+    rest = tables.write(over([known, covered, wanted], ["named", "covered", "wanted"], choose, "block long, rest binary"), "rest")
+    last = tables.exchange(over([rest], ["rest"], lambda block, plan, at: send_strings(block, plan, positions(at)), _SENT), meet_rows(7), "last")
 
     # 4. What stands behind an equal string of an earlier document goes.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, lengths, data, carried, state, covered, found in zip(*(c.to_pylist() for c in batch.columns)):
-                block, runs = Block.read(ids, lengths, data), np.frombuffer(covered, np.int64).reshape(-1, 2)
-                gone = covered_starts(block, shared.value, np.cumsum(unpack(state, 1)[0]).astype(np.int64), found)
+            for ids, lengths, data, carried, runs, at, found in zip(*(c.to_pylist() for c in batch.columns)):
+                block, runs = Block.read(ids, lengths, data), spans(runs)
+                gone = covered_starts(block, shared.value, positions(at), found)
                 both = ranges(np.concatenate([runs[:, 0], gone]), np.concatenate([runs[:, 1], gone + WIDTH]))
                 yield from remove(block, both, json.loads(zstandard.ZstdDecompressor().decompress(carried)), as_text)
 
-    out = with_found(states(sent), last).select(*_TEXT, "carried", "state", "covered", "found")
+    out = blocks.join(covered, "block").join(rest, "block").join(last, "block", "left").select(*_TEXT, "carried", "covered", "rest", "last")
     done = out.mapInArrow(tidied(cut), _OUT.replace("kept binary", "kept string") if as_text else _OUT)
     alone = rows.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).cast("string" if as_text else "binary").alias("kept"), "carried")
     alone = alone.select("doc_id", F.octet_length("kept").cast("long").alias("n_bytes"), "kept", F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "carried")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolith.llm.common import prepare
+from fotolith.llm.common import prepare, sided
 
 #: Fixed values of the formats.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -169,15 +169,16 @@ def read_record(record: bytes) -> tuple:
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``archive, records, content`` over ``pages(page_id, url, html)``.
 
-    The least page_id of each payload is found by a map-side combined
-    aggregation of digests; it joins back on the digest, where adaptive
-    execution splits a payload that a large share of the pages has.
+    The least page_id of each payload that several pages have is found by a map-side
+    combined aggregation of digests. Pages stay where they are read as long as
+    those digests may be broadcast; beyond that they join by a shuffle on the digest, where
+    adaptive execution splits a payload that a large share of the pages has.
     """
     spark = prepare(pages.sparkSession)
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("sha1", F.unhex(F.sha1("html")))
-    least = pages.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    joined = pages.join(least.hint("merge"), "sha1")
+    shared = pages.groupBy("sha1").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    joined = pages.join(sided(shared), "sha1", "left").withColumn("first", F.when(F.col("k").isNull(), F.col("page_id")).otherwise(F.col("least")))
     response = F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("html") < min_bytes)
     joined = joined.select("page_id", "url", "html", "sha1", "first", response.alias("response"))
 

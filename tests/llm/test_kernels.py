@@ -293,7 +293,7 @@ def test_names_order_triples_by_their_text():
     for k in range(0, 60, 20):
         part = texts[k : k + 20]
         blocks.append(suffix.Block(np.arange(k, k + 20), np.array([len(x) for x in part]), b"".join(part)))
-    plan = suffix.Plan(1, 30, [np.zeros(0, np.uint64)] * 3)
+    plan = suffix.Plan(1, 30, np.zeros(0, np.uint64))
     at = [b.samples() for b in blocks]
     sent = [suffix.send_triples(b, plan, x)[0][1] for b, x in zip(blocks, at)]
     found = [[{"bucket": 0, "reply": r}] for r in suffix.meet_triples(sent)]
@@ -301,8 +301,17 @@ def test_names_order_triples_by_their_text():
     every = sorted({b.data[p : p + suffix.TRIPLE] for b, x in zip(blocks, at) for p in x.tolist()})
     for b, own in zip(blocks, named):
         assert [every.index(b.data[p : p + suffix.TRIPLE]) for p in own.at.tolist()] == own.name.tolist()
+        here = b.documents(own.at) + b.ids[0]
+        with_triple = lambda p: [i for i, t in enumerate(texts) if b.data[p : p + suffix.TRIPLE] in t]
+        sampled = {x.data[p : p + suffix.TRIPLE]: [] for x, y in zip(blocks, at) for p in y.tolist()}
+        for x, y in zip(blocks, at):
+            for p in y.tolist():
+                sampled[x.data[p : p + suffix.TRIPLE]].append(int(x.documents(np.array([p]))[0] + x.ids[0]))
+        for p, doc, early, late in zip(own.at.tolist(), here.tolist(), own.earlier, own.later):
+            docs = sampled[b.data[p : p + suffix.TRIPLE]]
+            assert set(docs) <= set(with_triple(p)) and (min(docs) < doc, max(docs) > doc) == (early, late)
         again = suffix.Named.load(own.state())
-        assert (again.at.tolist(), again.name.tolist(), again.earlier.tolist()) == (own.at.tolist(), own.name.tolist(), own.earlier.tolist())
+        assert all(np.array_equal(getattr(again, k), getattr(own, k)) for k in ("at", "name", "earlier", "later"))
 
 
 def test_ranges_and_members():
