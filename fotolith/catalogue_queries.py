@@ -219,12 +219,12 @@ def unique_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_FILES} SELECT file_id, CASE WHEN length(folder || name) > 18 THEN substr(folder || name, 1, 15) || '...' ELSE folder || name END AS shown,
-(size // 1024) || ' KB' AS kb, printf('%.2f MB', size / 1048576.0) AS mb, strftime(make_timestamp(modified * 1000000), '%Y-%m-%d %H:%M:%S') AS time, strftime(make_timestamp(modified * 1000000), '%Y%m%d_%H%M%S') AS stamp FROM files""")
+(size // 1024) || ' KB' AS kb, printf('%.2f MB', size / 1048576.0) AS mb, strftime(make_timestamp(modified * 1000000), '%Y-%m-%d %H:%M:%S') AS time, strftime(make_timestamp(modified * 1000000), '%Y%m%d_%H%M%S') AS stamp, strftime(make_timestamp(modified * 1000000), '%H:%M:%S') AS clock FROM files""")
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_seconds("modified")
     return adapters.files(spark, sf_dir).select(
         "file_id", names.truncated(F.concat("folder", "name")).alias("shown"), names.size_in_kb(F.col("size")).alias("kb"), names.size_in_mb(F.col("size")).alias("mb"),
-        F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("time"), F.date_format(at, "yyyyMMdd_HHmmss").alias("stamp"),
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("time"), F.date_format(at, "yyyyMMdd_HHmmss").alias("stamp"), F.date_format(at, "HH:mm:ss").alias("clock"),
     )
 
 
@@ -305,6 +305,23 @@ def save_as_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.save_as(files.select("path", dest.alias("dest")), files.select("path"))
 
 
+@query(f"""WITH {_FILES}, w AS (SELECT path, folder, file_id % 3 = 0 AS selected, row_number() OVER (PARTITION BY folder ORDER BY file_id DESC) = 1 AS clicked FROM files)
+SELECT c.folder, c.path AS clicked, coalesce(o.path, c.path) AS path FROM (SELECT * FROM w WHERE clicked) c LEFT JOIN w o ON c.selected AND o.selected AND o.folder = c.folder""")
+def cut_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = adapters.files(spark, sf_dir)
+    clicked = files.groupBy("folder").agg(F.max_by("path", "file_id").alias("clicked"))
+    return moves.cut(clicked, files.where("file_id % 3 = 0").select("folder", "path"), "folder")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, 'd/' || o_orderkey || '.jpg' AS path, (o_custkey % 40)::BIGINT AS cluster FROM orders),
+n AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM m)
+SELECT path AS src, row_number() OVER (ORDER BY cluster, path) AS done, count(*) OVER () AS total FROM n WHERE n >= 4""")
+def move_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders")
+    members = orders.select(F.concat(F.lit("d/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("path"), (F.col("o_custkey") % 40).cast("long").alias("cluster"))
+    return moves.progress(members)
+
+
 # Statistics and distances
 
 
@@ -481,9 +498,8 @@ def leader_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.snapshot(leader_clusters(spark, sf_dir), "folder")
 
 
-@query(_machine("place", CONFIG.std_floor, "SELECT folder, id, cluster FROM found"))
-def stream_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch result of ``leader_clusters``, by a stream over the same rows in several files: state goes from batch to batch."""
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    """Events and reports of a stream over the features in several files: state goes from batch to batch."""
     rows = leader.sequenced(_foldered(spark, sf_dir), "folder", ["time", "path"], champions=False)
     rows = stored(rows.select("folder", "id", "seq", *FEATURE_COLUMNS), "stream-rows")
     root = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -491,9 +507,23 @@ def stream_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = rows.withColumn("part", part)
     for k in range(STREAM_FILES):  # files arrive one after another, as they would from a scan
         dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    leader_stream.run_available(spark, f"{root}/in", rows.schema, CONFIG, f"{root}/out", f"{root}/checkpoint")
-    events = spark.read.schema(leader_stream.EVENTS).parquet(f"{root}/out")
-    return leader_stream.resolved(stored(events, "events"))
+    reports = leader_stream.run_available(spark, f"{root}/in", rows.schema, CONFIG, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(leader_stream.EVENTS).parquet(f"{root}/out"), reports
+
+
+@query(_machine("place", CONFIG.std_floor, "SELECT folder, id, cluster FROM found"))
+def stream_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch result of ``leader_clusters``, by a stream over the same rows in several files."""
+    return leader_stream.resolved(stored(_stream(spark, sf_dir)[0], "events"))
+
+
+@query(f"""WITH {_FEATS}, placed AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY time, id) AS seq, count(*) OVER (PARTITION BY label) AS n FROM raw),
+batches AS (SELECT least(seq * {STREAM_FILES} // (n + 1), {STREAM_FILES - 1})::BIGINT AS batch, count(*) AS extracted FROM placed GROUP BY 1)
+SELECT batch, extracted, sum(extracted) OVER (ORDER BY batch)::BIGINT AS done, sum(extracted) OVER ()::BIGINT AS total, round(100.0 * sum(extracted) OVER (ORDER BY batch) / sum(extracted) OVER (), 4) AS percent FROM batches""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the stream is after each micro-batch, by the stream's own reports."""
+    reports = _stream(spark, sf_dir)[1]
+    return leader_stream.progress(spark, reports)
 
 
 @query()

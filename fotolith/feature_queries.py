@@ -6,15 +6,19 @@ features, turns and thumbnails can be checked to the last pixel.
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotolith import datagen, reports
+from fotolith.functions import names
 from fotolith.operators import features
 from fotolith.schema import BENCHMARK
-from fotolith.session import read_table
+from fotolith.session import own_folder, read_table
+from fotolith.sources import listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,6 +131,44 @@ def image_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(features.thumbnails(images(spark, sf_dir), THUMBNAIL))
 
 
+def _bmp(width: int, height: int, key: int) -> bytes:
+    """A bitmap of 24 bits a pixel in one colour."""
+    row = bytes([key * 9 % 256, key * 5 % 256, key * 7 % 256]) * width
+    rows = (row + bytes(-len(row) % 4)) * height
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, width, height, 1, 24, 0, len(rows), 2835, 2835, 0, 0) + rows
+
+
+def scanned_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of real files, from the small table ``nation``: a bitmap, a text and a broken image each, in folders of the regions."""
+    root = f"{own_folder(spark)}/scan-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():
+        k, region = r["n_nationkey"], r["n_regionkey"]
+        for name, data in ((f"img_{k}.bmp", _bmp(1 + k % 5, 1 + k % 7, k)), (f"note_{k}.txt", b"text"), (f"broken_{k}.JPG", b"no image" * (k + 1))):
+            out = fs.create(path(f"{root}/region_{region}/{name}"))
+            out.write(data)
+            out.close()
+    return root
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, 'region_' || n_regionkey AS folder, 1 + n_nationkey % 5 AS w, 1 + n_nationkey % 7 AS h FROM nation)
+SELECT folder, 'img_' || k || '.bmp' AS name, w::INT AS width, h::INT AS height, (54 + (3 * w + 3) // 4 * 4 * h)::BIGINT AS size_bytes, 'BMP' AS format FROM n
+UNION ALL SELECT folder, 'broken_' || k || '.JPG', NULL, NULL, 8 * (k + 1), 'JPG' FROM n""")
+def scanned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the images of a real folder, after a scan and decoding."""
+    root = scanned_folder(spark, sf_dir)
+    found = listing.list_files(spark, root, recursive=True).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    made = listing.metadata(found, listing.read_images(spark, f"{root}/*"))
+    return made.select(names.file_name(names.parent(F.col("path"))).alias("folder"), "name", "dimensions.width", "dimensions.height", "size_bytes", "format")
+
+
+@query("""SELECT DISTINCT 'region_' || n_regionkey AS name, 0::BIGINT AS size, true AS is_dir FROM nation""")
+def scanned_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subfolders of a real folder."""
+    return listing.list_directories(spark, scanned_folder(spark, sf_dir)).select("name", "size", "is_dir")
+
+
 def _draws_sql() -> str:
     """The generator as a recursion over its state, then each set's rows from its draws."""
     state = f"((s::HUGEINT * {datagen.MULTIPLIER}::HUGEINT + {datagen.ADDEND}) % 18446744073709551616::HUGEINT)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fotolith.functions.labels import theme_folder
 from fotolith.functions.names import file_name, parent
+from fotolith.session import positions
 
 #: Smaller clusters stay where they are.
 MIN_MEMBERS = 4
@@ -39,3 +40,21 @@ def save_as(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     same = F.col("path") == F.col("dest")
     refused = F.when(same, "same path").when(F.coalesce("there", F.lit(False)), "exists")
     return wanted.join(there, "dest", "left").select(F.col("path").alias("src"), "dest", refused.alias("refused"))
+
+
+def cut(clicked: DataFrame, selected: DataFrame, pane: str) -> DataFrame:
+    """``pane, clicked, path``: what a cut takes in each pane, from its one clicked item and its ``selected(pane, path)``.
+
+    A selected item takes the whole selection with it, any other one goes alone.
+    """
+    hits = clicked.join(selected.select(pane, F.col("path").alias("clicked")), [pane, "clicked"], "left_semi")
+    whole = hits.join(selected, pane).select(pane, "clicked", "path")
+    alone = clicked.join(hits, [pane, "clicked"], "left_anti").select(pane, "clicked", F.col("clicked").alias("path"))
+    return whole.unionByName(alone)
+
+
+def progress(assigned: DataFrame) -> DataFrame:
+    """``src, done, total`` of the moves of ``assigned(path, cluster)``: how many are done with each, in order of cluster and path."""
+    placed = positions(theme_moves(assigned).select("cluster", "src"), ["cluster", "src"], "place")
+    total = placed.agg(F.count(F.lit(1)).alias("total"))
+    return placed.join(F.broadcast(total)).select("src", (F.col("place") + 1).alias("done"), "total")

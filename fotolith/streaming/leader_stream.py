@@ -39,11 +39,22 @@ def leader_events(features: DataFrame, config: GroupConfig) -> DataFrame:
     return hash_as_text(features).groupBy("folder").applyInPandasWithState(run, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, folder: str, schema, config: GroupConfig, out: str, checkpoint: str, files_per_batch: int = 1) -> None:
-    """Ingest all files of a folder, some in each micro-batch, and stop."""
+def run_available(spark: SparkSession, folder: str, schema, config: GroupConfig, out: str, checkpoint: str, files_per_batch: int = 1) -> list:
+    """Ingest all files of a folder, some in each micro-batch, and stop; the stream's reports of its last batches."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = leader_events(rows, config).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    return list(query.recentProgress)
+
+
+def progress(spark: SparkSession, reports: list) -> DataFrame:
+    """``batch, extracted, done, total, percent`` from a stream's reports: the rows of each micro-batch, and of all up to it."""
+    rows = [(int(r["batchId"]), int(r["numInputRows"])) for r in reports if r["numInputRows"]]
+    total, done, out = sum(n for _, n in rows), 0, []
+    for batch, n in sorted(rows):
+        done += n
+        out.append((batch, n, done, total, round(100 * done / total, 4)))
+    return spark.createDataFrame(out, "batch long, extracted long, done long, total long, percent double")
 
 
 def resolved(events: DataFrame, rounds: int = 64) -> DataFrame:

@@ -39,7 +39,7 @@ SQL = catalogue_queries.ORACLE | feature_queries.ORACLE
 @pytest.mark.parametrize("name", SQL)
 def test_query_matches_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "events", "orders", "lineitem", "part", "benchmark"):
+    for t in ("documents", "embeddings", "events", "orders", "lineitem", "part", "benchmark", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.execute(SQL[name])
     names_ = [d[0] for d in found.description]
