@@ -78,8 +78,11 @@ def tidy(batches: Iterator) -> Iterator:
     """The batches; at their end memory goes back to the system.
 
     Python workers are used again by later stages, so what a task leaves behind
-    would count against the next operator.
+    would count against the next operator. What a worker holds from its start on, modules
+    above all, is not looked through again.
     """
+    if not gc.get_freeze_count():
+        gc.freeze()
     yield from batches
     gc.collect()
     pa.default_memory_pool().release_unused()

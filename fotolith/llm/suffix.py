@@ -14,12 +14,15 @@ triple of ``TRIPLE`` bytes that starts there still lies inside the ``WIDTH`` byt
    the order of the text.
 2. *Recurse on names.* The suffix of a sampled position is the name of its triple,
    the twelve bytes up to the next sample of its residue class, and that one's
-   name: ``WIDTH`` bytes in all, so one recursion ends it. These triples are sorted
-   in the bucket of their first name.
+   name: ``WIDTH`` bytes in all, the depth that is compared. These triples are sorted
+   in the bucket of their first name and named by rank in turn. Pairs of such names
+   that follow each other, sorted alike, tell where all starts between two sampled
+   positions stand in an earlier document.
 3. *Merge remaining suffixes.* A start that lies in no covered run, and has an
    anchor (a sampled triple within the shift) whose name an earlier document holds, asks
    for the anchor's context; blocks with a context that a later document asks for
-   answer with the starts around it. Both are dealt by ranges of their text and sorted.
+   answer with the starts around it, but for those that an earlier document has for
+   sure, which answers in their place. Both are dealt by ranges of their text and sorted.
 4. *Compare adjacent prefixes.* In either order, equal strings stand together by
    document; all but the first block's are covered.
 
@@ -277,9 +280,12 @@ class Plan:
 def send_fingerprints(block: Block, plan: Plan) -> list[tuple[int, bytes]]:
     """The different fingerprints of the sampled triples, and whether the block has one twice."""
     bucket, rest = plan.fingerprints(block.triples(block.samples()))
-    found = Distinct.of([bucket << np.uint64(40) | rest])
-    bucket, rest = bucket[found.item].astype(np.int64), rest[found.item]
-    return by_bucket(bucket, lambda s: pack([steps(rest[s]) << np.uint64(1) | found.many[s]]))
+    key = np.sort(bucket << np.uint64(40) | rest)
+    starts = np.flatnonzero(changes([key]))
+    twice = np.diff(starts, append=len(key)) > 1
+    key = key[starts]
+    rest = key & np.uint64((1 << 40) - 1)
+    return by_bucket((key >> np.uint64(40)).astype(np.int64), lambda s: pack([steps(rest[s]) << np.uint64(1) | twice[s]]))
 
 
 def meet_fingerprints(payloads: list[bytes]) -> list[bytes]:
@@ -374,15 +380,18 @@ def named(block: Block, plan: Plan, at: np.ndarray, found: Found) -> Named:
     own, _, bucket = triple_groups(block, plan, at)
     codes = [unpack(x["reply"], 1)[0] for x in found]
     rank = np.concatenate([np.cumsum(c >> np.uint64(2)) for c in codes])
-    bits = np.concatenate(codes) & np.uint64(3)
     name = bucket.astype(np.uint64) << np.uint64(32) | rank
-    earlier = earlier_of(block, at, own, (bits & np.uint64(1)).astype(bool))
-    last = np.empty(len(own.item), np.int64)
-    last[own.place] = np.arange(len(at))  # of repeated places the last one holds
-    documents = block.ranks(at)
-    later = (bits >= 2)[own.place] | (documents < documents[last][own.place])
-    every = Named(at, name[own.place], earlier, later)
-    return every.of(earlier | later)
+    earlier, later = both_ways(block, at, own, np.concatenate(codes))
+    return Named(at, name[own.place], earlier, later).of(earlier | later)
+
+
+def both_ways(block: Block, at: np.ndarray, found: Distinct, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an equal row stands in an earlier and in a later document; the last bits of ``code`` tell it of other blocks."""
+    earlier = earlier_of(block, at, found, (code & np.uint64(1)).astype(bool))
+    last = np.empty(len(found.item), np.int64)
+    last[found.place] = np.arange(len(at))  # of repeated places the last one holds
+    rank = block.ranks(at)
+    return earlier, (code & np.uint64(2)).astype(bool)[found.place] | (rank < rank[last][found.place])
 
 
 # 2. Names
@@ -422,13 +431,49 @@ def meet_rows(width: int) -> Callable[[list[bytes]], list[bytes]]:
     return meet
 
 
-def covered_runs(block: Block, own: Named, found: Found) -> np.ndarray:
-    """The byte ranges of sampled strings that an earlier document has."""
+def meet_tuples(payloads: list[bytes]) -> list[bytes]:
+    """The rank of each string among the bucket's, whether an earlier block has it, and whether a later one."""
+    parts = [(lambda c: [np.cumsum(c[0]), *c[1:]])(unpack(p, 4)) for p in payloads]
+    order, new = sort_rows(parts)
+    code = np.empty(len(order), np.uint64)
+    code[order] = (np.cumsum(new) - 1) * 4 + 2 * ~np.append(new[1:], True) + ~new
+    ends = np.cumsum([len(p[0]) for p in parts]).tolist()
+    return [pack([code[a:b]]) for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def strings(block: Block, own: Named, found: Found) -> tuple[np.ndarray, Named]:
+    """The byte ranges of sampled strings that an earlier document has, and the strings that others have, with names."""
     at, different, rows = tuples(block, own)
+    if not len(at):
+        return np.zeros((0, 2), np.int64), own
+    code = np.concatenate([unpack(x["reply"], 1)[0] for x in found])
+    name = buckets_of(rows[0]).astype(np.uint64) << np.uint64(32) | code >> np.uint64(2)
+    earlier, later = both_ways(block, at, different, code)
+    gone = at[earlier]
+    return ranges(gone, gone + WIDTH), Named(at, name[different.place], earlier, later).of(earlier | later)
+
+
+def pairs(own: Named) -> tuple[np.ndarray, Distinct, list[np.ndarray]]:
+    """Positions of named strings that another one of the class follows, and the different pairs of names."""
+    after = np.searchsorted(own.at, own.at + PERIOD)
+    good = np.flatnonzero(np.append(own.at, -1)[after] == own.at + PERIOD)
+    rows = [own.name[good], own.name[after[good]]]
+    found = Distinct.of(rows, whole=False)
+    return own.at[good], found, [r[found.item] for r in rows]
+
+
+def send_pairs(own: Named) -> list[tuple[int, bytes]]:
+    _, _, rows = pairs(own)
+    return by_bucket(buckets_of(rows[0]), lambda s: pack([steps(rows[0][s]), rows[1][s]]))
+
+
+def known_starts(block: Block, own: Named, found: Found) -> np.ndarray:
+    """The intervals of starts between two sampled strings that an earlier document has in the same way."""
+    at, different, rows = pairs(own)
     if not len(at):
         return np.zeros((0, 2), np.int64)
-    gone = at[earlier_of(block, at, different, flags(found, runs_of(buckets_of(rows[0]))))]
-    return ranges(gone, gone + WIDTH)
+    same = at[earlier_of(block, at, different, flags(found, runs_of(buckets_of(rows[0]))))]
+    return ranges(same, same + PERIOD + 1)
 
 
 # 3. Remaining suffixes
@@ -484,15 +529,20 @@ class Contexts:
         return ranges(self.low[rows], self.high[rows] + 1)
 
 
-def concerned(own: Named, starts: np.ndarray) -> Named:
-    """The anchors that a later document has, or that are near one of the sorted ``starts`` and that an earlier one has."""
+def concerned(own: Named, starts: np.ndarray, known: np.ndarray) -> Named:
+    """The anchors that are near one of the sorted ``starts`` and that an earlier document has, or that a later one has.
+
+    Of the latter not those whose starts are all ``known``: an earlier document answers in their place.
+    """
     near = np.append(starts, np.iinfo(np.int64).max)[np.searchsorted(starts, own.at - PERIOD + 1)] <= own.at
-    return own.of(own.later | (own.earlier & near))
+    whole = known - np.array([0, PERIOD - 1])
+    sure = inside(own.at - PERIOD + 1, whole[whole[:, 0] < whole[:, 1]])
+    return own.of((own.later & ~sure) | (own.earlier & near))
 
 
-def send_claims(block: Block, plan: Plan, own: Named, starts: np.ndarray) -> list[tuple[int, bytes]]:
+def send_claims(block: Block, plan: Plan, own: Named, starts: np.ndarray, known: np.ndarray) -> list[tuple[int, bytes]]:
     """Every different context of the block, and whether the block asks for it."""
-    near = Contexts.of(block, concerned(own, starts), plan)
+    near = Contexts.of(block, concerned(own, starts, known), plan)
     wants = near.asked(starts)
     return by_bucket(near.bucket, lambda s: pack([steps(near.rest[s]) << np.uint64(1) | wants[s]]))
 
@@ -511,9 +561,12 @@ def meet_claims(payloads: list[bytes]) -> list[bytes]:
     return [x + y for x, y in zip(split_bits(earlier, parts), split_bits(later, parts))]
 
 
-def remaining(block: Block, plan: Plan, own: Named, starts: np.ndarray, found: Found) -> np.ndarray:
-    """The starts to sort: claims whose context stands in an earlier document, and what others ask for."""
-    own = concerned(own, starts)
+def remaining(block: Block, plan: Plan, own: Named, starts: np.ndarray, known: np.ndarray, found: Found) -> np.ndarray:
+    """The starts to sort: claims whose context stands in an earlier document, and what others ask for.
+
+    ``known``: starts that an earlier document has too, which answers in their place.
+    """
+    own = concerned(own, starts, known)
     if not len(own.at):
         return starts
     near = Contexts.of(block, own, plan)
@@ -521,7 +574,8 @@ def remaining(block: Block, plan: Plan, own: Named, starts: np.ndarray, found: F
     earlier, later = (flags([{"reply": x[k]} for x in halves], runs_of(near.bucket)) for k in (0, 1))
     wants = near.asked(starts)
     mine = near.served(wants & (earlier | near.found.many))
-    return np.union1d(starts[inside(starts, mine)], members(near.served(later | (wants & near.found.many))))
+    others = members(near.served(later | (wants & near.found.many)))
+    return np.union1d(starts[inside(starts, mine)], others[~inside(others, known)])
 
 
 def string_groups(block: Block, plan: Plan, at: np.ndarray) -> tuple[Distinct, list[np.ndarray], np.ndarray]:
@@ -579,7 +633,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
         texts: list[bytes] = []
         extra: list[str | None] = []
         size = 0
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -651,7 +705,8 @@ class Blocks:
             if held:
                 yield close(last, held)
 
-        dealt = sent.repartition(self.parts, "bucket").sortWithinPartitions("bucket", "block")
+        # By number, so that no two buckets meet in a task before every task has one.
+        dealt = sent.repartitionById(self.parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block")
         answers = dealt.mapInArrow(tidied(run), kind).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias(name))
         made = self.write(answers, name)
         release(self.spark)
@@ -701,21 +756,43 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_
 
     # 2. Names: sort the strings of sampled positions as name, gap and name.
     known = tables.write(over([kept, ranks], ["kept", "ranks"], lambda block, plan, at, found: [(named(block, plan, positions(at), found).state(),)], "block long, named binary"), "named")
-    equal = tables.exchange(over([known], ["named"], lambda block, plan, own: send_tuples(block, Named.load(own)), _SENT), meet_rows(4), "equal")
-    covered = tables.write(over([known, equal], ["named", "equal"], lambda block, plan, own, found: [(covered_runs(block, Named.load(own), found).tobytes(),)], "block long, covered binary"), "covered")
+    equal = tables.exchange(over([known], ["named"], lambda block, plan, own: send_tuples(block, Named.load(own)), _SENT), meet_tuples, "equal")
+
+    def name_strings(block: Block, plan: Plan, own: bytes, found: Found) -> list[tuple]:
+        gone, made = strings(block, Named.load(own), found)
+        return [(gone.tobytes(), made.state())]
+
+    covered = tables.write(over([known, equal], ["named", "equal"], name_strings, "block long, covered binary, strings binary"), "covered")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, own in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _batch([(number, *row) for row in send_pairs(Named.load(own))], _arrow(_SENT))
+
+    twice = tables.exchange(covered.select("block", "strings").mapInArrow(tidied(pair), _SENT), meet_rows(2), "twice")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, lengths, own, found in zip(*(c.to_pylist() for c in batch.columns)):
+                block = Block(np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64), b"")
+                yield _batch([(number, known_starts(block, Named.load(own), found).tobytes())], _arrow("block long, known binary"))
+
+    frame = blocks.select("block", "ids", "lengths").join(covered.select("block", "strings"), "block").join(twice, "block", "left")
+    sure = tables.write(frame.mapInArrow(tidied(settle), "block long, known binary"), "known")
+    covered = covered.drop("strings")
 
     # 3. Remaining suffixes: ask for the contexts of their anchors, then sort them.
-    def ask(block: Block, plan: Plan, own: bytes, gone: bytes) -> list[tuple]:
+    def ask(block: Block, plan: Plan, own: bytes, gone: bytes, same: bytes) -> list[tuple]:
         own = Named.load(own)
-        return send_claims(block, plan, own, claims(block, own, spans(gone)))
+        return send_claims(block, plan, own, claims(block, own, spans(gone)), spans(same))
 
-    wanted = tables.exchange(over([known, covered], ["named", "covered"], ask, _SENT), meet_claims, "wanted")
+    wanted = tables.exchange(over([known, covered, sure], ["named", "covered", "known"], ask, _SENT), meet_claims, "wanted")
 
-    def choose(block: Block, plan: Plan, own: bytes, gone: bytes, found: Found) -> list[tuple]:
+    def choose(block: Block, plan: Plan, own: bytes, gone: bytes, same: bytes, found: Found) -> list[tuple]:
         own = Named.load(own)
-        return [(pack([steps(remaining(block, plan, own, claims(block, own, spans(gone)), found))]),)]
+        return [(pack([steps(remaining(block, plan, own, claims(block, own, spans(gone)), spans(same), found))]),)]
 
-    rest = tables.write(over([known, covered, wanted], ["named", "covered", "wanted"], choose, "block long, rest binary"), "rest")
+    rest = tables.write(over([known, covered, sure, wanted], ["named", "covered", "known", "wanted"], choose, "block long, rest binary"), "rest")
     last = tables.exchange(over([rest], ["rest"], lambda block, plan, at: send_strings(block, plan, positions(at)), _SENT), meet_rows(7), "last")
 
     # 4. What stands behind an equal string of an earlier document goes.
