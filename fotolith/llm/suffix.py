@@ -38,7 +38,7 @@ folder, which later steps read without a shuffle. Buckets grow in number with th
 Defined results: null texts are empty; rows without id keep their text and take
 no part; rows that share an id are no smaller than each other (they stay in one
 block); shorter documents than ``WIDTH`` keep everything; an empty table gives no
-rows. ``carry`` names further columns that come back unchanged.
+rows. ``carry`` names further columns that come back unchanged, none of them named like a result.
 """
 
 from __future__ import annotations
@@ -722,6 +722,8 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_
     """
     spark = prepare(docs.sparkSession)
     carry = carry or []
+    if taken := {"doc_id", "n_bytes", "kept", "spans"} & {c.lower() for c in carry}:
+        raise ValueError(f"dedup: carried columns have names of results: {sorted(taken)}")
     shape = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)])
     packed = F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))), JSON_OPTIONS) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), packed.alias("carried"))
