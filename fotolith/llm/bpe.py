@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolith.llm.common import prepare, tidied
+from fotolith.llm.common import for_a_stage, prepare, tidied
 from fotolith.llm.rules import _mix
 
 REST, LETTER, NUMBER, SPACE, WHITE = range(5)
@@ -287,10 +287,13 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker and stage."""
     return Encoder(path)
 
 
+for_a_stage(encoder.cache_clear)
+
+
 def ship_file(spark: SparkSession, path: str) -> str:
     """Send a vocabulary file to all executors; returns its name there."""
     spark.sparkContext.addFile(path)

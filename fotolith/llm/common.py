@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,24 @@ def sided(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if few else ids.hint("merge")
 
 
+_kept: list[Callable[[], None]] = []
+_stage: list[int] = [-1]
+
+
+def for_a_stage(forget: Callable[[], None]) -> None:
+    """Call ``forget`` in a worker when a task of another stage begins: what one stage keeps is not the next one's load."""
+    _kept.append(forget)
+
+
+def _begin() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    if stage != _stage[0]:
+        _stage[0] = stage
+        for forget in _kept:
+            forget()
+
+
 def tidy(batches: Iterator) -> Iterator:
     """The batches; at their end memory goes back to the system.
 
@@ -83,6 +102,7 @@ def tidy(batches: Iterator) -> Iterator:
     """
     if not gc.get_freeze_count():
         gc.freeze()
+    _begin()
     yield from batches
     gc.collect()
     pa.default_memory_pool().release_unused()

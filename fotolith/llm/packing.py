@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import SPACE, chunks, classes, cut, piece_names, ship_file
-from fotolith.llm.common import Scratch, partitions, prepare, tidied
+from fotolith.llm.common import Scratch, for_a_stage, partitions, prepare, tidied
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -201,9 +202,13 @@ class TokenCache:
 
 @cache
 def token_cache(path: str) -> TokenCache:
+    """One for each Python worker and stage."""
     return TokenCache(path)
 
 
+for_a_stage(token_cache.cache_clear)
+
+
 class Dealer:
     """Puts documents beside lexically similar ones, so that a shard holds what its seeds ask for.
 
@@ -250,13 +255,19 @@ def signs(size: int) -> np.ndarray:
     return np.random.default_rng(5).choice(np.array([-1, 1], np.float32), (size, DIMS))
 
 
-def fit_dealer(docs: DataFrame, path: str) -> Dealer:
-    """Fitted on at most ``SAMPLE_DOCS`` texts of at most ``SAMPLE_CHARS`` code points, the least by a hash of their id."""
+def fit_dealer(docs: DataFrame, name: str) -> Dealer:
+    """Fitted in one task on at most ``SAMPLE_DOCS`` texts of at most ``SAMPLE_CHARS`` code points, the least by a hash of their id."""
     picked = docs.select("doc_id").where("doc_id is not null").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(SAMPLE_DOCS).distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
-    texts = [r["text"] for r in texts.orderBy("place", "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()]
-    tokens = token_cache(path)
-    return Dealer(tokens.encode(texts), tokens.size)
+    texts = texts.orderBy("place", "doc_id", "text").limit(SAMPLE_DOCS).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = token_cache(SparkFiles.get(name))
+        some = [x for batch in batches for x in tokens.encode(batch.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Dealer(some, tokens.size))], pa.binary())], names=["dealer"])
+
+    found = texts.mapInArrow(tidied(run), "dealer binary").collect()
+    return pickle.loads(found[0]["dealer"]) if found else Dealer([], 1)
 
 
 def tokenise(docs: DataFrame, path: str, separator: int = 0) -> DataFrame:
@@ -268,7 +279,7 @@ def tokenise(docs: DataFrame, path: str, separator: int = 0) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     name = ship_file(spark, path)
-    shared = spark.sparkContext.broadcast(fit_dealer(docs, path))
+    shared = spark.sparkContext.broadcast(fit_dealer(docs, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "ids", "wide", "key", "df"]

@@ -11,7 +11,7 @@ pieces' vectors with its length, its variety and the share of pieces that repeat
 piece before; a two-layer network gives a logit,
 divided by a temperature that is fitted on rows the network has not seen.
 
-The model is fitted on the driver from a bounded sample of labelled rows
+The model is fitted in one task on a bounded sample of labelled rows
 (``MAX_SAMPLE`` texts of at most ``MAX_SAMPLE_CHARS`` code points, the least by a
 hash of their id); scoring is one pass over all whole texts. Nothing but the text
 enters a score.
@@ -26,6 +26,7 @@ are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fotolith.llm.bpe import chunks, different
-from fotolith.llm.common import prepare, tidied
+from fotolith.llm.common import for_a_stage, prepare, tidied
 from fotolith.llm.rules import _mix
 
 #: Dimensions of the vectors, non-zero entries of an index vector.
@@ -94,6 +95,7 @@ class Names(dict):
 
 
 _names = Names()
+for_a_stage(_names.clear)
 
 
 @dataclass
@@ -245,20 +247,36 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most MAX_SAMPLE texts and labels to learn from, in a fixed order."""
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, quality``: at most MAX_SAMPLE texts to learn from, in a fixed order, in one partition."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(MAX_SAMPLE)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     texts = texts.where(F.length("text") <= MAX_SAMPLE_CHARS).orderBy("place", "doc_id", "text").limit(MAX_SAMPLE)
-    rows = texts.select("text", "quality").collect()
-    return [r[0] for r in rows], [int(r[1]) for r in rows]
+    return texts.select("text", F.col("quality").cast("int").alias("quality"))
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
+    """The texts and labels that are learnt from."""
+    rows = sampled(docs, labels).collect()
+    return [r[0] for r in rows], [r[1] for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled rows of ``docs(doc_id, text)`` that are not held out."""
-    return fit(*sample(docs, labels))
+    """Fit on the labelled rows of ``docs(doc_id, text)`` that are not held out: one task, which sends the model."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        marks: list[int] = []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, marks))], pa.binary())], names=["model"])
+
+    found = sampled(docs, labels).mapInArrow(tidied(run), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
