@@ -661,7 +661,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
 def make_plan(blocks: DataFrame) -> Plan:
     """Numbers of buckets and bits from the size of the text; cuts from a bounded sample, which only balances the buckets."""
     made, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = max(partitions(blocks.sparkSession), total // BUCKET_BYTES + 1)
+    buckets = max(-(-partitions(blocks.sparkSession) // 2), total // BUCKET_BYTES + 1)
     every = max(1, -(-made * PROBES // MAX_PROBES))
     probes = [np.frombuffer(r["probes"], np.uint64) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("probes").collect()]
     flat = np.sort(np.concatenate([np.zeros(0, np.uint64), *probes]))
