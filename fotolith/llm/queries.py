@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolith.llm import bitslice, bpe, chat, html_text, packing, quality, rules, simhash, suffix, warc
+from fotolith.llm import align, bitslice, bpe, chat, html_text, negatives, packing, quality, rules, secrets, simhash, suffix, warc
 from fotolith.llm.common import Scratch, prepare, table
 
 def vocabulary(name: str) -> str:
@@ -97,6 +97,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return align.aligned_links(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), Scratch(spark, "align"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    scratch = Scratch(spark, "secrets")
+    ledger = secrets.Ledger(spark, f"{scratch.root}/ledger")
+    found = secrets.scan(table(spark, sf_dir, "documents"), ledger, scratch)
+    count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.listed(secrets.of_kind(F.col("spans"), *secrets.kinds((secrets.BASE,))))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+    )
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, Scratch(spark, "negatives")).drop("positive_rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
@@ -108,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "op11_align": op11_align,
+    "op12_secrets": op12_secrets,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -162,4 +189,20 @@ WITH parts AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5""",
 }
