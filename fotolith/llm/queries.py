@@ -206,3 +206,31 @@ SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, po
 FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
 QUALIFY rank <= 5""",
 }
+
+
+def _secrets_sql() -> str:
+    """Places from what lies between the matches; a rule a branch."""
+    branches = []
+    for place, rule in enumerate(r for p in secrets.PACKS for r in p.rules):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        branches.append(f"""
+  SELECT doc_id, t, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, {pattern}, 0) AS m, regexp_extract_all(t, {pattern}, {rule.group}) AS g,
+    string_split_regex(t, {pattern}) AS s FROM d WHERE regexp_matches(t, {pattern})""")
+    base = ", ".join(f"'{k}'" for k in secrets.kinds((secrets.BASE,)))
+    one = "kind || ':' || a || ':' || b"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL".join(branches)}
+), numbered AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found
+), placed AS (
+  SELECT doc_id, place, kind, list_sum(list_transform(s[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(m[i]) AS n
+  FROM numbered WHERE length(g[i]) >= least
+), spans AS (SELECT doc_id, place, kind, a, a + n AS b FROM placed
+), listed AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg({one}, ',' ORDER BY a, place) FILTER (WHERE kind IN ({base})) AS base, string_agg({one}, ',' ORDER BY a, place) AS spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+ORACLE["op12_secrets"] = _secrets_sql()
