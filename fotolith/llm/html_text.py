@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a light element tree without boilerplate elements (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles).
+headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles), known by tag,
+role, or a class or id that says nothing else; such names never touch headings and
+paragraphs, and an article's own header and its sections' ids are the article's.
 Every paragraph-like block passes points for its length and its commas to its
 ancestors, whole to the parent, half to the next, a third to the one after;
 a container's sum is discounted by its link density. The best container gives way to
@@ -46,14 +48,24 @@ DROPPED = frozenset(
     "option datalist textarea input label menu dialog title noembed noframes".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-#: Words of a class or id that mark boilerplate; after "with", "has" or "no" they describe what stands around the text.
-DROPPED_WORDS = re.compile(
-    r"(?<![a-z])(?<!with-)(?<!has-)(?<!no-)(?:ads?|adv(?:ert\w*)?|adsense|adslot|banner|sponsor\w*|promo\w*|sidebar|side-?bar|rail|menu|nav(?:bar|igation)?|"
-    r"breadcrumbs?|masthead|header|site-?header|page-?header|footer|site-?footer|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|comments?|comment-\w+|disqus|respond|repl(?:y|ies)|"
-    r"related|recommend\w*|recirc\w*|widget|toolbar|paginat\w*|pager|tag-?cloud|skip(?:-link)?|copyright|disclaimer)(?![a-z])"
+#: Words of a class or id that mark boilerplate, and words that only say where such a thing stands or what shape it has.
+#: A name marks boilerplate if it consists of both kinds alone: "share-buttons" does, "share-price" does not.
+MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promos promotion sidebar rail menu nav navbar navigation "
+    "breadcrumb breadcrumbs masthead header footer cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription "
+    "signup login share sharing social comment comments disqus respond reply replies related recommend recommended recommendations recirc recirculation widget widgets "
+    "toolbar pagination paginator pager skip copyright disclaimer".split()
 )
-KEEP_ANYWAY = frozenset("html body main article".split())
+SHAPES = frozenset(
+    "area author avatar bar block body bottom box btn button buttons card cards cell cloud column container count cta date desktop fixed float floating footer form frame global "
+    "group head heading icon icons id inline inner item items label layer left line link links list local main meta mobile more outer page panel placeholder policy pop "
+    "posts primary respond right roll root row secondary section site slot social sticky stories strip sub tags text thread title toggle tools top unit up wrap wrapper zone".split()
+)
+#: Names whose two words mark boilerplate together.
+PAIRS = frozenset("side-bar pop-up sign-up log-in tag-cloud".split())
+#: Words of reader comments: they count in the id of an article's section too, where other ids are names of its headings.
+READERS = frozenset("comment comments disqus respond reply replies".split())
+KEEP_ANYWAY = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 
 PARAGRAPH = frozenset("p pre td blockquote li dd div section article main body figcaption".split())
 BONUS = {"article": 5.0, "main": 3.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0}
@@ -95,8 +107,15 @@ class Node:
         self.score = 0.0
 
 
-def is_boilerplate(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
+def marks(name: str) -> set[str]:
+    """The words by which a class or id marks boilerplate; none if it says anything else."""
+    words = {w for w in (part.strip("0123456789") for part in name.split("-")) if w}
+    return words & (MARKS | PAIRS) if words <= MARKS | SHAPES else {name} & PAIRS
+
+
+def is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+    """``inside``: an article is open."""
+    if tag in DROPPED and not (inside and tag == "header"):  # an article's own header holds its title
         return True
     low = attrs.lower()
     if not any(w in low for w in WATCHED):
@@ -108,21 +127,31 @@ def is_boilerplate(tag: str, attrs: str) -> bool:
         return True
     if tag in KEEP_ANYWAY:
         return False
-    return any(DROPPED_WORDS.search(found.get(k, "").replace("_", "-")) for k in ("class", "id"))
+    names = lambda k: [marks(x) for x in found.get(k, "").replace("_", "-").split()]
+    own = names("id")
+    if inside and tag == "section":
+        own = [x & READERS for x in own]
+    return any(x - {"header"} if inside else x for x in names("class") + own)
 
 
 def parse(page: str) -> Node:
-    """The element tree of a page without boilerplate."""
+    """The element tree of a page without boilerplate; time is linear in the page, whatever is left open."""
     root = Node("html", None)
     stack: list[tuple[str, Node | None]] = [("", root)]  # None: inside boilerplate
-    open_tags: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # of each tag, where its open elements stand in the stack
+    blocks_at: list[int] = []
     at, n = 0, len(page)
 
     def pop() -> str:
         tag, _ = stack.pop()
-        open_tags[tag] -= 1
+        open_at[tag].pop()
+        if tag in BLOCK:
+            blocks_at.pop()
         return tag
 
+    def nearest(tags: set[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     while at < n:
         m = TOKEN.search(page, at)
         here = stack[-1][1]
@@ -138,33 +167,24 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
         if m["end"] if m["tag"] else m["end2"]:
-            if open_tags.get(tag):
+            if open_at.get(tag):
                 while pop() != tag:
                     pass
             elif tag in ("br", "p") and here is not None:
                 here.children.append(Node(tag, here))
             continue
-        if tag in BLOCK and open_tags.get("p"):
+        if tag in BLOCK and blocks_at and blocks_at[-1] == nearest({"p"}):
             # An open paragraph ends where a block starts, unless a block inside it holds both.
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    while pop() != "p":
-                        pass
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            while pop() != "p":
+                pass
         if tag in CLOSES:
             own, stoppers = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in own:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in stoppers:
-                    break
+            if (k := nearest(own)) > nearest(stoppers):
+                while len(stack) > k:
+                    pop()
         here = stack[-1][1]
         closed = tag in VOID
-        drop = here is None or is_boilerplate(tag, attrs)
+        drop = here is None or is_boilerplate(tag, attrs, bool(open_at.get("article")))
         if tag in RAW:
             found = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             raw_end = found.start() if found else n
@@ -177,8 +197,10 @@ def parse(page: str) -> Node:
         node = None if drop else Node(tag, here)
         if node is not None:
             here.children.append(node)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks_at.append(len(stack))
         stack.append((tag, node))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
     return root
 
 

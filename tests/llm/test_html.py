@@ -1,6 +1,7 @@
 """Tree scoring against a plain scorer over random trees, and pages where scores decide."""
 
 import random
+import time
 
 import pytest
 
@@ -136,3 +137,48 @@ def test_of_several_articles_teasers_stay_out():
 )
 def test_references_of_any_length(reference, text):
     assert h.main_text(f"<p>x{reference} y</p>") == f"x{text} y"
+
+
+#: Elements whose class or id holds a word of boilerplate but names something of the article.
+@pytest.mark.parametrize(
+    "tag, name",
+    [
+        ("h2", 'id="related-work"'), ("h2", 'id="login"'), ("section", 'id="notice-period"'), ("section", 'id="sharing-data"'), ("div", 'id="social-security"'), ("div", 'class="share-price"'),
+        ("p", 'class="alert"'), ("section", 'id="cookies"'), ("div", 'class="entry-header"'), ("div", 'class="header"'), ("section", 'id="ad-hoc-queries"'), ("div", 'class="has-sidebar"'), ("div", 'class="menu-of-the-day"'),
+        ("header", ""), ("h3", 'class="comments"'), ("div", 'class="reply_to_critics"'),
+    ],
+)
+def test_an_article_keeps_what_its_names_only_resemble_boilerplate(tag, name):
+    inner = f"<{tag} {name}>Something that is said here.</{tag}>"
+    assert h.main_text(page(f"<article><p>{PROSE}</p>{inner}<p>{PROSE}</p></article>")) == f"{PROSE}\nSomething that is said here.\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    "tag, name",
+    [
+        ("div", 'class="ad"'), ("div", 'class="share-buttons"'), ("div", 'id="comments"'), ("section", 'id="comments"'), ("section", 'class="comment-list"'), ("div", 'class="comment comment-12"'),
+        ("div", 'class="cookie-notice"'), ("div", 'class="newsletter_signup"'), ("ul", 'class="breadcrumbs"'), ("div", 'class="ad-slot-3"'), ("div", 'id="side-bar"'), ("div", 'class="related-posts"'), ("div", 'class="social-share-bar"'),
+        ("aside", ""), ("nav", ""), ("footer", ""), ("form", ""), ("div", 'role="alert"'), ("div", "hidden"), ("div", 'class="skip-link"'), ("div", 'class="sponsored-links"'), ("div", 'class="site-footer"'),
+    ],
+)
+def test_boilerplate_goes_wherever_it_stands(tag, name):
+    inner = f"<{tag} {name}><p>{PROSE} This is not of the article.</p></{tag}>"
+    whole = f"<article><p>{PROSE}</p>{{}}<p>{PROSE}</p></article>{{}}"
+    assert h.main_text(page(whole.format(inner, inner))) == f"{PROSE}\n{PROSE}"
+
+
+def test_headers_of_the_page_go_and_those_of_the_article_stay():
+    got = h.main_text(page(f"<header><h1>Site</h1><p>{PROSE}</p></header>", f"<article><header><h1>Title</h1><p>Lead.</p><nav>Contents</nav></header><p>{PROSE}</p></article>"))
+    assert got == f"Title\nLead.\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["<b>" * 350_000, "<b>" * 100_000 + "<li>x</li>" * 60_000, "<li><ul>" + "<b>" * 100_000 + "<li>x</li>" * 60_000, "<p>" + "<b>" * 100_000 + "<div>x</div>" * 60_000,
+     "<table><tr>" + "<i>" * 100_000 + "<td>x" * 100_000, "<select>" + "<option>x" * 100_000, "<div>" * 200_000, "<div><p>" * 120_000, "<a '>" * 200_000 + "'", '<a "' * 200_000, "<!--" * 200_000],
+    ids=range(11),
+)
+def test_a_page_of_a_megabyte_left_open_takes_linear_time(text):
+    began = time.process_time()
+    h.main_text(text)
+    assert time.process_time() - began < 8 * len(text) / 1e6  # a shared machine; the walk of old took minutes
