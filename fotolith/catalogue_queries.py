@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from fotolith import reports
 from fotolith.functions import distance, hashes, labels, names
-from fotolith.operators import catalog, dbscan, leader, silhouette, stats, tune
+from fotolith.operators import catalog, dbscan, leader, prefix, silhouette, stats, tune
 from fotolith.plans import moves
 from fotolith.schema import DIMENSIONS, FEATURE_COLUMNS, GroupConfig
 from fotolith.session import own_folder, read_table, stored
 from fotolith.sources import adapters, config
-from fotolith.streaming import leader_stream
+from fotolith.streaming import leader_stream, windows
+from fotolith.streaming.progress import ProgressLog, progress
 
 #: Settings of the queries over derived features: every weight counts.
 CONFIG = GroupConfig(weight_time=0.1, weight_color=0.2, weight_name=0.1, eps=0.6, min_samples=5)
@@ -498,32 +499,107 @@ def leader_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.snapshot(leader_clusters(spark, sf_dir), "folder")
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
-    """Events and reports of a stream over the features in several files: state goes from batch to batch."""
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[str, ProgressLog]:
+    """The table and the reports of a stream over the features in several files, stopped and started again on the way."""
     rows = leader.sequenced(_foldered(spark, sf_dir), "folder", ["time", "path"], champions=False)
-    rows = stored(rows.select("folder", "id", "seq", *FEATURE_COLUMNS), "stream-rows")
+    sizes = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("total"))
+    rows = stored(rows.join(sizes, "folder").select("folder", "id", "seq", *FEATURE_COLUMNS, "total"), "stream-rows")
     root = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
-    part = F.least(F.col("seq") * STREAM_FILES / (F.max("seq").over(Window.partitionBy("folder")) + 1), F.lit(STREAM_FILES - 1)).cast("int")
+    part = F.least(F.col("seq") * STREAM_FILES / (F.col("total") + 1), F.lit(STREAM_FILES - 1)).cast("int")
     dealt = rows.withColumn("part", part)
-    for k in range(STREAM_FILES):  # files arrive one after another, as they would from a scan
-        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    reports = leader_stream.run_available(spark, f"{root}/in", rows.schema, CONFIG, f"{root}/out", f"{root}/checkpoint")
-    return spark.read.schema(leader_stream.EVENTS).parquet(f"{root}/out"), reports
+    log = ProgressLog(spark, f"{root}/reports")
+    with log:
+        for k in range(STREAM_FILES):  # files arrive one after another, as they would from a scan
+            dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+            if k != 1:  # the second start finds two files
+                log.wait(leader_stream.start(spark, f"{root}/in", rows.schema, CONFIG, f"{root}/out", f"{root}/checkpoint"))
+    return f"{root}/out", log
 
 
 @query(_machine("place", CONFIG.std_floor, "SELECT folder, id, cluster FROM found"))
 def stream_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch result of ``leader_clusters``, by a stream over the same rows in several files."""
-    return leader_stream.resolved(stored(_stream(spark, sf_dir)[0], "events"))
+    return leader_stream.resolved(leader_stream.events(spark, _stream(spark, sf_dir)[0]))
+
+
+@query(_machine("place", CONFIG.std_floor, "SELECT folder, cluster, count(*) AS n, count(*) || ' images' AS label FROM found GROUP BY folder, cluster"))
+def stream_live_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream shows in the end: the clusters of ``leader_snapshot``, each replaced whenever it changed."""
+    return leader_stream.live_view(spark, _stream(spark, sf_dir)[0])
 
 
 @query(f"""WITH {_FEATS}, placed AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY time, id) AS seq, count(*) OVER (PARTITION BY label) AS n FROM raw),
 batches AS (SELECT least(seq * {STREAM_FILES} // (n + 1), {STREAM_FILES - 1})::BIGINT AS batch, count(*) AS extracted FROM placed GROUP BY 1)
 SELECT batch, extracted, sum(extracted) OVER (ORDER BY batch)::BIGINT AS done, sum(extracted) OVER ()::BIGINT AS total, round(100.0 * sum(extracted) OVER (ORDER BY batch) / sum(extracted) OVER (), 4) AS percent FROM batches""")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the stream is after each micro-batch, by the stream's own reports."""
-    reports = _stream(spark, sf_dir)[1]
-    return leader_stream.progress(spark, reports)
+    """How far the stream is after each micro-batch, by what a listener wrote of it."""
+    return progress(_stream(spark, sf_dir)[1].read())
+
+
+#: Event time: spans of arrival, what the watermark allows for (two spans of 432,000 s), and the windows.
+SPANS, SPAN_S, ALLOWANCE_S = 6, 432_000, 864_000
+EVENT_WINDOWS = (windows.Windows("tumbling", "6 hours"), windows.Windows("sliding", "2 days", "1 day"), windows.Windows("session", "20 minutes"))
+#: Arrivals in SQL: a tenth of the rows one span late (in time), a tenth of the first two spans four spans late (too late), some delivered again.
+_ARRIVED = f"""timed AS (SELECT event_id, event_type, value, ts, least((epoch_us(ts) - min(epoch_us(ts)) OVER ()) // {SPAN_S * 1_000_000}, {SPANS - 1}) AS span FROM events),
+placed AS (SELECT *, CASE WHEN event_id % 10 = 3 THEN least(span + 1, {SPANS - 1}) WHEN event_id % 10 = 7 AND span < 2 THEN span + 4 ELSE span END AS batch FROM timed),
+arrived AS (SELECT * FROM placed UNION ALL SELECT * REPLACE (batch + 1 AS batch) FROM placed WHERE event_id % 11 = 0 AND batch < {SPANS - 1}),
+marks AS (SELECT batch, max(max(epoch_ms(ts))) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {ALLOWANCE_S * 1000} AS mark FROM arrived GROUP BY batch),
+marked AS (SELECT a.*, coalesce(epoch_us(ts) <= mark * 1000, false) AS late FROM arrived a JOIN marks USING (batch)),
+kept AS (SELECT event_id, any_value(event_type) AS event_type, any_value(value) AS value, any_value(ts) AS ts FROM marked WHERE NOT late GROUP BY event_id),
+ending AS (SELECT max(epoch_ms(ts)) - {ALLOWANCE_S * 1000} AS mark FROM arrived)"""
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with the ``batch`` in which each row arrives: most in order, some late in time, some too late, some twice."""
+    rows = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    first = rows.agg(F.min(F.unix_micros("ts")).alias("first"))
+    span = F.least(F.floor((F.unix_micros("ts") - F.col("first")) / F.lit(SPAN_S * 1_000_000)), F.lit(SPANS - 1)).cast("int")
+    timed = rows.join(F.broadcast(first)).withColumn("span", span).drop("first")
+    late = F.when(F.col("event_id") % 10 == 3, F.least(F.col("span") + 1, F.lit(SPANS - 1))).when((F.col("event_id") % 10 == 7) & (F.col("span") < 2), F.col("span") + 4).otherwise(F.col("span"))
+    placed = timed.withColumn("batch", late).drop("span")
+    return stored(placed.unionByName(placed.where((F.col("event_id") % 11 == 0) & (F.col("batch") < SPANS - 1)).withColumn("batch", F.col("batch") + 1)), "arrivals")
+
+
+def _windowed(spark: SparkSession, sf_dir: str, chosen: tuple[windows.Windows, ...]) -> tuple[DataFrame, dict[str, ProgressLog]]:
+    """The windows that closed, and each stream's reports; every arrival is a start from the checkpoint."""
+    arrived = _arrivals(spark, sf_dir)
+    root = f"{own_folder(spark)}/windows-{uuid.uuid4().hex}"
+    logs = {w.kind: ProgressLog(spark, f"{root}/reports-{w.kind}") for w in chosen}
+    for k in range(SPANS):
+        arrived.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(f"{root}/in")
+        for w in chosen:
+            with logs[w.kind] as log:
+                log.wait(windows.start(spark, f"{root}/in", arrived.drop("batch").schema, w, f"{ALLOWANCE_S} seconds", f"{root}/{w.kind}", f"{root}/checkpoint-{w.kind}"))
+    found = None
+    for w in chosen:
+        one = spark.read.parquet(f"{root}/{w.kind}")
+        found = one if found is None else found.unionByName(one)
+    return found, logs
+
+
+@query(f"""WITH {_ARRIVED},
+flat AS (
+  SELECT 'tumbling' AS kind, event_type, value, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS s, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS AS e FROM kept
+  UNION ALL SELECT 'sliding', event_type, value, date_trunc('day', ts) - to_days(k), date_trunc('day', ts) - to_days(k) + INTERVAL 2 DAYS FROM kept, (VALUES (0), (1)) AS back(k)),
+opened AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 20 MINUTES, true) AS opens FROM kept WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM opened),
+whole AS (
+  SELECT kind, s, e, event_type, count(*) AS n, sum(value) AS total FROM flat GROUP BY ALL
+  UNION ALL SELECT 'session', min(ts), max(ts) + INTERVAL 20 MINUTES, event_type, count(*), sum(value) FROM numbered GROUP BY event_type, session)
+SELECT kind, epoch_us(s) AS start_us, epoch_us(e) AS end_us, event_type, n, round(total, 4) AS total FROM whole, ending WHERE epoch_us(e) <= mark * 1000""")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling, sliding and session windows of event time that closed over a stream with late and repeated rows."""
+    found = _windowed(spark, sf_dir, EVENT_WINDOWS)[0]
+    return found.select("kind", F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""WITH {_ARRIVED}, counted AS (SELECT batch::BIGINT AS arrival, count(*) AS n_rows, count(*) FILTER (WHERE late) AS n_late FROM marked GROUP BY 1)
+SELECT arrival, n_rows, n_late, sum(n_rows) OVER (ORDER BY arrival)::BIGINT AS done FROM counted""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each arrival, those among them that came after the watermark, and all rows so far, as the listener wrote them."""
+    log = _windowed(spark, sf_dir, EVENT_WINDOWS[:1])[1]["tumbling"]
+    reports = prefix.running_sums(log.read().where("rows > 0").withColumn("one", F.lit(1)), "one", "batch", "rows")
+    return prefix.places(reports, "one", ["batch"], "arrival").select((F.col("arrival") - 1).alias("arrival"), F.col("rows").alias("n_rows"), F.col("late").alias("n_late"), F.col("sum").alias("done"))
 
 
 @query()

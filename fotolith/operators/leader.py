@@ -13,17 +13,17 @@ a key.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolith.functions.distance import Features, kernel
 from fotolith.functions.labels import cluster_label
+from fotolith.operators.prefix import places
 from fotolith.schema import DIMENSIONS, GroupConfig
 from fotolith.session import send_package, stored
 
@@ -33,11 +33,10 @@ MERGE_FACTOR = 1.2
 class Welford:
     """Running mean and squared deviations of the five dimensions."""
 
-    def __init__(self, state: dict | None = None):
-        state = state or {}
-        self.n = state.get("n", 0)
-        self.mean = np.array(state.get("mean", [0.0] * 5))
-        self.m2 = np.array(state.get("m2", [0.0] * 5))
+    def __init__(self, n: int = 0, mean: list | None = None, m2: list | None = None):
+        self.n = n
+        self.mean = np.zeros(5) if mean is None else np.array(mean, float)
+        self.m2 = np.zeros(5) if m2 is None else np.array(m2, float)
 
     def add(self, v: np.ndarray) -> None:
         self.n += 1
@@ -48,67 +47,79 @@ class Welford:
     def std(self, floor: float) -> np.ndarray:
         return np.ones(5) if self.n < 2 else np.maximum(np.sqrt(self.m2 / self.n), max(floor, 1e-9))
 
-    def state(self) -> dict:
-        return {"n": self.n, "mean": self.mean.tolist(), "m2": self.m2.tolist()}
-
 
 class Machine:
     """The state of one key; ``ingest`` returns the stable id of the row's cluster.
 
-    Clusters lie in arrays in list order, so that a row is compared with all of
-    them at once.
+    Clusters lie in arrays in list order, which is the order of their ids, so that a row is
+    compared with all of them at once. The arrays grow by doubling.
     """
 
-    def __init__(self, config: GroupConfig, state: dict | None = None):
-        self.config = config
-        state = state or {}
-        self.stats = Welford(state.get("stats"))
-        self.next_id = state.get("next_id", 1)
-        self.ids: list[int] = state.get("ids", [])
-        self.hashes: list[int | None] = state.get("hashes", [])
-        self.palettes: list[list] = state.get("palettes", [])
-        self.sums = np.array(state.get("sums", []), float).reshape(-1, 5)
-        self.counts = np.array(state.get("counts", []), float)
-        self.into: dict[int, int] = {int(k): v for k, v in state.get("into", {}).items()}
-        self._known: Features | None = None
-
-    def state(self) -> dict:
-        return {
-            "stats": self.stats.state(), "next_id": self.next_id, "ids": self.ids, "hashes": self.hashes, "palettes": self.palettes,
-            "sums": self.sums.tolist(), "counts": self.counts.tolist(), "into": self.into,
-        }
-
-    def _distances(self, v: np.ndarray, phash: int | None, palette: list) -> np.ndarray:
-        std = self.stats.std(self.config.std_floor)
-        if self._known is None:  # clusters came or went
-            self._known = Features(self.sums, self.hashes, self.palettes)
-        self._known.vectors = (self.sums / self.counts[:, None] - self.stats.mean) / std
-        return kernel(Features(((v - self.stats.mean) / std)[None, :], [phash], [palette]), self._known, self.config)[0]
+    def __init__(self, config: GroupConfig, stats: Welford | None = None, next_id: int = 1, clusters: list[tuple] = ()):
+        """``clusters``: ``(id, count, sums, phash, palette)`` in order of id."""
+        self.config, self.stats, self.next_id = config, stats or Welford(), next_id
+        self.n = 0
+        self.ids, self.counts, self.sums = np.zeros(16, np.int64), np.zeros(16), np.zeros((16, 5))
+        self.known = Features(np.zeros((16, 5)), [None] * 16, [[]] * 16)
+        self.into: dict[int, int] = {}
+        for cluster, count, sums, phash, palette in clusters:
+            self._open(cluster, count, sums, phash, palette)
+
+    def _open(self, cluster: int, count: float, sums: np.ndarray, phash: int | None, palette: list) -> None:
+        if self.n == len(self.ids):
+            double = lambda x: np.concatenate([x, np.zeros_like(x)])
+            self.ids, self.counts, self.sums = double(self.ids), double(self.counts), double(self.sums)
+            for name in ("hashes", "has_hash", "sizes", "palettes"):
+                setattr(self.known, name, double(getattr(self.known, name)))
+        k, one = self.n, Features(np.zeros((1, 5)), [phash], [palette])
+        if (more := one.palettes.shape[1] - self.known.palettes.shape[1]) > 0:
+            self.known.palettes = np.pad(self.known.palettes, ((0, 0), (0, more), (0, 0)), constant_values=np.nan)
+        self.ids[k], self.counts[k], self.sums[k] = cluster, count, sums
+        self.known.hashes[k], self.known.has_hash[k], self.known.sizes[k] = one.hashes[0], one.has_hash[0], one.sizes[0]
+        self.known.palettes[k] = np.nan
+        self.known.palettes[k, : one.palettes.shape[1]] = one.palettes[0]
+        self.n += 1
+
+    def _close(self, at: int) -> None:
+        own = self.known
+        for x in (self.ids, self.counts, self.sums, own.hashes, own.has_hash, own.sizes, own.palettes):
+            x[at : self.n - 1] = x[at + 1 : self.n]
+        self.n -= 1
+
+    def clusters(self) -> dict[int, tuple]:
+        """``(count, sums)`` of each cluster."""
+        return {int(i): (float(c), s) for i, c, s in zip(self.ids[: self.n], self.counts, self.sums)}
+
+    def _distances(self, v: np.ndarray, row: Features) -> np.ndarray:
+        """From a row of raw values ``v`` to all clusters."""
+        std, n, own = self.stats.std(self.config.std_floor), self.n, self.known
+        row.vectors = ((v - self.stats.mean) / std)[None, :]
+        all_of = object.__new__(Features)
+        all_of.vectors = (self.sums[:n] / self.counts[:n, None] - self.stats.mean) / std
+        all_of.hashes, all_of.has_hash, all_of.sizes, all_of.palettes = own.hashes[:n], own.has_hash[:n], own.sizes[:n], own.palettes[:n]
+        return kernel(row, all_of, self.config)[0]
 
     def ingest(self, v: np.ndarray, phash: int | None, palette: list) -> int:
         self.stats.add(v)
-        if self.ids:
-            d = self._distances(v, phash, palette)
+        if self.n:
+            d = self._distances(v, Features(np.zeros((1, 5)), [phash], [palette]))
             best = int(np.argmin(d))
             if d[best] <= self.config.eps:
                 self.sums[best] += v
                 self.counts[best] += 1
-                home = self.ids[best]
+                home = int(self.ids[best])
                 self._merge(best)
                 return home
-        self.ids.append(self.next_id)
-        self.hashes.append(phash)
-        self.palettes.append(palette)
-        self.sums = np.vstack([self.sums, v])
-        self.counts = np.append(self.counts, 1.0)
+        self._open(self.next_id, 1.0, v, phash, palette)
         self.next_id += 1
-        self._known = None
         return self.next_id - 1
 
     def _merge(self, at: int) -> None:
-        if len(self.ids) < 2:
+        if self.n < 2:
             return
-        d = self._distances(self.sums[at] / self.counts[at], self.hashes[at], self.palettes[at])
+        own, one = self.known, object.__new__(Features)
+        one.hashes, one.has_hash, one.sizes, one.palettes = (x[at : at + 1] for x in (own.hashes, own.has_hash, own.sizes, own.palettes))
+        d = self._distances(self.sums[at] / self.counts[at], one)
         d[at] = math.inf
         near = np.flatnonzero(d <= self.config.eps * MERGE_FACTOR)
         if not len(near):
@@ -116,11 +127,8 @@ class Machine:
         gone = int(near[0])
         self.sums[at] += self.sums[gone]
         self.counts[at] += self.counts[gone]
-        self.into[self.ids[gone]] = self.ids[at]
-        for own in (self.ids, self.hashes, self.palettes):
-            del own[gone]
-        self.sums, self.counts = np.delete(self.sums, gone, axis=0), np.delete(self.counts, gone)
-        self._known = None
+        self.into[int(self.ids[gone])] = int(self.ids[at])
+        self._close(gone)
 
     def resolve(self, cluster: int) -> int:
         while cluster in self.into:
@@ -144,12 +152,11 @@ def sequenced(features: DataFrame, key: str, order: list[str], champions: bool)
     With champions the first, last and upper median row by ``order`` come first,
     in that sequence, each once.
     """
-    by = [F.asc_nulls_first(c) for c in order]
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*by))
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    ranked = features.withColumn("_r", place).withColumn("_n", n)
+    ranked = places(features, key, order, "_r")
     if not champions:
-        return ranked.withColumn("seq", F.col("_r").cast("long")).drop("_r", "_n")
+        return ranked.withColumnRenamed("_r", "seq")
+    sizes = ranked.groupBy(F.col(key).alias("_key")).agg(F.max("_r").alias("_n"))
+    ranked = ranked.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     early = F.when(F.col("_r") == 1, -3).when(F.col("_r") == F.col("_n"), -2).when(F.col("_r") == F.expr("_n div 2 + 1"), -1).otherwise(F.col("_r"))
     return ranked.withColumn("seq", early.cast("long")).drop("_r", "_n")
 
@@ -213,14 +220,6 @@ def snapshot(assigned: DataFrame, key: str) -> DataFrame:
     return sizes.withColumn("label", F.concat(F.col("n").cast("string"), F.lit(" images")))
 
 
-def dumps(machine: Machine) -> str:
-    return json.dumps(machine.state())
-
-
-def loads(config: GroupConfig, state: str | None) -> Machine:
-    return Machine(config, json.loads(state) if state else None)
-
-
 def benchmark_algorithms() -> dict:
     """``(features, config) -> id, cluster`` of the three algorithms, by name."""
     from fotolith.operators.dbscan import dbscan

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fotolith.operators import prefix
 from fotolith.schema import DIMENSIONS
 
 
@@ -33,10 +34,10 @@ def normalised(features: DataFrame, floor: float = 0.0) -> DataFrame:
 
 
 def running(rows: DataFrame, group: str, order: str, value: str, floor: float = 0.0) -> DataFrame:
-    """``group, order, n, mean, std``: statistics of each prefix of a group."""
-    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(so_far)
-    return rows.select(group, order, n.alias("n"), F.avg(value).over(so_far).alias("mean"), floored_std(n, F.stddev_pop(value).over(so_far), floor).alias("std"))
+    """``group, order, n, mean, std``: statistics of each prefix of a group, by a scan in two levels."""
+    made = prefix.scan(rows.select(group, order, value), group, [order], value)
+    n = F.col("_n")
+    return made.select(group, order, n.alias("n"), F.col("_mean").alias("mean"), floored_std(n, F.sqrt(F.col("_m2") / n), floor).alias("std"))
 
 
 def heterogeneity(features: DataFrame) -> DataFrame:

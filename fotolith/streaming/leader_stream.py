@@ -1,9 +1,13 @@
-"""Leader clustering and the catalogue as streams.
+"""Leader clustering as a stream, with a live view of its clusters.
 
 Files of feature rows arrive in a folder; every micro-batch is ingested in an
-explicit order by the same machine as the batch operator, whose state lies in the
-state store under its key. Events ``(key, id, cluster)`` are appended; merges are
-events too, so reading resolves ids without rewriting what was written.
+explicit order by the same machine as the batch operator. Its state is typed: of each folder one value
+(running statistics, next id) and a map of its clusters, of which a batch writes only those that
+changed. The stream gives joins, merges and, after every so many rows of a folder or when its
+last row has come, the clusters that changed since; they replace what was shown before.
+
+All three kinds go to one table of micro-batches in one write, so a batch that is run
+again after a loss changes nothing.
 """
 
 from __future__ import annotations
@@ -13,106 +17,114 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
-from fotolith.operators.leader import dumps, hash_as_text, loads, rows_of
+from fotolith.operators.leader import Machine, Welford, hash_as_text, rows_of
 from fotolith.schema import GroupConfig
-from fotolith.session import delete_path, send_package
-
-EVENTS = "folder string, id long, seq long, cluster long, merged_into long"
-
-
-def leader_events(features: DataFrame, config: GroupConfig) -> DataFrame:
-    """The event stream of ``features(folder, id, seq, ...)``: joins, and merges with a null id."""
+from fotolith.session import send_package, stored
+from fotolith.streaming.sink import BatchTable, latest
+
+#: ``kind``: join (id, seq, cluster), merge (cluster, merged_into) or cluster (cluster, n; none left if it was merged away).
+EVENTS = "folder string, id long, seq long, cluster long, merged_into long, n long, kind string"
+FOLDER_STATE = "n long, mean array<double>, m2 array<double>, next_id long, shown long"
+CLUSTER_STATE = "count double, sums array<double>, phash string, palette array<array<double>>, changed boolean"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MAX_ROUNDS = 64
+
+
+class LeaderProcessor(StatefulProcessor):
+    """``every``: rows of a folder between two views; ``ttl_ms``: how long a folder that gets no rows is known."""
+
+    def __init__(self, config: GroupConfig, every: int = 4, ttl_ms: int | None = None):
+        self.config, self.every, self.ttl_ms = config, every, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.folder = handle.getValueState("folder", FOLDER_STATE, self.ttl_ms)
+        self.clusters = handle.getMapState("clusters", "cluster long", CLUSTER_STATE, self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = {k[0]: tuple(v) for k, v in self.clusters.iterator()}
+        n, mean, m2, next_id, shown = self.folder.get() if self.folder.exists() else (0, None, None, 1, 0)
+        live = [(i, c, list(sums), None if h is None else int(h), [list(p) for p in palette]) for i, (c, sums, h, palette, _) in sorted(known.items()) if c]
+        machine = Machine(self.config, Welford(n, mean, m2), next_id, live)
+        batch = pd.concat(list(rows)).sort_values("seq")
+        look = {}
+        out = []
+        for i, s, row in zip(batch["id"], batch["seq"], rows_of(batch)):
+            before = machine.next_id
+            home = machine.ingest(*row)
+            if home == before:
+                look[home] = None if row[1] is None else str(row[1]), row[2]
+            out.append((key[0], int(i), int(s), home, None, None, "join"))
+        out += [(key[0], None, None, old, new, None, "merge") for old, new in machine.into.items()]
+        changed = {r[3] for r in out} | {new for new in machine.into.values()}
+        state = machine.clusters()
+        total = batch["total"].max() if "total" in batch else None
+        show = machine.stats.n - shown >= self.every or machine.stats.n == total
+        for c in changed | {c for c, v in known.items() if v[4]}:
+            count, sums = state.get(c, (0.0, [0.0] * 5))
+            if show and (count or c in known):
+                out.append((key[0], None, None, c, None, int(count), "cluster"))
+            if show and not count:
+                if c in known:
+                    self.clusters.removeKey((c,))
+            elif count or c in known:  # a cluster that came and went unseen leaves nothing
+                phash, palette = look[c] if c in look else known[c][2:4]
+                self.clusters.updateValue((c,), (count, [float(x) for x in sums], phash, [[float(x) for x in p] for p in palette], not show))
+        done = machine.stats
+        self.folder.update((done.n, done.mean.tolist(), done.m2.tolist(), machine.next_id, done.n if show else shown))
+        made = pd.DataFrame(out, columns=["folder", "id", "seq", "cluster", "merged_into", "n", "kind"])
+        yield made.astype(dict.fromkeys(["id", "seq", "cluster", "merged_into", "n"], "Int64"))
+
+    def close(self) -> None:
+        pass
+
+
+def leader_events(features: DataFrame, config: GroupConfig, every: int = 4, ttl_ms: int | None = None) -> DataFrame:
+    """``EVENTS`` of the stream ``features(folder, id, seq, ...)``; a column ``total`` says how many rows a folder will have."""
     send_package(features.sparkSession)
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return hash_as_text(features).groupBy("folder").transformWithStateInPandas(LeaderProcessor(config, every, ttl_ms), EVENTS, "update", mode)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = loads(config, state.get[0] if state.exists else None)
-        known = set(machine.into)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        joins = [(key[0], int(i), int(s), machine.ingest(*row), None) for i, s, row in zip(rows["id"], rows["seq"], rows_of(rows))]
-        merges = [(key[0], None, None, old, new) for old, new in machine.into.items() if old not in known]
-        state.update((dumps(machine),))
-        out = pd.DataFrame(joins + merges, columns=["folder", "id", "seq", "cluster", "merged_into"])
-        yield out.astype({"id": "Int64", "seq": "Int64", "cluster": "Int64", "merged_into": "Int64"})
 
-    return hash_as_text(features).groupBy("folder").applyInPandasWithState(run, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
+def start(spark: SparkSession, folder: str, schema: StructType, config: GroupConfig, out: str, checkpoint: str, files_per_batch: int = 1, every: int = 4, ttl_ms: int | None = None) -> StreamingQuery:
+    """Ingest the files of a folder, some in each micro-batch, into the table ``out``; the query ends when all that is there is done."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        sink = BatchTable(spark, out).writer("kind")
+        return leader_events(rows, config, every, ttl_ms).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-def run_available(spark: SparkSession, folder: str, schema, config: GroupConfig, out: str, checkpoint: str, files_per_batch: int = 1) -> list:
-    """Ingest all files of a folder, some in each micro-batch, and stop; the stream's reports of its last batches."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    query = leader_events(rows, config).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return list(query.recentProgress)
+def events(spark: SparkSession, out: str) -> DataFrame:
+    """All rows of the table, with their ``batch``."""
+    return BatchTable(spark, out).rows(StructType.fromDDL(EVENTS))
 
 
-def progress(spark: SparkSession, reports: list) -> DataFrame:
-    """``batch, extracted, done, total, percent`` from a stream's reports: the rows of each micro-batch, and of all up to it."""
-    rows = [(int(r["batchId"]), int(r["numInputRows"])) for r in reports if r["numInputRows"]]
-    total, done, out = sum(n for _, n in rows), 0, []
-    for batch, n in sorted(rows):
-        done += n
-        out.append((batch, n, done, total, round(100 * done / total, 4)))
-    return spark.createDataFrame(out, "batch long, extracted long, done long, total long, percent double")
+def live_view(spark: SparkSession, out: str) -> DataFrame:
+    """``folder, cluster, n, label``: the clusters as last shown."""
+    shown = latest(events(spark, out).where("kind = 'cluster'").select("folder", "cluster", "n", "batch"), ["folder", "cluster"])
+    return shown.where("n > 0").withColumn("label", F.concat(F.col("n").cast("string"), F.lit(" images")))
 
 
-def resolved(events: DataFrame, rounds: int = 64) -> DataFrame:
+def resolved(log: DataFrame) -> DataFrame:
     """``folder, id, cluster`` after all merges, from the event log.
 
-    Merges form a forest; every round replaces a cluster by what it was merged
-    into until nothing changes.
-    """
-    merges = events.where("id is null").select("folder", F.col("cluster").alias("old"), F.col("merged_into").alias("new"))
-    rows = events.where("id is not null").select("folder", "id", "cluster")
-    for _ in range(rounds):
-        step = rows.join(merges.withColumnRenamed("old", "cluster"), ["folder", "cluster"], "left")
-        if not step.where("new is not null").take(1):
-            return rows
-        rows = step.select("folder", "id", F.coalesce("new", "cluster").alias("cluster"))
-    raise RuntimeError("resolved: merges run in a circle")
-
-
-def upsert_stream(spark: SparkSession, folder: str, schema, target: str, checkpoint: str, key: str, seq: str, id_col: str, buckets: int = 64) -> None:
-    """Keep the latest write of each key in a Parquet table, over the files of a folder.
-
-    Keys lie in a fixed number of buckets. A micro-batch rewrites only the buckets
-    that it touches, under its own number, from the latest earlier version of each, so a
-    batch that is run again gives the same files. Of a bucket its last two versions stay.
-    ``latest`` reads the table.
+    Merges form a forest. In each round every cluster takes over what its own target
+    was merged into, so a chain of n merges is done in log n rounds; each round is stored.
     """
-    from fotolith.operators.catalog import upsert_latest
-
-    def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-        touched = {r[0] for r in dealt.select("_bucket").distinct().collect()}
-        versions = {b: [v for v in found if v < number] for b, found in bucket_versions(session, target).items() if b in touched}
-        before = [f"{target}/upsert_bucket={b}/upsert_version={v[-1]}" for b, v in versions.items() if v]
-        if before:
-            dealt = session.read.schema(batch.schema).parquet(*before).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).unionByName(dealt)
-        merged = upsert_latest(dealt.drop("_bucket"), key, seq, id_col).withColumn("upsert_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).withColumn("upsert_version", F.lit(number))
-        # Other buckets of this number are those of an earlier, broken run of the same batch: the same rows.
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upsert_bucket", "upsert_version").parquet(target)
-        for b, found in versions.items():
-            for old in found[:-1]:
-                delete_path(session, f"{target}/upsert_bucket={b}/upsert_version={old}")
-
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def bucket_versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
-    """The versions of each bucket, ascending."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/upsert_bucket=*/upsert_version=*")
-    found: dict[int, list[int]] = {}
-    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ():
-        own = status.getPath()
-        found.setdefault(int(own.getParent().getName().split("=")[1]), []).append(int(own.getName().split("=")[1]))
-    return {b: sorted(v) for b, v in found.items()}
-
-
-def latest(spark: SparkSession, target: str, schema) -> DataFrame:
-    """The table of ``upsert_stream``: of every bucket the last version."""
-    paths = [f"{target}/upsert_bucket={b}/upsert_version={v[-1]}" for b, v in bucket_versions(spark, target).items()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    merges = log.where("kind = 'merge'").select("folder", F.col("cluster").alias("old"), F.col("merged_into").alias("new"))
+    for _ in range(MAX_ROUNDS):
+        jump = merges.select("folder", F.col("old").alias("new"), F.col("new").alias("then"))
+        step = stored(merges.join(jump, ["folder", "new"], "left").select("folder", "old", F.coalesce("then", "new").alias("new"), F.col("then").isNotNull().alias("moved")), "merges")
+        merges = step.drop("moved")
+        if not step.where("moved").take(1):
+            break
+    else:
+        raise RuntimeError("resolved: merges run in a circle")
+    rows = log.where("kind = 'join'").select("folder", "id", "cluster")
+    return rows.join(merges.withColumnRenamed("old", "cluster"), ["folder", "cluster"], "left").select("folder", "id", F.coalesce("new", "cluster").alias("cluster"))

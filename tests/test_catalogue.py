@@ -20,7 +20,6 @@ from fotolith.plans import moves
 from fotolith.schema import BENCHMARK, DIMENSIONS, GroupConfig
 from fotolith.session import positions
 from fotolith.sources import adapters, config, listing, store
-from fotolith.streaming import leader_stream
 
 FEATURE = "id long, label int, path string, time double, l double, a double, b double, aspect_ratio double, phash_bits long, dominant_colors array<array<double>>"
 
@@ -317,30 +316,6 @@ def test_published_cluster_counts(spark):
     assert stats.heterogeneity(datagen.dataset(spark, "Chaos")).first()[0] == pytest.approx(1.2757, abs=5e-5)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    cfg = GroupConfig(weight_time=1, weight_color=1, weight_name=0, eps=1.0)
-    df = spark.createDataFrame(plain_features(60, 5), FEATURE).withColumn("folder", F.concat(F.lit("f"), (F.col("id") % 2).cast("string")))
-    rows = leader.sequenced(df, "folder", ["id"], champions=False).drop("label")
-    batch = {(r["folder"], r["id"]): r["cluster"] for r in leader.leader(rows, cfg, "folder").collect()}
-    for part in range(3):
-        rows.where((F.col("seq") - 1).between(part * 10, part * 10 + 9)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    leader_stream.run_available(spark, f"{tmp_path}/in", rows.schema, cfg, f"{tmp_path}/out", f"{tmp_path}/checkpoint", files_per_batch=1)
-    made = leader_stream.resolved(spark.read.schema(leader_stream.EVENTS).parquet(f"{tmp_path}/out")).collect()
-    assert {(r["folder"], r["id"]): r["cluster"] for r in made} == batch
-
-
-def test_upsert_stream(spark, tmp_path):
-    schema = "id long, path string, size long, seq long"
-    for k, rows in enumerate([[(1, "a", 1, 1), (2, "b", 2, 2)], [(3, "a", 3, 3)], [(4, "c", 4, 4), (5, "b", 5, 5)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    kind = spark.createDataFrame([], schema).schema
-    assert leader_stream.latest(spark, f"{tmp_path}/table", kind).count() == 0
-    leader_stream.upsert_stream(spark, f"{tmp_path}/in", kind, f"{tmp_path}/table", f"{tmp_path}/checkpoint", "path", "seq", "id", buckets=4)
-    made = leader_stream.latest(spark, f"{tmp_path}/table", kind).collect()
-    assert all(len(v) <= 2 for v in leader_stream.bucket_versions(spark, f"{tmp_path}/table").values())
-    assert sorted((r["id"], r["path"], r["size"]) for r in made) == [(1, "a", 3), (2, "b", 5), (4, "c", 4)]
-
-
 def test_shared_folder_is_needed_off_one_machine():
     conf = {"spark.checkpoint.dir": None}
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf[k]), sparkContext=SimpleNamespace(master="spark://host:7077"))
