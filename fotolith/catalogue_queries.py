@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fotolith import reports
 from fotolith.functions import distance, hashes, labels, names
-from fotolith.operators import catalog, dbscan, leader, prefix, silhouette, stats, tune
+from fotolith.functions import table as table_function
+from fotolith.operators import assign, catalog, dbscan, leader, prefix, silhouette, stats, tune
 from fotolith.plans import moves
 from fotolith.schema import DIMENSIONS, FEATURE_COLUMNS, GroupConfig
 from fotolith.session import own_folder, read_table, stored
@@ -499,6 +500,27 @@ def leader_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.snapshot(leader_clusters(spark, sf_dir), "folder")
 
 
+@query(_machine("place", CONFIG.std_floor, "SELECT folder, id, cluster FROM found"))
+def table_function_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``leader_clusters`` by SQL text: the algorithm is a table function that Spark partitions and orders for."""
+    table_function.register(spark)
+    settings = ", ".join(f"{k} => {getattr(CONFIG, k)}D" for k in table_function.SETTINGS if k != "std_floor")
+    return spark.sql(f"SELECT * FROM cluster_rows(TABLE({{rows}}), algorithm => 'leader', {settings})", rows=_foldered(spark, sf_dir))
+
+
+@query(f"""WITH {_FEATS}, s AS (SELECT avg(time) AS mt, greatest(stddev_pop(time), 1e-9) AS st, avg(l) AS ml, greatest(stddev_pop(l), 1e-9) AS sl, avg(a) AS ma, greatest(stddev_pop(a), 1e-9) AS sa,
+  avg(b) AS mb, greatest(stddev_pop(b), 1e-9) AS sb, avg(r) AS mr, greatest(stddev_pop(r), 1e-9) AS sr FROM raw),
+cents AS (SELECT label::BIGINT AS cluster, avg(time) AS time, avg(l) AS l, avg(a) AS a, avg(b) AS b, avg(r) AS r, min_by(bits, id) AS bits, min_by(palette, id) AS palette FROM raw GROUP BY label),
+d AS (SELECT x.id, y.cluster, sqrt({CONFIG.weights[0]} * pow((x.time - y.time) / st, 2) + {CONFIG.weights[1]} * (pow((x.l - y.l) / sl, 2) + pow((x.a - y.a) / sa, 2) + pow((x.b - y.b) / sb, 2)) + 0.2 * pow((x.r - y.r) / sr, 2))
+  + {_HAMMING} / 64.0 * {CONFIG.phash_weight} + {_PALETTE} * {CONFIG.palette_weight} AS d FROM raw x CROSS JOIN cents y CROSS JOIN s)
+SELECT id, cluster, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1""")
+def nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image's nearest centroid, the centroids being those of the ten labels."""
+    rows = adapters.image_features(spark, sf_dir)
+    found = assign.assign(rows, assign.centroids_of(rows, "label"), CONFIG)
+    return found.select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[str, ProgressLog]:
     """The table and the reports of a stream over the features in several files, stopped and started again on the way."""
     rows = leader.sequenced(_foldered(spark, sf_dir), "folder", ["time", "path"], champions=False)

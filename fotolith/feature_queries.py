@@ -18,7 +18,7 @@ from fotolith.functions import names
 from fotolith.operators import features
 from fotolith.schema import BENCHMARK
 from fotolith.session import own_folder, read_table
-from fotolith.sources import listing
+from fotolith.sources import folders, listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,6 +169,25 @@ def scanned_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.list_directories(spark, scanned_folder(spark, sf_dir)).select("name", "size", "is_dir")
 
 
+def written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files in folders of sources and, below, languages: real files, written by tasks."""
+    root = f"{own_folder(spark)}/tree-{uuid.uuid4().hex}"
+    read_table(spark, sf_dir, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source", "lang").text(root)
+    return root
+
+
+@query("""WITH f AS (SELECT 'source=' || source AS one, 'lang=' || lang AS two, strlen(coalesce(text, '')) + 1 AS n FROM documents)
+SELECT '' AS folder, one AS name, true AS is_dir, 0::BIGINT AS bytes FROM f GROUP BY one
+UNION ALL SELECT one, two, true, 0 FROM f GROUP BY one, two
+UNION ALL SELECT one || '/' || two, 'texts', false, sum(n)::BIGINT FROM f GROUP BY one, two""")
+def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of a tree of real files, and the bytes of the texts in each, listed by tasks."""
+    root = written_tree(spark, sf_dir)
+    dirs = folders.scan(spark, root, depth=3, kind="folders").select("folder", "name", "is_dir", F.col("size").alias("bytes"))
+    texts = folders.scan(spark, root, depth=3, kind="files", ends=".txt").groupBy("folder").agg(F.sum("size").alias("bytes"))
+    return dirs.unionByName(texts.select("folder", F.lit("texts").alias("name"), F.lit(False).alias("is_dir"), "bytes"))
+
+
 def _draws_sql() -> str:
     """The generator as a recursion over its state, then each set's rows from its draws."""
     state = f"((s::HUGEINT * {datagen.MULTIPLIER}::HUGEINT + {datagen.ADDEND}) % 18446744073709551616::HUGEINT)"

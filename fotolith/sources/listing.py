@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fotolith.functions.names import extension, file_name, is_supported, parent
 from fotolith.schema import FILE_INFO
+from fotolith.sources import folders
 
 _LISTED = "path string, modificationTime timestamp, length long"
 
@@ -30,16 +31,11 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> Dat
 
 
 def list_directories(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct subfolders of a folder as ``FILE_INFO`` (size 0), by the file system's own listing on the driver."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
-    rows = []
-    if fs.exists(path):
-        for status in fs.listStatus(path):
-            if status.isDirectory():
-                rows.append((status.getPath().toString(), status.getPath().getName(), 0, None, None, True, None))
-    return spark.createDataFrame(rows, FILE_INFO).orderBy("path")
+    """Direct subfolders of a folder as ``FILE_INFO`` (size 0), listed by a task."""
+    found = folders.scan(spark, folder, kind="folders")
+    return found.select(
+        "path", "name", "size", F.lit(None).cast("struct<width:int,height:int>").alias("dimensions"), "modified", "is_dir", F.lit(None).cast("string").alias("phash")
+    ).orderBy("path")
 
 
 def with_parent(listing: DataFrame, folder: str) -> DataFrame:
