@@ -41,6 +41,8 @@ SCALE = 256
 BLOCK_ROWS, BLOCK_ANCHORS, AT_ONCE = 8192, 256, 32
 #: Leading components at the ends of the steps before integer products.
 STEPS = (8, 16, 32)
+#: Pairs are a list when fewer than one in so many is left.
+FEW = 32
 #: Pairs whose integer products are taken at a time.
 VERIFY = 1 << 15
 #: Blocks that one block is sent to in one step.
@@ -162,47 +164,77 @@ def kth_best(query: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray
     return out
 
 
-def search(asked: Rows, rows: Rows, k: int, allowed: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Query and row numbers and scores of each query's k best allowed rows of a score from ``low`` to ``high``; and the pairs that were verified.
-
-    ``allowed`` has a row a query. Bounds are integers; minus and plus infinity leave them open.
+class Pairs:
+    """Pairs of queries and rows that are still alive, with their partial products; dense while many are, a list when few are left."""
+
+    def __init__(self, asked: Rows, rows: Rows, allowed: np.ndarray):
+        self.asked, self.rows, self.slack = asked, rows, ROUNDING * (rows.whole.shape[1] + 16)
+        self.alive, self.columns = allowed, np.arange(len(rows.ids))
+        self.part: np.ndarray | None = np.zeros(allowed.shape)
+        self.i = self.j = None
+
+    def advance(self, start: int, stop: int) -> np.ndarray:
+        """Add components ``start`` to ``stop``; the greatest possible remainder of each pair."""
+        q, r = self.asked, self.rows
+        if self.i is None:
+            at = self.columns
+            self.part = self.part + q.turned[:, start:stop] @ r.turned[at, start:stop].T
+            return q.rest[stop][:, None] * r.rest[stop][None, at] + (self.slack * q.length)[:, None] * r.length[None, at] + 1e-6
+        for a in range(0, len(self.i), VERIFY):
+            x, y = self.i[a : a + VERIFY], self.j[a : a + VERIFY]
+            self.part[a : a + VERIFY] += np.einsum("ij,ij->i", q.turned[x, start:stop], r.turned[y, start:stop])
+        return q.rest[stop][self.i] * r.rest[stop][self.j] + self.slack * q.length[self.i] * r.length[self.j] + 1e-6
+
+    def discard(self, rest: np.ndarray, k: int, low: np.ndarray, high: np.ndarray, cap: np.ndarray) -> None:
+        """Keep what may still be among the k best from ``low`` to ``cap`` or above them, up to ``high``."""
+        least, most = self.part - rest, self.part + rest
+        if self.i is None:
+            best = np.full(len(least), -np.inf)
+            if least.shape[1] >= k:
+                sure = self.alive & (least >= low[:, None]) & (most <= cap[:, None])
+                best = np.partition(np.where(sure, least, -np.inf), least.shape[1] - k, axis=1)[:, least.shape[1] - k]
+            self.alive = self.alive & (most >= np.maximum(best, low)[:, None]) & (least <= high[:, None])
+            left = int(self.alive.sum())
+            if left * FEW < self.alive.size:
+                i, j = np.nonzero(self.alive)
+                self.i, self.j, self.part = i, self.columns[j], self.part[i, j]
+            elif not (used := self.alive.any(axis=0)).all():
+                self.alive, self.part, self.columns = self.alive[:, used], self.part[:, used], self.columns[used]
+            return
+        i = self.i
+        sure = (least >= low[i]) & (most <= cap[i])
+        best = kth_best(i[sure], least[sure], len(self.asked.ids), k)
+        stay = (most >= np.maximum(best, low)[i]) & (least <= high[i])
+        self.i, self.j, self.part = i[stay], self.j[stay], self.part[stay]
+
+    def verified(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query and row numbers and integer products of what is left."""
+        if self.i is None:
+            i, j = np.nonzero(self.alive)
+            self.i, self.j = i, self.columns[j]
+        exact = np.empty(len(self.i), np.int64)
+        for a in range(0, len(exact), VERIFY):
+            exact[a : a + VERIFY] = np.einsum("ij,ij->i", self.asked.whole[self.i[a : a + VERIFY]], self.rows.whole[self.j[a : a + VERIFY]])
+        return self.i, self.j, exact
+
+
+def search(asked: Rows, rows: Rows, k: int, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, cap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query and row numbers and scores that hold each query's k best allowed rows from ``low`` to ``high``.
+
+    With ``cap`` they hold the k best up to every bound between ``cap`` and ``high``. ``allowed`` has a row a query; bounds may be infinite.
     """
-    dims = rows.whole.shape[1]
-    slack = ROUNDING * (dims + 16)
-    i = j = part = None
-    before = 0
+    left, before = Pairs(asked, rows, allowed), 0
     for step in rows.steps:
-        if i is None:
-            dense = asked.turned[:, :step] @ rows.turned[:, :step].T
-            rest = asked.rest[step][:, None] * rows.rest[step][None, :] + slack * asked.length[:, None] * rows.length[None, :] + 1e-6
-            sure = allowed & (dense - rest >= low[:, None]) & (dense + rest <= high[:, None])
-            best = np.full(len(dense), -np.inf)
-            if dense.shape[1] >= k:
-                best = np.partition(np.where(sure, dense - rest, -np.inf), dense.shape[1] - k, axis=1)[:, dense.shape[1] - k]
-            i, j = np.nonzero(allowed & (dense + rest >= np.maximum(best, low)[:, None]) & (dense - rest <= high[:, None]))
-            part = dense[i, j]
-        else:
-            for a in range(0, len(i), VERIFY):
-                x, y = i[a : a + VERIFY], j[a : a + VERIFY]
-                part[a : a + VERIFY] += np.einsum("ij,ij->i", asked.turned[x, before:step], rows.turned[y, before:step])
-            rest = asked.rest[step][i] * rows.rest[step][j] + slack * asked.length[i] * rows.length[j] + 1e-6
-            sure = (part - rest >= low[i]) & (part + rest <= high[i])
-            best = kth_best(i[sure], (part - rest)[sure], len(asked.ids), k)
-            stay = (part + rest >= np.maximum(best, low)[i]) & (part - rest <= high[i])
-            i, j, part = i[stay], j[stay], part[stay]
+        left.discard(left.advance(before, step), k, low, high, high if cap is None else cap)
         before = step
-    exact = np.empty(len(i), np.int64)
-    for a in range(0, len(i), VERIFY):
-        exact[a : a + VERIFY] = np.einsum("ij,ij->i", asked.whole[i[a : a + VERIFY]], rows.whole[j[a : a + VERIFY]])
-    verified = len(i)
-    # As integers: a double would blur scores beyond 2^53.
-    floor, top = (np.array([int(b) if np.isfinite(b) else default for b in side.tolist()], np.int64) for side, default in ((low, -(2**63)), (high, 2**63 - 1)))
-    stay = (exact >= floor[i]) & (exact <= top[i])
-    i, j, exact = i[stay], j[stay], exact[stay]
-    order = np.lexsort((rows.ids[j], -exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[place < k], j[place < k], exact[place < k], verified
+    return left.verified()
+
+
+def best_of(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best, by score and then id."""
+    order = np.lexsort((ids, -score, i))
+    place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+    return order[place < k]
 
 
 def meet(asked: DataFrame, index: DataFrame, groups: int) -> DataFrame:
@@ -269,7 +301,9 @@ def mine(
             for a in range(0, len(whose), AT_ONCE):
                 at = whose[a : a + AT_ONCE]
                 q = asked.take(at)
-                i, j, score, _ = search(q, own, positives, q.ids[:, None] != own.ids[None, :], *open_bounds(len(at)))
+                i, j, score = search(q, own, positives, q.ids[:, None] != own.ids[None, :], *open_bounds(len(at)))
+                best = best_of(i, own.ids[j], score, positives)
+                i, j, score = i[best], j[best], score[best]
                 yield arrays(np.full(len(i), row["q_block"]), at[i], q.ids[i], own.ids[j], score, names=["block", "at", "anchor_id", "id", "score"])
 
     shape = "block long, at long, anchor_id long, id long, score long"
@@ -278,14 +312,28 @@ def mine(
     wanted = best.groupBy("block").agg(F.collect_list(F.struct("at", "rank", "id", "score")).alias("wanted"))  # k an anchor of the block
 
     def other(row: dict, asked: Rows, rows: Rows) -> Iterator[pa.RecordBatch]:
-        # A range of scores is searched once for all positives of it; below zero it is empty.
-        ranges = sorted({(w["at"], w["score"]) for w in row["q_wanted"] if w["score"] >= 0})
-        for a in range(0, len(ranges), AT_ONCE):
-            at, top = (np.array(side, np.int64) for side in zip(*ranges[a : a + AT_ONCE]))
+        # An anchor's ranges overlap, so it is searched once for all of them; a range below zero is empty.
+        tops: dict[int, set[int]] = {}
+        for w in row["q_wanted"]:
+            if w["score"] >= 0:
+                tops.setdefault(w["at"], set()).add(w["score"])
+        anchors_here = sorted(tops)
+        bottom = lambda top: -(-least[0] * top // least[1])
+        for a in range(0, len(anchors_here), AT_ONCE):
+            at = np.array(anchors_here[a : a + AT_ONCE], np.int64)
             q = asked.take(at)
-            low = np.array([-(-least[0] * int(s) // least[1]) for s in top], object).astype(np.int64)
-            i, j, score, _ = search(q, rows, negatives, q.labels[:, None] != rows.labels[None, :], low, top)
-            yield arrays(np.full(len(i), row["q_block"]), at[i], top[i], rows.ids[j], score, names=["block", "at", "top", "id", "score"])
+            cap, high = (np.array([f(tops[x]) for x in at.tolist()], np.int64) for f in (min, max))
+            low = np.array([bottom(min(tops[x])) for x in at.tolist()], np.int64)
+            i, j, score = search(q, rows, negatives, q.labels[:, None] != rows.labels[None, :], low, high, cap)
+            starts = np.searchsorted(i, np.arange(len(at) + 1)).tolist()
+            for n, x in enumerate(at.tolist()):
+                own, ids = score[starts[n] : starts[n + 1]], rows.ids[j[starts[n] : starts[n + 1]]]
+                for top in sorted(tops[x]):
+                    some = np.flatnonzero((own >= bottom(top)) & (own <= top))
+                    some = some[best_of(np.zeros(len(some), np.int64), ids[some], own[some], negatives)]
+                    if len(some):
+                        full = lambda v: np.full(len(some), v)  # noqa: B023, E731
+                        yield arrays(full(row["q_block"]), full(x), full(top), ids[some], own[some], names=["block", "at", "top", "id", "score"])
 
     found = over_blocks(meet(asked.join(wanted, "block"), index, groups), turn, other, "block long, at long, top long, id long, score long")
     hard = ranked(found, ["block", "at", "top"], negatives)
