@@ -53,9 +53,9 @@ class Features:
         return len(self.vectors)
 
 
-def kernel(x: Features, y: Features, config: GroupConfig) -> np.ndarray:
-    """All distances from the rows of ``x`` to those of ``y``."""
-    w = np.sqrt(np.array(config.weights))
+def kernel(x: Features, y: Features, config: GroupConfig, weighted: bool = False) -> np.ndarray:
+    """All distances from the rows of ``x`` to those of ``y``; ``weighted``: their vectors hold the weights' roots already."""
+    w = np.ones(len(config.weights)) if weighted else np.sqrt(np.array(config.weights))
     out = np.sqrt((((x.vectors * w)[:, None, :] - (y.vectors * w)[None, :, :]) ** 2).sum(axis=2))
     bits = np.bitwise_count(x.hashes[:, None] ^ y.hashes[None, :]) / 64.0
     out += np.where(x.has_hash[:, None] & y.has_hash[None, :], bits, 0.0) * config.phash_weight

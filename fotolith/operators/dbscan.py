@@ -1,9 +1,9 @@
 """Batch DBSCAN over normalised features.
 
-Rows are dealt to the cells of a grid over the first two dimensions with side
-``eps``; only blocks of neighbouring cells are compared. A first pass counts
-neighbours, a second links core rows (a forest of links for each pair of blocks),
-a third joins border rows to the least cluster of a core neighbour.
+Rows lie in balanced blocks of space, and only blocks within ``eps`` of each other are
+compared; the pairs of blocks are found once and used twice. A first pass counts
+neighbours, a second links core rows (a forest of links for each pair of blocks) and
+names the core components around each border row, which joins the least of them.
 """
 
 from __future__ import annotations
@@ -11,65 +11,77 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fotolith.operators import space
 from fotolith.operators.stats import normalised
 from fotolith.schema import DIMENSIONS, GroupConfig
 from fotolith.session import positions, send_package, stored
 
-#: Rows of a cell's block.
-BLOCK = 1024
+#: Rows of a block; links that one task joins.
+BLOCK, ONE_TASK = 1024, 1 << 18
 MAX_ROUNDS = 100
 
 
-def _blocks(points: DataFrame, eps: float) -> DataFrame:
-    """``cx, cy, part, parts, rows``: cells, in ``parts`` blocks of bounded size."""
-    cell = points.withColumn("cx", F.floor(F.col("v")[0] / eps)).withColumn("cy", F.floor(F.col("v")[1] / eps))
-    sizes = cell.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = cell.join(sizes, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    row = F.struct("id", "v", "core", "label")
-    return stored(dealt.groupBy("cx", "cy", "part", "parts").agg(F.collect_list(row).alias("rows")), "cells")
+def _matrix(row: dict) -> np.ndarray:
+    """Which rows of two blocks are within reach of each other."""
+    x, y = (np.frombuffer(row[c], float).reshape(row[n], -1) for c, n in (("v", "n"), ("other_v", "other_n")))
+    return ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) <= row["reach"] ** 2
 
 
-def _near(points: DataFrame, eps: float, reduce, schema: str) -> DataFrame:
-    """``reduce(rows, others, within)`` for every pair of blocks of neighbouring cells."""
-    made = _blocks(points, eps)
-    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    # A block goes to every block of the cells around it by its number, so that a dense cell is many keys, not one.
-    cells = made.groupBy("cx", "cy").agg(F.first("parts").alias("parts"))
-    near = made.select("cx", "cy", "part").withColumn("o", F.explode(around)).select(F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.col("part").alias("fp"), (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
-    near = near.join(cells, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    home = made.select(F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.col("part").alias("fp"), "rows")
-    sent = near.join(home.hint("merge"), ["fx", "fy", "fp"]).select("cx", "cy", "part", "rows")
-    met = sent.join(made.select("cx", "cy", "part", F.col("rows").alias("others")).hint("merge"), ["cx", "cy", "part"]).select("rows", "others")
+def _counts(eps: float):
+    """Of each block of a pair, how many rows of the other each of its rows has around it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for rows, others in zip(pdf["rows"], pdf["others"]):
-                x, y = (np.array([list(r["v"]) for r in side], float) for side in (rows, others))
-                apart = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-                yield reduce(list(rows), list(others), apart <= eps * eps)
+    def run(row: dict) -> Iterator[pa.RecordBatch]:
+        within = _matrix(row | {"reach": eps})
+        sides = [(row["a"], within.sum(axis=1))] + ([(row["b"], within.sum(axis=0))] if row["a"] != row["b"] else [])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sides], pa.int64()), pa.array([n.astype(np.int32).tobytes() for _, n in sides])], names=["block", "counts"])
 
-    return met.mapInPandas(run, schema)
+    return run
 
 
-def _ids(rows: list) -> np.ndarray:
-    return np.array([r["id"] for r in rows], np.int64)
+def _core(least: int):
+    """Core rows of a block, from its counts over all pairs."""
 
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for counts in batch.column("counts").to_pylist():
+                own = np.frombuffer(counts, np.int32).astype(np.int64)
+                total = own if total is None else total + own
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([(total >= least).tobytes()])], names=["block", "core"])
 
-def _count(rows: list, others: list, within: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"id": _ids(rows), "n": within.sum(axis=1).astype(np.int64)})
+    return run
 
 
-def _links(rows: list, others: list, within: np.ndarray) -> pd.DataFrame:
-    """A forest over the core rows of two blocks: each one that has a neighbour, linked to the least of its component.
+def _meetings(eps: float):
+    """Links among core rows, and the core rows (one of each component of the pair) that a border row has around it."""
+
+    def run(row: dict) -> Iterator[pa.RecordBatch]:
+        within = _matrix(row | {"reach": eps})
+        ids, others = (np.frombuffer(row[c], np.int64) for c in ("ids", "other_ids"))
+        core, other_core = (np.frombuffer(row[c], bool) for c in ("core", "other_core"))
+        links, left, right = forest(ids, others, within & core[:, None] & other_core[None, :])
+        out = [("link", links)]
+        for own, mine, roots, near in ((ids, core, right, within & other_core[None, :]), (others, other_core, left, (within & core[:, None]).T)):
+            i, j = np.nonzero(near & ~mine[:, None])
+            out.append(("border", np.unique(np.column_stack([own[i], roots[j]]), axis=0)))
+            if row["a"] == row["b"]:
+                break
+        for kind, made in out:
+            if len(made):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(made)), pa.array(made[:, 0]), pa.array(made[:, 1])], names=["kind", "a", "b"])
+
+    return run
+
+
+def forest(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest over the rows ``a`` and ``b`` of a matrix of links: each linked to the least of its component; and that least of every row.
 
     The least id spreads over the matrix, rows to columns and back, until it stays.
     """
-    a, b = _ids(rows), _ids(others)
-    both = within & np.array([bool(r["core"]) for r in rows])[:, None] & np.array([bool(r["core"]) for r in others])[None, :]
     top = np.iinfo(np.int64).max
     left, right = a.copy(), b.copy()
     while True:
@@ -79,23 +91,36 @@ def _links(rows: list, others: list, within: np.ndarray) -> pd.DataFrame:
             break
         left, right = back, near
     links = np.unique(np.concatenate([np.column_stack([a, left])[both.any(axis=1)], np.column_stack([b, right])[both.any(axis=0)]]), axis=0)
-    return pd.DataFrame(links[links[:, 0] != links[:, 1]], columns=["a", "b"], dtype=np.int64)
+    return links[links[:, 0] != links[:, 1]], left, right
+
+
+def _joined(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node that each node reaches, of all edges in one task."""
+    up: dict[int, int] = {}
 
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(y, y)
+            x = up[x]
+        return x
 
-def _border(rows: list, others: list, within: np.ndarray) -> pd.DataFrame:
-    core = np.array([bool(r["core"]) for r in others])
-    label = np.array([r["label"] if r["core"] else np.iinfo(np.int64).max for r in others], np.int64)
-    best = np.where(within & core[None, :], label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-    out = pd.DataFrame({"id": _ids(rows), "label": best})
-    return out[(out["label"] < np.iinfo(np.int64).max) & ~np.array([bool(r["core"]) for r in rows], bool)]
+    for batch in edges:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["id", "label"])
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:
     """``id, label``: the least id that each node of ``edges(a, b)`` reaches.
 
-    Every round takes the least label around, then the label's own label, so
+    Edges that fit one task (checked) are joined there. Else every round takes the least label around, then the label's own label, so
     long chains shrink fast; each round is stored in the shared folder.
     """
+    if edges.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return edges.select("a", "b").coalesce(1).mapInArrow(_joined, "id long, label long")
     both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
@@ -110,51 +135,55 @@ def least_reachable(edges: DataFrame) -> DataFrame:
 
 
 def _in_one(rows: DataFrame, config: GroupConfig) -> DataFrame:
-    """``id, cluster`` of rows that fit one block, in one task: the same three passes over one matrix."""
+    """``id, cluster`` of rows that fit one block, in one task: the same steps over one matrix."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [p for p in batches if len(p)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        pdf = pd.concat(parts)
-        v = np.array(pdf["v"].tolist(), float)
-        points = [{"id": int(i)} for i in pdf["id"]]
-        apart = ((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)
-        within = apart <= config.eps * config.eps
-        for p, core in zip(points, within.sum(axis=1) >= config.min_samples):
-            p["core"] = bool(core)
-        links = _links(points, points, within)
-        least = dict(zip(links["a"].tolist(), links["b"].tolist()))
-        for p in points:
-            p["label"] = least.get(p["id"], p["id"]) if p["core"] else 0
-        found = {p["id"]: p["label"] for p in points if p["core"]}
-        border = _border(points, points, within)
-        found |= dict(zip(border["id"].tolist(), border["label"].tolist()))
-        number = {label: k for k, label in enumerate(sorted(set(found.values())), 1)}
-        yield pd.DataFrame([(p["id"], number[found[p["id"]]] if p["id"] in found else 0) for p in points], columns=["id", "cluster"])
-
-    return rows.select("id", "v").coalesce(1).mapInPandas(run, "id long, cluster long")
-
-
-def dbscan(features: DataFrame, config: GroupConfig) -> DataFrame:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        ids = table.column("id").to_numpy().astype(np.int64)
+        v = np.asarray(table.column("v").combine_chunks().flatten(), float).reshape(len(ids), -1)
+        within = ((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2) <= config.eps**2
+        core = within.sum(axis=1) >= config.min_samples
+        _, label, _ = forest(ids, ids, within & core[:, None] & core[None, :])
+        top = np.iinfo(np.int64).max
+        label = np.where(core, label, np.where(within & core[None, :], label[None, :], top).min(axis=1))
+        known = np.unique(label[label < top])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.where(label < top, np.searchsorted(known, label) + 1, 0))], names=["id", "cluster"])
+
+    return rows.select("id", "v").coalesce(1).mapInArrow(run, "id long, cluster long")
+
+
+def dbscan(features: DataFrame, config: GroupConfig, one_task: bool = True) -> DataFrame:
     """``id, cluster``: 0 for noise, else 1, 2 and so on in order of the clusters' least core row.
 
     Plain distance over the five z-scores; a row counts among its own
     ``min_samples`` neighbours; a border row between clusters joins the one that
-    comes first. Ids are unique longs. Rows that fit one block are worked on in one task.
+    comes first. Ids are unique longs. Rows that fit one block are worked on in one task, unless ``one_task`` is false.
     """
     send_package(features.sparkSession)
-    rows = normalised(features).select("id", F.array(*DIMENSIONS).alias("v"), F.lit(False).alias("core"), F.lit(0).cast("long").alias("label"))
-    if features.limit(BLOCK + 1).count() <= BLOCK:
+    rows = stored(normalised(features).select("id", F.array(*DIMENSIONS).alias("v")), "points")
+    if one_task and rows.limit(BLOCK + 1).count() <= BLOCK:
         return _in_one(rows, config)
-    counts = _near(rows, config.eps, _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    core = rows.join(counts.where(F.col("n") >= config.min_samples).select("id", F.lit(True).alias("c")), "id", "left")
-    rows = stored(core.select("id", "v", F.coalesce("c", F.lit(False)).alias("core"), "label"), "core")
-    reached = least_reachable(_near(rows, config.eps, _links, "a long, b long"))
-    labelled = rows.join(reached.withColumnRenamed("label", "found"), "id", "left").select("id", "v", "core", F.when(F.col("core"), F.coalesce("found", "id")).otherwise(0).alias("label"))
-    labelled = stored(labelled, "labelled")
-    border = _near(labelled, config.eps, _border, "id long, label long").groupBy("id").agg(F.min("label").alias("b"))
-    whole = labelled.join(border, "id", "left").select("id", F.when(F.col("core"), F.col("label")).otherwise(F.col("b")).alias("label"))
+    tree = space.plant(rows, BLOCK)
+    made = space.blocks(rows, tree, BLOCK, {})
+    found = space.pairs(made, tree, config.eps)
+    counts = space.over_pairs(found, made, ["n", "v"], _counts(config.eps), "block long, counts binary")
+    core = counts.groupBy("block").applyInArrow(_core(config.min_samples), "block long, core binary")
+    flagged = stored(made.select("block", "n", "ids", "v").join(core, "block"), "core")
+    met = stored(space.over_pairs(found, flagged, ["n", "ids", "v", "core"], _meetings(config.eps), "kind string, a long, b long"), "met")
+    reached = stored(least_reachable(met.where("kind = 'link'").select("a", "b")), "reached")
+    each = flagged.select("ids", "core").mapInArrow(_rows, "id long, core boolean")
+    root = reached.select(F.col("id").alias("b"), "label")
+    border = met.where("kind = 'border'").join(root, "b", "left").groupBy(F.col("a").alias("id")).agg(F.min(F.coalesce("label", "b")).alias("border"))
+    whole = each.join(reached, "id", "left").join(border, "id", "left").select("id", F.when(F.col("core"), F.coalesce("label", "id")).otherwise(F.col("border")).alias("label"))
     whole = stored(whole, "whole")
     number = positions(whole.where("label is not null").select("label").distinct(), ["label"], "place").select("label", (F.col("place") + 1).alias("cluster"))
     return whole.join(number, "label", "left").select("id", F.coalesce("cluster", F.lit(0)).cast("long").alias("cluster"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, core in zip(batch.column("ids").to_pylist(), batch.column("core").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(np.frombuffer(core, bool))], names=["id", "core"])

@@ -2,37 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolith.functions.distance import kernel
-from fotolith.operators.pairs import over_pairs, unpack
+from fotolith.functions.distance import Features, kernel
+from fotolith.operators import space
 from fotolith.operators.stats import normalised
-from fotolith.schema import GroupConfig
-from fotolith.session import positions, stored
+from fotolith.schema import DIMENSIONS, GroupConfig
+from fotolith.session import positions, send_package, stored
+
+#: Rows of a block; pivots.
+BLOCK, PIVOTS = 256, 4
+
+
+def near_blocks(features: DataFrame, config: GroupConfig) -> tuple[DataFrame, DataFrame]:
+    """Blocks of rows (see ``space``), and the pairs of them that may hold one of a row's nearest.
+
+    The distance is at least its weighted Euclidean part, so boxes bound it; where it is
+    a metric (palettes of one size; hashes everywhere or nowhere), so do the distances to pivots. A row's ``k``-th
+    nearest in its own block bounds what it is looking for.
+    """
+    send_package(features.sparkSession)
+    scaled = normalised(features)
+    v = F.array(*(F.col(d) * F.lit(float(np.sqrt(w))) for d, w in zip(DIMENSIONS, config.weights)))
+    size = F.when(F.col("dominant_colors").isNull(), 0).otherwise(F.size("dominant_colors"))
+    facts = features.agg(F.max(size).alias("most"), F.min(size).alias("least"), F.count("phash_bits").alias("hashed"), F.count(F.lit(1)).alias("n")).first()
+    metric = facts["most"] == facts["least"] and facts["hashed"] in (0, facts["n"])
+    width = 3 * (facts["most"] or 0)
+    padded = F.slice(F.concat(F.coalesce(F.flatten("dominant_colors"), F.array().cast("array<double>")), F.array_repeat(F.lit(float("nan")), max(1, width))), 1, max(1, width))
+    rows = stored(scaled.select("id", v.alias("v"), F.coalesce("phash_bits", F.lit(0)).alias("hash"), F.col("phash_bits").isNotNull().alias("hashed"), size.alias("size"), padded.alias("palette")), "points")
+    tree = space.plant(rows, BLOCK)
+    made = space.blocks(rows, tree, BLOCK, {"hash": "int64", "hashed": "bool", "size": "int64", "palette": "float64"})
+    k = max(1, config.min_samples)
+    pivots = [unpack(r.asDict()) for r in made.orderBy("block").limit(PIVOTS).collect()] if metric else []
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = unpack(row)
+                d = apart(own, own, config)
+                np.fill_diagonal(d, np.inf)
+                radius = float(np.partition(d, k - 1, axis=1)[:, k - 1].max()) if len(own) > k else np.inf
+                # A pivot is the first row of a block.
+                to = [apart(own, first(p), config)[:, 0] for p in pivots]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]]), pa.array([radius]), *(pa.array([[float(f(x)) for x in to]], pa.list_(pa.float64())) for f in (np.min, np.max))], names=["block", "radius", "near", "far"]
+                )
+
+    bounds = made.mapInArrow(bound, "block long, radius double, near array<double>, far array<double>")
+    made = stored(made.join(bounds, "block"), "bounded")
+    return made, space.pairs(made, tree, "radius", pivots=True)
+
+
+def unpack(row: dict, prefix: str = "") -> Features:
+    """A block's rows; the weights are in the vectors."""
+    n = row[f"{prefix}n"]
+    own = object.__new__(Features)
+    own.vectors = np.frombuffer(row[f"{prefix}v"], float).reshape(n, -1)
+    own.hashes, own.has_hash = np.frombuffer(row[f"{prefix}hash"], np.int64).view(np.uint64), np.frombuffer(row[f"{prefix}hashed"], bool)
+    own.sizes = np.frombuffer(row[f"{prefix}size"], np.int64)
+    flat = np.frombuffer(row[f"{prefix}palette"], float).reshape(n, -1)
+    own.palettes = flat.reshape(n, -1, 3) if flat.shape[1] >= 3 else np.full((n, 1, 3), np.nan)
+    return own
+
+
+def first(rows: Features) -> Features:
+    one = object.__new__(Features)
+    one.vectors, one.hashes, one.has_hash, one.sizes, one.palettes = rows.vectors[:1], rows.hashes[:1], rows.has_hash[:1], rows.sizes[:1], rows.palettes[:1]
+    return one
+
+
+def apart(x: Features, y: Features, config: GroupConfig) -> np.ndarray:
+    return kernel(x, y, config, weighted=True)
 
 
 def k_distances(features: DataFrame, config: GroupConfig) -> DataFrame:
     """``id, k_distance``: the distance to the ``min_samples``-th nearest other row; rows with fewer others are left out.
 
-    A pair of blocks keeps the k least distances of each row, so k rows a block
-    of others reach the final ranking.
+    Pairs of blocks that cannot hold a nearest row are skipped; the others keep the k least distances of each row.
     """
     k = max(1, config.min_samples)
+    made, found = near_blocks(features, config)
 
-    def reduce(rows: list, others: list, same: bool) -> pd.DataFrame:
-        ids, x = unpack(rows)
-        _, y = unpack(others)
-        d = kernel(x, y, config)
+    def least(row: dict) -> Iterator[pa.RecordBatch]:
+        one, two = unpack(row), unpack(row, "other_")
+        d = apart(one, two, config)
+        same = row["a"] == row["b"]
         if same:
             np.fill_diagonal(d, np.inf)
-        d = np.sort(d, axis=1)[:, :k]
-        out = pd.DataFrame({"id": np.repeat(ids, d.shape[1]), "d": d.ravel()})
-        return out[np.isfinite(out["d"])]
+        sides = [("ids", d)] if same else [("ids", d), ("other_ids", apart(two, one, config))]
+        for ids, own in sides:
+            own = np.sort(np.partition(own, k - 1, axis=1)[:, :k], axis=1) if own.shape[1] > k else np.sort(own, axis=1)
+            who = np.repeat(np.frombuffer(row[ids], np.int64), own.shape[1])
+            stay = np.isfinite(own.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(who[stay]), pa.array(own.ravel()[stay])], names=["id", "d"])
 
-    near = over_pairs(normalised(features), [], reduce, "id long, d double")
+    near = space.over_pairs(found, made, ["n", "ids", "v", "hash", "hashed", "size", "palette"], least, "id long, d double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
     return near.withColumn("r", place).where(F.col("r") == k).select("id", F.col("d").alias("k_distance"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from fotolith import catalogue_queries, datagen, feature_queries, reports, session
 from fotolith.functions import distance, hashes, labels, names
-from fotolith.operators import catalog, dbscan, features, leader, silhouette, stats, tune
+from fotolith.operators import assign, catalog, dbscan, features, leader, silhouette, space, stats, tune
 from fotolith.plans import moves
 from fotolith.schema import BENCHMARK, DIMENSIONS, GroupConfig
 from fotolith.session import positions
@@ -165,6 +165,7 @@ def test_silhouette_and_tuning(spark, monkeypatch):
     from fotolith.operators import pairs
 
     monkeypatch.setattr(pairs, "BLOCK", 16)
+    monkeypatch.setattr(tune, "BLOCK", 8)
     rows, cfg = plain_features(60, 2), GroupConfig(eps=0.6, min_samples=4)
     z, df = scores(rows), spark.createDataFrame(rows, FEATURE)
     kd, total = [], 0.0
@@ -215,11 +216,13 @@ def plain_dbscan(rows, cfg):
     return {i: order[label[i]] if i in label else 0 for i in near}
 
 
-@pytest.mark.parametrize(("eps", "block"), [(0.3, 16), (0.8, 16), (9.0, 16), (0.3, 1024), (0.8, 1024)])
-def test_dbscan(spark, monkeypatch, eps, block):
+@pytest.mark.parametrize(("eps", "block", "one"), [(0.3, 16, True), (0.8, 16, True), (9.0, 16, True), (0.3, 1024, True), (0.8, 1024, False), (0.8, 16, False)])
+def test_dbscan(spark, monkeypatch, eps, block, one):
     monkeypatch.setattr(dbscan, "BLOCK", block)
+    if not one:  # links that do not fit one task go by rounds
+        monkeypatch.setattr(dbscan, "ONE_TASK", 2)
     rows, cfg = plain_features(80, 3), GroupConfig(eps=eps, min_samples=4)
-    made = dbscan.dbscan(spark.createDataFrame(rows, FEATURE), cfg).collect()
+    made = dbscan.dbscan(spark.createDataFrame(rows, FEATURE), cfg, one_task=one).collect()
     assert {r["id"]: r["cluster"] for r in made} == plain_dbscan(rows, cfg)
 
 
@@ -227,11 +230,11 @@ def test_links_of_two_blocks_span_their_components():
     rng = random.Random(4)
     for _ in range(200):
         n, m = rng.randint(1, 12), rng.randint(1, 12)
-        rows = [{"id": i, "core": rng.random() < 0.8} for i in rng.sample(range(100), n)]
-        others = [{"id": i, "core": rng.random() < 0.8} for i in rng.sample(range(100, 200), m)]
+        rows, others = rng.sample(range(100), n), rng.sample(range(100, 200), m)
         within = np.array([[rng.random() < 0.2 for _ in others] for _ in rows])
-        edges = {(a["id"], b["id"]) for i, a in enumerate(rows) for j, b in enumerate(others) if within[i, j] and a["core"] and b["core"]}
-        links = set(map(tuple, dbscan._links(rows, others, within).to_numpy().tolist()))
+        edges = {(a, b) for i, a in enumerate(rows) for j, b in enumerate(others) if within[i, j]}
+        made, left, right = dbscan.forest(np.array(rows), np.array(others), within)
+        links = set(map(tuple, made.tolist()))
 
         def parts(pairs):
             group = {x: {x} for x in range(200)}
@@ -242,6 +245,44 @@ def test_links_of_two_blocks_span_their_components():
             return {frozenset(g) for g in group.values()}
 
         assert parts(links) == parts(edges)
+        least = {x: min(g) for g in parts(edges) for x in g}
+        assert [*left, *right] == [least[x] for x in [*rows, *others]]
+
+
+def test_balanced_blocks_and_their_pairs(spark):
+    """Cells are about equal, many equal rows are dealt to several blocks, and every pair of near rows lies in a pair of blocks."""
+    rng = random.Random(8)
+    points = [(i, [rng.gauss(0, 1) ** 3 for _ in range(5)]) for i in range(1500)] + [(1500 + i, [0.5] * 5) for i in range(300)]
+    rows = spark.createDataFrame(points, "id long, v array<double>")
+    tree = space.plant(rows, 64)
+    made = space.blocks(rows, tree, 64, {})
+    held = {r["block"]: np.frombuffer(r["ids"], np.int64).tolist() for r in made.collect()}
+    assert sorted(i for own in held.values() for i in own) == list(range(1800))
+    assert max(map(len, held.values())) <= 3 * 64
+    home = {i: b for b, own in held.items() for i in own}
+    found = {(r["a"], r["b"]) for r in space.pairs(made, tree, 0.4).collect()}
+    v = np.array([p for _, p in points])
+    near = np.argwhere(((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2) <= 0.16)
+    assert {tuple(sorted((home[i], home[j]))) for i, j in near.tolist()} <= found
+    n = len(held)
+    assert len(found) < n * (n + 1) / 2 * 0.6
+
+
+def test_nearest_rows_skip_blocks_and_lose_nothing(spark, monkeypatch):
+    """Also where the distance is no metric: some rows without hash, palettes of several sizes."""
+    monkeypatch.setattr(tune, "BLOCK", 16)
+    cfg = GroupConfig(weight_time=1, weight_color=1, weight_name=0, eps=0.6, min_samples=3)
+    for odd in (False, True):
+        rows = plain_features(400, 7)
+        if odd:
+            rows = [(*r[:8], None if r[0] % 5 == 0 else r[8], r[9][: r[0] % 3]) for r in rows]
+        z = scores(rows)
+        made, found = tune.near_blocks(spark.createDataFrame(rows, FEATURE), cfg)
+        n = made.count()
+        assert found.count() < 0.8 * n * (n + 1) / 2
+        got = {r["id"]: r["k_distance"] for r in tune.k_distances(spark.createDataFrame(rows, FEATURE), cfg).collect()}
+        want = [sorted(plain_distance(x, y, z, cfg) for y in rows if y is not x)[2] for x in rows]
+        assert [got[r[0]] for r in rows] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("block", [3, 1024])
@@ -251,6 +292,28 @@ def test_dbscan_of_equal_points(spark, monkeypatch, block):
     assert {r["cluster"] for r in dbscan.dbscan(spark.createDataFrame(rows, FEATURE), GroupConfig(eps=0.5, min_samples=3)).collect()} == {1}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_nearest_centroids(spark, monkeypatch, few):
+    """Ties go to the least cluster; beyond the broadcast the blocks give the same."""
+    if not few:
+        monkeypatch.setattr(assign, "BROADCAST_CENTROIDS", 3)
+        monkeypatch.setattr(assign, "BLOCK", 4)
+        monkeypatch.setattr(assign, "AT_ONCE", 7)
+    rows, cfg = plain_features(70, 9), GroupConfig(eps=0.6)
+    rows = [(*r[:8], None if r[0] % 5 == 0 else r[8], r[9]) for r in rows]
+    held = [(50 - k, *r[3:]) for k, r in enumerate(rows[:9])] + [(99, *rows[3][3:])]
+    centroids = spark.createDataFrame(held, "cluster long, time double, l double, a double, b double, aspect_ratio double, phash_bits long, dominant_colors array<array<double>>")
+    df = spark.createDataFrame(rows, FEATURE)
+    v = np.array([r[3:8] for r in rows])
+    scaled = lambda x: ((np.array(x) - v.mean(axis=0)) / np.maximum(v.std(axis=0), 1e-9)).tolist()
+    got = {r["id"]: (r["cluster"], r["distance"]) for r in assign.assign(df, centroids, cfg).collect()}
+    for r in rows:
+        z = {"r": scaled(r[3:8]), **{c[0]: scaled(c[1:6]) for c in held}}
+        best = min((plain_distance(("r", *r[1:]), (c[0], 0, "", *c[1:]), z, cfg), c[0]) for c in held)
+        assert got[r[0]] == (best[1], pytest.approx(best[0]))
+    assert assign.assign(df, centroids.limit(0), cfg).collect() == []
+
+
 def plain_leader(rows, cfg, floor):
     seen, clusters, into, out, next_id = [], [], {}, [], 1
     for r in rows:
