@@ -14,8 +14,12 @@ A shard's last open window goes on into the partition's next shard. What is left
 at the end of a partition is cut into sequences whose lengths are powers of two,
 which need no padding; so nothing is padded.
 
-A seed asks its own shard. Its neighbours there are exact; how many of those in the whole
-corpus lie there depends on the dealing (README).
+A seed asks more than its own shard. Whole documents ask, so what scores best in the whole corpus are
+its longest documents, wherever they lie; those form a tier, an index of bounded size that every
+document asks before shards are cut. Of the documents that have a tier document among their
+``BEST`` there, the one that scores highest gets it: it is dealt to that seed's shard, right after
+the seed. Scores in a shard and in the tier are exact; how many of the best
+neighbours in the whole corpus they hold is in the README.
 
 Defined results: null and empty texts are a lone separator; a null doc_id stays
 null; repeated rows are documents of their own; an empty table gives no rows;
@@ -35,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +52,8 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 20
 #: Documents of a shard from which on a term's postings are a column; postings that are met at a time.
 FREQUENT, STEP = 32, 1 << 15
+#: The tier: its documents, and the postings that they may have together (six bytes each, sent to the executors); best ones of it that a seed counts.
+TIER_DOCS, TIER_POSTINGS, BEST = 1024, 1 << 22, 10
 #: Sample that the dealing is fitted on; means, dimensions and rounds of the fit.
 SAMPLE_DOCS, SAMPLE_CHARS, CENTROIDS, DIMS, ROUNDS = 2048, 20_000, 256, 64, 10
 #: Fixed value: the split pattern of byte-level files, which ``boundaries`` implements.
@@ -271,8 +277,9 @@ def fit_dealer(docs: DataFrame, name: str) -> Dealer:
 
 
 def tokenise(docs: DataFrame, path: str, separator: int = 0) -> DataFrame:
-    """``doc_id, ids, wide, key`` and, in rows whose ``df`` is not null, each partition's document frequencies.
+    """``doc_id, row, ids, wide, key, n_terms`` and, in rows whose ``df`` is not null, each partition's document frequencies.
 
+    ``row`` is a number of the row's own, ``n_terms`` the number of its different ids.
     ``ids``: little-endian integers of two bytes (four if ``wide``), the
     separator last. ``key``: see ``Dealer``. ``df``: unsigned 64-bit counts by id;
     ``doc_id`` is null there.
@@ -282,13 +289,14 @@ def tokenise(docs: DataFrame, path: str, separator: int = 0) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit_dealer(docs, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "ids", "wide", "key", "df"]
+        names = ["doc_id", "row", "ids", "wide", "key", "n_terms", "df"]
+        row = TaskContext.get().partitionId() << 33
         tokens, dealer = token_cache(SparkFiles.get(name)), shared.value
         size = max(tokens.size, separator + 1)
         mark, df = np.zeros(size, bool), np.zeros(size, np.uint64)
         end, wide = np.array([separator], tokens.kind), tokens.kind.itemsize == 4
         for batch in batches:
-            ids, keys = [], []
+            ids, keys, terms = [], [], []
             for own in tokens.encode([t or "" for t in batch.column(1).to_pylist()]):
                 mark[own] = True
                 at = np.flatnonzero(mark)
@@ -297,10 +305,14 @@ def tokenise(docs: DataFrame, path: str, separator: int = 0) -> DataFrame:
                 df[separator] += np.uint64(separator not in own)
                 ids.append(np.append(own, end).tobytes())
                 keys.append(dealer.key(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([wide] * len(ids)), pa.array(keys, pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([wide]), pa.array([None], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=names)
+                terms.append(len(at) + 1)
+            own = [pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.binary()), pa.array([wide] * len(ids)), pa.array(keys, pa.int64()), pa.array(terms, pa.int64())]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own, pa.nulls(len(ids), pa.binary())], names=names)
+        none = pa.array([None], pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([None], pa.binary()), pa.array([wide]), none, none, pa.array([df.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, ids binary, wide boolean, key long, df binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, row long, ids binary, wide boolean, key long, n_terms long, df binary")
 
 
 def add_frequencies(parts: DataFrame) -> DataFrame:
@@ -320,6 +332,83 @@ def add_frequencies(parts: DataFrame) -> DataFrame:
     return parts.select("df").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 of each posting: a term that stands ``tf`` times in a document of ``size`` terms."""
+    return (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1.0)))).astype(np.float32)
+
+
+class Tier:
+    """The inverted index of the longest documents, asked by every document."""
+
+    def __init__(self, rows: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
+        """``parts``: of each row its terms, and how often each stands in it."""
+        self.rows = rows
+        term = np.concatenate([t for t, _ in parts]) if parts else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(parts)), [len(t) for t, _ in parts])
+        tf = np.concatenate([c for _, c in parts]).astype(np.float64) if parts else np.zeros(0)
+        size = np.array([c.sum() for _, c in parts], np.float64)
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order].astype(np.uint16), weights(term, tf, size[doc], idf, mean)[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1)).astype(np.int32)
+
+    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The exact BM25 score of each tier document (column) for all terms of each document (row)."""
+        if not docs or not len(self.rows):
+            return np.zeros((len(docs), len(self.rows)), np.float32)
+        terms = [np.unique(d) for d in docs]
+        number, known = pd.factorize(np.concatenate(terms))
+        asks = np.zeros((len(docs), len(known)), np.float32)
+        asks[np.repeat(np.arange(len(docs)), [len(t) for t in terms]), number] = 1
+        many = self.starts[known + 1] - self.starts[known]
+        at = np.arange(int(many.sum())) + np.repeat(self.starts[known] - np.cumsum(many) + many, many)
+        held = np.zeros((len(known), len(self.rows)), np.float32)
+        held[np.repeat(np.arange(len(known)), many), self.doc[at]] = self.weight[at]
+        return asks @ held
+
+    def wanted(self, rows: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tier documents that some of ``docs`` counts among its ``BEST``: their numbers, the place in ``docs`` that scores highest, and its score."""
+        found = self.scores(docs)
+        found[rows[:, None] == self.rows[None, :]] = 0
+        if found.shape[1] > BEST:
+            found[found < np.partition(found, found.shape[1] - BEST, axis=1)[:, found.shape[1] - BEST, None]] = 0
+        seed = found.argmax(axis=0) if len(docs) else np.zeros(0, np.int64)
+        score = found[seed, np.arange(found.shape[1])] if len(docs) else np.zeros(0, np.float32)
+        some = np.flatnonzero(score > 0)
+        return some, seed[some], score[some]
+
+
+def make_tier(tokens: DataFrame, idf: np.ndarray, mean: float) -> Tier:
+    """Of the longest ``TIER_DOCS`` documents as many as ``TIER_POSTINGS`` allow; their different terms reach the driver."""
+    longest = tokens.select("row", "n_terms", (F.octet_length("ids") / F.when(F.col("wide"), 4).otherwise(2)).alias("size")).orderBy(F.desc("size"), "row").limit(TIER_DOCS).collect()
+    rows = [r["row"] for r, upto in zip(longest, np.cumsum([r["n_terms"] for r in longest]).tolist()) if upto <= TIER_POSTINGS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(np.frombuffer(x, "<u4" if w else "<u2"), return_counts=True) for x, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k].astype("<u4").tobytes() for x in made], pa.binary()) for k in (0, 1))], names=["row", "terms", "counts"])
+
+    own = tokens.select("row", "ids", "wide").where(F.col("row").isin(rows)) if rows else tokens.select("row", "ids", "wide").limit(0)
+    found = {r["row"]: (np.frombuffer(r["terms"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u4")) for r in own.mapInArrow(tidied(run), "row long, terms binary, counts binary").collect()}
+    return Tier(np.array(rows, np.int64), [found[r] for r in rows], idf, mean)
+
+
+def moved(tokens: DataFrame, tier: Tier) -> DataFrame:
+    """``row, new_key, seed``: tier documents and the document that gets each; a row a tier document at most."""
+    shared = tokens.sparkSession.sparkContext.broadcast(tier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            docs = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(batch.column("ids").to_pylist(), batch.column("wide").to_pylist())]
+            rows, keys = batch.column("row").to_numpy(), batch.column("key").to_numpy()
+            some, seed, score = own.wanted(rows, docs)
+            yield pa.RecordBatch.from_arrays([pa.array(own.rows[some]), pa.array(keys[seed]), pa.array(rows[seed]), pa.array(score.astype(np.float64))], names=["row", "new_key", "seed", "score"])
+
+    asked = tokens.select("row", "ids", "wide", "key").mapInArrow(tidied(run), "row long, new_key long, seed long, score double")
+    best = asked.groupBy("row").agg(F.max_by(F.struct("new_key", "seed"), F.struct("score", -F.col("seed"))).alias("best"))
+    return best.select("row", "best.new_key", "best.seed")
+
+
 class Shard:
     """The inverted index of a block of documents, asked with every term of every one of them.
 
@@ -341,7 +430,7 @@ class Shard:
         sizes = np.fromiter(map(len, docs), np.float64, n)
         doc = np.repeat(np.arange(n), [len(t) for t in terms])
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1.0)))).astype(np.float32)
+        weight = weights(term, tf, sizes[doc], idf, mean)
         df = np.bincount(term, minlength=len(idf))
         #: The BM25 score of each document (column) for the terms of each (row).
         self.scores = self.frequent(n, doc, term, weight, df) + self.rare(n, doc, term, weight, df)
@@ -458,11 +547,10 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, window: int = 1024, separ
     df[[r["id"] for r in frequency]] = [r["n"] for r in frequency]
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     shared = spark.sparkContext.broadcast(idf)
+    gone = scratch.write(moved(tokens, make_tier(tokens, idf, mean)), "moved")
     names = PIECES.replace(",", "").split()[::2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -491,6 +579,9 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, window: int = 1024, separ
         if packer.done:
             yield flush()
 
-    # Ranges of keys, and of ids where very many documents have one key; a shard is a run of neighbours.
-    dealt = tokens.repartitionByRange(partitions(spark), "key", F.xxhash64("doc_id")).sortWithinPartitions("key", "doc_id")
+    # Ranges of keys, and of rows where very many documents have one key; a shard is a run of neighbours. At most TIER_DOCS rows are broadcast.
+    placed = tokens.join(F.broadcast(gone), "row", "left").select(
+        "doc_id", "ids", "wide", F.coalesce("new_key", "key").alias("key"), F.coalesce("seed", "row").alias("place"), F.col("seed").isNotNull().alias("follows"), "row"
+    )
+    dealt = placed.repartitionByRange(partitions(spark), "key", F.xxhash64("place")).sortWithinPartitions("key", "place", "follows", "row")
     return dealt.select("doc_id", "ids", "wide").mapInArrow(tidied(run), PIECES)
