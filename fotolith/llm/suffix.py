@@ -33,7 +33,9 @@ Documents are dealt by ranges of their id to blocks, so the number of a block
 says which of two documents is smaller, and a block sends each different string
 once: a passage that a third of the documents share costs one string a block.
 The text is shuffled once; blocks lie compressed in a bucketed table of the shared
-folder, which later steps read without a shuffle. Buckets grow in number with the text.
+folder, which later steps read without a shuffle. Buckets grow in number with the text; their ranges are cut by
+whole strings, so a beginning that many strings share is cut like any other. Of very large
+corpora blocks and buckets grow too (``grown``), and so does what a task holds.
 
 Defined results: null texts are empty; rows without id keep their text and take
 no part; rows that share an id are no smaller than each other (they stay in one
@@ -71,12 +73,14 @@ CONTEXT, SLACK = 40, WIDTH - 40
 BLOCK_BYTES = 2 << 20
 #: Bytes of text for each bucket of strings.
 BUCKET_BYTES = 16 << 20
+#: Text from which on blocks and buckets are larger.
+STEADY_BYTES = 32 << 30
 #: Bits of a fingerprint beyond those that number the bytes of the corpus.
 SPARE_BITS = 6
 #: Bits of the marks by which a block knows its repeated fingerprints again.
 MARK_BITS = 24
 #: Samples of a block that tell where ranges of text are cut, and the most that are looked at.
-PROBES, MAX_PROBES = 32, 1 << 18
+PROBES, MAX_PROBES = 32, 1 << 17
 
 #: Carried columns keep nulls and microseconds.
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -261,11 +265,25 @@ class Plan:
 
     buckets: int
     bits: int
-    cuts: np.ndarray
-
-    def bucket_of(self, first: np.ndarray) -> np.ndarray:
-        """The range of text by its first eight bytes."""
-        return np.searchsorted(self.cuts, first, side="right")
+    cuts: list[np.ndarray]
+
+    def bucket_of(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The range of text of each string, or of each triple, by all of its bytes."""
+        cuts = self.cuts if len(columns) > 3 else [*self.cuts[:2], self.cuts[2] >> np.uint64(64 - 8 * (TRIPLE - 16))]
+        found, high = (np.searchsorted(cuts[0], columns[0], side=side) for side in ("left", "right"))
+        # Where cuts begin with the same eight bytes, the rest tells them apart, by halving.
+        tied = np.flatnonzero(found < high)
+        low, high, own = found[tied], high[tied], [c[tied] for c in columns]
+        while (open_ := low < high).any():
+            middle = np.minimum((low + high) // 2, len(cuts[0]) - 1)
+            upto, same = np.zeros(len(tied), bool), np.ones(len(tied), bool)
+            for cut, c in zip(cuts, own):
+                upto |= same & (cut[middle] < c)
+                same &= cut[middle] == c
+            upto |= same
+            low, high = np.where(open_ & upto, middle + 1, low), np.where(open_ & ~upto, middle, high)
+        found[tied] = low
+        return found
 
     def fingerprints(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Bucket (one of a power of two) and value of each row's fingerprint."""
@@ -324,7 +342,7 @@ def triple_groups(block: Block, plan: Plan, at: np.ndarray) -> tuple[Distinct, l
     triples = block.triples(at)
     found = Distinct.of(triples)
     own = [t[found.item] for t in triples]
-    return found, own, plan.bucket_of(own[0])
+    return found, own, plan.bucket_of(own)
 
 
 def send_triples(block: Block, plan: Plan, at: np.ndarray) -> list[tuple[int, bytes]]:
@@ -581,8 +599,13 @@ def remaining(block: Block, plan: Plan, own: Named, starts: np.ndarray, known: n
 def string_groups(block: Block, plan: Plan, at: np.ndarray) -> tuple[Distinct, list[np.ndarray], np.ndarray]:
     strings = block.strings(at)
     found = Distinct.of(strings, whole=False)
-    own = [s[found.item] for s in strings]
-    return found, own, plan.bucket_of(own[0])
+    bucket = plan.bucket_of([s[found.item] for s in strings])
+    # Sorted by the first eight bytes only, strings of several buckets may be mixed where they share those.
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    found = Distinct(back[found.place], found.item[order], found.many[order])
+    return found, [s[found.item] for s in strings], bucket[order]
 
 
 def send_strings(block: Block, plan: Plan, at: np.ndarray) -> list[tuple[int, bytes]]:
@@ -622,8 +645,18 @@ def _out_arrow(as_text: bool) -> pa.Schema:
 _OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>, carried string"
 
 
-def make_blocks(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, carried)`` as blocks, numbered in order of the ids."""
+def grown(total: int) -> float:
+    """How much larger blocks and buckets of a corpus are than those of a small one.
+
+    A block sends a message to each bucket, so messages are as many as the product of both numbers. From ``STEADY_BYTES`` on both sizes grow with
+    the root of the text: a message then holds as much as before, and messages grow with the text, not with its square.
+    """
+    return max(1.0, (total / STEADY_BYTES) ** 0.5)
+
+
+def make_blocks(docs: DataFrame, total: int) -> DataFrame:
+    """``docs(doc_id, text, carried)``, ``total`` bytes of text, as blocks, numbered in order of the ids."""
+    most = int(BLOCK_BYTES * grown(total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -639,13 +672,13 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             block = Block(np.array(ids, np.int64), lengths, b"".join(texts))
             at = block.samples()
-            probes = block.word(at[:: max(1, len(at) // PROBES)][:PROBES])
+            probes = np.array(block.strings(at[:: max(1, len(at) // PROBES)][:PROBES]), np.uint64).T
             row = (number, block.n, block.ids.tobytes(), lengths.tobytes(), press.compress(block.data), press.compress(json.dumps(extra).encode()), probes.tobytes())
             return _batch([row], _arrow(_BLOCKS))
 
         for batch in batches:
             for i, text, more in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BLOCK_BYTES and i != ids[-1]:
+                if size >= most and i != ids[-1]:
                     yield flush()
                     number, ids, texts, extra, size = number + 1, [], [], [], 0
                 ids.append(i)
@@ -661,11 +694,13 @@ def make_blocks(docs: DataFrame) -> DataFrame:
 def make_plan(blocks: DataFrame) -> Plan:
     """Numbers of buckets and bits from the size of the text; cuts from a bounded sample, which only balances the buckets."""
     made, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = max(-(-partitions(blocks.sparkSession) // 2), total // BUCKET_BYTES + 1)
+    buckets = max(-(-partitions(blocks.sparkSession) // 2), int(total / (BUCKET_BYTES * grown(total))) + 1)
     every = max(1, -(-made * PROBES // MAX_PROBES))
-    probes = [np.frombuffer(r["probes"], np.uint64) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("probes").collect()]
-    flat = np.sort(np.concatenate([np.zeros(0, np.uint64), *probes]))
-    cuts = flat[np.linspace(0, len(flat), buckets, endpoint=False).astype(np.int64)[1:]] if len(flat) else flat
+    probes = [np.frombuffer(r["probes"], np.uint64).reshape(-1, 7) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("probes").collect()]
+    flat = np.concatenate([np.zeros((0, 7), np.uint64), *probes])
+    flat = flat[np.lexsort(flat.T[::-1])]
+    flat = flat[np.linspace(0, len(flat), buckets, endpoint=False).astype(np.int64)[1:]] if len(flat) else flat
+    cuts = [np.ascontiguousarray(c) for c in flat.T]
     return Plan(buckets, min(64, max(int(total).bit_length(), 24) + SPARE_BITS), cuts)
 
 
@@ -730,7 +765,8 @@ def dedup(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, as_
 
     tables = Blocks(scratch)
     ordered = rows.where("doc_id is not null").repartitionByRange(tables.parts, "doc_id").sortWithinPartitions("doc_id")
-    blocks = tables.write(make_blocks(ordered), "blocks")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = tables.write(make_blocks(ordered, total), "blocks")
     release(spark)
     shared = spark.sparkContext.broadcast(make_plan(blocks))
 

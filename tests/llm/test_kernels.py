@@ -293,7 +293,7 @@ def test_names_order_triples_by_their_text():
     for k in range(0, 60, 20):
         part = texts[k : k + 20]
         blocks.append(suffix.Block(np.arange(k, k + 20), np.array([len(x) for x in part]), b"".join(part)))
-    plan = suffix.Plan(1, 30, np.zeros(0, np.uint64))
+    plan = suffix.Plan(1, 30, [np.zeros(0, np.uint64)] * 7)
     at = [b.samples() for b in blocks]
     sent = [suffix.send_triples(b, plan, x)[0][1] for b, x in zip(blocks, at)]
     found = [[{"bucket": 0, "reply": r}] for r in suffix.meet_triples(sent)]
@@ -362,3 +362,36 @@ def test_sketches_of_near_copies_are_near():
     apart = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
     assert apart(bits[0], bits[1]) < neardup.NEAR_BITS < apart(bits[0], bits[2])
     assert os.path.exists(FILE)
+
+
+def test_ranges_of_text_cut_by_the_whole_key():
+    """A third of the strings share their first eight bytes, others sixteen: no bucket holds more than a few times the mean, and ranges are in order."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 123, (6000, suffix.WIDTH), dtype=np.uint8)
+    text[:2000, :8] = np.frombuffer(b"the same", np.uint8)
+    text[2000:2500, :16] = np.frombuffer(b"the same sixteen", np.uint8)
+    block = suffix.Block(np.arange(6000), np.full(6000, suffix.WIDTH), text.tobytes())
+    at = np.arange(6000) * suffix.WIDTH
+    strings = block.strings(at)
+    probes = np.array(block.strings(at[::10]), np.uint64).T
+    probes = probes[np.lexsort(probes.T[::-1])]
+    for n in (1, 7, 60):
+        cuts = [np.ascontiguousarray(c) for c in probes[np.linspace(0, len(probes), n, endpoint=False).astype(int)[1:]].T]
+        plan = suffix.Plan(n, 30, cuts)
+        for columns, size in ((strings, suffix.WIDTH), (block.triples(at), suffix.TRIPLE)):
+            bucket = plan.bucket_of(columns)
+            assert np.bincount(bucket, minlength=n).max() <= 3 * 6000 / n
+            whole = [text[k, :size].tobytes() for k in range(6000)]
+            keys = [b"".join(int(c[k]).to_bytes(8, "big") for c in cuts)[:48] + int(cuts[6][k]).to_bytes(2, "big") for k in range(n - 1)]
+            assert bucket.tolist() == [sum(key[:size] <= w for key in keys) for w in whole]
+    found, own, bucket = suffix.string_groups(block, plan, at)
+    assert (np.diff(bucket) >= 0).all() and all((c[found.place] == s).all() for c, s in zip(own, strings))
+    for b in np.unique(bucket):
+        assert (np.diff(own[0][bucket == b].astype(object)) >= 0).all()
+
+
+def test_blocks_and_buckets_of_large_corpora_keep_their_messages():
+    """At 100 TB a message is as large as at the size from which blocks grow."""
+    held = lambda total: total / ((total / (suffix.BLOCK_BYTES * suffix.grown(total))) * (total / (suffix.BUCKET_BYTES * suffix.grown(total))))
+    assert suffix.grown(suffix.STEADY_BYTES) == 1 and suffix.grown(10**9) == 1
+    assert held(100 << 40) == pytest.approx(held(suffix.STEADY_BYTES))
