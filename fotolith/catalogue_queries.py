@@ -495,6 +495,26 @@ def champion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.champion(_foldered(spark, sf_dir), CONFIG, "folder", ["time", "path"])
 
 
+_COUNTS = "SELECT folder, count(DISTINCT cluster) AS k FROM found GROUP BY folder"
+_STUDY = " UNION ALL ".join(
+    f"SELECT '{name}' AS algorithm, * FROM ({_machine(seq, floor, _COUNTS)})"
+    for name, seq, floor in (
+        ("Naive Streaming Leader", "place", CONFIG.std_floor),
+        ("Champion-Initialized Streaming", "CASE WHEN place = 1 THEN -3 WHEN place = total THEN -2 WHEN place = total // 2 + 1 THEN -1 ELSE place END", 0.1),
+    )
+)
+
+
+@query(f"""WITH {_FEATS}, spread AS (SELECT 'folder_' || label AS folder, count(*) AS n, 0.1 * stddev_pop(time) / 86400 + stddev_pop(l) / 100 + stddev_pop(a) / 128 + stddev_pop(b) / 128 + stddev_pop(r) / 2 AS h FROM raw GROUP BY label),
+study AS ({_STUDY}), s AS (SELECT folder, n, h, algorithm, 128.0::DOUBLE * k / 1048576 AS mem, k FROM study JOIN spread USING (folder))
+SELECT folder || ',' || n || ',' || format('{{:.4f}}', h) || ',' || algorithm || ',' || format('{{:.3f}}', mem) || ',' || k AS csv,
+  '{{"Dataset Name":"' || folder || '","Image Count":' || n || ',"Heterogeneity Rate":' || round(h, 4) || ',"Algorithm":"' || algorithm || '","Peak Mem (MB)":' || round(mem, 3) || ',"Cluster Count":' || k || '}}' AS json,
+  '| ' || folder || ' | ' || n || ' | ' || format('{{:.4f}}', h) || ' | ' || algorithm || ' | ' || format('{{:.3f}}', mem) || ' | ' || k || ' |' AS markdown FROM s""")
+def folder_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's report over ten folders, in its three forms."""
+    return reports.as_lines(reports.folder_study(_foldered(spark, sf_dir), CONFIG, "folder", ["time", "path"]))
+
+
 @query(_machine("place", CONFIG.std_floor, "SELECT folder, cluster, count(*) AS n, count(*) || ' images' AS label FROM found GROUP BY folder, cluster"))
 def leader_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.snapshot(leader_clusters(spark, sf_dir), "folder")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolith.functions.names import is_supported
+from fotolith.operators.prefix import places
+from fotolith.session import stored
 
 
 def duplicates(files: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -48,8 +50,8 @@ def listing(files: DataFrame, subfolders: DataFrame) -> DataFrame:
     shown = files.where(F.col("is_dir") | is_supported(F.col("name"))).select("folder", "name", "is_dir", "size", F.lit(0).alias("ord"))
     parent = files.select("folder").distinct().select("folder", F.lit("..").alias("name"), F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"), F.lit(-1).alias("ord"))
     dirs = subfolders.select("folder", "name", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("ord"))
-    order = Window.partitionBy("folder").orderBy("ord", F.desc("is_dir"), F.lower("name"), "name")
-    return shown.unionByName(parent).unionByName(dirs).withColumn("pos", F.row_number().over(order)).select("folder", "pos", "name", "is_dir", "size")
+    rows = shown.unionByName(parent).unionByName(dirs).withColumn("_file", ~F.col("is_dir")).withColumn("_low", F.lower("name"))
+    return places(rows, "folder", ["ord", "_file", "_low", "name"], "pos").select("folder", F.col("pos").cast("int").alias("pos"), "name", "is_dir", "size")
 
 
 def upsert_latest(log: DataFrame, key: str, seq: str, id_col: str) -> DataFrame:
@@ -98,19 +100,29 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
 
 
 def neighbours(files: DataFrame) -> DataFrame:
-    """``folder, name, previous, next`` among the supported files of a folder, in listing order."""
-    order = Window.partitionBy("folder").orderBy(F.lower("name"), "name")
-    shown = files.where(~F.col("is_dir") & is_supported(F.col("name")))
-    return shown.select("folder", "name", F.lag("name").over(order).alias("previous"), F.lead("name").over(order).alias("next"))
+    """``folder, name, previous, next`` among the supported files of a folder, in listing order.
+
+    Places come from a scan in two levels and meet by folder and place, so a large folder is many keys.
+    """
+    shown = files.where(~F.col("is_dir") & is_supported(F.col("name"))).select("folder", "name").withColumn("_low", F.lower("name"))
+    placed = stored(places(shown, "folder", ["_low", "name"]).drop("_low"), "places")
+
+    def beside(step: int, name: str) -> DataFrame:
+        return placed.select(F.col("folder").alias(f"_folder{step}"), (F.col("place") + step).alias(f"_place{step}"), F.col("name").alias(name))
+
+    out = placed
+    for step, name in ((1, "previous"), (-1, "next")):
+        out = out.join(beside(step, name), F.col("folder").eqNullSafe(F.col(f"_folder{step}")) & (F.col("place") == F.col(f"_place{step}")), "left")
+    return out.select("folder", "name", "previous", "next")
 
 
 def champions(files: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``group, pick, file_id``: the first, last and upper median row of each group; null order keys come first."""
-    by = [F.asc_nulls_first(c) for c in order]
-    place, whole = Window.partitionBy(group).orderBy(*by), Window.partitionBy(group)
-    ranked = files.withColumn("r", F.row_number().over(place)).withColumn("n", F.count(F.lit(1)).over(whole))
-    picks = F.array(F.struct(F.lit("oldest").alias("pick"), F.lit(1).alias("at")), F.struct(F.lit("newest").alias("pick"), F.col("n").cast("int").alias("at")), F.struct(F.lit("median").alias("pick"), F.expr("cast(n div 2 + 1 as int)").alias("at")))
-    return ranked.select(group, "file_id", "r", F.explode(picks).alias("p")).where("r = p.at").select(group, "p.pick", "file_id")
+    ranked = places(files.select(group, "file_id", *(c for c in order if c != "file_id")), group, order, "_r")
+    sizes = ranked.groupBy(F.col(group).alias("_group")).agg(F.max("_r").alias("_n"))
+    ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    picks = F.array(*(F.struct(F.lit(pick).alias("pick"), at.alias("at")) for pick, at in (("oldest", F.lit(1).cast("long")), ("newest", F.col("_n")), ("median", F.expr("_n div 2 + 1")))))
+    return ranked.select(group, "file_id", "_r", F.explode(picks).alias("p")).where("_r = p.at").select(group, "p.pick", "file_id")
 
 
 def toggle(selected: DataFrame, clicked: DataFrame) -> DataFrame:

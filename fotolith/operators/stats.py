@@ -40,12 +40,17 @@ def running(rows: DataFrame, group: str, order: str, value: str, floor: float =
     return made.select(group, order, n.alias("n"), F.col("_mean").alias("mean"), floored_std(n, F.sqrt(F.col("_m2") / n), floor).alias("std"))
 
 
-def heterogeneity(features: DataFrame) -> DataFrame:
-    """One row ``heterogeneity``: deviations scaled to comparable ranges and added; 0 for no rows."""
+def heterogeneity_rate() -> Column:
+    """Deviations of a group scaled to comparable ranges and added; 0 for no rows."""
     scale = {"time": 0.1 / 86400, "l": 1 / 100, "a": 1 / 128, "b": 1 / 128, "aspect_ratio": 1 / 2}
     n = F.count(F.lit(1))
     total = sum((floored_std(n, F.stddev_pop(d), 0.0) * F.lit(k) for d, k in scale.items()), F.lit(0.0))
-    return features.agg(F.when(n == 0, 0.0).otherwise(total).alias("heterogeneity"))
+    return F.when(n == 0, 0.0).otherwise(total)
+
+
+def heterogeneity(features: DataFrame) -> DataFrame:
+    """One row ``heterogeneity``."""
+    return features.agg(heterogeneity_rate().alias("heterogeneity"))
 
 
 def variance_forces(features: DataFrame, weights: tuple[float, float, float]) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotolith import datagen
-from fotolith.operators.leader import benchmark_algorithms
+from fotolith.operators.leader import benchmark_algorithms, champion, naive
 from fotolith.operators.silhouette import silhouette
-from fotolith.operators.stats import heterogeneity
+from fotolith.operators.stats import heterogeneity, heterogeneity_rate
 from fotolith.schema import BENCHMARK, REPORT, GroupConfig
 from fotolith.session import stored
 
@@ -39,6 +39,31 @@ def benchmark(spark: SparkSession, config: GroupConfig = BENCHMARK, names: tuple
     return spark.createDataFrame(out, REPORT)
 
 
+def folder_study(features: DataFrame, config: GroupConfig, key: str, order: list[str]) -> DataFrame:
+    """A row for each folder and streaming algorithm, all folders at once: ``REPORT`` without time and silhouette."""
+    n = F.count(F.lit(1))
+    facts = features.groupBy(key).agg(n.alias("n"), heterogeneity_rate().alias("spread"))
+    out = None
+    for name, run in (("Naive Streaming Leader", naive), ("Champion-Initialized Streaming", champion)):
+        found = run(features, config, key, order).groupBy(key).agg(F.count_distinct("cluster").alias("clusters"))
+        one = facts.join(found, key).select(
+            F.col(key).alias("Dataset Name"), F.col("n").alias("Image Count"), F.col("spread").alias("Heterogeneity Rate"), F.lit(name).alias("Algorithm"),
+            (F.lit(128) * F.col("clusters") / (1 << 20)).alias("Peak Mem (MB)"), F.col("clusters").alias("Cluster Count"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def as_lines(report: DataFrame) -> DataFrame:
+    """``csv, json, markdown``: each row in the report's three forms, made where the rows are."""
+    form = {"Heterogeneity Rate": 4, "Peak Mem (MB)": 3, "Silhouette Score": 4}
+    numbers = F.struct(*(F.round(F.col(f"`{c}`"), form[c]).alias(c) if c in form else F.col(f"`{c}`") for c in report.columns))
+    texts = [F.format_string(f"%.{form[c]}f", F.col(f"`{c}`")) if c in form else F.col(f"`{c}`").cast("string") for c in report.columns]
+    return report.select(
+        F.to_csv(F.struct(*(t.alias(f"c{i}") for i, t in enumerate(texts)))).alias("csv"), F.to_json(numbers).alias("json"), F.concat(F.lit("| "), F.concat_ws(" | ", *texts), F.lit(" |")).alias("markdown")
+    )
+
+
 def as_strings(report: DataFrame) -> DataFrame:
     """The columns of the CSV form: four decimals, three for the memory."""
     form = {"Heterogeneity Rate": "%.4f", "Peak Mem (MB)": "%.3f", "Silhouette Score": "%.4f"}

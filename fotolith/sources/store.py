@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fotolith import schema
 from fotolith.operators.catalog import missing_members, resolve_members
+from fotolith.session import stored
 
 #: Tables of a catalogue and their columns.
 TABLES = {
@@ -26,10 +27,19 @@ def store_collections(spark: SparkSession, database: str, collections: DataFrame
     """Append ``collections(id, name, created_at)`` with their ``members(collection_id, path)``, all or nothing.
 
     A member that is not among the images is an error, found before anything is
-    written.
+    written. A collection is there once its own row is, which comes last; members
+    without one are left of a store that broke off, and storing again completes it without doubling anything.
     """
-    images = spark.table(f"{database}.images")
+    images, known, stored_members = (spark.table(f"{database}.{t}") for t in ("images", "virtual_collections", "collection_members"))
     if lost := missing_members(members, images).take(1):
         raise ValueError(f"store_collections: {lost[0]['path']} is not in the catalogue")
-    resolve_members(members, images).distinct().select("collection_id", "image_id").write.insertInto(f"{database}.collection_members")
-    collections.select("id", "name", F.greatest("created_at", F.lit(0).cast("long")).alias("created_at")).write.insertInto(f"{database}.virtual_collections")
+    pairs = resolve_members(members, images).distinct().join(stored_members, ["collection_id", "image_id"], "left_anti")
+    stored(pairs.select("collection_id", "image_id"), "members").write.insertInto(f"{database}.collection_members")
+    rows = collections.select("id", "name", F.greatest("created_at", F.lit(0).cast("long")).alias("created_at")).join(known.select("id"), "id", "left_anti")
+    stored(rows, "collections").write.insertInto(f"{database}.virtual_collections")
+
+
+def whole_collections(spark: SparkSession, database: str) -> DataFrame:
+    """``collection_id, name, image_id``: members of the collections that are stored whole."""
+    rows = spark.table(f"{database}.virtual_collections").select(F.col("id").alias("collection_id"), "name")
+    return rows.join(spark.table(f"{database}.collection_members"), "collection_id")

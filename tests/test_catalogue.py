@@ -486,3 +486,10 @@ def test_catalogue_tables(spark):
     store.store_collections(spark, "photos", collections, spark.createDataFrame([(7, "a.jpg"), (7, "b.jpg")], "collection_id long, path string"))
     assert sorted(tuple(r) for r in spark.table("photos.collection_members").collect()) == [(7, 1), (7, 2)]
     assert spark.table("photos.virtual_collections").first()["created_at"] == 0
+    # A store that broke off between its two tables: not seen until it is stored again, and then once.
+    broken = spark.createDataFrame([(8, 1)], store.TABLES["collection_members"])
+    broken.write.insertInto("photos.collection_members")
+    assert store.whole_collections(spark, "photos").where("collection_id = 8").count() == 0
+    for _ in range(2):
+        store.store_collections(spark, "photos", spark.createDataFrame([(8, "walk", 3)], store.TABLES["virtual_collections"]), spark.createDataFrame([(8, "a.jpg"), (8, "b.jpg")], "collection_id long, path string"))
+    assert sorted(tuple(r) for r in store.whole_collections(spark, "photos").where("collection_id = 8").collect()) == [(8, "walk", 1), (8, "walk", 2)]
