@@ -15,11 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+import fotolith
 from fotolith.operators.leader import Machine, Welford, hash_as_text, rows_of
 from fotolith.schema import GroupConfig
 from fotolith.session import send_package, stored
@@ -85,7 +87,12 @@ def leader_events(features: DataFrame, config: GroupConfig, every: int = 4, ttl_
     """``EVENTS`` of the stream ``features(folder, id, seq, ...)``; a column ``total`` says how many rows a folder will have."""
     send_package(features.sparkSession)
     mode = "None" if ttl_ms is None else "ProcessingTime"
-    return hash_as_text(features).groupBy("folder").transformWithStateInPandas(LeaderProcessor(config, every, ttl_ms), EVENTS, "update", mode)
+    # The worker that asks a processor for its state's schema runs beside the driver and knows no files that were added: the code travels in the plan.
+    cloudpickle.register_pickle_by_value(fotolith)
+    try:
+        return hash_as_text(features).groupBy("folder").transformWithStateInPandas(LeaderProcessor(config, every, ttl_ms), EVENTS, "update", mode)
+    finally:
+        cloudpickle.unregister_pickle_by_value(fotolith)
 
 
 def start(spark: SparkSession, folder: str, schema: StructType, config: GroupConfig, out: str, checkpoint: str, files_per_batch: int = 1, every: int = 4, ttl_ms: int | None = None) -> StreamingQuery:
