@@ -234,3 +234,43 @@ FROM d LEFT JOIN listed USING (doc_id)"""
 
 
 ORACLE["op12_secrets"] = _secrets_sql()
+
+#: Word and line rules as regular expressions: words of the contract, and words between any white space of Unicode.
+_WORD, _ANY_WORD = r"'[^\x20\x09-\x0D]+'", r"'[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'"
+ORACLE["op9_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, {_WORD}) AS w, length(regexp_replace(t, '[ 	-]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d
+), windows AS (SELECT r, p, array_to_string(w[p:p + 7], ' ') AS name FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM base)
+), twice AS (SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY r, name) > 1
+), covered AS (SELECT r, least(8, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p) - p, 8)) AS n FROM twice
+), repeats AS (SELECT r, sum(n) AS n_repeat_words FROM covered GROUP BY r
+), lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d
+), worded AS (
+  SELECT r, line, i, len(regexp_extract_all(line, {_WORD})) AS k, regexp_extract_all(line, {_ANY_WORD}) AS u, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS dup FROM lines WHERE regexp_matches(line, {_WORD})
+), facts AS (
+  SELECT *, length(line) - length(regexp_replace(line, '[|›»·•]', '', 'g')) AS bars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+    (length(line) - length(replace(line, '!!', ''))) // 2 AS bangs, regexp_matches(line, '[.!?"''”’»:;)\]…。！？][ 	-]*\z') AS ended,
+    list_aggregate(u, 'mode') AS often FROM worded
+), judged AS (
+  SELECT r, k, dup, CASE
+    WHEN dup THEN 3
+    WHEN bars >= 3 AND bars >= 0.25::DOUBLE * k THEN 2
+    WHEN symbols > 0.3::DOUBLE * k + 2 OR bangs > 0.5::DOUBLE * k THEN 1
+    WHEN k < 3 AND NOT ended OR k >= 30 AND NOT regexp_matches(line, '[.!?…。！？]') THEN 1
+    WHEN k >= 4 AND regexp_matches(line, '\p{{Lu}}') AND NOT regexp_matches(line, '[\p{{Ll}}\p{{Lt}}ªº]') THEN 1
+    WHEN k < 40 AND regexp_matches(line, '[©®™]') THEN 3
+    WHEN k >= 4 AND NOT ended AND len(list_filter(u, lambda x: regexp_matches(x, '^\p{{Lu}}'))) >= 0.8::DOUBLE * len(u) THEN 2
+    WHEN len(list_filter(u, lambda x: regexp_matches(x, '://|www\.|@'))) > 0.5::DOUBLE * len(u) THEN 3
+    WHEN k >= 8 AND 2 * list_unique(u) <= len(u) AND len(list_filter(u, lambda x: x = often)) > 0.5::DOUBLE * len(u) THEN 3
+    ELSE 0 END AS fault FROM facts
+), summed AS (
+  SELECT r, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(k) FILTER (WHERE fault > 0), 0) AS lost, count(*) FILTER (WHERE fault > 0) AS n_lines_removed,
+    count(*) FILTER (WHERE fault = 1) AS n_punctuation, count(*) FILTER (WHERE fault = 2) AS n_navigation, count(*) FILTER (WHERE fault = 3) AS n_boilerplate FROM judged GROUP BY r
+), whole AS (
+  SELECT doc_id, len(w) AS n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost,
+    coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_punctuation, 0) AS n_punctuation, coalesce(n_navigation, 0) AS n_navigation, coalesce(n_boilerplate, 0) AS n_boilerplate
+  FROM base LEFT JOIN repeats USING (r) LEFT JOIN summed USING (r)
+), failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM whole)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - lost) >= 50 * n_words AS kept, n_lines_removed, (n_words - lost)::BIGINT AS words_kept,
+  n_punctuation, n_navigation, n_boilerplate FROM failed"""
