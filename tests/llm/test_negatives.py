@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fotolith.llm import negatives
+from fotolith.llm import bitslice, negatives
 from fotolith.llm.common import Scratch
 
 
@@ -94,3 +94,13 @@ def test_empty_few_and_negative_scores(spark):
 def test_long_vectors_are_an_error(spark):
     with pytest.raises(Exception, match="too long for 64-bit scores"):
         negatives.mine(made(spark, [(0, 1, [1e30]), (1, 1, [1.0])]), F.col("vec_id") % 10 == 0, Scratch(spark, "neg")).collect()
+
+
+def test_long_vectors_are_an_error_of_the_bit_sliced_index_too(spark):
+    rows = made(spark, [(0, 1, [1e30]), (1, 1, [1.0])])
+    with pytest.raises(Exception, match="too long for 64-bit scores"):
+        bitslice.top_k(rows, rows, 5, Scratch(spark, "test")).collect()
+    # Just below, scores are exact.
+    rows = made(spark, [(0, 1, [2.0**23, 0.0]), (1, 1, [2.0**23, 1.0]), (2, 1, [-(2.0**23), 1.0])])
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in bitslice.top_k(rows, rows, 5, Scratch(spark, "test")).collect()}
+    assert got[0, 1] == 2**62 and got[0, 2] == -(2**62) and got[1, 2] == 2**16 - 2**62
