@@ -96,13 +96,17 @@ def leader_events(features: DataFrame, config: GroupConfig, every: int = 4, ttl_
 
 
 def start(spark: SparkSession, folder: str, schema: StructType, config: GroupConfig, out: str, checkpoint: str, files_per_batch: int = 1, every: int = 4, ttl_ms: int | None = None) -> StreamingQuery:
-    """Ingest the files of a folder, some in each micro-batch, into the table ``out``; the query ends when all that is there is done."""
+    """Ingest the files of a folder, some in each micro-batch, into the table ``out``; the query ends when all that is there is done.
+
+    With ``ttl_ms`` it goes on until it is stopped: state that expires by the clock makes batches without rows.
+    """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     try:
         sink = BatchTable(spark, out).writer("kind")
-        return leader_events(rows, config, every, ttl_ms).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+        out_rows = leader_events(rows, config, every, ttl_ms).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("update")
+        return (out_rows.trigger(availableNow=True) if ttl_ms is None else out_rows.trigger(processingTime="1 second")).start()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 

@@ -1,6 +1,7 @@
 """Streams: leader state over restarts, live views, tables of batches, reports, event time; and the prefix scan."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -136,3 +137,27 @@ def test_prefix_scan_against_plain(spark, parts):
 
 def test_prefix_scan_of_an_empty_table(spark):
     assert prefix.scan(spark.createDataFrame([], "g string, i long, v double"), "g", ["i"], "v").collect() == []
+
+
+def test_idle_folders_are_forgotten(spark, folders, tmp_path):
+    """A folder that gets no rows for longer than its time to live starts anew."""
+    rows, _ = folders
+    out = f"{tmp_path}/out"
+    query = None
+
+    def wait_for(n: int) -> None:
+        until = time.time() + 90
+        while leader_stream.events(spark, out).where("kind = 'join'").count() < n:
+            assert time.time() < until and query.isActive
+            time.sleep(0.5)
+
+    rows.limit(0).write.parquet(f"{tmp_path}/in")
+    query = leader_stream.start(spark, f"{tmp_path}/in", rows.schema, CONFIG, out, f"{tmp_path}/checkpoint", every=1, ttl_ms=1)
+    try:
+        for k in (1, 2):
+            rows.where(F.col("seq") == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            wait_for(2 * k)
+    finally:
+        query.stop()
+    found = leader_stream.events(spark, out).where("kind = 'join'").select("folder", "seq", "cluster").collect()
+    assert sorted(tuple(r) for r in found) == [(f, k, 1) for f in ("f0", "f1") for k in (1, 2)]
