@@ -21,7 +21,8 @@ Defined results: vectors that are null or hold a null or non-finite component
 take no part, as query or row; so do rows without id. Shorter vectors count as
 padded with zeros to their block's longest. Rows that share the query's id are
 its own. Repeated rows are candidates of their own. Fewer than k candidates are
-all returned; an empty table gives no rows; extra columns are not read.
+all returned; an empty table gives no rows; extra columns are not read. A vector whose
+integers are longer than 2^31.5, so that scores might leave 64 bits, is an error.
 """
 
 from __future__ import annotations
@@ -80,8 +81,11 @@ def blocks_of(rows: DataFrame, size: int, id_col: str, vec_col: str) -> DataFram
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
                 if not np.isfinite(x).all():
                     continue
+                whole = np.floor(SCALE * x)
+                if float(whole @ whole) >= 2.0**63 * (1 - 1e-9):
+                    raise ValueError(f"bitslice: the vector of id {i} is too long for 64-bit scores")
                 ids.append(i)
-                vectors.append(np.floor(SCALE * x).astype(np.int64))
+                vectors.append(whole.astype(np.int64))
                 if len(ids) == size:
                     yield flush()
                     ids, vectors = [], []
