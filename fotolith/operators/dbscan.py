@@ -163,9 +163,10 @@ def dbscan(features: DataFrame, config: GroupConfig, one_task: bool = True) -> D
     comes first. Ids are unique longs. Rows that fit one block are worked on in one task, unless ``one_task`` is false.
     """
     send_package(features.sparkSession)
-    rows = stored(normalised(features).select("id", F.array(*DIMENSIONS).alias("v")), "points")
-    if one_task and rows.limit(BLOCK + 1).count() <= BLOCK:
+    rows = normalised(features).select("id", F.array(*DIMENSIONS).alias("v"))
+    if one_task and features.limit(BLOCK + 1).count() <= BLOCK:
         return _in_one(rows, config)
+    rows = stored(rows, "points")
     tree = space.plant(rows, BLOCK)
     made = space.blocks(rows, tree, BLOCK, {})
     found = space.pairs(made, tree, config.eps)

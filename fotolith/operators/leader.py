@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolith.functions.distance import Features, kernel
 from fotolith.functions.labels import cluster_label
-from fotolith.operators.prefix import places
 from fotolith.schema import DIMENSIONS, GroupConfig
 from fotolith.session import send_package, stored
 
@@ -152,11 +151,13 @@ def sequenced(features: DataFrame, key: str, order: list[str], champions: bool)
     With champions the first, last and upper median row by ``order`` come first,
     in that sequence, each once.
     """
-    ranked = places(features, key, order, "_r")
+    # A folder is one task's work here in any case, since the machine is sequential; so a window is no further limit.
+    by = [F.asc_nulls_first(c) for c in order]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*by))
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    ranked = features.withColumn("_r", place).withColumn("_n", n)
     if not champions:
-        return ranked.withColumnRenamed("_r", "seq")
-    sizes = ranked.groupBy(F.col(key).alias("_key")).agg(F.max("_r").alias("_n"))
-    ranked = ranked.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+        return ranked.withColumn("seq", F.col("_r").cast("long")).drop("_r", "_n")
     early = F.when(F.col("_r") == 1, -3).when(F.col("_r") == F.col("_n"), -2).when(F.col("_r") == F.expr("_n div 2 + 1"), -1).otherwise(F.col("_r"))
     return ranked.withColumn("seq", early.cast("long")).drop("_r", "_n")
 
