@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from fotolith import datagen, reports
 from fotolith.functions import names
 from fotolith.operators import features
 from fotolith.schema import BENCHMARK
-from fotolith.session import own_folder, read_table
+from fotolith.session import own_folder, read_table, send_package
 from fotolith.sources import folders, listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +28,8 @@ ORACLE: dict[str, str] = {}
 #: Rows of every image; widths are 4, 8 or 16.
 HEIGHT = 8
 THUMBNAIL = 4
+#: Parts whose images a task makes.
+IMAGES_A_TASK = 8192
 
 
 def query(sql: str):
@@ -37,12 +41,30 @@ def query(sql: str):
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``path, height, width, channels, data``: an image of each part, blue, green and red of each pixel."""
+    """``path, height, width, channels, data``: an image of each part, blue, green and red of each pixel.
+
+    A part is a few bytes and its image many, so parts are dealt to tasks by their number, not by the size of their file.
+    """
     key, width = F.col("p_partkey"), F.expr("4 * cast(pow(2, p_partkey % 3) as int)")
-    value = "(p_partkey * (11 + 2 * (i % 3)) + (i div 3) * (29 + 6 * (i % 3)) + (i div 3) * p_partkey % (17 + i % 3) * 5) % 256"
-    data = F.expr(f"unhex(array_join(transform(sequence(0, {HEIGHT} * width * 3 - 1), i -> lpad(hex({value}), 2, '0')), ''))")
-    sized = read_table(spark, sf_dir, "part").select("p_partkey", width.alias("width"))
-    return sized.select(F.concat(F.lit("part_"), key.cast("string"), F.lit(".jpg")).alias("path"), F.lit(HEIGHT).alias("height"), "width", F.lit(3).alias("channels"), data.alias("data"))
+    part = read_table(spark, sf_dir, "part").select("p_partkey")
+    sized = part.repartition(-(-part.count() // IMAGES_A_TASK) or 1).select(key, width.alias("width"))
+
+    send_package(spark)
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, widths = (batch.column(c).fill_null(0).to_numpy() for c in ("p_partkey", "width"))
+            data: list[bytes | None] = [None] * len(keys)
+            for w in np.unique(widths[widths > 0]).tolist():
+                at, i = np.flatnonzero(widths == w), np.arange(HEIGHT * w * 3)
+                k, c, p = keys[at, None], i % 3, i // 3
+                made = ((k * (11 + 2 * c) + p * (29 + 6 * c) + np.fmod(p * k, 17 + c) * 5) % 256).astype(np.uint8)
+                for row, one in zip(at.tolist(), made):
+                    data[row] = one.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=["p_partkey", "width", "data"])
+
+    painted = sized.mapInArrow(paint, "p_partkey long, width int, data binary")
+    return painted.select(F.concat(F.lit("part_"), key.cast("string"), F.lit(".jpg")).alias("path"), F.lit(HEIGHT).alias("height"), "width", F.lit(3).alias("channels"), "data")
 
 
 _IMAGES = f"""images AS (
