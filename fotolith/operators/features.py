@@ -89,7 +89,7 @@ def spaced(n: int, k: int) -> np.ndarray:
 
 def gradient_hashes(rgb: np.ndarray) -> np.ndarray:
     """Eight bytes an image: whether brightness falls from each of 8 x 8 samples to its right neighbour."""
-    grey = rgb[:, samples(8, rgb.shape[1])][:, :, samples(9, rgb.shape[2])].astype(float) @ np.array(GREY)
+    grey = weighed(rgb[:, samples(8, rgb.shape[1])][:, :, samples(9, rgb.shape[2])].astype(float), GREY)
     return np.packbits((grey[:, :, :-1] > grey[:, :, 1:]).reshape(len(rgb), -1), axis=1)
 
 

@@ -18,6 +18,16 @@ def picture(key):
     return np.array(made, np.uint8).reshape(8, width, 3)
 
 
+def test_equal_brightness_does_not_fall():
+    """Neighbours of the same brightness in colours of their own: part 6565 has such, and a fused product took one for darker."""
+    for key in (6565, 7150, 18193):
+        x = picture(key)
+        at = [min(int((k + 0.5) * x.shape[1] / 9), x.shape[1] - 1) for k in range(9)]
+        grey = [[0.299 * float(row[c][2]) + 0.587 * float(row[c][1]) + 0.114 * float(row[c][0]) for c in at] for row in x]
+        bits = "".join(str(int(a > b)) for row in grey for a, b in zip(row, row[1:]))
+        assert features.described(x[None])[1].tobytes() == int(bits, 2).to_bytes(8, "big")
+
+
 def test_parts_are_dealt_to_tasks_by_their_number(spark, sf, monkeypatch):
     monkeypatch.setattr(feature_queries, "IMAGES_A_TASK", 64)
     made = feature_queries.images(spark, sf)
