@@ -6,6 +6,7 @@ features, turns and thumbnails can be checked to the last pixel.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -128,18 +129,24 @@ def _resampled(height: str, width: str, row: str, column: str) -> str:
 
 
 def _digest(made: DataFrame) -> DataFrame:
-    text = F.expr("array_join(transform(sequence(1, length(data)), i -> cast(conv(hex(substr(data, i, 1)), 16, 10) as string)), ',')")
-    return made.withColumn("pixels", F.md5(text)).drop("data", "channels")
+    """``pixels`` in place of the data: the digest of its bytes as decimal text."""
+    send_package(made.sparkSession)
+    kept = made.drop("data", "channels")
+    names, spell = kept.columns, [str(k) for k in range(256)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (",".join([spell[x] for x in d]) for d in batch.column("data").to_pylist())
+            own = pa.array([hashlib.md5(t.encode()).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), own], names=[*names, "pixels"])
+
+    return made.mapInArrow(run, kept.schema.add("pixels", "string"))
 
 
 @query(f"WITH {_IMAGES} " + " UNION ALL ".join(f"SELECT path, '{name}' AS turn, ({h})::INT AS height, ({w})::INT AS width, {_resampled(h, w, y, x)} AS pixels FROM images" for name, (h, w, y, x) in _TURNS.items()))
 def image_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image after each turn and flip."""
-    source, out = images(spark, sf_dir), None
-    for name in features.TRANSFORMS:
-        one = features.transform(source, name).withColumn("turn", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return _digest(out)
+    return _digest(features.turns(images(spark, sf_dir), list(features.TRANSFORMS)))
 
 
 _SCALE = f"least({THUMBNAIL} / {HEIGHT}.0::DOUBLE, {THUMBNAIL} / w::DOUBLE, 1)"
