@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +38,12 @@ def combined(x: str, y: str, config: GroupConfig) -> Column:
     return F.sqrt(total) + bits * config.phash_weight + palette_distance(F.col(f"{x}.dominant_colors"), F.col(f"{y}.dominant_colors")) * config.palette_weight
 
 
+#: Distances that ``tiles`` works on at a time, so that they stay in a core's cache.
+TILE = 1 << 15
+#: Squares under this share of the greatest are subtracted, not multiplied out: what is small has lost its digits.
+SMALL = 1e-6
+
+
 class Features:
     """Feature rows as arrays: normalised vectors, hashes, palettes."""
 
@@ -67,3 +75,54 @@ def kernel(x: Features, y: Features, config: GroupConfig, weighted: bool = False
     total /= np.maximum(x.sizes, 1)[:, None] * 100.0
     total[(x.sizes == 0)[:, None] | (y.sizes == 0)[None, :]] = 1.0
     return out + total * config.palette_weight
+
+
+def _roots(x: np.ndarray, y: np.ndarray):
+    """The Euclidean distances of slices of the rows of ``x`` to all rows of ``y``, by a product of matrices."""
+    xx, yy = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    left = np.column_stack([-2 * x, xx, np.ones(len(x))])
+    right = np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), yy]).T)
+    small = SMALL * (xx.max(initial=0) + yy.max(initial=0))
+
+    def of(at: slice, out: np.ndarray) -> np.ndarray:
+        np.matmul(left[at], right, out=out)
+        if not out.min() > small:
+            i, j = np.nonzero(~(out > small))
+            out[i, j] = ((x[at][i] - y[j]) ** 2).sum(axis=1)
+        return np.sqrt(out, out=out)
+
+    return of
+
+
+def tiles(x: Features, y: Features, config: GroupConfig) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """For slices of the rows of ``x``: the distances from them to the rows of ``y`` (as ``kernel``), and those from ``y`` to them."""
+    w, k = np.sqrt(np.array(config.weights)), min(x.palettes.shape[1], y.palettes.shape[1])
+    apart = _roots(x.vectors * w, y.vectors * w)
+    colours = [_roots(np.nan_to_num(x.palettes[:, c]), np.nan_to_num(y.palettes[:, c])) for c in range(k)]
+    sizes = np.unique(np.concatenate([x.sizes, y.sizes]))
+    even = len(sizes) == 1 and sizes[0] > 0
+    hashed = bool(x.has_hash.all() and y.has_hash.all())
+    step = max(1, TILE // max(1, len(y)))
+    for i in range(0, len(x), step):
+        at = slice(i, min(i + step, len(x)))
+        shape = (at.stop - i, len(y))
+        one, total = np.empty(shape), np.zeros(shape)
+        for c, colour in enumerate(colours[: int(sizes[0])] if even else colours):
+            colour(at, one)
+            if not even:  # colours are paired up to the shorter side
+                one *= (x.sizes[at] > c)[:, None] & (y.sizes > c)[None, :]
+            total += one
+        bits = np.bitwise_count(x.hashes[at, None] ^ y.hashes[None, :])
+        if not hashed:
+            bits *= x.has_hash[at, None] & y.has_hash[None, :]
+        rest = apart(at, one)
+        rest += bits * (config.phash_weight / 64.0)
+        if even:
+            total *= config.palette_weight / (sizes[0] * 100.0)
+            total += rest
+            yield at, total, total
+            continue
+        empty = (x.sizes[at] == 0)[:, None] | (y.sizes == 0)[None, :]
+        sides = (total / (np.maximum(n, 1) * 100.0) for n in (x.sizes[at, None], y.sizes[None, :]))
+        there, back = (rest + np.where(empty, 1.0, s) * config.palette_weight for s in sides)
+        yield at, there, back

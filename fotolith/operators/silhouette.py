@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolith.functions.distance import kernel
-from fotolith.operators.pairs import over_pairs, unpack
+from fotolith.operators.pairs import cluster_sums
 from fotolith.operators.stats import normalised
 from fotolith.schema import GroupConfig
 
@@ -20,26 +17,10 @@ def silhouette(features: DataFrame, config: GroupConfig, cluster: str = "cluster
     to another cluster (0 if none); cluster 0 counts as a cluster; fewer than
     two rows give 0.
     """
-
-    def reduce(rows: list, others: list, same: bool) -> pd.DataFrame:
-        ids, x = unpack(rows)
-        _, y = unpack(others)
-        d = kernel(x, y, config)
-        if same:
-            np.fill_diagonal(d, 0.0)
-        own = np.array([r["cluster"] for r in rows], np.int64)
-        names, place = np.unique(np.array([r["cluster"] for r in others], np.int64), return_inverse=True)
-        member = (place[:, None] == np.arange(len(names))[None, :]).astype(float)
-        count = np.repeat(member.sum(axis=0)[None, :], len(ids), axis=0)
-        if same:
-            count -= own[:, None] == names[None, :]
-        shape = (len(ids), len(names))
-        return pd.DataFrame({"id": np.repeat(ids, len(names)), "own": np.repeat(own, len(names)), "other": np.broadcast_to(names, shape).ravel(), "total": (d @ member).ravel(), "n": count.ravel().astype(np.int64)})
-
     rows = normalised(features).withColumn("cluster", F.col(cluster).cast("long"))
-    parts = over_pairs(rows, ["cluster"], reduce, "id long, own long, other long, total double, n long")
-    means = parts.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0")
-    mean, inside = F.col("total") / F.col("n"), F.col("own") == F.col("other")
+    counts = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    means = cluster_sums(rows, config).join(counts, "cluster").withColumn("n", F.col("n") - (F.col("own") == F.col("cluster")).cast("int")).where("n > 0")
+    mean, inside = F.col("total") / F.col("n"), F.col("own") == F.col("cluster")
     each = means.groupBy("id").agg(F.coalesce(F.max(F.when(inside, mean)), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(~inside, mean)), F.lit(0.0)).alias("b"))
     top = F.greatest("a", "b")
     s = F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
