@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from fotolith.functions import distance
-from fotolith.operators import pairs, stats
+from fotolith.operators import pairs, stats, tune
 from fotolith.schema import GroupConfig
 
 
@@ -49,3 +49,34 @@ def test_sums_by_cluster_go_out_as_vectors(spark, monkeypatch):
     cluster = np.array([r[1] for r in rows])
     want = {(i, int(cluster[i]), c): d[i, cluster == c].sum() for i in range(40) for c in (0, 3, 9)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_rows_within_a_bound_are_those_of_the_kernel(monkeypatch, even):
+    """Rows of no other kind come after the Euclidean part, and a row never meets itself."""
+    monkeypatch.setattr(tune, "PAIRS", 200)
+    x, y, cfg = some_features(60, 3, even), some_features(45, 3, even), GroupConfig(weight_time=1, weight_color=1)
+    plain = GroupConfig(weight_time=1, weight_color=1)
+    for f in (x, y):
+        f.vectors = f.vectors * np.sqrt(np.array(cfg.weights))
+    d = distance.kernel(x, y, plain, weighted=True)
+    bound = np.sort(d, axis=1)[:, 4]
+    bound[3], who, ids = np.inf, np.arange(60), np.arange(45) + 20
+    i, got = tune._within(x, y, bound, who, ids, cfg)
+    want = (d <= bound[:, None]) & (who[:, None] != ids[None, :])
+    for row in range(60):
+        assert sorted(got[i == row]) == pytest.approx(sorted(d[row, want[row]]))
+
+
+def test_equal_rows_and_rows_apart_find_their_nearest(spark, monkeypatch):
+    """Blocks of equal rows, which look no further, and rows that look into other blocks; fewer rows than are asked for give none."""
+    monkeypatch.setattr(tune, "BLOCK", 8)
+    rng, shape = random.Random(6), "id long, time double, l double, a double, b double, aspect_ratio double, phash_bits long, dominant_colors array<array<double>>"
+    rows = [(i, *([0.5] * 5 if i < 40 else [rng.gauss(0, 3) for _ in range(5)]), 7, [[1.0, 2.0, 3.0]]) for i in range(120)]
+    v, cfg = np.array([r[1:6] for r in rows]), GroupConfig(min_samples=3)
+    every = distance.Features((v - v.mean(axis=0)) / v.std(axis=0), [r[6] for r in rows], [r[7] for r in rows])
+    d = distance.kernel(every, every, cfg)
+    np.fill_diagonal(d, np.inf)
+    got = {r["id"]: r["k_distance"] for r in tune.k_distances(spark.createDataFrame(rows, shape), cfg).collect()}
+    assert [got[i] for i in range(120)] == pytest.approx(np.sort(d, axis=1)[:, 2].tolist(), abs=1e-9)
+    assert tune.k_distances(spark.createDataFrame(rows[:3], shape), cfg).count() == 0
