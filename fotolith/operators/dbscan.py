@@ -23,12 +23,21 @@ from fotolith.session import positions, send_package, stored
 #: Rows of a block; links that one task joins.
 BLOCK, ONE_TASK = 1024, 1 << 18
 MAX_ROUNDS = 100
+#: Rows of a block that are compared with another at a time.
+TILE = 16
 
 
 def _matrix(row: dict) -> np.ndarray:
     """Which rows of two blocks are within reach of each other."""
     x, y = (np.frombuffer(row[c], float).reshape(row[n], -1) for c, n in (("v", "n"), ("other_v", "other_n")))
-    return ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) <= row["reach"] ** 2
+    out, columns = np.empty((len(x), len(y)), bool), [np.ascontiguousarray(y[:, d]) for d in range(y.shape[1])]
+    for i in range(0, len(x), TILE):  # few rows at a time stay in a core's cache
+        square = 0.0
+        for d, column in enumerate(columns):
+            apart = x[i : i + TILE, d, None] - column
+            square = square + apart * apart
+        out[i : i + TILE] = square <= row["reach"] ** 2
+    return out
 
 
 def _counts(eps: float):

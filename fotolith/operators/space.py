@@ -20,6 +20,8 @@ from fotolith.session import stored
 
 #: Rows of a sample from which the tree is made, and cells that it may have.
 SAMPLE, MAX_CELLS = 1 << 15, 1 << 12
+#: Pairs of blocks that a task compares, tasks at most, and blocks that are sent to all executors.
+PAIRS_A_TASK, MAX_TASKS, FEW = 16, 4096, 512
 #: A bound is taken a little further, for what doubles round off.
 ROUNDING = 1 + 1e-9
 
@@ -155,7 +157,12 @@ def pairs(made: DataFrame, tree: Tree, reach: float | str, pivots: bool = False)
 
 
 def over_pairs(found: DataFrame, made: DataFrame, columns: list[str], run, shape: str) -> DataFrame:
-    """``run(row)`` of each pair, a dict with ``columns`` of block a (as they are) and b (with ``other_`` before them); it yields record batches."""
+    """``run(row)`` of each pair, a dict with ``columns`` of block a (as they are) and b (with ``other_`` before them); it yields record batches.
+
+    A pair is a few bytes and much work, so pairs are dealt to tasks by their number, not by the size of their file.
+    """
+    tasks = max(1, min(MAX_TASKS, -(-found.count() // PAIRS_A_TASK)))
+    few = made.count() <= FEW
     one = made.select(F.col("block").alias("a"), *columns)
     two = made.select(F.col("block").alias("b"), *(F.col(c).alias(f"other_{c}") for c in columns))
 
@@ -164,4 +171,6 @@ def over_pairs(found: DataFrame, made: DataFrame, columns: list[str], run, shape
             for row in batch.to_pylist():
                 yield from run(row)
 
-    return found.join(one, "a").join(two, "b").mapInArrow(each, shape)
+    if few:
+        return found.repartition(tasks).join(F.broadcast(one), "a").join(F.broadcast(two), "b").mapInArrow(each, shape)
+    return found.join(one, "a").join(two, "b").repartition(tasks).mapInArrow(each, shape)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fotolith.functions import distance
-from fotolith.operators import pairs, stats, tune
+from fotolith.operators import pairs, space, stats, tune
 from fotolith.schema import GroupConfig
 
 
@@ -80,3 +81,15 @@ def test_equal_rows_and_rows_apart_find_their_nearest(spark, monkeypatch):
     got = {r["id"]: r["k_distance"] for r in tune.k_distances(spark.createDataFrame(rows, shape), cfg).collect()}
     assert [got[i] for i in range(120)] == pytest.approx(np.sort(d, axis=1)[:, 2].tolist(), abs=1e-9)
     assert tune.k_distances(spark.createDataFrame(rows[:3], shape), cfg).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 512])
+def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch, few):
+    monkeypatch.setattr(space, "PAIRS_A_TASK", 4)
+    monkeypatch.setattr(space, "FEW", few)
+    made = spark.createDataFrame([(k, 1, b"x" * k) for k in range(9)], "block long, n long, v binary")
+    found = spark.createDataFrame([(a, b) for a in range(9) for b in range(a, 9)], "a long, b long").coalesce(1)
+    run = lambda row: iter([pa.RecordBatch.from_pydict({"a": [len(row["v"])], "b": [len(row["other_v"])]})])
+    out = space.over_pairs(found, made, ["n", "v"], run, "a long, b long")
+    assert out.rdd.getNumPartitions() == 12
+    assert sorted(tuple(r) for r in out.collect()) == [(a, b) for a in range(9) for b in range(a, 9)]
