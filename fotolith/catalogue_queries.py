@@ -580,6 +580,8 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Event time: spans of arrival, what the watermark allows for (two spans of 432,000 s), and the windows.
 SPANS, SPAN_S, ALLOWANCE_S = 6, 432_000, 864_000
+#: Tasks that hold open windows: some hundred windows of a few event types.
+OPEN_WINDOW_TASKS = 8
 EVENT_WINDOWS = (windows.Windows("tumbling", "6 hours"), windows.Windows("sliding", "2 days", "1 day"), windows.Windows("session", "20 minutes"))
 #: Arrivals in SQL: a tenth of the rows one span late (in time), a tenth of the first two spans four spans late (too late), some delivered again.
 _ARRIVED = f"""timed AS (SELECT event_id, event_type, value, ts, least((epoch_us(ts) - min(epoch_us(ts)) OVER ()) // {SPAN_S * 1_000_000}, {SPANS - 1}) AS span FROM events),
@@ -602,21 +604,19 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(placed.unionByName(placed.where((F.col("event_id") % 11 == 0) & (F.col("batch") < SPANS - 1)).withColumn("batch", F.col("batch") + 1)), "arrivals")
 
 
-def _windowed(spark: SparkSession, sf_dir: str, chosen: tuple[windows.Windows, ...]) -> tuple[DataFrame, dict[str, ProgressLog]]:
-    """The windows that closed, and each stream's reports; every arrival is a start from the checkpoint."""
+def _windowed(spark: SparkSession, sf_dir: str, chosen: tuple[windows.Windows, ...]) -> tuple[str, ProgressLog]:
+    """The table of the windows that closed, and the reports of the stream that sees all arrivals; every arrival is a start from the checkpoints."""
     arrived = _arrivals(spark, sf_dir)
+    schema, allowance = arrived.drop("batch").schema, f"{ALLOWANCE_S} seconds"
     root = f"{own_folder(spark)}/windows-{uuid.uuid4().hex}"
-    logs = {w.kind: ProgressLog(spark, f"{root}/reports-{w.kind}") for w in chosen}
+    log = ProgressLog(spark, f"{root}/reports")
     for k in range(SPANS):
         arrived.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(f"{root}/in")
-        for w in chosen:
-            with logs[w.kind] as log:
-                log.wait(windows.start(spark, f"{root}/in", arrived.drop("batch").schema, w, f"{ALLOWANCE_S} seconds", f"{root}/{w.kind}", f"{root}/checkpoint-{w.kind}"))
-    found = None
-    for w in chosen:
-        one = spark.read.parquet(f"{root}/{w.kind}")
-        found = one if found is None else found.unionByName(one)
-    return found, logs
+        with log:
+            log.wait(windows.start_timely(spark, f"{root}/in", schema, allowance, f"{root}/kept", f"{root}/checkpoint-kept"))
+        if chosen:
+            windows.start_windows(spark, f"{root}/kept", schema, chosen, allowance, f"{root}/out", f"{root}/checkpoint-out", OPEN_WINDOW_TASKS).awaitTermination()
+    return f"{root}/out", log
 
 
 @query(f"""WITH {_ARRIVED},
@@ -631,7 +631,7 @@ whole AS (
 SELECT kind, epoch_us(s) AS start_us, epoch_us(e) AS end_us, event_type, n, round(total, 4) AS total FROM whole, ending WHERE epoch_us(e) <= mark * 1000""")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling, sliding and session windows of event time that closed over a stream with late and repeated rows."""
-    found = _windowed(spark, sf_dir, EVENT_WINDOWS)[0]
+    found = spark.read.parquet(_windowed(spark, sf_dir, EVENT_WINDOWS)[0])
     return found.select("kind", F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -639,7 +639,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT arrival, n_rows, n_late, sum(n_rows) OVER (ORDER BY arrival)::BIGINT AS done FROM counted""")
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each arrival, those among them that came after the watermark, and all rows so far, as the listener wrote them."""
-    log = _windowed(spark, sf_dir, EVENT_WINDOWS[:1])[1]["tumbling"]
+    log = _windowed(spark, sf_dir, ())[1]
     reports = prefix.running_sums(log.read().where("rows > 0").withColumn("one", F.lit(1)), "one", "batch", "rows")
     return prefix.places(reports, "one", ["batch"], "arrival").select((F.col("arrival") - 1).alias("arrival"), F.col("rows").alias("n_rows"), F.col("late").alias("n_late"), F.col("sum").alias("done"))
 

@@ -6,8 +6,10 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
+from fotolith import catalogue_queries
 from fotolith.operators import leader, prefix
 from fotolith.schema import GroupConfig
 from fotolith.streaming import leader_stream, windows
@@ -113,6 +115,49 @@ def test_late_and_repeated_events(spark, tmp_path):
     assert [late[b] for b in sorted(late)] == [0, 1, 2, 0]
 
 
+def test_windows_of_several_kinds_over_timely_rows(spark, tmp_path):
+    """The rows of the test above, left out by one stream and put into windows of two kinds by another."""
+    batches = [[(1, 1000), (2, 1050)], [(3, 1100), (4, 1040), (5, 1041)], [(6, 1060), (7, 1090), (8, 1091), (3, 1100)], [(9, 1300)]]
+    kinds = (windows.Windows("tumbling", "20 seconds"), windows.Windows("session", "15 seconds"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for rows in batches:
+        timed = spark.createDataFrame(rows, "event_id long, s long").select("event_id", F.timestamp_seconds("s").alias("ts"), F.lit("t").alias("event_type"), F.lit(1.5).alias("value"))
+        timed.write.mode("append").parquet(f"{tmp_path}/in")
+        windows.start_timely(spark, f"{tmp_path}/in", timed.schema, "10 seconds", f"{tmp_path}/kept", f"{tmp_path}/cp-kept").awaitTermination()
+        windows.start_windows(spark, f"{tmp_path}/kept", timed.schema, kinds, "10 seconds", f"{tmp_path}/out", f"{tmp_path}/cp-out", 2).awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/kept").select("event_id").collect()) == [1, 2, 3, 5, 8, 9]
+    got = spark.read.parquet(f"{tmp_path}/out").select("kind", F.unix_timestamp("window_start").alias("s"), F.unix_timestamp("window_end").alias("e"), "n", "total").collect()
+    flat = [("tumbling", 1000, 1020, 1, 1.5), ("tumbling", 1040, 1060, 2, 3.0), ("tumbling", 1080, 1100, 1, 1.5), ("tumbling", 1100, 1120, 1, 1.5)]
+    assert sorted(tuple(r) for r in got) == [("session", 1000, 1015, 1, 1.5), ("session", 1041, 1065, 2, 3.0), ("session", 1091, 1115, 2, 3.0), *flat]
+
+
+def test_ids_are_held_once_for_all_kinds(spark, sf, tmp_path):
+    """However many kinds of windows there are, an id's row enters the state once; before, once a kind."""
+    held, ended = [], []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            held.extend(s.numRowsUpdated for s in event.progress.stateOperators if s.operatorName == "dedupeWithinWatermark")
+
+        def onQueryTerminated(self, event):
+            ended.append(event.runId)
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        catalogue_queries.stream_event_windows(spark, sf).collect()
+        until = time.time() + 60
+        while len(ended) < 2 * catalogue_queries.SPANS and time.time() < until:  # reports come on a thread of their own
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert 0 < sum(held) <= spark.read.parquet(f"{sf}/events.parquet").count()
+
+
 @pytest.mark.parametrize("parts", [1, 8])
 def test_prefix_scan_against_plain(spark, parts):
     """One key holds most rows, so that it lies in many partitions."""
