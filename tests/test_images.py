@@ -6,6 +6,7 @@ import base64
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fotolith import feature_queries
 from fotolith.operators import features
@@ -60,3 +61,10 @@ def test_images_of_many_shapes(spark, monkeypatch):
         for name, change in features.TRANSFORMS.items():
             want, r = change(np.frombuffer(data, np.uint8).reshape(h, w, c)), turned[path, name]
             assert (r["height"], r["width"], r["channels"], bytes(r["data"])) == (*want.shape, want.tobytes())
+
+
+def test_thumbnails_are_dealt_by_number(spark, sf, monkeypatch):
+    """200 parts of one small file are made in four tasks of fifty each, not in one that grows with the file."""
+    monkeypatch.setattr(feature_queries, "IMAGES_A_TASK", 50)
+    made = feature_queries.image_thumbnails(spark, sf).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sorted(r["count"] for r in made) == [50, 50, 50, 50]
