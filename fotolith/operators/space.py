@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from fotolith.session import stored
 
-#: Rows of a sample from which the tree is made, and cells that it may have.
-SAMPLE, MAX_CELLS = 1 << 15, 1 << 12
+#: Rows of a sample from which the tree is made, at least and at most (of a cell, where there are many), and cells that it may have.
+SAMPLE, MAX_SAMPLE, OF_A_CELL, MAX_CELLS = 1 << 15, 1 << 18, 8, 1 << 15
 #: Pairs of blocks that a task compares, tasks at most, and blocks that are sent to all executors.
 PAIRS_A_TASK, MAX_TASKS, FEW = 16, 4096, 512
 #: A bound is taken a little further, for what doubles round off.
@@ -79,13 +79,15 @@ class Tree:
 
 
 def plant(points: DataFrame, size: int) -> Tree:
-    """A tree for ``points(id, v)`` with cells of about ``size`` rows; at most ``SAMPLE`` rows reach the driver."""
+    """A tree for ``points(id, v)`` with cells of about ``size`` rows; at most ``MAX_SAMPLE`` rows reach the driver."""
     n = points.count()
-    share = -(-n // SAMPLE)
+    cells = -(-n // size)
+    most = min(max(SAMPLE, OF_A_CELL * cells), MAX_SAMPLE)
+    share = -(-n // most)
     some = points.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else points
-    rows = some.select("v").limit(SAMPLE).toArrow().column("v").combine_chunks()
+    rows = some.select("v").limit(most).toArrow().column("v").combine_chunks()
     dims = len(rows[0]) if len(rows) else 1
-    return Tree.build(np.asarray(rows.flatten(), float).reshape(-1, dims), -(-n // size))
+    return Tree.build(np.asarray(rows.flatten(), float).reshape(-1, dims), cells)
 
 
 def blocks(rows: DataFrame, tree: Tree, size: int, extra: dict[str, str]) -> DataFrame:

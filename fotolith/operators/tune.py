@@ -21,8 +21,13 @@ BLOCK, PIVOTS = 256, 4
 TASKS, VISITS, PAIRS = 1024, 256, 1 << 15
 
 
+def held(features: DataFrame) -> DataFrame:
+    """What distances need of ``features``, stored: it is read several times, and what makes it (joins, say) runs once."""
+    return stored(features.select("id", *DIMENSIONS, "phash_bits", "dominant_colors"), "features")
+
+
 def row_blocks(features: DataFrame, config: GroupConfig) -> tuple[DataFrame, space.Tree, bool]:
-    """Blocks of rows (see ``space``) by their weighted vectors, the tree, and whether the distance is a metric (palettes of one size; hashes everywhere or nowhere)."""
+    """Blocks of the rows (see ``space``) that are ``held``, by their weighted vectors, the tree, and whether the distance is a metric (palettes of one size; hashes everywhere or nowhere)."""
     send_package(features.sparkSession)
     scaled = normalised(features)
     # The roots of the weights are in the vectors.
@@ -32,7 +37,7 @@ def row_blocks(features: DataFrame, config: GroupConfig) -> tuple[DataFrame, spa
     metric = facts["most"] == facts["least"] and facts["hashed"] in (0, facts["n"])
     width = 3 * (facts["most"] or 0)
     padded = F.slice(F.concat(F.coalesce(F.flatten("dominant_colors"), F.array().cast("array<double>")), F.array_repeat(F.lit(float("nan")), max(1, width))), 1, max(1, width))
-    rows = stored(scaled.select("id", v.alias("v"), F.coalesce("phash_bits", F.lit(0)).alias("hash"), F.col("phash_bits").isNotNull().alias("hashed"), size.alias("size"), padded.alias("palette")), "points")
+    rows = scaled.select("id", v.alias("v"), F.coalesce("phash_bits", F.lit(0)).alias("hash"), F.col("phash_bits").isNotNull().alias("hashed"), size.alias("size"), padded.alias("palette"))
     tree = space.plant(rows, BLOCK)
     return space.blocks(rows, tree, BLOCK, {"hash": "int64", "hashed": "bool", "size": "int64", "palette": "float64"}), tree, metric
 
@@ -44,7 +49,7 @@ def near_blocks(features: DataFrame, config: GroupConfig) -> tuple[DataFrame, Da
     a metric, so do the distances to pivots. A row's ``k``-th
     nearest in its own block bounds what it is looking for.
     """
-    made, tree, metric = row_blocks(features, config)
+    made, tree, metric = row_blocks(held(features), config)
     k = max(1, config.min_samples)
     pivots = [unpack(r.asDict()) for r in made.orderBy("block").limit(PIVOTS).collect()] if metric else []
 
@@ -89,7 +94,12 @@ def apart(x: Features, y: Features, config: GroupConfig) -> np.ndarray:
 
 
 def k_distances(features: DataFrame, config: GroupConfig) -> DataFrame:
-    """``id, k_distance``: the distance to the ``min_samples``-th nearest other row; rows with fewer others are left out.
+    """``id, k_distance``: the distance to the ``min_samples``-th nearest other row; rows with fewer others are left out."""
+    return _k_distances(held(features), config)
+
+
+def _k_distances(features: DataFrame, config: GroupConfig) -> DataFrame:
+    """``k_distances`` of features that are ``held``.
 
     A row's ``k``-th nearest in its own block bounds what it is looking for. It is sent to the blocks whose cell is within that bound, each alone and
     not its whole block, so the rows that it meets stay about as many when the input grows.
@@ -204,6 +214,7 @@ def elbow(distances: DataFrame) -> DataFrame:
 
 def auto_tune(features: DataFrame, config: GroupConfig) -> DataFrame:
     """``optimal_eps``; an error for no more rows than ``min_samples``."""
+    features = held(features)
     if features.count() < config.min_samples + 1:
         raise ValueError("auto_tune: not enough images")
-    return elbow(k_distances(features, config))
+    return elbow(_k_distances(features, config))

@@ -83,6 +83,33 @@ def test_equal_rows_and_rows_apart_find_their_nearest(spark, monkeypatch):
     assert tune.k_distances(spark.createDataFrame(rows[:3], shape), cfg).count() == 0
 
 
+def test_features_are_made_once(spark):
+    """What makes the features runs once, not again for each step that reads them."""
+    seen, rng = spark.sparkContext.accumulator(0), random.Random(9)
+    shape = "id long, time double, l double, a double, b double, aspect_ratio double, phash_bits long, dominant_colors array<array<double>>"
+    rows = [(i, *(rng.gauss(0, 1) for _ in range(5)), rng.getrandbits(62), [[rng.gauss(50, 9) for _ in range(3)]]) for i in range(60)]
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = spark.createDataFrame(rows, shape).mapInArrow(count, shape)
+    assert tune.auto_tune(made, GroupConfig(min_samples=3)).first()[0] > 0
+    assert seen.value == 60
+    assert tune.k_distances(made, GroupConfig(min_samples=3)).count() == 60
+    assert seen.value == 120
+
+
+def test_cells_grow_with_the_input(spark):
+    """A cell holds about as many rows where there are more than 4096 cells; the sample that is cut stays bounded."""
+    rows = spark.range(20_000).selectExpr("id", "array(rand(1), rand(2), rand(3), rand(4), rand(5)) AS v").toArrow()
+    v = np.array(rows.column("v").to_pylist())
+    tree = space.plant(spark.createDataFrame(rows), 2)
+    assert np.bincount(tree.cells(v)).max() <= 2
+    assert tree.depth == 14 and space.MAX_SAMPLE <= 1 << 18
+
+
 @pytest.mark.parametrize("few", [0, 512])
 def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch, few):
     monkeypatch.setattr(space, "PAIRS_A_TASK", 4)
